@@ -100,7 +100,7 @@ def beside_next(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = min(MOST_BUCKETS, 4 * shuffles(spark))
+    n = min(MOST_BUCKETS, 64 * shuffles(spark))
     cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
     bucket = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col("doc_id"))) if cuts else F.lit(0)
@@ -114,7 +114,7 @@ def beside_next(documents: DataFrame) -> DataFrame:
     else:
         rows = docs.withColumn("extra", F.lit(False))
     order = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    rows = rows.repartition(shuffles(spark), "bucket")
+    rows = rows.repartition(4 * shuffles(spark), "bucket")
     return rows.select("bucket", F.row_number().over(order).alias("pos"), "doc_id", "text", F.coalesce(F.lead("text").over(order), "text").alias("next_text"), "extra")
 
 
@@ -123,18 +123,21 @@ def fingerprint_edits(documents: DataFrame, samples: int = SAMPLES) -> DataFrame
 
     The edited text has the last third (floor) of the code points replaced by the first as many of the next document.
     """
-    # every later join and group is by bucket and more: rows dealt by bucket alone stay where they are
-    documents.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     rows = beside_next(documents)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
-    rows = rows.select("bucket", "pos", "doc_id", "extra", "text", edited.alias("edited"))
-    kinds = rows.select("bucket", "pos", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.when(~F.col("extra"), F.col("edited")).alias("text")))).alias("x")).select("bucket", "pos", "x.kind", "x.text")
-    signed = sign(kinds, ["bucket", "pos", "kind"], samples)
-    both = signed.groupBy("bucket", "pos").agg(F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    light = rows.select("bucket", "pos", "doc_id", "extra", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    out = light.join(both, ["bucket", "pos"], "left").fillna("", ["fingerprint", "edited_fingerprint"])
+    rows = rows.select("bucket", "pos", "doc_id", "extra", "text", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)).alias("edited"))
+    # a third kind of row carries what is not signed, so that no join has to bring it back
+    meta = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("extra").cast("string"), n.cast("string"), F.sha2("edited", 256))
+    row = lambda kind, text, meta: F.struct(F.lit(kind).alias("kind"), text.alias("text"), meta.cast("string").alias("meta"))
+    kinds = F.array(row(0, F.col("text"), F.lit(None)), row(1, F.when(~F.col("extra"), F.col("edited")), F.lit(None)), row(2, F.lit("-"), meta))
+    kinds = rows.select("bucket", "pos", F.explode(kinds).alias("x")).select("bucket", "pos", "x.kind", "x.text", "x.meta")
+    signed = sign(kinds, ["bucket", "pos", "kind", "meta"], samples).groupBy("bucket", "pos").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.coalesce("meta", "fingerprint")))).alias("of"))
+    of = lambda kind: F.coalesce(F.try_element_at("of", F.lit(kind)), F.lit(""))
+    parts = F.split(of(2), r"\|")
+    out = signed.select(
+        "bucket", "pos", F.nullif(parts[0], F.lit("")).cast("long").alias("doc_id"), parts[1].cast("boolean").alias("extra"), parts[2].cast("long").alias("n_chars"), parts[3].alias("edited_sha256"), of(0).alias("fingerprint"), of(1).alias("edited_fingerprint")
+    )
     after = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("pos"))
     out = out.withColumn("next_fingerprint", F.coalesce(after, "fingerprint")).where(~F.col("extra"))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"))
