@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints
+from . import chat, fingerprints, warc
 from .common import table
 
 LF = "chr(10)"
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
+    return back.selectExpr("page_id", "n_bytes as payload_bytes", "digest as payload_digest", "type as record_type", "refers_to")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -23,9 +28,32 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(rows.unionByName(probe)))
 
 
+ORACLES = {
+    "op3_warc": """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, octet_length(encode(html)) as payload_bytes, sha256(html) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, payload_digest,
+       case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+       case when first <> page_id then first end as refers_to
+from d left join f using (payload_digest)""",
+    "op9_chat_format": """
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, regexp_replace(role, '([<\\[])(\\\\*)(s>|/s>|INST\\]|/INST\\]|AND\\])', '\\1\\\\\\2\\3', 'g') as er,
+             regexp_replace(text, '([<\\[])(\\\\*)(s>|/s>|INST\\]|/INST\\]|AND\\])', '\\1\\\\\\2\\3', 'g') as et,
+             role is distinct from lag(role) over (partition by conv_id order by turn, role, text) as fresh from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(length(et) + case when fresh then 9 + length(er) + 11 else 5 end)::bigint as formatted_chars
+from e group by conv_id""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_fingerprints": op7_fingerprints, "op9_chat_format": op9_chat_format}
+    return {"op3_warc": op3_warc, "op7_fingerprints": op7_fingerprints, "op9_chat_format": op9_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
