@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, warc
+from . import chat, fingerprints, pieces, warc
 from .common import table
 
 LF = "chr(10)"
@@ -51,8 +51,12 @@ from e group by conv_id""",
 }
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids", "round_trip")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_warc": op3_warc, "op7_fingerprints": op7_fingerprints, "op9_chat_format": op9_chat_format}
+    return {"op3_warc": op3_warc, "op7_fingerprints": op7_fingerprints, "op9_chat_format": op9_chat_format, "op10_pieces": op10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
