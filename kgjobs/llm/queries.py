@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, pieces, warc
+from . import chat, fingerprints, neardup, pieces, suffixes, warc
 from .common import table
 
 LF = "chr(10)"
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_components(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
     return back.selectExpr("page_id", "n_bytes as payload_bytes", "digest as payload_digest", "type as record_type", "refers_to")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -56,7 +64,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_warc": op3_warc, "op7_fingerprints": op7_fingerprints, "op9_chat_format": op9_chat_format, "op10_pieces": op10_pieces}
+    return {"op1_near_dedup": op1_near_dedup, "op3_warc": op3_warc, "op4_suffix_dedup": op4_suffix_dedup, "op7_fingerprints": op7_fingerprints, "op9_chat_format": op9_chat_format, "op10_pieces": op10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
