@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, neardup, pieces, suffixes, warc
+from . import chat, fingerprints, leaks, neardup, pieces, suffixes, warc
 from .common import table
 
 LF = "chr(10)"
@@ -17,6 +17,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_components(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
     return back.selectExpr("page_id", "n_bytes as payload_bytes", "digest as payload_digest", "type as record_type", "refers_to")
@@ -64,7 +68,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_dedup": op1_near_dedup, "op3_warc": op3_warc, "op4_suffix_dedup": op4_suffix_dedup, "op7_fingerprints": op7_fingerprints, "op9_chat_format": op9_chat_format, "op10_pieces": op10_pieces}
+    return {"op1_near_dedup": op1_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_warc": op3_warc, "op4_suffix_dedup": op4_suffix_dedup, "op7_fingerprints": op7_fingerprints, "op9_chat_format": op9_chat_format, "op10_pieces": op10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
