@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, fingerprints, leaks, neardup, pieces, quality, suffixes, warc
+from . import chat, counts, fingerprints, leaks, lm, neardup, pieces, quality, suffixes, warc
 from .common import table
 
 LF = "chr(10)"
@@ -35,6 +35,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -79,7 +83,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_dedup": op1_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_warc": op3_warc, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op7_fingerprints": op7_fingerprints, "op8_quality": op8_quality, "op9_chat_format": op9_chat_format, "op10_pieces": op10_pieces}
+    return {"op1_near_dedup": op1_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_warc": op3_warc, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op6_lm_score": op6_lm_score, "op7_fingerprints": op7_fingerprints, "op8_quality": op8_quality, "op9_chat_format": op9_chat_format, "op10_pieces": op10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
