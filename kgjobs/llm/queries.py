@@ -82,8 +82,14 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids", "round_trip")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_dedup": op1_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_warc": op3_warc, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op6_lm_score": op6_lm_score, "op7_fingerprints": op7_fingerprints, "op8_quality": op8_quality, "op9_chat_format": op9_chat_format, "op10_pieces": op10_pieces}
+    return {"pipeline": pipeline, "op1_near_dedup": op1_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_warc": op3_warc, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op6_lm_score": op6_lm_score, "op7_fingerprints": op7_fingerprints, "op8_quality": op8_quality, "op9_chat_format": op9_chat_format, "op10_pieces": op10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -275,31 +275,36 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def cut_repeats(docs: DataFrame, keep_first: bool = False, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """doc_id, kept (binary), n_bytes, n_removed, n_spans, kept_sha256 for docs(doc_id, text).
+    """docs without text, and kept (binary), n_bytes, n_removed, n_spans, kept_sha256; docs has doc_id and text.
 
     keep_first: the first copy of a repeated string (least doc_id, then place) stays; else all copies go.
     """
     light, spans = repeated_spans(docs, least, most)
     if keep_first:
         spans = spans.where("not first")
-    lists = spans.groupBy("sha").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    lists = spans.groupBy("sha").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
     # copies of a text repeat it whole
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= least)
     if keep_first:
         whole = whole & (F.col("doc_id") != F.col("first_doc"))
-    plan = light.withColumn("whole", whole).join(lists, "sha", "left").where("whole or spans is not null").select("doc_id", "sha", "whole", F.when(~F.col("whole"), F.col("spans")).alias("spans")).dropDuplicates(["doc_id", "sha"])
-    keyed = _keyed(docs)
-    rows = keyed.join(plan, ["doc_id", "sha"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "whole", "spans")
+    plan = light.withColumn("_whole", whole).join(lists, "sha", "left").where("_whole or _spans is not null")
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "_whole", F.when(~F.col("_whole"), F.col("_spans")).alias("_spans")).dropDuplicates(["_id", "_sha"])
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.withColumns({"text": text, "_id": F.coalesce("doc_id", F.lit(NO_ID)), "_sha": F.unhex(F.sha2(text, 256))})
+    rows = rows.join(plan, ["_id", "_sha"], "left").drop("_id", "_sha")
+    kept_columns = [c for c in docs.columns if c != "text"]
+    kinds = {"kept": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"doc_id": pa.int64(), "kept": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
         for b in batches:
             out = []
-            for doc, t, all_of_it, spans in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()), b.column("whole").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for t, all_of_it, spans in zip(b.column("text").cast(pa.binary()), b.column("_whole").to_pylist(), b.column("_spans").to_pylist(), strict=True):
                 raw = t.as_py()
                 gone = [(0, len(raw))] if all_of_it else merged([(x["begin"], x["end"]) for x in spans or []])
                 kept = b"".join(raw[a:e] for a, e in zip([0] + [e for _, e in gone], [a for a, _ in gone] + [len(raw)], strict=True))
-                out.append((doc, kept, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
-            yield _arrays(kinds, out)
+                out.append((kept, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
+            new = _arrays(kinds, out)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept_columns], *new.columns], names=[*kept_columns, *kinds])
 
-    return rows.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    return rows.mapInArrow(cut, f"{ddl}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
