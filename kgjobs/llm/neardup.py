@@ -37,6 +37,8 @@ from .common import WORDS, component_labels, lower_ascii, mix64, small_batches,
 
 K = 64
 BLOCK = 256
+#: Ids of group members (16 bytes each) that are sent to the tasks; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,17 +142,19 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     hubs = lists.groupBy("value").agg(F.count("*").alias("n"), F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).where("n > 1").select("value", (-F.col("top.minus")).alias("hub"))
     members = written(lists.join(hubs, "value").select("hub", "id").distinct(), "near-members")
 
+    # whatever is in a group; few enough ids are sent to the tasks, so that neither texts nor sketches are shuffled
+    ids = written(members.select("id").unionByName(members.select(F.col("hub").alias("id"))).distinct(), "near-ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
     # union-sketch estimates against the hub
-    sk = reps.select("id", "sketch", "n")
+    sk = reps.select("id", "sketch", "n").join(wanted, "id")
     pairs = members.where("hub <> id").join(sk, "id").join(sk.select(F.col("id").alias("hub"), F.col("sketch").alias("of_hub"), F.col("n").alias("hub_n")), "hub")
     union = F.slice(F.array_sort(F.array_union("sketch", "of_hub")), 1, k)
     estimate = F.size(F.array_intersect(union, F.array_intersect("sketch", "of_hub"))) / F.size(union)
     near = (F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")) & (estimate >= share)
     stars = pairs.select("hub", "id", near.alias("near"))
 
-    # full sets of whatever is in a group
-    ids = members.select("id").unionByName(members.select(F.col("hub").alias("id"))).distinct()
-    texts = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "text")
+    texts = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "text")
     grams = texts.mapInArrow(_sets(width), "id long, grams array<long>")
     grams = written(grams, "near-sets")
 
