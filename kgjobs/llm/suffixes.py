@@ -139,13 +139,13 @@ def _runs(count: np.ndarray, first: np.ndarray, n: int, reach: int, who: list[tu
     return [{"low": reach - int(part[-1]), "high": reach - int(part[0]), "doc": who[first[part[0]]][0], "place": who[first[part[0]]][1]} for part in np.split(hit, cut)]
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """Two tables for docs(doc_id, text):
 
     rows(doc_id, sha, n_bytes, copies, first_doc): sha is the text's SHA-256, copies how many rows have that text,
     first_doc the smallest doc_id of those;
-    spans(sha, begin, end, first): bytes covered by strings that repeat, one text per sha, not merged; first marks what
-    is the first copy (by doc_id, place).
+    hits(sha, doc_id, places, runs): for a text, places of one context and the begins of its strings that repeat, as
+    distances before the place (low to high), with the first copy (doc, place) of each. One text stands for a sha.
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
@@ -155,35 +155,41 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tup
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary())
-            places, hashes, sizes = [], [], []
+            places, hashes, sizes, own, twice = [], [], [], [], []
             for t in texts:
                 a = np.frombuffer(t.as_buffer(), np.uint8)
                 at = anchors(a, least)
                 sizes.append(len(a))
                 places.append(at.astype(np.int32))
                 hashes.append(_anchor_names(a, at))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "sha", "n_bytes", "places", "anchors"])
+                names, n = np.unique(hashes[-1], return_counts=True)
+                own.append(names)
+                twice.append(n > 1)
+            longs, flags = pa.list_(pa.int64()), pa.list_(pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, longs), pa.array(own, longs), pa.array(twice, flags)], names=["doc_id", "sha", "n_bytes", "places", "anchors", "own", "twice"])
 
-    found = written(keyed.mapInArrow(find, "doc_id long, sha binary, n_bytes long, places array<int>, anchors array<long>"), "suffix-anchors")
+    found = written(keyed.mapInArrow(find, "doc_id long, sha binary, n_bytes long, places array<int>, anchors array<long>, own array<long>, twice array<boolean>"), "suffix-anchors")
     same = found.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
     light = written(found.select("doc_id", "sha", "n_bytes").join(same, "sha"), "suffix-rows")
     # one row stands for all copies of a text
-    firsts = found.where("size(anchors) > 0").join(same.select("sha", F.col("first_doc").alias("doc_id")), ["sha", "doc_id"], "left_semi").groupBy("sha", "doc_id").agg(F.first("places").alias("places"), F.first("anchors").alias("anchors"))
-    at = firsts.select("sha", "doc_id", F.explode(F.arrays_zip("places", "anchors")).alias("x")).select("sha", "doc_id", F.col("x.places").alias("place"), F.col("x.anchors").alias("anchor"))
-    again = at.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    todo = at.join(again, "anchor", "left_semi").groupBy("sha", "doc_id").agg(F.collect_list(F.struct("place", "anchor")).alias("at"))
+    firsts = found.where("size(own) > 0").join(same.select("sha", F.col("first_doc").alias("doc_id")), ["sha", "doc_id"], "left_semi").dropDuplicates(["sha", "doc_id"])
+    at = firsts.select("sha", "doc_id", F.explode(F.arrays_zip("own", "twice")).alias("x")).select("sha", "doc_id", F.col("x.own").alias("anchor"), "x.twice")
+    again = at.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("anchor")
+    todo = at.select("sha", "doc_id", "anchor").join(again, "anchor", "left_semi").groupBy("sha", "doc_id").agg(F.collect_list("anchor").alias("again"))
+    todo = todo.join(firsts.select("sha", "doc_id", "places", "anchors"), ["sha", "doc_id"])
     texts = keyed.join(todo, ["sha", "doc_id"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, sha, t, at in zip(b.column("doc_id").to_pylist(), b.column("sha").to_pylist(), b.column("text").cast(pa.binary()), b.column("at").to_pylist(), strict=True):
+            for doc, sha, t, again, places, hashes in zip(b.column("doc_id").to_pylist(), b.column("sha").to_pylist(), b.column("text").cast(pa.binary()), *[b.column(c) for c in ("again", "places", "anchors")], strict=True):
                 raw, seen = t.as_py(), {}
-                for x in sorted(at, key=lambda x: x["place"]):
-                    p = x["place"]
+                places, hashes = places.values.to_numpy(), hashes.values.to_numpy()
+                keep = np.isin(hashes, again.values.to_numpy())
+                for p, anchor in zip(places[keep].tolist(), hashes[keep].tolist(), strict=True):
                     left = min(p, reach)
                     piece = raw[p - left : p + GRAM + reach]
-                    key = (x["anchor"], xxhash.xxh64_intdigest(piece, left) - 2**63)
+                    key = (anchor, xxhash.xxh64_intdigest(piece, left) - 2**63)
                     seen.setdefault(key, (left, piece, []))[2].append(p)
                 rows += [(a, c, left, piece, doc, sha, places) for (a, c), (left, piece, places) in seen.items()]
                 if len(rows) > 4000:
@@ -198,6 +204,10 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tup
     sizes = classes.groupBy("anchor").agg(F.count("*").alias("d"), F.max("n").alias("top"))
     # a lone context seen once repeats nothing
     sized = classes.join(sizes.where("d > 1 or top > 1"), "anchor")
+    # one context, seen again: every string in it repeats, and its first place is the first copy
+    last = F.col("left") - F.octet_length("bytes") + least
+    run = F.struct(last.cast("int").alias("low"), F.col("left").alias("high"), F.col("doc_id").alias("doc"), "place")
+    alone = sized.where("d = 1").where(F.octet_length("bytes") >= least).select("anchor", "ctx", F.array(run).alias("runs"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -221,8 +231,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tup
         out = [(r["anchor"], r["ctx"], _runs(count[k], first[k], r["n"], reach, who)) for k, r in enumerate(rows)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[o for o in out if o[2]], strict=True), (pa.int64(), pa.int64(), _RUNS), strict=True)] if any(o[2] for o in out) else [pa.array([], t) for t in (pa.int64(), pa.int64(), _RUNS)], names=["anchor", "ctx", "runs"])
 
-    few = sized.where(f"d <= {most}").repartition(4 * shuffles(spark), "anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_first(), "place")
-    runs = few.drop("d", "top").mapInArrow(local, _RUNS_DDL)
+    few = sized.where(f"d > 1 and d <= {most}").repartition(4 * shuffles(spark), "anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_first(), "place")
+    runs = few.drop("d", "top").mapInArrow(local, _RUNS_DDL).unionByName(alone)
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,10 +256,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tup
         lone = lone.groupBy("anchor", "ctx").agg(F.collect_list(F.struct("low", "high", "doc", F.col("first_place").alias("place"))).alias("runs"))
         runs = runs.unionByName(lone)
     runs = written(runs, "suffix-runs")
-    hit = ctx.drop("bytes", "left").join(runs, ["anchor", "ctx"]).select("sha", "doc_id", F.explode("places").alias("place"), "runs").select("sha", "doc_id", "place", F.explode("runs").alias("run"))
-    own = (F.col("run.doc") == F.col("doc_id")) & (F.col("run.place") == F.col("place"))
-    spans = hit.select("sha", (F.col("place") - F.col("run.high")).alias("begin"), (F.col("place") - F.col("run.low") + least).alias("end"), own.alias("first"))
-    return light, spans
+    return light, ctx.drop("bytes", "left").join(runs, ["anchor", "ctx"]).select("sha", "doc_id", "places", "runs")
 
 
 def _anchor_names(b: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -274,15 +281,21 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _spans(hits: list[dict], least: int, keep_first: bool) -> Iterator[tuple[int, int]]:
+    for hit in hits:
+        for place in hit["places"]:
+            for run in hit["runs"]:
+                if not keep_first or (run["doc"], run["place"]) != (hit["doc_id"], place):
+                    yield place - run["high"], place - run["low"] + least
+
+
 def cut_repeats(docs: DataFrame, keep_first: bool = False, least: int = LEAST, most: int = MOST) -> DataFrame:
     """docs without text, and kept (binary), n_bytes, n_removed, n_spans, kept_sha256; docs has doc_id and text.
 
     keep_first: the first copy of a repeated string (least doc_id, then place) stays; else all copies go.
     """
-    light, spans = repeated_spans(docs, least, most)
-    if keep_first:
-        spans = spans.where("not first")
-    lists = spans.groupBy("sha").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
+    light, hits = repeats(docs, least, most)
+    lists = hits.groupBy("sha").agg(F.collect_list(F.struct("doc_id", "places", "runs")).alias("_spans"))
     # copies of a text repeat it whole
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= least)
     if keep_first:
@@ -300,7 +313,7 @@ def cut_repeats(docs: DataFrame, keep_first: bool = False, least: int = LEAST, m
             out = []
             for t, all_of_it, spans in zip(b.column("text").cast(pa.binary()), b.column("_whole").to_pylist(), b.column("_spans").to_pylist(), strict=True):
                 raw = t.as_py()
-                gone = [(0, len(raw))] if all_of_it else merged([(x["begin"], x["end"]) for x in spans or []])
+                gone = [(0, len(raw))] if all_of_it else merged(list(_spans(spans or [], least, keep_first)))
                 kept = b"".join(raw[a:e] for a, e in zip([0] + [e for _, e in gone], [a for a, _ in gone] + [len(raw)], strict=True))
                 out.append((kept, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
             new = _arrays(kinds, out)
