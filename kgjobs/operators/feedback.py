@@ -31,7 +31,7 @@ def decayed_multiplier(now: str, half_life_days: float = 90) -> Column:
     raw = confidence_multiplier()
     if half_life_days <= 0:
         return raw
-    age = F.greatest((F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("last_feedback_at")) / F.lit(86_400e6), F.lit(0.0))
+    age = F.greatest((F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("last_feedback_at").cast("timestamp"))) / F.lit(86_400e6), F.lit(0.0))
     return F.coalesce(1 + (raw - 1) * F.pow(F.lit(2.0), -age / half_life_days), raw)
 
 
