@@ -60,6 +60,7 @@ class Pieces:
         self.bytes_of = [b"" if special[i] else sp.id_to_piece(i).encode() for i in range(n)]
         for b, i in enumerate(self.byte):
             self.bytes_of[i] = bytes([b])
+        self.table = pa.array(self.bytes_of, pa.binary())
         self.longest = max(map(len, self.ids))
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece has a space after another character; words can't be cut apart")
@@ -196,8 +197,15 @@ class Pieces:
             return b"".join([known.get(w) or self.word_ids(w) for w in words])
 
     def decode(self, ids: np.ndarray) -> str:
-        s = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")
-        return s.removeprefix(" ")
+        return self.decode_all([np.asarray(ids, "<i4").tobytes()])[0]
+
+    def decode_all(self, raw: list[bytes]) -> list[str]:
+        """Texts of lists of ids (as bytes): the pieces of all are gathered at once, then cut apart."""
+        ends = np.cumsum([0, *(len(r) // 4 for r in raw)])
+        taken = self.table.take(pa.array(np.frombuffer(b"".join(raw), "<i4")))
+        at = np.frombuffer(taken.buffers()[1], np.int32)[ends] if ends[-1] else np.zeros(len(ends), np.int32)
+        data = memoryview(taken.buffers()[2]) if ends[-1] else b""
+        return [str(data[a:b], "utf-8", "replace").replace(SPACE, " ").removeprefix(" ") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -253,7 +261,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, text:
         for b in batches:
             texts = [t or "" for t in b.column(text).to_pylist()]
             raw = [p.text_ids((SPACE + t).replace(" ", SPACE)) if t else b"" for t in texts]
-            same = [p.decode(np.frombuffer(r, "<i4")) == t for r, t in zip(raw, texts, strict=True)]
+            same = [a == t for a, t in zip(p.decode_all(raw), texts, strict=True)]
             ids = _listed(raw)
             yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(same)], names=[*b.schema.names, "ids", "n_tokens", "round_trip"])
 
@@ -268,7 +276,7 @@ def _encode_long(long: DataFrame, model: str, chunk: int, text: str) -> DataFram
     cut = long.select("_row", s.alias("s"), F.explode(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / chunk).cast("int"))).alias("k"))
     left = F.least(F.col("k") * chunk, F.lit(side))
     cut = cut.select("_row", "k", F.substring("s", F.col("k") * chunk - left + 1, left + chunk + side).alias("piece"), left.alias("begin"), F.least(left + chunk, left + F.length("s") - F.col("k") * chunk).cast("int").alias("end"))
-    cut = cut.repartition(4 * shuffles(long.sparkSession), "_row", "k")
+    cut = written(cut.repartition(4 * shuffles(long.sparkSession), "_row", "k"), "pieces-chunks")
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(model)
