@@ -37,6 +37,7 @@ CHUNK = 16384
 REMEMBER = 1_000_000
 SPACE = "▁"
 START = -1
+NEVER = float("-inf")
 
 
 def default_model() -> str:
@@ -67,21 +68,25 @@ class Pieces:
         apart = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids if len(p) > 1))
         self.words = re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" + (f"|[{apart}]" if apart else ""))
         self.apart = set(apart)
-        self.known: dict[str, bytes] = {}
+        self.raw_of = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        self.known = Known(self)
         self.pair: dict[tuple[str, str], bool] = {}
 
     def merge(self, word: str) -> list[str]:
         """Pieces of a short string: the neighbours whose joint piece scores highest merge first, the leftmost of equals."""
-        parts, score = list(word), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
+        parts, score = list(word), self.score.get
+        joint = [score(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while joint:
+            best = max(joint)
+            if best == NEVER:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = joint.index(best)  # the leftmost
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joint[i]
+            if i:
+                joint[i - 1] = score(parts[i - 1] + parts[i], NEVER)
+            if i < len(joint):
+                joint[i] = score(parts[i] + parts[i + 1], NEVER)
         return parts
 
     def whole(self, piece: str) -> bool:
@@ -173,28 +178,16 @@ class Pieces:
         return b"".join(reversed(out))
 
     def raw(self, piece: str) -> bytes:
-        i = self.ids.get(piece)
-        return np.array([i] if i is not None else [self.byte[b] for b in piece.encode()], "<i4").tobytes()
+        return self.raw_of.get(piece) or b"".join([self.byte[b].to_bytes(4, "little") for b in piece.encode()])
 
     def word_ids(self, word: str) -> bytes:
-        got = self.known.get(word)
-        if got is None:
-            if len(word) <= 48:
-                got = b"".join(map(self.raw, self.merge(word)))
-                if len(self.known) >= REMEMBER:
-                    self.known.clear()
-                self.known[word] = got
-            else:
-                (exit,) = [x for x in self.sweep(word, {(0, 0): 1}, len(word) - 1) if x[1] == len(word)]
-                got = self.path(word, (0, 0), exit)
-        return got
+        if len(word) <= 48:
+            return b"".join(map(self.raw, self.merge(word)))
+        (exit,) = [x for x in self.sweep(word, {(0, 0): 1}, len(word) - 1) if x[1] == len(word)]
+        return self.path(word, (0, 0), exit)
 
     def text_ids(self, s: str) -> bytes:
-        known, words = self.known, self.words.findall(s)
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            return b"".join([known.get(w) or self.word_ids(w) for w in words])
+        return b"".join(map(self.known.__getitem__, self.words.findall(s)))
 
     def decode(self, ids: np.ndarray) -> str:
         return self.decode_all([np.asarray(ids, "<i4").tobytes()])[0]
@@ -208,6 +201,22 @@ class Pieces:
         return [str(data[a:b], "utf-8", "replace").replace(SPACE, " ").removeprefix(" ") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+class Known(dict):
+    """word -> ids, remembered for short words."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.pieces.word_ids(word)
+        if len(word) <= 48:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[word] = got
+        return got
+
+
 @lru_cache(maxsize=2)
 def load(model: str) -> Pieces:
     return Pieces(model)
