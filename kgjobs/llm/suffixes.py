@@ -234,31 +234,94 @@ def repeats(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tuple[Data
     few = sized.where(f"d > 1 and d <= {most}").repartition(4 * shuffles(spark), "anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_first(), "place")
     runs = few.drop("d", "top").mapInArrow(local, _RUNS_DDL).unionByName(alone)
 
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 200):
-                rows = b.slice(k, 200).to_pylist()
-                data, valid = _aligned([r["bytes"] for r in rows], np.array([r["left"] for r in rows]), least)
-                i, begins = np.nonzero(valid)
-                name = window_names(data, least)[i, begins].view(np.int64)
-                col = lambda c, t: pa.array([r[c] for r in rows], t).take(pa.array(i))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([col("anchor", pa.int64()), col("ctx", pa.int64()), col("n", pa.int64()), col("doc_id", pa.int64()), col("place", pa.int32()), pa.array(begins.astype(np.int32)), pa.array(name)], names=["anchor", "ctx", "n", "doc_id", "place", "begin", "name"])
-
     many = sized.where(f"d > {most}").drop("d", "top")
     if not many.isEmpty():
-        named = written(many.mapInArrow(names, "anchor long, ctx long, n long, doc_id long, place int, begin int, name long"), "suffix-names")
-        shared = named.groupBy("anchor", "begin", "name").agg(F.sum("n").alias("m"), F.min(F.struct("doc_id", "place")).alias("who")).where("m > 1")
-        hits = named.join(shared.drop("m"), ["anchor", "begin", "name"]).select("anchor", "ctx", (F.lit(reach) - F.col("begin")).cast("int").alias("at"), F.col("who.doc_id").alias("doc"), F.col("who.place").alias("first_place"))
-        # neighbouring begins with one first copy make one run: begin minus its rank is constant within it
-        by = ["anchor", "ctx", "doc", "first_place"]
-        ranked = hits.groupBy(*by).agg(F.sort_array(F.collect_list("at")).alias("ats")).select(*by, F.explode(F.transform("ats", lambda x, i: F.struct(x.alias("at"), (x - i).alias("k")))).alias("x"))
-        lone = ranked.groupBy(*by, "x.k").agg(F.min("x.at").alias("low"), F.max("x.at").alias("high"))
-        lone = lone.groupBy("anchor", "ctx").agg(F.collect_list(F.struct("low", "high", "doc", F.col("first_place").alias("place"))).alias("runs"))
-        runs = runs.unionByName(lone)
+        runs = runs.unionByName(_dealt_out(many, least))
     runs = written(runs, "suffix-runs")
     return light, ctx.drop("bytes", "left").join(runs, ["anchor", "ctx"]).select("sha", "doc_id", "places", "runs")
 
 
+def class_names(ctx: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Names of bytes ``begin`` to ``end`` of each row; both have one line a row and one column a name."""
+    n = ctx.shape[1]
+    power, inverse = np.ones(n, np.uint64), np.ones(n, np.uint64)
+    power[1:], inverse[1:] = _BASE, np.uint64(pow(int(_BASE), -1, 2**64))
+    power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+    sums = np.zeros((len(ctx), n + 1), np.uint64)
+    np.cumsum(_TABLE[ctx] * power, axis=1, dtype=np.uint64, out=sums[:, 1:])
+    return mix64((np.take_along_axis(sums, end, 1) - np.take_along_axis(sums, begin, 1)) * inverse[begin])
+
+
+_PIECE_DDL = "anchor long, ctx long, k int, core long, piece long, lo int, hi int, n long, doc_id long, place int"
+_WINDOW_DDL = "anchor long, k int, piece long, begin int, name long, n long, doc_id long, place int"
+
+
+def _dealt_out(many: DataFrame, least: int, width: int = 16) -> DataFrame:
+    """Runs of contexts whose anchor has very many different ones: (anchor, ctx, runs).
+
+    The begins are taken in classes of ``width`` neighbours. All strings of a class hold its core, the bytes that they
+    share, and lie in its piece, the bytes that they reach together. A core seen once repeats nothing. A core with one
+    piece repeats as a whole, with one first copy. Only other pieces, once each and not once a context, are taken apart
+    into strings. So a context costs a row a class and, where a shared passage begins or ends, a row a string.
+    """
+    reach = least - GRAM
+    at = np.arange(0, reach + 1, width)
+    top = np.minimum(at + width - 1, reach)
+
+    def aligned(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        left, size = np.array([r["left"] for r in rows]), np.array([len(r["bytes"]) for r in rows])
+        data, _ = _aligned([r["bytes"] for r in rows], left, least)
+        first = (reach - left)[:, None]
+        return data, np.maximum(at, first), np.minimum(top, first + size[:, None] - least)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 200):
+                part = b.slice(s, 200)
+                data, lo, hi = aligned(part.select(["left", "bytes"]).to_pylist())
+                i, k = np.nonzero(lo <= hi)
+                core = class_names(data, np.broadcast_to(top, lo.shape), np.broadcast_to(at + least, lo.shape))[i, k]
+                fit = np.maximum(hi, lo)
+                piece = class_names(data, np.minimum(lo, reach), np.minimum(fit + least, data.shape[1]))[i, k]
+                piece = mix64(piece ^ (lo[i, k] * 1000 + hi[i, k]).astype(np.uint64))
+                col = lambda c: part.column(c).take(pa.array(i))  # noqa: B023, E731
+                arrays = [col("anchor"), col("ctx"), k.astype(np.int32), core.view(np.int64), piece.view(np.int64), lo[i, k].astype(np.int32), hi[i, k].astype(np.int32), col("n"), col("doc_id"), col("place")]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in arrays], names=["anchor", "ctx", "k", "core", "piece", "lo", "hi", "n", "doc_id", "place"])
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 200):
+                part = b.slice(s, 200).to_pylist()
+                data, valid = _aligned([r["bytes"] for r in part], np.array([r["left"] for r in part]), least)
+                name = window_names(data, least).view(np.int64)
+                rows = []
+                for r, ok, of in zip(part, valid, name, strict=True):
+                    for x in r["todo"]:
+                        rows += [(r["anchor"], x["k"], x["piece"], i, int(of[i]), x["n"], x["doc_id"], x["place"]) for i in range(x["lo"], x["hi"] + 1) if ok[i]]
+                kinds = {"anchor": pa.int64(), "k": pa.int32(), "piece": pa.int64(), "begin": pa.int32(), "name": pa.int64(), "n": pa.int64(), "doc_id": pa.int64(), "place": pa.int32()}
+                yield _arrays(kinds, rows)
+
+    parts = written(many.mapInArrow(pieces, _PIECE_DDL), "suffix-parts")
+    key = ["anchor", "k", "core"]
+    cores = parts.groupBy(*key).agg(F.sum("n").alias("m"), (F.min("piece") < F.max("piece")).alias("mixed")).where("m > 1").drop("m")
+    # of equal pieces the first copy stands for all; its context is at hand for its bytes
+    who = F.min(F.struct("doc_id", "place", "ctx")).alias("who")
+    seen = parts.groupBy(*key, "piece", "lo", "hi").agg(F.sum("n").alias("n"), who).select(*key, "piece", "lo", "hi", "n", "who.*")
+    seen = written(seen.join(cores, key), "suffix-pieces")
+    run = [(F.lit(reach) - F.col("hi")).cast("int").alias("low"), (F.lit(reach) - F.col("lo")).cast("int").alias("high"), F.col("doc_id").alias("doc"), "place"]
+    whole = seen.where("not mixed").select("anchor", "k", "piece", *run)
+    todo = seen.where("mixed").groupBy("anchor", "ctx").agg(F.collect_list(F.struct("k", "piece", "lo", "hi", "n", "doc_id", "place")).alias("todo"))
+    windows = many.select("anchor", "ctx", "left", "bytes").join(todo, ["anchor", "ctx"]).mapInArrow(strings, _WINDOW_DDL)
+    windows = written(windows, "suffix-windows")
+    shared = windows.groupBy("anchor", "begin", "name").agg(F.sum("n").alias("m"), F.min(F.struct("doc_id", "place")).alias("who")).where("m > 1").select("anchor", "begin", "name", "who")
+    # two contexts share neighbouring begins, so what lies between two that have one first copy repeats as well
+    hits = windows.select("anchor", "k", "piece", "begin", "name").join(shared, ["anchor", "begin", "name"])
+    hits = hits.groupBy("anchor", "k", "piece", "who").agg(F.min("begin").alias("lo"), F.max("begin").alias("hi")).select("anchor", "k", "piece", "lo", "hi", "who.*")
+    by_piece = whole.unionByName(hits.select("anchor", "k", "piece", *run))
+    both = parts.select("anchor", "ctx", "k", "piece").join(by_piece, ["anchor", "k", "piece"])
+    return both.groupBy("anchor", "ctx").agg(F.collect_list(F.struct("low", "high", "doc", "place")).alias("runs"))
+
+
 def _anchor_names(b: np.ndarray, at: np.ndarray) -> np.ndarray:
     if not len(at):
         return np.zeros(0, np.int64)
