@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ from .common import mix64, shuffles, small_batches, written
 LEAST = 400
 GRAM = 32
 MOST = 2000
+#: So many neighbouring begins make a class: all their strings hold one core.
+WIDTH = 16
 NO_ID = -(2**63)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -78,18 +81,35 @@ def _arrays(kinds: dict, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
 
-def window_names(ctx: np.ndarray, least: int) -> np.ndarray:
-    """Names of the strings of ``least`` bytes of each row, by their begin: a polynomial over mixed bytes, shifted to a common power."""
-    n = ctx.shape[1]
-    power = np.ones(n, np.uint64)
-    power[1:] = _BASE
-    power = np.multiply.accumulate(power)
-    inverse = np.ones(n - least + 1, np.uint64)
-    inverse[1:] = np.uint64(pow(int(_BASE), -1, 2**64))
-    inverse = np.multiply.accumulate(inverse)
-    sums = np.zeros((len(ctx), n + 1), np.uint64)
-    np.cumsum(_TABLE[ctx] * power, axis=1, dtype=np.uint64, out=sums[:, 1:])
-    return mix64((sums[:, least:] - sums[:, :-least]) * inverse)
+def prefix_sums(ctx: np.ndarray) -> np.ndarray:
+    """Sums over each row's first bytes, mixed, times growing powers."""
+    power = np.full(ctx.shape[1], _BASE)
+    power[:1] = 1
+    sums = np.zeros((len(ctx), ctx.shape[1] + 1), np.uint64)
+    np.cumsum(_TABLE[ctx] * np.multiply.accumulate(power), axis=1, dtype=np.uint64, out=sums[:, 1:])
+    return sums
+
+
+def _inverses(n: int) -> np.ndarray:
+    inverse = np.full(n, pow(int(_BASE), -1, 2**64), np.uint64)
+    inverse[:1] = 1
+    return np.multiply.accumulate(inverse)
+
+
+def window_names(sums: np.ndarray, least: int) -> np.ndarray:
+    """Names of the strings of ``least`` bytes of each row, by their begin, shifted to a common power."""
+    return mix64((sums[:, least:] - sums[:, :-least]) * _inverses(sums.shape[1] - least))
+
+
+def class_names(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Names of bytes ``begin`` to ``end`` of each row; both have one line a row and one column a name."""
+    return mix64((np.take_along_axis(sums, end, 1) - np.take_along_axis(sums, begin, 1)) * _inverses(sums.shape[1])[begin])
+
+
+def classes_of(least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last begins of the classes of neighbouring begins."""
+    at = np.arange(0, least - GRAM + 1, WIDTH)
+    return at, np.minimum(at + WIDTH - 1, least - GRAM)
 
 
 def _aligned(texts: list[bytes], lefts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,16 +131,28 @@ def previous_factors(group: np.ndarray, ctx: np.ndarray, valid: np.ndarray, leas
     Rows are in position order within their group. Suffixes are sorted by (group, begin, name) and position; the first
     of a run has no previous smaller position in it, so for all others the longest previous factor reaches ``least``.
     """
-    rows, begins = np.nonzero(valid)
-    salt = mix64(group.astype(np.uint64) * np.uint64(1000) + np.uint64(7))[rows] ^ mix64(begins.astype(np.uint64))
-    name = window_names(ctx, least)[rows, begins] ^ salt
-    order = np.argsort(name, kind="stable")
-    new = np.concatenate([[True], name[order][1:] != name[order][:-1]]) if len(order) else np.zeros(0, bool)
-    run = np.cumsum(new) - 1
+    sums = prefix_sums(ctx)
+    count, first = valid.astype(np.int64), np.repeat(np.arange(len(ctx))[:, None], valid.shape[1], axis=1)
+    # strings whose class's core is seen once in the group are seen once
+    at, top = classes_of(least)
+    core = class_names(sums, np.broadcast_to(top, (len(ctx), len(at))), np.broadcast_to(at + least, (len(ctx), len(at))))
+    mark = mix64(group.astype(np.uint64) * np.uint64(1000) + np.uint64(7))[:, None]
+    core = (core ^ mark ^ mix64(at.astype(np.uint64))).ravel()
+    order = np.argsort(core)
+    same = core[order][1:] == core[order][:-1]
+    twice = np.zeros(core.shape, bool)
+    twice[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    rows, begins = np.nonzero(valid & np.repeat(twice.reshape(len(ctx), len(at)), WIDTH, axis=1)[:, : valid.shape[1]])
+    if not len(rows):
+        return count, first
+    name = window_names(sums, least)[rows, begins] ^ mark[rows, 0] ^ mix64(begins.astype(np.uint64))
+    order = np.argsort(name)
+    name = name[order]
+    new = np.concatenate([[True], name[1:] != name[:-1]])
     starts = np.flatnonzero(new)
-    count, first = np.zeros(valid.shape, np.int64), np.zeros(valid.shape, np.int64)
+    run = np.cumsum(new) - 1
     count[rows[order], begins[order]] = np.diff(np.append(starts, len(order)))[run]
-    first[rows[order], begins[order]] = rows[order][starts[run]]
+    first[rows[order], begins[order]] = np.minimum.reduceat(rows[order], starts)[run]
     return count, first
 
 
@@ -130,13 +162,17 @@ _RUNS = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("doc", p
 _RUNS_DDL = "anchor long, ctx long, runs array<struct<low:int,high:int,doc:long,place:int>>"
 
 
-def _runs(count: np.ndarray, first: np.ndarray, n: int, reach: int, who: list[tuple]) -> list[dict]:
-    """Stretches of one context's repeated begins that have one first copy; low and high count back from the anchor."""
-    hit = np.flatnonzero(count + (n - 1) * (count > 0) > 1)
-    if not len(hit):
-        return []
-    cut = np.flatnonzero((np.diff(hit) != 1) | (np.diff(first[hit]) != 0)) + 1
-    return [{"low": reach - int(part[-1]), "high": reach - int(part[0]), "doc": who[first[part[0]]][0], "place": who[first[part[0]]][1]} for part in np.split(hit, cut)]
+def _runs(count: np.ndarray, first: np.ndarray, n: np.ndarray, reach: int, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Rows that have repeated begins, and for each the stretches with one first copy; low and high count back from the anchor."""
+    row, at = np.nonzero((count + (n - 1)[:, None] * (count > 0)) > 1)
+    who = first[row, at]
+    new = np.flatnonzero(np.concatenate([[True] * bool(len(row)), (np.diff(row) != 0) | (np.diff(at) != 1) | (np.diff(who) != 0)]).astype(bool))
+    last = np.append(new[1:], len(row))[: len(new)] - 1
+    hit, sizes = np.unique(row[new], return_counts=True)
+    kind = _RUNS.value_type
+    cols = [reach - at[last], reach - at[new], doc[who[new]], place[who[new]]]
+    runs = pa.StructArray.from_arrays([pa.array(c, kind.field(k).type) for k, c in enumerate(cols)], fields=list(kind))
+    return hit, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), runs)
 
 
 def repeats(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tuple[DataFrame, DataFrame]:
@@ -210,26 +246,32 @@ def repeats(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tuple[Data
     alone = sized.where("d = 1").where(F.octet_length("bytes") >= least).select("anchor", "ctx", F.array(run).alias("runs"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            held += b.to_pylist()
-            while len(held) > 2 * most:
-                # whole anchors only
-                k = next((k for k in range(most, 0, -1) if held[k]["anchor"] != held[k - 1]["anchor"]), next((k for k in range(most, len(held)) if held[k]["anchor"] != held[k - 1]["anchor"]), 0))
-                if not k:
-                    break
-                yield work(held[:k])
-                held = held[k:]
-        if held:
-            yield work(held)
-
-    def work(rows: list[dict]) -> pa.RecordBatch:
-        data, valid = _aligned([r["bytes"] for r in rows], np.array([r["left"] for r in rows]), least)
-        group = np.cumsum([0] + [a["anchor"] != b["anchor"] for a, b in zip(rows, rows[1:], strict=False)])
+            held.append(b)
+            if sum(x.num_rows for x in held) <= 2 * most:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            anchor = rows.column("anchor").to_numpy()
+            # whole anchors only
+            ends = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+            begin = 0
+            while len(anchor) - begin > 2 * most and len(later := ends[ends > begin]):
+                end = int(max(later[later <= begin + most], default=later[0]))
+                yield work(rows.slice(begin, end - begin))
+                begin = end
+            held = rows.slice(begin).to_batches()
+        if held and (rows := pa.Table.from_batches(held)).num_rows:
+            yield work(rows.combine_chunks())
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        col = {c: rows.column(c).to_numpy() for c in ("anchor", "left", "n", "doc_id", "place")}
+        data, valid = _aligned(rows.column("bytes").to_pylist(), col["left"], least)
+        group = np.cumsum(np.concatenate([[0], col["anchor"][1:] != col["anchor"][:-1]]))
         count, first = previous_factors(group, data, valid, least)
-        who = [(r["doc_id"], r["place"]) for r in rows]
-        out = [(r["anchor"], r["ctx"], _runs(count[k], first[k], r["n"], reach, who)) for k, r in enumerate(rows)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[o for o in out if o[2]], strict=True), (pa.int64(), pa.int64(), _RUNS), strict=True)] if any(o[2] for o in out) else [pa.array([], t) for t in (pa.int64(), pa.int64(), _RUNS)], names=["anchor", "ctx", "runs"])
+        hit, runs = _runs(count, first, col["n"], reach, col["doc_id"], col["place"])
+        ctx = rows.column("ctx").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(col["anchor"][hit]), pa.array(ctx[hit]), runs], names=["anchor", "ctx", "runs"])
 
     few = sized.where(f"d > 1 and d <= {most}").repartition(4 * shuffles(spark), "anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_first(), "place")
     runs = few.drop("d", "top").mapInArrow(local, _RUNS_DDL).unionByName(alone)
@@ -241,32 +283,20 @@ def repeats(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tuple[Data
     return light, ctx.drop("bytes", "left").join(runs, ["anchor", "ctx"]).select("sha", "doc_id", "places", "runs")
 
 
-def class_names(ctx: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Names of bytes ``begin`` to ``end`` of each row; both have one line a row and one column a name."""
-    n = ctx.shape[1]
-    power, inverse = np.ones(n, np.uint64), np.ones(n, np.uint64)
-    power[1:], inverse[1:] = _BASE, np.uint64(pow(int(_BASE), -1, 2**64))
-    power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
-    sums = np.zeros((len(ctx), n + 1), np.uint64)
-    np.cumsum(_TABLE[ctx] * power, axis=1, dtype=np.uint64, out=sums[:, 1:])
-    return mix64((np.take_along_axis(sums, end, 1) - np.take_along_axis(sums, begin, 1)) * inverse[begin])
-
-
 _PIECE_DDL = "anchor long, ctx long, k int, core long, piece long, lo int, hi int, n long, doc_id long, place int"
 _WINDOW_DDL = "anchor long, k int, piece long, begin int, name long, n long, doc_id long, place int"
 
 
-def _dealt_out(many: DataFrame, least: int, width: int = 16) -> DataFrame:
+def _dealt_out(many: DataFrame, least: int) -> DataFrame:
     """Runs of contexts whose anchor has very many different ones: (anchor, ctx, runs).
 
-    The begins are taken in classes of ``width`` neighbours. All strings of a class hold its core, the bytes that they
+    The begins are taken in classes of ``WIDTH`` neighbours. All strings of a class hold its core, the bytes that they
     share, and lie in its piece, the bytes that they reach together. A core seen once repeats nothing. A core with one
     piece repeats as a whole, with one first copy. Only other pieces, once each and not once a context, are taken apart
     into strings. So a context costs a row a class and, where a shared passage begins or ends, a row a string.
     """
     reach = least - GRAM
-    at = np.arange(0, reach + 1, width)
-    top = np.minimum(at + width - 1, reach)
+    at, top = classes_of(least)
 
     def aligned(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         left, size = np.array([r["left"] for r in rows]), np.array([len(r["bytes"]) for r in rows])
@@ -280,9 +310,10 @@ def _dealt_out(many: DataFrame, least: int, width: int = 16) -> DataFrame:
                 part = b.slice(s, 200)
                 data, lo, hi = aligned(part.select(["left", "bytes"]).to_pylist())
                 i, k = np.nonzero(lo <= hi)
-                core = class_names(data, np.broadcast_to(top, lo.shape), np.broadcast_to(at + least, lo.shape))[i, k]
+                sums = prefix_sums(data)
+                core = class_names(sums, np.broadcast_to(top, lo.shape), np.broadcast_to(at + least, lo.shape))[i, k]
                 fit = np.maximum(hi, lo)
-                piece = class_names(data, np.minimum(lo, reach), np.minimum(fit + least, data.shape[1]))[i, k]
+                piece = class_names(sums, np.minimum(lo, reach), np.minimum(fit + least, data.shape[1]))[i, k]
                 piece = mix64(piece ^ (lo[i, k] * 1000 + hi[i, k]).astype(np.uint64))
                 col = lambda c: part.column(c).take(pa.array(i))  # noqa: B023, E731
                 arrays = [col("anchor"), col("ctx"), k.astype(np.int32), core.view(np.int64), piece.view(np.int64), lo[i, k].astype(np.int32), hi[i, k].astype(np.int32), col("n"), col("doc_id"), col("place")]
@@ -293,7 +324,7 @@ def _dealt_out(many: DataFrame, least: int, width: int = 16) -> DataFrame:
             for s in range(0, b.num_rows, 200):
                 part = b.slice(s, 200).to_pylist()
                 data, valid = _aligned([r["bytes"] for r in part], np.array([r["left"] for r in part]), least)
-                name = window_names(data, least).view(np.int64)
+                name = window_names(prefix_sums(data), least).view(np.int64)
                 rows = []
                 for r, ok, of in zip(part, valid, name, strict=True):
                     for x in r["todo"]:
@@ -333,23 +364,33 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of the union of half-open spans; touching ones join."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merged_spans(lists: pa.ListArray, least: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of each row's removed bytes: row, begin, end, in order; touching ones join."""
+    owner = np.repeat(np.arange(len(lists)), _lengths(lists))
+    doc, places, runs = lists.flatten().flatten()
+    n_runs, n_places = _lengths(runs), _lengths(places)
+    low, high, first_doc, first_place = (x.to_numpy(zero_copy_only=False) for x in runs.flatten().flatten())
+    # each place of a hit with each of its runs
+    hit = np.repeat(np.arange(len(doc)), n_places)
+    place = np.repeat(places.flatten().to_numpy(zero_copy_only=False).astype(np.int64), n_runs[hit])
+    many = n_runs[hit]
+    run = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat((np.cumsum(n_runs) - n_runs)[hit], many)
+    hit = np.repeat(hit, many)
+    begin, end, row = place - high[run], place - low[run] + least, owner[hit]
+    if keep_first:
+        later = (first_doc[run] != doc.to_numpy(zero_copy_only=False)[hit]) | (first_place[run] != place)
+        begin, end, row = begin[later], end[later], row[later]
+    far = np.int64(2**40)  # beyond the length of any text
+    key = row * far + begin
+    order = np.argsort(key)
+    key, last = key[order], np.maximum.accumulate((row * far + end)[order])
+    new = np.flatnonzero(np.concatenate([[True] * bool(len(key)), key[1:] > last[:-1]]).astype(bool))
+    stop = last[np.append(new[1:], len(key))[: len(new)] - 1]
+    return key[new] // far, key[new] % far, stop % far
 
 
-def _spans(hits: list[dict], least: int, keep_first: bool) -> Iterator[tuple[int, int]]:
-    for hit in hits:
-        for place in hit["places"]:
-            for run in hit["runs"]:
-                if not keep_first or (run["doc"], run["place"]) != (hit["doc_id"], place):
-                    yield place - run["high"], place - run["low"] + least
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def cut_repeats(docs: DataFrame, keep_first: bool = False, least: int = LEAST, most: int = MOST) -> DataFrame:
@@ -374,9 +415,12 @@ def cut_repeats(docs: DataFrame, keep_first: bool = False, least: int = LEAST, m
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, all_of_it, spans in zip(b.column("text").cast(pa.binary()), b.column("_whole").to_pylist(), b.column("_spans").to_pylist(), strict=True):
+            row, begin, end = merged_spans(b.column("_spans"), least, keep_first)
+            cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
+            spans = list(zip(begin.tolist(), end.tolist(), strict=True))
+            for k, (t, all_of_it) in enumerate(zip(b.column("text").cast(pa.binary()), b.column("_whole").to_pylist(), strict=True)):
                 raw = t.as_py()
-                gone = [(0, len(raw))] if all_of_it else merged(list(_spans(spans or [], least, keep_first)))
+                gone = [(0, len(raw))] if all_of_it else spans[cuts[k] : cuts[k + 1]]
                 kept = b"".join(raw[a:e] for a, e in zip([0] + [e for _, e in gone], [a for a, _ in gone] + [len(raw)], strict=True))
                 out.append((kept, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
             new = _arrays(kinds, out)

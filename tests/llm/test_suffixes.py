@@ -59,5 +59,21 @@ def test_keep_first_leaves_one_copy(spark):
     assert all(len(got[k]) < 20 for k in range(1, 5))
 
 
+@pytest.mark.parametrize("most", [2000, 3])
+def test_keep_first_equals_brute_force(spark, most):
+    rows = [r for r in corpus(5) if r[0] < 100 or r[0] > 101]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    raws, least, seen, want = [(t or "").encode() for _, t in rows], 100, set(), []
+    for b in raws:
+        gone = set()
+        for i in range(len(b) - least + 1):
+            if b[i : i + least] in seen:
+                gone.update(range(i, i + least))
+            seen.add(b[i : i + least])
+        want.append(bytes(c for i, c in enumerate(b) if i not in gone))
+    got = suffixes.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_first=True, least=least, most=most).collect()
+    assert [bytes(r.kept) for r in sorted(got)] == want
+
+
 def test_empty(spark):
     assert suffixes.cut_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
