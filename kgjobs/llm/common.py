@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
+#: Spark's setting that removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -41,10 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a table of the shared folder and read it back: lineage ends here, and lost executors cost nothing before it."""
+    """Write df to a table of the shared folder and read it back: lineage ends here, and lost executors cost nothing before it.
+
+    Nothing reads the write's shuffle files after it, so Spark removes them as it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
