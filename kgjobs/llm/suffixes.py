@@ -276,9 +276,8 @@ def repeats(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tuple[Data
     few = sized.where(f"d > 1 and d <= {most}").repartition(4 * shuffles(spark), "anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_first(), "place")
     runs = few.drop("d", "top").mapInArrow(local, _RUNS_DDL).unionByName(alone)
 
-    many = sized.where(f"d > {most}").drop("d", "top")
-    if not many.isEmpty():
-        runs = runs.unionByName(_dealt_out(many, least))
+    if not sizes.where(f"d > {most}").isEmpty():
+        runs = runs.unionByName(_dealt_out(sized.where(f"d > {most}").drop("d", "top"), least))
     runs = written(runs, "suffix-runs")
     return light, ctx.drop("bytes", "left").join(runs, ["anchor", "ctx"]).select("sha", "doc_id", "places", "runs")
 
@@ -399,7 +398,8 @@ def cut_repeats(docs: DataFrame, keep_first: bool = False, least: int = LEAST, m
     keep_first: the first copy of a repeated string (least doc_id, then place) stays; else all copies go.
     """
     light, hits = repeats(docs, least, most)
-    lists = hits.groupBy("sha").agg(F.collect_list(F.struct("doc_id", "places", "runs")).alias("_spans"))
+    # written, so that its shuffle files are gone before texts are shuffled
+    lists = written(hits.groupBy("sha").agg(F.collect_list(F.struct("doc_id", "places", "runs")).alias("_spans")), "suffix-spans")
     # copies of a text repeat it whole
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= least)
     if keep_first:
