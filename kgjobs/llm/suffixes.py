@@ -363,10 +363,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
 
 
-def merged_spans(lists: pa.ListArray, least: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of each row's removed bytes: row, begin, end, in order; touching ones join."""
-    owner = np.repeat(np.arange(len(lists)), _lengths(lists))
-    doc, places, runs = lists.flatten().flatten()
+def hit_spans(hits: pa.RecordBatch, least: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of the bytes that each hit removes: its row, begin, end."""
+    doc, places, runs = hits.column("doc_id"), hits.column("places"), hits.column("runs")
     n_runs, n_places = _lengths(runs), _lengths(places)
     low, high, first_doc, first_place = (x.to_numpy(zero_copy_only=False) for x in runs.flatten().flatten())
     # each place of a hit with each of its runs
@@ -375,10 +374,15 @@ def merged_spans(lists: pa.ListArray, least: int, keep_first: bool) -> tuple[np.
     many = n_runs[hit]
     run = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat((np.cumsum(n_runs) - n_runs)[hit], many)
     hit = np.repeat(hit, many)
-    begin, end, row = place - high[run], place - low[run] + least, owner[hit]
+    begin, end, row = place - high[run], place - low[run] + least, hit
     if keep_first:
         later = (first_doc[run] != doc.to_numpy(zero_copy_only=False)[hit]) | (first_place[run] != place)
         begin, end, row = begin[later], end[later], row[later]
+    return merged(row, begin, end)
+
+
+def merged(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of each row's spans: row, begin, end, in order; touching ones join."""
     far = np.int64(2**40)  # beyond the length of any text
     key = row * far + begin
     order = np.argsort(key)
@@ -388,6 +392,11 @@ def merged_spans(lists: pa.ListArray, least: int, keep_first: bool) -> tuple[np.
     return key[new] // far, key[new] % far, stop % far
 
 
+def _span_lists(n: int, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.ListArray:
+    spans = pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=["begin", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), spans)
+
+
 def _lengths(lists: pa.ListArray) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -398,8 +407,14 @@ def cut_repeats(docs: DataFrame, keep_first: bool = False, least: int = LEAST, m
     keep_first: the first copy of a repeated string (least doc_id, then place) stays; else all copies go.
     """
     light, hits = repeats(docs, least, most)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("sha"), _span_lists(b.num_rows, *hit_spans(b, least, keep_first))], names=["sha", "spans"])
+
     # written, so that its shuffle files are gone before texts are shuffled
-    lists = written(hits.groupBy("sha").agg(F.collect_list(F.struct("doc_id", "places", "runs")).alias("_spans")), "suffix-spans")
+    lists = hits.mapInArrow(narrow, "sha binary, spans array<struct<begin:long,end:long>>").where("size(spans) > 0")
+    lists = written(lists.groupBy("sha").agg(F.flatten(F.collect_list("spans")).alias("_spans")), "suffix-spans")
     # copies of a text repeat it whole
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= least)
     if keep_first:
@@ -415,7 +430,9 @@ def cut_repeats(docs: DataFrame, keep_first: bool = False, least: int = LEAST, m
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            row, begin, end = merged_spans(b.column("_spans"), least, keep_first)
+            lists = b.column("_spans")
+            begin, end = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            row, begin, end = merged(np.repeat(np.arange(b.num_rows), _lengths(lists)), begin, end)
             cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
             spans = list(zip(begin.tolist(), end.tolist(), strict=True))
             for k, (t, all_of_it) in enumerate(zip(b.column("text").cast(pa.binary()), b.column("_whole").to_pylist(), strict=True)):
