@@ -11,10 +11,13 @@ COUNTERS = ["tdk_pass", "tdk_fail", "user_pos", "user_neg", "comp", "non_comp"]
 def feedback_stats(events: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Six counters, usage count and last event per rule (and user); an event id counts once."""
     by = by or ["rule_id"]
-    once = events.dropDuplicates(["event_id"])
+    return events.dropDuplicates(["event_id"]).groupBy(*by).agg(*counters())
+
+
+def counters() -> list[Column]:
     of = lambda kind, ok: F.count_if((F.col("kind") == kind) & (F.col("positive") if ok else ~F.col("positive")))
     aggs = [of(k, ok).alias(c) for c, (k, ok) in zip(COUNTERS, [(k, ok) for k in ("tdk", "user", "compliance") for ok in (True, False)], strict=True)]
-    return once.groupBy(*by).agg(*aggs, F.count("*").alias("usage_count"), F.max("ts").alias("last_feedback_at"))
+    return [*aggs, F.count("*").alias("usage_count"), F.max("ts").alias("last_feedback_at")]
 
 
 def confidence_multiplier() -> Column:
@@ -70,3 +73,18 @@ def additive_confidence(outcomes: DataFrame) -> DataFrame:
     """Fold of +0.1 (at most 2.0) and -0.2 (at least 0.1) from 1.0, in order."""
     folded = F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "passed"))), F.lit(1.0), lambda acc, x: F.when(x["passed"], F.least(F.lit(2.0), acc + 0.1)).otherwise(F.greatest(F.lit(0.1), acc - 0.2)))
     return outcomes.groupBy("rule_id").agg(folded.alias("multiplier"))
+
+
+def low_confidence(multipliers: DataFrame, below: float = 0.7) -> DataFrame:
+    return multipliers.where(F.col("multiplier") < below).select("rule_id", F.round("multiplier", 2).alias("multiplier"))
+
+
+def stale_rules(stats: DataFrame, now: str, days: int = 90) -> DataFrame:
+    """Rules whose last feedback is more than so many whole days old, with its age."""
+    age = F.floor((F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("last_feedback_at").cast("timestamp"))) / F.lit(86_400e6)).cast("long")
+    return stats.select("rule_id", age.alias("age_days")).where(F.col("age_days") > days)
+
+
+def rating_events(ratings: DataFrame) -> DataFrame:
+    """ratings(rule_id, rating): helpful is positive, not_helpful and outdated are negative, others are left out as rejected."""
+    return ratings.where("rating in ('helpful', 'not_helpful', 'outdated')").select("rule_id", F.lit("user").alias("kind"), (F.col("rating") == "helpful").alias("positive"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize_memory, recency_factor
+from ..sources import scratch
 
 
 def edges_as_of(edges: DataFrame, t: Column) -> DataFrame:
@@ -76,3 +77,67 @@ def verify_chain(lines: DataFrame) -> DataFrame:
     rows = lines.withColumns({"last_seq": F.last("seq", ignorenulls=True).over(before), "last_hash": F.last("stored_hash", ignorenulls=True).over(before)})
     bad = F.when(F.col("seq").isNull(), "PARSE_ERROR").when(F.col("seq") != F.coalesce("last_seq", F.lit(0)) + 1, "SEQ_GAP").when(~F.col("prev_hash").eqNullSafe(F.coalesce("last_hash", F.lit(""))), "CHAIN_BROKEN")
     return rows.select("file", "line", bad.alias("issue")).where("issue is not null")
+
+
+def soft_delete(rules: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """rules(id, valid_until, deleted_at): named rules not yet deleted are marked and closed, if still open."""
+    both = rules.join(ids.select("id", F.lit(True).alias("asked")).distinct(), "id", "left")
+    hit = F.coalesce("asked", F.lit(False)) & F.col("deleted_at").isNull()
+    return both.withColumns({"valid_until": F.when(hit, F.coalesce("valid_until", now)).otherwise(F.col("valid_until")), "deleted_at": F.when(hit, now).otherwise(F.col("deleted_at"))}).drop("asked")
+
+
+def restore(rules: DataFrame, ids: DataFrame) -> DataFrame:
+    """Unmark named rules; valid_until is cleared only where the deletion had set it."""
+    both = rules.join(ids.select("id", F.lit(True).alias("asked")).distinct(), "id", "left")
+    hit = F.coalesce("asked", F.lit(False))
+    until = F.when(hit & (F.col("valid_until") == F.col("deleted_at")), F.lit(None)).otherwise(F.col("valid_until"))
+    return both.withColumns({"valid_until": until, "deleted_at": F.when(~hit, F.col("deleted_at"))}).drop("asked")
+
+
+def delete_subtree(rules: DataFrame, root: str) -> DataFrame:
+    """Rules but for the root and all ids below it."""
+    prefix = {"git-knowledge": "git:", "uploads": "upload:"}.get(root, f"{root}:")
+    return rules.where(~((F.col("id") == root) | F.col("id").startswith(prefix)))
+
+
+def list_owners(rules: DataFrame, kind: str) -> DataFrame:
+    return rules.where((F.col("type") == kind) & F.col("owner").isNotNull()).select("owner").distinct()
+
+
+def descendants(children: DataFrame) -> DataFrame:
+    """children(parent, child) to (parent, child) at any depth; paths double each round, each round is a written table."""
+    spark, base = children.sparkSession, scratch(children.sparkSession, "descendants")
+    known, n, before = children.select("parent", "child").where("parent <> child").distinct(), 0, -1
+    while True:
+        known.write.parquet(f"{base}/{n}")
+        known = spark.read.parquet(f"{base}/{n}")
+        size = known.count()
+        if size == before:
+            return known
+        step = known.alias("a").join(known.alias("b"), F.col("a.child") == F.col("b.parent")).select("a.parent", "b.child")
+        known, n, before = known.unionByName(step).distinct(), n + 1, size
+
+
+def ingest_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """relations(src, dst, seq, description) between entities(norm): weight is the number of rows, the first description stays."""
+    norm = lambda c: F.lower(F.trim(c))
+    r = relations.withColumns({"src": norm("src"), "dst": norm("dst")}).where("src <> '' and dst <> '' and src <> dst")
+    for end in ("src", "dst"):
+        r = r.join(entities.select(F.col("norm").alias(end)), end, "left_semi")
+    return r.groupBy("src", "dst").agg(F.count("*").alias("weight"), F.min_by("description", "seq").alias("description"))
+
+
+def related_entities(relations: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, other): entities one relation away from names(name), in either direction."""
+    both = relations.select(F.col("src").alias("name"), F.col("dst").alias("other")).unionByName(relations.select(F.col("dst").alias("name"), F.col("src").alias("other")))
+    return both.join(names.select(F.lower(F.trim("name")).alias("name")), "name", "left_semi").distinct()
+
+
+def taint_check(calls: DataFrame, labels: DataFrame, forbidden: int) -> DataFrame:
+    """calls(session, seq, args) blocked as their arguments name earlier labels(session, call_id, seq, label) with forbidden bits.
+
+    A call_id may be labelled more than once; all its labels are joined by or. Declassified ids are left out of labels.
+    """
+    named = calls.select("session", "seq", F.explode(F.array_distinct(F.regexp_extract_all("args", F.lit("(call_[0-9]+)"), F.lit(1)))).alias("call_id"))
+    hit = named.join(labels.select("session", "call_id", F.col("seq").alias("at"), "label"), ["session", "call_id"]).where("at < seq")
+    return hit.groupBy("session", "seq").agg(F.bit_or("label").alias("label")).where(F.col("label").bitwiseAND(F.lit(forbidden)) != 0)

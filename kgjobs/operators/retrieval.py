@@ -117,3 +117,65 @@ def retrieval_metrics(ranked: DataFrame, expected: DataFrame, k: int) -> DataFra
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + F.lit(1.0)))
     h = F.coalesce("h", F.lit(0))
     return want.join(hits, "case", "left").select("case", (h / F.col("n")).alias("recall"), (h / F.lit(k)).alias("precision"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), F.coalesce(F.col("dcg") / ideal, F.lit(0.0)).alias("ndcg"))
+
+
+def stale_parents(chunks: DataFrame, current: str, attempts: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """Parents to embed again: a chunk with another or no fingerprint, and fewer attempts(parent, n) than ``most``."""
+    stale = chunks.groupBy("parent").agg(F.max(~F.col("fingerprint").eqNullSafe(F.lit(current))).alias("stale")).where("stale").select("parent")
+    return stale if attempts is None else stale.join(attempts.where(F.col("n") >= most), "parent", "left_anti")
+
+
+def apply_multipliers(scored: DataFrame, multipliers: DataFrame) -> DataFrame:
+    """Scores times the rule's multiplier(id, multiplier); without one they stay."""
+    return scored.join(multipliers, "id", "left").select("query", "id", (F.col("score") * F.coalesce("multiplier", F.lit(1.0))).alias("score"))
+
+
+def merge_active(*ranked: DataFrame) -> DataFrame:
+    """(query, id) lists one after the other; an id stays where it comes first."""
+    tagged = [d.select("query", "id", F.lit(n).alias("part"), "rank") for n, d in enumerate(ranked)]
+    out = tagged[0]
+    for d in tagged[1:]:
+        out = out.unionByName(d)
+    first = out.groupBy("query", "id").agg(F.min(F.struct("part", "rank")).alias("at"))
+    return first.select("query", "id", "at.part", "at.rank")
+
+
+def extraction_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """Per case precision, recall and F1 of predicted(case, name) against gold(case, name) on lower-trimmed names; two empty sets are no case."""
+    one = lambda d, c: d.select("case", F.lower(F.trim("name")).alias("name")).distinct().withColumn(c, F.lit(1))
+    both = one(predicted, "p").join(one(gold, "g"), ["case", "name"], "full")
+    n = both.groupBy("case").agg(F.count("p").alias("p"), F.count("g").alias("g"), F.count(F.col("p") + F.col("g")).alias("tp"))
+    part = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    tp, p, g = F.col("tp"), F.col("p"), F.col("g")
+    return n.select("case", part(tp, p).alias("precision"), part(tp, g).alias("recall"), part(2 * tp, p + g).alias("f1"))
+
+
+def mmr_rerank(ranked: DataFrame, k: int = 15, weight: float = 0.7) -> DataFrame:
+    """ranked(query, rank, id, score, embedding) by maximal marginal relevance: (query, rank, id).
+
+    Only the first k of a query are reordered, so a group in a task has at most k rows; those without an embedding come behind.
+    """
+
+    def order(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("rank")
+        held = rows[rows["embedding"].notna()]
+        if len(held) > 1:
+            e, s = _unit(np.array(held["embedding"].tolist(), float)), held["score"].to_numpy(float)
+            span = s.max() - s.min()
+            relevance, near, picked = (s - s.min()) / (span or 1.0), np.zeros(len(s)), []
+            like, left = e @ e.T, np.ones(len(s), bool)
+            while left.any():
+                best = int(np.argmax(np.where(left, weight * relevance - (1 - weight) * near, -np.inf)))
+                near, left[best] = like[best] if not picked else np.maximum(near, like[best]), False
+                picked.append(best)
+            ids = [*held["id"].iloc[picked], *rows.loc[rows["embedding"].isna(), "id"]]
+        else:
+            ids = list(rows["id"])
+        return pd.DataFrame({"query": rows["query"].iloc[0], "rank": range(1, len(ids) + 1), "id": ids})
+
+    kind = {f.name: f.dataType.simpleString() for f in ranked.schema}
+    top = ranked.where(F.col("rank") <= k)
+    done = top.groupBy("query").applyInPandas(order, f"query {kind['query']}, rank {kind['rank']}, id {kind['id']}")
+    return done.unionByName(ranked.where(F.col("rank") > k).select("query", "rank", "id"))
