@@ -22,9 +22,10 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(docs.columns)
+    """Documents that the quality classifier accepts and the one of toxicity doesn't reject."""
+    labels = table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels)
+    return quality.accepted(docs, model, quality.learn_toxic(docs, labels, model[0]))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,12 +13,18 @@ driver. Every document is then scored on its whole text, in one pass without a s
 Defined cases: null text is empty, and an empty text is scored like any other; labels with a null quality teach
 nothing; without labels every score is 0.5, with one class only the share of it; several labels of a document all
 count; repeated rows are scored alike; other columns are ignored. Nothing but the text enters a score.
+
+Toxicity (the pipeline's first stage) is a second network of the same kind on labels.toxic, from the same word vectors and
+as large a sample. A few words in a long text vanish in a mean, so it also reads the telling words: those of at least
+TELLING toxic learning rows whose log odds of being in a toxic row, less DEVIATIONS standard deviations, are above 0. The
+network learns from each row by the words that the other half of the rows tells. Without toxic labels nothing is toxic.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +43,8 @@ HIDDEN = 24
 EPOCHS = 40
 THRESHOLD = 0.7
 REMEMBER = 1_000_000
+TELLING = 5
+DEVIATIONS = 2.5
 _RUN = re.compile(r"([A-Z]+)|([a-z]+)|([0-9]+)|([^\x00-\x7F]+)|(.)")
 
 
@@ -149,15 +157,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED):
-    """A scorer (vectors, network) from labels(doc_id, quality) outside the held-out fold; network is a number where there is nothing to tell apart."""
-    spark = docs.sparkSession
-    known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(fold(F.col("doc_id"), 4) != 2)
+def _sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
+    """(doc_id, text, column) of about ``most`` labelled documents outside the held-out fold."""
+    known = labels.select("doc_id", column).where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).where(fold(F.col("doc_id"), 4) != 2)
     n = known.count()
     share = min(1.0, most / max(1, n))
     # about ``most`` rows of two numbers each: a bounded broadcast
     chosen = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000))
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "quality")
+    return docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", column)
+
+
+def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED):
+    """A scorer (vectors, network) from labels(doc_id, quality) outside the held-out fold; network is a number where there is nothing to tell apart."""
+    spark = docs.sparkSession
+    sample = _sample(docs, labels, "quality", most)
     vectors = word_vectors(sample)
     sent = spark.sparkContext.broadcast(vectors)
 
@@ -190,3 +203,87 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{ddl}, score double, predicted int")
+
+
+def bare_words(text: str | None) -> set[str]:
+    """Words in lower case without signs around them, and the empty one."""
+    return {lower_ascii(w).strip(string.punctuation)[:64] for w in set(WORDS.findall(text or ""))} | {""}
+
+
+def _half(doc_id: int) -> int:
+    return zlib.crc32(f"half {doc_id}".encode()) % 2
+
+
+def _log_odds(a: np.ndarray, b: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Log odds of a word in a toxic and b other rows, less DEVIATIONS standard deviations; at least 0, 0 if rare."""
+    odds = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
+    return np.where(a >= TELLING, np.maximum(0, odds - DEVIATIONS * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))), 0)
+
+
+def _spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for d, t, toxic in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+            words = sorted(bare_words(t))
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "at": pa.array([2 * _half(d) + (toxic >= 1)] * len(words), pa.int32())})
+
+
+def telling_words(sample: DataFrame) -> list[dict[str, float]]:
+    """word -> log odds from half 0 of sample(doc_id, text, toxic), from half 1, and from both."""
+    spoken = sample.mapInArrow(_spoken, "word string, at int")
+    counted = spoken.groupBy("word").agg(*[F.count_if(F.col("at") == k).alias(f"n{k}") for k in range(4)])
+    rows = counted.where((F.col("n1") + F.col("n3") >= TELLING) | (F.col("word") == "")).orderBy("word").collect()
+    if not rows:
+        return [{}, {}, {}]
+    n = np.array([r[1:] for r in rows], float)  # the empty word comes first and is in every row
+    out = []
+    for clean, toxic in ((n[:, 0], n[:, 1]), (n[:, 2], n[:, 3]), (n[:, 0] + n[:, 2], n[:, 1] + n[:, 3])):
+        odds = _log_odds(toxic, clean, toxic[0], clean[0])
+        out.append({r.word: float(o) for r, o in zip(rows, odds, strict=True) if o > 0})
+    return out
+
+
+def toxic_features(text: str | None, told: dict[str, float], x: np.ndarray) -> np.ndarray:
+    """x = features(text, vectors), the highest log odds of a telling word, and the log of how many there are."""
+    found = [told[w] for w in bare_words(text) if w in told]
+    return np.concatenate([x, [max(found, default=0.0), math.log1p(len(found))]]).astype(np.float32)
+
+
+def learn_toxic(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most: int = MOST_LABELLED):
+    """A scorer (telling words, network) of toxicity from labels(doc_id, toxic) outside the held-out fold; network is a number as in learn()."""
+    sample = _sample(docs, labels, "toxic", most)
+    told = telling_words(sample)
+    sent = docs.sparkSession.sparkContext.broadcast((vectors, told))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, told = sent.value
+        for b in batches:
+            x = [toxic_features(t, told[1 - _half(d)], features(t, vectors)).tobytes() for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(x, pa.binary())], names=["doc_id", "toxic", "x"])
+
+    rows = sample.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id long, toxic int, x binary").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.toxic, bytes(r.x)))
+    y = np.array([float(r.toxic >= 1) for r in rows])
+    if not len(y) or y.min() == y.max():
+        return told[2], float(y.mean()) if len(y) else 0.0
+    x = np.stack([np.frombuffer(r.x, np.float32) for r in rows]).astype(float)
+    aside = np.array([zlib.crc32(f"aside {r.doc_id}".encode()) % 5 == 0 for r in rows])
+    return told[2], Network(x, y, aside)
+
+
+def accepted(docs: DataFrame, model, toxic, threshold: float = THRESHOLD) -> DataFrame:
+    """The docs whose quality scores at least threshold and whose toxicity scores less; features are made once for both."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast((model, toxic))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (vectors, good), (told, bad) = sent.value
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            if not texts:
+                continue
+            x = [features(t, vectors) for t in texts]
+            s = np.full(len(x), good) if isinstance(good, float) else good.score(np.stack(x).astype(float))
+            u = np.full(len(x), bad) if isinstance(bad, float) else bad.score(np.stack([toxic_features(t, told, v) for t, v in zip(texts, x, strict=True)]).astype(float))
+            yield b.filter(pa.array((s >= threshold) & (u < threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
