@@ -79,25 +79,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def component_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def component_labels(edges: DataFrame) -> DataFrame:
     """(id, label) for each end of edges(a, b): label is the smallest id that can be reached.
 
-    Alternating neighbour minima: each node's label becomes the least label of itself and its neighbours, then
-    labels are followed one step (label of the label), which halves the depth of chains. Every round is two
-    equi-joins that pre-aggregate; a round's labels are written to the shared folder. Null ends are dropped.
+    Each round a node's label becomes the least of its own, its neighbours' and those that nodes of its own as label see
+    (the smaller label is hooked to the larger one), then labels are followed one step (label of the label). So whole
+    trees of labels merge, and rounds are about log n even where ids lie at random along a path. A label only falls, so
+    rounds end by themselves, and where no node sees a smaller one all of a component have its smallest id. Every round
+    is a few equi-joins that pre-aggregate; its labels are written to the shared folder. Null ends are dropped.
     """
     pairs = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "cc-labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("low"))
+        hook = step.where("low < label").groupBy(F.col("label").alias("id")).agg(F.min("low").alias("hook"))
+        step = step.join(hook, "id", "left").select("id", "label", F.least("low", "hook").alias("low"))
         up = labels.select(F.col("id").alias("low"), F.col("label").alias("jump"))
         new = step.join(up, "low", "left").select("id", F.least("low", F.coalesce("jump", "low")).alias("label"), (F.least("low", F.coalesce("jump", "low")) < F.col("label")).alias("moved"))
         new = written(new, "cc-labels")
         labels = new.select("id", "label")
         if new.where("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle; raise rounds")
-    return labels
+            return labels

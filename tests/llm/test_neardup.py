@@ -4,6 +4,7 @@ import re
 import pytest
 
 from kgjobs.llm import neardup
+from kgjobs.llm.common import component_labels
 
 
 def brute(rows, width, percent):
@@ -67,3 +68,28 @@ def test_empty_repeated_and_null(spark):
     assert neardup.near_components(spark.createDataFrame([], schema)).count() == 0
     got = neardup.near_components(spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "x y z"), (2, None)], schema)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, 2, 1, True), (1, 2, 1, True), (None, 1, None, True), (2, 0, 2, True)]))
+
+
+def test_chain_of_versions_in_random_order(spark):
+    r = random.Random(6)
+    n, words = 1000, [str(r.randrange(10**9)) for _ in range(6060)]
+    ids = r.sample(range(5, 10**6), n)
+    rows = [(d, " ".join(words[6 * k : 6 * k + 60])) for k, d in enumerate(ids)]  # 50 of 62 shingles shared with the next, 44 of 68 with the one after
+    rows += [(1, "by itself"), (2, " ".join(words[-20:]) + " other")]
+    got = {x.doc_id: x for x in neardup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[d].component_id for d in ids} == {min(ids)} and [d for d in ids if got[d].kept] == [min(ids)]
+    assert got[1].kept and got[2].kept
+
+
+def test_components_of_random_graphs(spark):
+    r = random.Random(7)
+    ids = r.sample(range(10**6), 600)
+    edges = [(ids[k], ids[r.randrange(max(0, k - 3), k)]) for k in range(1, 400) if k % 100]  # four long trees
+    edges += [(r.choice(ids[400:]), r.choice(ids[400:])) for _ in range(120)] + [(None, ids[0]), (ids[1], None)]
+    label = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in label:
+        for a, b in edges:
+            if a in label and b in label:
+                label[a] = label[b] = min(label[a], label[b])
+    got = component_labels(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((x.id, x.label) for x in got) == sorted(label.items())
