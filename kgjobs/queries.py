@@ -279,7 +279,7 @@ def user_multipliers(spark, d):
 @query()
 def expand_graph(spark, d):
     e = model(spark, d, "edges")
-    return retrieval.expand_graph(e.where("src % 100 = 0").select(F.col("src").alias("query"), F.col("src").alias("id")).distinct(), e)
+    return retrieval.expand_graph(e.select(F.col("src").alias("query"), F.col("src").alias("id")).distinct(), e)
 
 
 @query()
