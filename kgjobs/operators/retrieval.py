@@ -48,8 +48,9 @@ def rrf_fuse(keyword: DataFrame, semantic: DataFrame, k: int = 60, w_keyword: fl
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = 100, above: float = 0.5) -> DataFrame:
     """(query, parent, score): best cosine per parent over each query's k nearest chunks above the threshold.
 
-    chunks(parent, chunk, embedding), queries(query, embedding). Queries go to the tasks in blocks of QUERY_BYTES; a
-    task keeps its own k best of each, so k rows a task and query are shuffled.
+    chunks(parent, chunk, embedding), queries(query, embedding). Queries go to the tasks in blocks of QUERY_BYTES; of
+    each batch a task keeps the k best by score, then smallest chunk, so k rows a batch and query are shuffled. Scores
+    of equal vectors are equal to the last bit, wherever they lie.
     """
     spark = chunks.sparkSession
     wide = queries.select(F.max(F.size("embedding"))).first()[0] or 1
@@ -64,12 +65,10 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = 100, above: floa
             for b in batches:
                 if not b.num_rows or not len(names):
                     continue
-                s = q @ _unit(np.array(b.column("embedding").to_pylist(), float)).T
-                top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(s), 1))
-                i, j = np.repeat(np.arange(len(s)), top.shape[1]), top.ravel()
-                ok = s[i, j] > above
-                i, j = i[ok], j[ok]
-                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in i], pa.int64()), b.column("parent").take(pa.array(j)), b.column("chunk").take(pa.array(j)), pa.array(s[i, j])], names=["query", "parent", "chunk", "score"])
+                x, chunk = _unit(np.array(b.column("embedding").to_pylist(), float)), b.column("chunk").to_numpy(zero_copy_only=False)
+                best = [_best(row, v, x, chunk, k, above) for row, v in zip(q @ x.T, q, strict=True)]
+                i, j = np.repeat(np.arange(len(best)), [len(at) for at, _ in best]), np.concatenate([at for at, _ in best])
+                yield pa.RecordBatch.from_arrays([pa.array([names[n] for n in i], pa.int64()), b.column("parent").take(pa.array(j)), b.column("chunk").take(pa.array(j)), pa.array(np.concatenate([s for _, s in best]))], names=["query", "parent", "chunk", "score"])
 
         found = chunks.select("parent", "chunk", "embedding").mapInArrow(near, "query long, parent string, chunk long, score double")
         out = found if out is None else out.unionByName(found)
@@ -78,6 +77,19 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = 100, above: floa
     return best.groupBy("query", "parent").agg(F.max("score").alias("score"))
 
 
+def _best(rough: np.ndarray, v: np.ndarray, x: np.ndarray, chunk: np.ndarray, k: int, above: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of v's k best rows of x above the threshold, by score, then chunk.
+
+    A matrix product's last bits depend on a row's place, so it only tells which rows may count; these are summed alike.
+    """
+    least = above if len(rough) <= k else max(above, np.partition(rough, len(rough) - k)[len(rough) - k])
+    at = np.flatnonzero(rough > least - 1e-9)
+    score = (x[at] * v).sum(axis=1)
+    order = np.lexsort((chunk[at], -score))[:k]
+    order = order[score[order] > above]
+    return at[order], score[order]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.where(norm > 0, x / np.maximum(norm, 1e-300), 0.0)
