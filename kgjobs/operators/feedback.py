@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COUNTERS = ["tdk_pass", "tdk_fail", "user_pos", "user_neg", "comp", "non_comp"]
+#: Bounds of the additive confidence in tenths.
+ADDITIVE = 1, 20
 
 
 def feedback_stats(events: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -69,10 +74,37 @@ def sliding_confidence(outcomes: DataFrame, keep: int = 20) -> DataFrame:
     return rows.where((F.col("segment") == F.col("top")) & (F.col("n") <= keep)).groupBy("rule_id").agg((0.3 + 0.7 * F.avg(F.col("passed").cast("double"))).alias("multiplier"))
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (rule_id, seq, passed) to one x -> min(high, max(low, x + move)) for each run of a rule, in tenths, with its first seq and passed."""
+    names = ["rule_id", "seq", "passed", "low", "high", "move"]
+    schema, last = None, None
+    for b in batches:
+        done = []
+        for rule, seq, passed in zip(*(b.column(c).to_pylist() for c in names[:3]), strict=True):
+            if last is None or last[0] != rule:
+                done += [last] if last else []
+                last = [rule, seq, passed, ADDITIVE[0], ADDITIVE[1], 0]
+            d = 1 if passed else -2
+            last[3:] = min(ADDITIVE[1], max(ADDITIVE[0], last[3] + d)), min(ADDITIVE[1], max(ADDITIVE[0], last[4] + d)), last[5] + d
+        schema = pa.schema([*(b.schema.field(c) for c in names[:3]), *(pa.field(c, pa.int64()) for c in names[3:])])
+        yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in done], schema=schema)
+    if last:
+        yield pa.RecordBatch.from_pylist([dict(zip(names, last, strict=True))], schema=schema)
+
+
 def additive_confidence(outcomes: DataFrame) -> DataFrame:
-    """Fold of +0.1 (at most 2.0) and -0.2 (at least 0.1) from 1.0, in order."""
-    folded = F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "passed"))), F.lit(1.0), lambda acc, x: F.when(x["passed"], F.least(F.lit(2.0), acc + 0.1)).otherwise(F.greatest(F.lit(0.1), acc - 0.2)))
-    return outcomes.groupBy("rule_id").agg(folded.alias("multiplier"))
+    """Fold of +0.1 (at most 2.0) and -0.2 (at least 0.1) from 1.0, in order of seq.
+
+    Steps compose into one bounded move, so ranges of (rule, seq) are folded apart, a row at a time, and a rule's last
+    fold is over one row for each range it lies in. Sums are of whole tenths.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in outcomes.schema}
+    order = ["rule_id", "seq", "passed"]
+    ranges = outcomes.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = ranges.mapInArrow(_steps, f"rule_id {kind['rule_id']}, seq {kind['seq']}, passed {kind['passed']}, low long, high long, move long")
+    apply = lambda acc, x: F.least(x["high"], F.greatest(x["low"], acc + x["move"]))
+    folded = F.aggregate(F.sort_array(F.collect_list(F.struct("seq", "passed", "low", "high", "move"))), F.lit(10).cast("long"), apply)
+    return parts.groupBy("rule_id").agg((folded / F.lit(10.0)).alias("multiplier"))
 
 
 def low_confidence(multipliers: DataFrame, below: float = 0.7) -> DataFrame:

@@ -87,11 +87,19 @@ def suppress_contradictions(active: DataFrame, relations: DataFrame) -> DataFram
 
 
 def apply_budget(ranked: DataFrame, most: int = 12_000) -> DataFrame:
-    """ranked(query, pos, id, size): in order, what still fits is kept and what doesn't is passed over."""
+    """ranked(query, pos, id, size): in order, what still fits is kept and what doesn't is passed over; sizes are at least 0.
+
+    Once a size doesn't fit it never does again, so of each size s only the first most / s rows can be kept. Those are
+    at most about most * ln(most) a query, whatever the input, and only they meet in one array. Size 0 always fits.
+    """
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"))
     keep = lambda acc, x: F.when(acc["used"] + x["size"] <= most, F.struct((acc["used"] + x["size"]).alias("used"), F.array_append(acc["ids"], x["id"]).alias("ids"))).otherwise(acc)
-    rows = ranked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "size"))).alias("rows"))
-    return rows.select("query", F.explode(F.aggregate("rows", zero, keep)["ids"]).alias("id"))
+    nth = F.row_number().over(Window.partitionBy("query", "size").orderBy("pos", "id"))
+    # the fixed bound lets Spark cut each task's rows before the shuffle
+    able = ranked.where(F.col("size").between(1, most)).withColumn("nth", nth).where((F.col("nth") <= most) & (F.col("nth") * F.col("size") <= most))
+    rows = able.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "size"))).alias("rows"))
+    kept = rows.select("query", F.explode(F.aggregate("rows", zero, keep)["ids"]).alias("id"))
+    return kept.unionByName(ranked.where((F.col("size") == 0) & (F.lit(most) >= 0)).select("query", "id"))
 
 
 def first_per_id(items: DataFrame, key: str, order: str) -> DataFrame:
