@@ -61,11 +61,13 @@ def prune_faded(memories: DataFrame, now: Column, half_life_days: float, least:
 
 
 def recall(memories: DataFrame, queries: DataFrame, now: Column, half_life_days: float = 90, k: int = 10) -> DataFrame:
-    """queries(query, owner, terms): memories of the owner by the number of terms in the body times recency."""
+    """queries(query, owner, terms): memories of the owner by the number of terms in the body times recency, a tenth of it if superseded(boolean, optional)."""
     asked = queries.select("query", "owner", F.explode("terms").alias("term"))
     hits = memories.join(asked, "owner").where(F.lower("body").contains(F.col("term")))
     fresh = recency_factor(F.col("created"), now, half_life_days)
-    scored = hits.groupBy("query", "id", "created").agg(F.count("*").alias("n")).withColumn("recency", fresh).withColumn("score", F.col("n") * F.col("recency"))
+    old = F.max(F.coalesce("superseded", F.lit(False))) if "superseded" in memories.columns else F.lit(False)
+    scored = hits.groupBy("query", "id", "created").agg(F.count("*").alias("n"), old.alias("old")).withColumn("recency", fresh)
+    scored = scored.withColumn("score", F.col("n") * F.col("recency") * F.when(F.col("old"), 0.1).otherwise(1.0))
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("recency").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 

@@ -18,8 +18,9 @@ QUERY_BYTES = 64 << 20
 def keyword_score(rules: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, id, score): priority weight times ln(1 + matches) over tags(array) of rules and concepts of queries.
 
-    A tag counts 1 if all its tokens are in the task and 2 if it is a concept. Terms meet in an equi-join on the tag's
-    first token and on concepts, never rule by rule; queries(query, task, concepts).
+    A tag counts 1 if all its tokens are in the task and 2 if it is a concept; one of triggers(array, optional) of rules
+    counts 3 if it is a concept, else 1 if all its tokens are in the task. Terms meet in an equi-join on tokens and on
+    concepts, never rule by rule; queries(query, task, concepts).
     """
     tags = rules.select("id", F.posexplode("tags").alias("n", "tag")).withColumn("need", tokenize(F.col("tag"))).where(F.size("need") > 0)
     asked = queries.select("query", tokenize(F.col("task")).alias("tokens"))
@@ -28,6 +29,13 @@ def keyword_score(rules: DataFrame, queries: DataFrame) -> DataFrame:
     whole = need.join(tokens, "token").groupBy("query", "id", "n", "size").count().where("count = size").groupBy("query", "id").agg(F.count("*").alias("m"))
     concepts = queries.select("query", F.explode("concepts").alias("concept")).select("query", F.lower("concept").alias("tag")).distinct()
     equal = tags.withColumn("tag", F.lower("tag")).join(concepts, "tag").groupBy("query", "id").agg((2 * F.count("*")).alias("m"))
+    if "triggers" in rules.columns:
+        triggers = rules.select("id", F.posexplode("triggers").alias("n", "tag")).withColumn("need", F.array_distinct(tokenize(F.col("tag"))))
+        named = triggers.withColumn("tag", F.lower("tag")).join(concepts, "tag").select("query", "id", "n", F.lit(3).alias("m"))
+        need = triggers.select("id", "n", F.size("need").alias("size"), F.explode("need").alias("token"))
+        said = need.join(tokens.distinct(), "token").groupBy("query", "id", "n", "size").count().where("count = size").select("query", "id", "n", F.lit(1).alias("m"))
+        either = named.unionByName(said).groupBy("query", "id", "n").agg(F.max("m").alias("m"))
+        whole = whole.unionByName(either.groupBy("query", "id").agg(F.sum("m").alias("m")))
     total = whole.unionByName(equal).groupBy("query", "id").agg(F.sum("m").alias("m"))
     weight = rules.select("id", (priority_rank(F.col("priority")) + 1).alias("weight"))
     return total.join(weight, "id").select("query", "id", (F.col("weight") * F.log1p("m")).alias("score"))

@@ -32,8 +32,10 @@ def rule_heads(rules: DataFrame) -> DataFrame:
     return rules.where(~(F.col("id").rlike("^(git|upload):") & (F.size(F.split("id", ":")) >= 3)))
 
 
-def search_rules(rules: DataFrame, query: str | None = None, domain: str | None = None) -> DataFrame:
-    out = rules
+def search_rules(rules: DataFrame, query: str | None = None, domain: str | None = None, kind: str | None = None, tag: str | None = None) -> DataFrame:
+    """By a substring of id, body or domain in any case, by domain, by type and by a tag in any case (tags(array))."""
+    out = rules.where(F.col("type") == kind) if kind else rules
+    out = out.where(F.exists("tags", lambda x: F.lower(x) == tag.lower())) if tag else out
     if query:
         q = query.lower()
         out = out.where(F.lower("id").contains(q) | F.lower("body").contains(q) | F.lower("domain").contains(q))
