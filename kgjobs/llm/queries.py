@@ -28,7 +28,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+    # n_repeated: bytes in repeated strings of at least 200 bytes; passages of little over 50 words may stay below 400
+    return suffixes.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), report=200).drop("kept")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

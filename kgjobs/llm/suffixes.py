@@ -1,25 +1,30 @@
 """Suffix-array dedup: repeated byte strings of at least ``least`` bytes, by longest-previous-factor arrays.
 
-Only whether a suffix shares its first ``least`` bytes with another matters, so suffixes are ordered by those bytes
-alone (by a 64-bit name of them). In that order equal suffixes are neighbours; the previous smaller position of an
-entry is an earlier match, the next smaller one a match from the other side, and the smallest position of a run is the
-first copy. A suffix whose longest previous factor reaches ``least`` is a later copy; together with the firsts of runs
-of two or more these are all repeated strings.
+Suffixes are sorted by their bytes, neighbours' common prefixes are measured, and in that order the previous and the
+next smaller position give each suffix its longest previous factor: the longest match that begins earlier in the
+corpus. Where it reaches ``least``, the suffix begins a later copy. The same with falling positions gives the longest
+match that begins later, so that all copies, the first as well, can be told.
 
-The order is never built over the whole corpus. A string of ``least`` bytes holds at least one anchor, the place of the
-least hash of its 32-byte grams, and equal strings hold it at the same place. So:
+The order is never built over the whole corpus in one task. A string of ``least`` bytes holds at least one anchor, the
+place of the least hash of its 32-byte grams, and equal strings hold it at the same place. Anchors only deal the
+suffixes out:
 
 1. each text gives its anchors (one in about ``least`` / 2 bytes); anchors seen once are dropped;
-2. each place of a repeated anchor gives its context, the bytes that strings around it can reach; equal contexts are
-   counted, not repeated, so copies in any number cost one row;
-3. contexts of one anchor are ordered in one task, many anchors to a task. An anchor with more than ``most`` different
-   contexts is dealt out instead: its suffixes' names are grouped by a shuffle that pre-aggregates. Both are exact;
-4. matches go back to the places by (anchor, context), and spans are merged per text.
+2. each place of a repeated anchor gives its context: the bytes before it that strings around it can begin at, and the
+   bytes after it that they can reach;
+3. a task sorts whole groups of contexts of one anchor. The order of the suffixes that begin at the anchor is that of
+   the bytes from there on. For those that begin d bytes earlier it is the same order within each group of contexts
+   that agree on the d bytes before, so one sort by the bytes behind and one by the bytes before give every suffix
+   array (``factors``). What a place repeats is one stretch around it;
+4. an anchor with more than ``most`` places is dealt out instead: classes of neighbouring strings, then single strings,
+   are grouped by a shuffle that pre-aggregates. Both are exact (64-bit names stand for strings here);
+5. stretches are merged per text.
 
 Texts are compared as UTF-8 bytes and never across their ends; equal texts are handled once, as one text with copies.
 
 Defined cases: null text is empty; texts shorter than ``least`` keep everything; rows with equal doc_id and text are
-copies of each other; a null doc_id sorts first; empty tables give empty results; other columns are ignored or kept.
+copies of each other; a null doc_id sorts first; empty tables give empty results; other columns are ignored or kept,
+and those named like an output give way to it.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shuffles, small_batches, written
+from .common import discard, mix64, shuffles, small_batches, written
 
 LEAST = 400
 GRAM = 32
@@ -42,15 +47,17 @@ MOST = 2000
 #: So many neighbouring begins make a class: all their strings hold one core.
 WIDTH = 16
 NO_ID = -(2**63)
+#: More anchors than this are never called hot, so a broadcast of the hot ones stays below 8 MB.
+HOT = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
 def gram_hashes(b: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all strings of ``size`` bytes (a power of two), by doubling."""
+    """Hashes of all strings of ``size`` bytes (a power of two) along the last axis, by doubling."""
     h, k = _TABLE[b], 1
     while k < size:
-        h = (h[:-k] * _BASE) ^ (h[k:] + (h[:-k] >> np.uint64(29)))
+        h = (h[..., :-k] * _BASE) ^ (h[..., k:] + (h[..., :-k] >> np.uint64(29)))
         k *= 2
     return mix64(h)
 
@@ -67,6 +74,12 @@ def anchors(b: np.ndarray, least: int) -> np.ndarray:
     return np.flatnonzero(high == h)
 
 
+def anchor_names(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    if not len(at):
+        return np.zeros(0, np.int64)
+    return gram_hashes(b[at[:, None] + np.arange(GRAM)], GRAM)[:, 0].view(np.int64)
+
+
 def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: np.uint64) -> np.ndarray:
     """op over every w neighbours: a prefix scan and a suffix scan within blocks of w."""
     n = len(x) - w + 1
@@ -81,169 +94,232 @@ def _arrays(kinds: dict, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
 
-def prefix_sums(ctx: np.ndarray) -> np.ndarray:
-    """Sums over each row's first bytes, mixed, times growing powers."""
-    power = np.full(ctx.shape[1], _BASE)
-    power[:1] = 1
-    sums = np.zeros((len(ctx), ctx.shape[1] + 1), np.uint64)
-    np.cumsum(_TABLE[ctx] * np.multiply.accumulate(power), axis=1, dtype=np.uint64, out=sums[:, 1:])
-    return sums
-
-
-def _inverses(n: int) -> np.ndarray:
-    inverse = np.full(n, pow(int(_BASE), -1, 2**64), np.uint64)
-    inverse[:1] = 1
-    return np.multiply.accumulate(inverse)
-
+# Suffix order and factors -------------------------------------------------------------------------------------------
 
-def window_names(sums: np.ndarray, least: int) -> np.ndarray:
-    """Names of the strings of ``least`` bytes of each row, by their begin, shifted to a common power."""
-    return mix64((sums[:, least:] - sums[:, :-least]) * _inverses(sums.shape[1] - least))
 
+def _ranges(x: np.ndarray, op: np.ufunc, levels: int, fill: int) -> list[np.ndarray]:
+    """op over x[i - 2^k + 1 .. i] for k = 0 to levels; ``fill`` where that leaves the array."""
+    out = [x]
+    for k in range(levels):
+        y = np.full(len(x), fill, x.dtype)
+        y[1 << k :] = op(out[-1][1 << k :], out[-1][: len(x) - (1 << k)])
+        out.append(y)
+    return out
 
-def class_names(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Names of bytes ``begin`` to ``end`` of each row; both have one line a row and one column a name."""
-    return mix64((np.take_along_axis(sums, end, 1) - np.take_along_axis(sums, begin, 1)) * _inverses(sums.shape[1])[begin])
 
+def _smaller_before(pos: np.ndarray, link: np.ndarray, levels: int) -> np.ndarray:
+    """For each entry of a suffix order the common prefix with the nearest one before it that has a smaller position.
 
-def classes_of(least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last begins of the classes of neighbouring begins."""
-    at = np.arange(0, least - GRAM + 1, WIDTH)
-    return at, np.minimum(at + WIDTH - 1, least - GRAM)
+    link[i] is the common prefix of entries i - 1 and i, -1 between groups; the result is -1 where there is none.
+    """
+    low, thin = _ranges(pos, np.minimum, levels, -1), _ranges(link, np.minimum, levels, -1)
+    cur, best = np.arange(len(pos)), link.copy()
+    best[:] = np.iinfo(link.dtype).max
+    for k in range(levels, -1, -1):
+        before = np.maximum(cur - 1, 0)
+        skip = (cur >= 1 << k) & (low[k][before] >= pos)
+        best = np.where(skip, np.minimum(best, thin[k][cur]), best)
+        cur = np.where(skip, cur - (1 << k), cur)
+    return np.minimum(best, link[cur])
 
 
-def _aligned(texts: list[bytes], lefts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts as rows with their anchors in one column, and which begins of strings are within the text."""
-    reach = least - GRAM
-    ctx = np.zeros((len(texts), 2 * reach + GRAM), np.uint8)
-    sizes = np.array([len(t) for t in texts])
-    for k, t in enumerate(texts):
-        at = reach - lefts[k]
-        ctx[k, at : at + len(t)] = np.frombuffer(t, np.uint8)
-    begins = np.arange(reach + 1)
-    first = (reach - lefts)[:, None]
-    return ctx, (begins >= first) & (begins + least <= first + sizes[:, None])
+def previous_factors(pos: np.ndarray, link: np.ndarray, largest: int) -> np.ndarray:
+    """Longest previous factor of each entry of suffix orders that stand one behind the other (-1: none).
 
+    The longest match that begins at a smaller position is with the previous or with the next smaller position.
+    """
+    levels = max(1, int(largest).bit_length())
+    back = np.concatenate([link[:1], link[:0:-1]])
+    return np.maximum(_smaller_before(pos, link, levels), _smaller_before(pos[::-1], back, levels)[::-1])
+
+
+def _sorted_links(group: np.ndarray, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by (group, their first ``size`` bytes), and the common prefix of each with the one before (-1: other group)."""
+    n, width = data.shape
+    key = np.empty((n, width + 6), np.uint8)
+    key[:, :4] = group.astype(">u4")[:, None].view(np.uint8)
+    key[:, 4:-2] = data
+    key[:, -2:] = size.astype(">u2")[:, None].view(np.uint8)  # a prefix stands before what continues it
+    order = np.argsort(key.view(f"S{width + 6}").ravel(), kind="stable")
+    rows, ends = data[order], size[order]
+    link = np.full(n, -1, np.int64)
+    differ = rows[1:] != rows[:-1]
+    same = np.where(differ.any(1), differ.argmax(1), width)
+    link[1:] = np.where(group[order][1:] == group[order][:-1], np.minimum(same, np.minimum(ends[1:], ends[:-1])), -1)
+    return order, link
+
+
+def factors(group: np.ndarray, before: np.ndarray, n_before: np.ndarray, behind: np.ndarray, n_behind: np.ndarray, pos: np.ndarray, lengths: list[int], keep_first: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length: how far before and behind its anchor each context repeats another of its group (-1: not at all).
+
+    before holds the bytes before the anchor in falling order, behind those from it on. With keep_first only matches
+    that begin earlier count (smaller pos), else also those that begin later.
+    """
+    n = len(group)
+    right, link = _sorted_links(group, behind, n_behind)
+    left, near = _sorted_links(group, before, n_before)
+    rank = np.empty(n, np.int64)
+    rank[right] = np.arange(n)
+    deep = max(1, n.bit_length())
+    thin = _ranges(link, np.minimum, deep, -1)
+    span = np.array([0, *[k.bit_length() - 1 for k in range(1, n + 1)]])
+    # groups of contexts that agree on d bytes before the anchor change only at common lengths that occur
+    on = near >= 0
+    steps = np.unique(group[left][on] * 65536 + near[on])
+    of, first = np.unique(steps // 65536, return_index=True)
+    count = np.diff(np.append(first, len(steps)))
+    begin, many = np.zeros(int(group.max()) + 1 if n else 0, np.int64), np.zeros(int(group.max()) + 1 if n else 0, np.int64)
+    begin[of], many[of] = first, count
+    out = [(np.full(n, -1, np.int64), np.full(n, -1, np.int64)) for _ in lengths]
+    for step in range(int(count.max()) if len(count) else 0):
+        depth = np.where(many > step, (steps[np.minimum(begin + step, len(steps) - 1)]) % 65536, -1)
+        d_left = depth[group[left]]
+        cell = np.empty(n, np.int64)
+        cell[left] = np.cumsum((near < d_left) | (d_left < 0))
+        size = np.bincount(cell, minlength=n + 1)
+        rows = right[(depth[group[right]] >= 0) & (size[cell[right]] > 1)]
+        if not len(rows):
+            continue
+        rows = rows[np.argsort(cell[rows], kind="stable")]
+        at = rank[rows]
+        new = np.concatenate([[True], cell[rows][1:] != cell[rows][:-1]])
+        gap = np.where(new, 1, at - np.concatenate([[0], at[:-1]]))
+        k = span[gap]
+        # least link over (previous rank, own rank]
+        lcp = np.empty(len(rows), np.int64)
+        for level in np.unique(k):
+            m = k == level
+            lcp[m] = np.minimum(thin[level][at[m]], thin[level][at[m] - gap[m] + (1 << level)])
+        lcp[new] = -1
+        far, d = previous_factors(pos[rows], lcp, size[cell[rows]].max()), depth[group[rows]]
+        if not keep_first:
+            far = np.maximum(far, previous_factors(n - pos[rows], lcp, size[cell[rows]].max()))
+        for length, (a, b) in zip(lengths, out, strict=True):
+            hit = (far >= 0) & (far + d >= length)
+            r = rows[hit]
+            a[r], b[r] = np.maximum(a[r], d[hit]), np.maximum(b[r], far[hit])
+    return out
+
+
+_CTX = {"anchor": pa.int64(), "left": pa.int32(), "bytes": pa.binary(), "doc_id": pa.int64(), "sha": pa.binary(), "places": pa.list_(pa.int32()), "hot": pa.bool_()}
+_CTX_DDL = "anchor long, left int, bytes binary, doc_id long, sha binary, places array<int>, hot boolean"
+_SPANS = "array<struct<begin:long,end:long>>"
+
+
+def _dense(*keys: np.ndarray) -> np.ndarray:
+    """Ranks of rows by the keys, equal rows alike; the first key counts most."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
+def _work(rows: pa.Table, reach: int, lengths: list[int], keep_first: bool) -> pa.RecordBatch:
+    """Spans of the contexts of whole anchor groups, in one list a row for each length."""
+    n, top = rows.num_rows, max(lengths)
+    left = rows.column("left").to_numpy()
+    raw = rows.column("bytes").to_pylist()
+    sizes = np.fromiter(map(len, raw), np.int64, n)
+    before, behind = np.zeros((n, reach), np.uint8), np.zeros((n, top), np.uint8)
+    for k, (t, p) in enumerate(zip(raw, left.tolist(), strict=True)):
+        b = np.frombuffer(t, np.uint8)
+        before[k, :p] = b[:p][::-1]
+        behind[k, : len(b) - p] = b[p:]
+    anchor = rows.column("anchor").to_numpy()
+    group = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
+    lists = rows.column("places").combine_chunks()
+    places, n_places = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), _lengths(lists)
+    first = np.cumsum(n_places) - n_places
+    sha = np.array(rows.column("sha").to_pylist(), "S32")
+    pos = _dense(rows.column("doc_id").to_numpy(), sha, places[first])
+    found = factors(group, before, left.astype(np.int64), behind, sizes - left, pos, lengths, keep_first)
+    row = np.repeat(np.arange(n), n_places)
+    # a text that holds a context twice repeats it whole
+    again = (n_places > 1)[row]
+    if keep_first:
+        again[first] = False
+    out = []
+    for length, (a, b) in zip(lengths, found, strict=True):
+        whole = again & (sizes >= length)[row]
+        a, b = np.where(whole, left[row], a[row]), np.where(whole, (sizes - left)[row], b[row])
+        hit = b >= 0
+        out.append(_span_lists(n, *merged(row[hit], (places - a)[hit], (places + b)[hit])))
+    return pa.RecordBatch.from_arrays([rows.column("sha").combine_chunks(), *out], names=["sha", *[f"spans{k}" for k in range(len(lengths))]])
 
-def previous_factors(group: np.ndarray, ctx: np.ndarray, valid: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row and begin: how many rows share the string there, and the row of the first copy.
 
-    Rows are in position order within their group. Suffixes are sorted by (group, begin, name) and position; the first
-    of a run has no previous smaller position in it, so for all others the longest previous factor reaches ``least``.
-    """
-    sums = prefix_sums(ctx)
-    count, first = valid.astype(np.int64), np.repeat(np.arange(len(ctx))[:, None], valid.shape[1], axis=1)
-    # strings whose class's core is seen once in the group are seen once
-    at, top = classes_of(least)
-    core = class_names(sums, np.broadcast_to(top, (len(ctx), len(at))), np.broadcast_to(at + least, (len(ctx), len(at))))
-    mark = mix64(group.astype(np.uint64) * np.uint64(1000) + np.uint64(7))[:, None]
-    core = (core ^ mark ^ mix64(at.astype(np.uint64))).ravel()
-    order = np.argsort(core)
-    same = core[order][1:] == core[order][:-1]
-    twice = np.zeros(core.shape, bool)
-    twice[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    rows, begins = np.nonzero(valid & np.repeat(twice.reshape(len(ctx), len(at)), WIDTH, axis=1)[:, : valid.shape[1]])
-    if not len(rows):
-        return count, first
-    name = window_names(sums, least)[rows, begins] ^ mark[rows, 0] ^ mix64(begins.astype(np.uint64))
-    order = np.argsort(name)
-    name = name[order]
-    new = np.concatenate([[True], name[1:] != name[:-1]])
-    starts = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    count[rows[order], begins[order]] = np.diff(np.append(starts, len(order)))[run]
-    first[rows[order], begins[order]] = np.minimum.reduceat(rows[order], starts)[run]
-    return count, first
-
-
-_CTX = {"anchor": pa.int64(), "ctx": pa.int64(), "left": pa.int32(), "bytes": pa.binary(), "doc_id": pa.int64(), "sha": pa.binary(), "places": pa.list_(pa.int32())}
-_CTX_DDL = "anchor long, ctx long, left int, bytes binary, doc_id long, sha binary, places array<int>"
-_RUNS = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("doc", pa.int64()), ("place", pa.int32())]))
-_RUNS_DDL = "anchor long, ctx long, runs array<struct<low:int,high:int,doc:long,place:int>>"
-
-
-def _runs(count: np.ndarray, first: np.ndarray, n: np.ndarray, reach: int, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
-    """Rows that have repeated begins, and for each the stretches with one first copy; low and high count back from the anchor."""
-    row, at = np.nonzero((count + (n - 1)[:, None] * (count > 0)) > 1)
-    who = first[row, at]
-    new = np.flatnonzero(np.concatenate([[True] * bool(len(row)), (np.diff(row) != 0) | (np.diff(at) != 1) | (np.diff(who) != 0)]).astype(bool))
-    last = np.append(new[1:], len(row))[: len(new)] - 1
-    hit, sizes = np.unique(row[new], return_counts=True)
-    kind = _RUNS.value_type
-    cols = [reach - at[last], reach - at[new], doc[who[new]], place[who[new]]]
-    runs = pa.StructArray.from_arrays([pa.array(c, kind.field(k).type) for k, c in enumerate(cols)], fields=list(kind))
-    return hit, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), runs)
-
-
-def repeats(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """Two tables for docs(doc_id, text):
+def repeats(docs: DataFrame, lengths: list[int], keep_first: bool = False, most: int = MOST) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Two tables for docs(doc_id, text), and tables that may be discarded once these two are used:
 
     rows(doc_id, sha, n_bytes, copies, first_doc): sha is the text's SHA-256, copies how many rows have that text,
     first_doc the smallest doc_id of those;
-    hits(sha, doc_id, places, runs): for a text, places of one context and the begins of its strings that repeat, as
-    distances before the place (low to high), with the first copy (doc, place) of each. One text stands for a sha.
+    spans(sha, spans0, spans1, ...): for each length the stretches of a text that other texts or places repeat (with
+    keep_first, only those that stand earlier as well). Copies of a text do not count here.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark, 1000)
+    least, top = min(lengths), max(lengths)
     reach = least - GRAM
     keyed = _keyed(docs)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary())
-            places, hashes, sizes, own, twice = [], [], [], [], []
+            places, sizes, own, times = [], [], [], []
             for t in texts:
                 a = np.frombuffer(t.as_buffer(), np.uint8)
                 at = anchors(a, least)
                 sizes.append(len(a))
                 places.append(at.astype(np.int32))
-                hashes.append(_anchor_names(a, at))
-                names, n = np.unique(hashes[-1], return_counts=True)
+                names, n = np.unique(anchor_names(a, at), return_counts=True)
                 own.append(names)
-                twice.append(n > 1)
-            longs, flags = pa.list_(pa.int64()), pa.list_(pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, longs), pa.array(own, longs), pa.array(twice, flags)], names=["doc_id", "sha", "n_bytes", "places", "anchors", "own", "twice"])
-
-    found = written(keyed.mapInArrow(find, "doc_id long, sha binary, n_bytes long, places array<int>, anchors array<long>, own array<long>, twice array<boolean>"), "suffix-anchors")
-    same = found.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
-    light = written(found.select("doc_id", "sha", "n_bytes").join(same, "sha"), "suffix-rows")
+                times.append(n.astype(np.int32))
+            arrays = [pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), *arrays], names=["doc_id", "sha", "n_bytes", "places", "own", "times"])
+
+    found = keyed.mapInArrow(find, "doc_id long, sha binary, n_bytes long, places array<int>, own array<long>, times array<int>")
+    found = written(found.withColumn("row", F.monotonically_increasing_id()), "suffix-anchors")
+    same = found.groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row")).alias("first"))
+    same = written(same.select("sha", "copies", F.col("first.doc_id").alias("first_doc"), "first.row"), "suffix-rows")
+    light = found.select("doc_id", "sha", "n_bytes").join(same.drop("row"), "sha")
     # one row stands for all copies of a text
-    firsts = found.where("size(own) > 0").join(same.select("sha", F.col("first_doc").alias("doc_id")), ["sha", "doc_id"], "left_semi").dropDuplicates(["sha", "doc_id"])
-    at = firsts.select("sha", "doc_id", F.explode(F.arrays_zip("own", "twice")).alias("x")).select("sha", "doc_id", F.col("x.own").alias("anchor"), "x.twice")
-    again = at.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("anchor")
-    todo = at.select("sha", "doc_id", "anchor").join(again, "anchor", "left_semi").groupBy("sha", "doc_id").agg(F.collect_list("anchor").alias("again"))
-    todo = todo.join(firsts.select("sha", "doc_id", "places", "anchors"), ["sha", "doc_id"])
-    texts = keyed.join(todo, ["sha", "doc_id"])
+    firsts = written(found.where("size(own) > 0").join(same.select("row"), "row", "left_semi").drop("n_bytes"), "suffix-firsts")
+    at = firsts.select("row", F.explode(F.arrays_zip("own", "times")).alias("x")).select("row", F.col("x.own").alias("anchor"), F.col("x.times").alias("n"))
+    again = written(at.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where("n > 1"), "suffix-again")
+    total = again.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
+    # at most HOT anchors have so many rows; theirs don't go through a shuffle by anchor
+    hot = again.where(F.col("texts") > max(most, total // HOT)).select("anchor")
+    cold = again.join(F.broadcast(hot), "anchor", "left_anti").select("anchor", (F.col("n") > most).alias("hot"))
+    at = at.select("row", "anchor")
+    todo = at.join(F.broadcast(hot), "anchor", "left_anti").join(cold, "anchor").unionByName(at.join(F.broadcast(hot), "anchor", "left_semi").withColumn("hot", F.lit(True)))
+    todo = todo.groupBy("row").agg(F.collect_list(F.struct("anchor", "hot")).alias("again"))
+    texts = keyed.join(todo.join(firsts.select("row", "sha", "doc_id", "places"), "row"), ["sha", "doc_id"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, sha, t, again, places, hashes in zip(b.column("doc_id").to_pylist(), b.column("sha").to_pylist(), b.column("text").cast(pa.binary()), *[b.column(c) for c in ("again", "places", "anchors")], strict=True):
+            for doc, sha, t, again, places in zip(b.column("doc_id").to_pylist(), b.column("sha").to_pylist(), b.column("text").cast(pa.binary()), b.column("again"), b.column("places"), strict=True):
                 raw, seen = t.as_py(), {}
-                places, hashes = places.values.to_numpy(), hashes.values.to_numpy()
-                keep = np.isin(hashes, again.values.to_numpy())
-                for p, anchor in zip(places[keep].tolist(), hashes[keep].tolist(), strict=True):
+                places = places.values.to_numpy()
+                names = anchor_names(np.frombuffer(raw, np.uint8), places)
+                which, is_hot = (x.to_numpy(zero_copy_only=False) for x in again.values.flatten())
+                order = np.argsort(which)
+                k = np.minimum(np.searchsorted(which[order], names), len(which) - 1)
+                keep = which[order][k] == names
+                for p, anchor, h in zip(places[keep].tolist(), names[keep].tolist(), is_hot[order][k][keep].tolist(), strict=True):
                     left = min(p, reach)
-                    piece = raw[p - left : p + GRAM + reach]
-                    key = (anchor, xxhash.xxh64_intdigest(piece, left) - 2**63)
-                    seen.setdefault(key, (left, piece, []))[2].append(p)
-                rows += [(a, c, left, piece, doc, sha, places) for (a, c), (left, piece, places) in seen.items()]
+                    piece = raw[p - left : p + top]
+                    seen.setdefault((anchor, left, piece, h), []).append(p)
+                rows += [(a, left, piece, doc, sha, places, h) for (a, left, piece, h), places in seen.items()]
                 if len(rows) > 4000:
                     yield _arrays(_CTX, rows)
                     rows = []
             yield _arrays(_CTX, rows)
 
     ctx = written(texts.mapInArrow(contexts, _CTX_DDL), "suffix-contexts")
-    first = F.min(F.struct("doc_id", F.array_min("places").alias("place")))
-    classes = ctx.groupBy("anchor", "ctx").agg(first.alias("who"), F.sum(F.size("places")).alias("n"), F.min(F.struct("left", "bytes")).alias("at"))
-    classes = written(classes.select("anchor", "ctx", "who.doc_id", "who.place", "n", "at.left", "at.bytes"), "suffix-classes")
-    sizes = classes.groupBy("anchor").agg(F.count("*").alias("d"), F.max("n").alias("top"))
-    # a lone context seen once repeats nothing
-    sized = classes.join(sizes.where("d > 1 or top > 1"), "anchor")
-    # one context, seen again: every string in it repeats, and its first place is the first copy
-    last = F.col("left") - F.octet_length("bytes") + least
-    run = F.struct(last.cast("int").alias("low"), F.col("left").alias("high"), F.col("doc_id").alias("doc"), "place")
-    alone = sized.where("d = 1").where(F.octet_length("bytes") >= least).select("anchor", "ctx", F.array(run).alias("runs"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -258,104 +334,153 @@ def repeats(docs: DataFrame, least: int = LEAST, most: int = MOST) -> tuple[Data
             begin = 0
             while len(anchor) - begin > 2 * most and len(later := ends[ends > begin]):
                 end = int(max(later[later <= begin + most], default=later[0]))
-                yield work(rows.slice(begin, end - begin))
+                yield _work(rows.slice(begin, end - begin), reach, lengths, keep_first)
                 begin = end
             held = rows.slice(begin).to_batches()
         if held and (rows := pa.Table.from_batches(held)).num_rows:
-            yield work(rows.combine_chunks())
+            yield _work(rows.combine_chunks(), reach, lengths, keep_first)
+
+    names = [f"spans{k}" for k in range(len(lengths))]
+    some = " or ".join(f"size({c}) > 0" for c in names)
+    few = ctx.where("not hot").drop("hot").repartition(4 * shuffles(spark), "anchor").sortWithinPartitions("anchor")
+    spans = few.mapInArrow(local, "sha binary, " + ", ".join(f"{c} {_SPANS}" for c in names)).where(some)
+    many = ctx.where("hot")
+    if not many.isEmpty():
+        many = many.withColumn("ctx", F.xxhash64("anchor", "left", "bytes"))
+        first = F.min(F.struct("doc_id", "sha", F.array_min("places").alias("place")))
+        classes = many.groupBy("anchor", "ctx").agg(first.alias("who"), F.sum(F.size("places")).alias("n"), F.min(F.struct("left", "bytes")).alias("at"))
+        classes = written(classes.select("anchor", "ctx", "who.doc_id", F.col("who.sha").alias("first_sha"), "who.place", "n", "at.left", "at.bytes"), "suffix-classes")
+        for k, length in enumerate(lengths):
+            runs = _dealt_out(classes, length, reach, top)
+            hits = many.select("anchor", "ctx", "sha", "doc_id", "places").join(runs, ["anchor", "ctx"]).mapInArrow(_narrow(length, keep_first), f"sha binary, spans {_SPANS}").where("size(spans) > 0")
+            spans = spans.unionByName(hits.select("sha", *[(F.col("spans") if c == names[k] else F.array().cast(_SPANS)).alias(c) for c in names]))
+    spans = written(spans, "suffix-runs")
+    for t in (firsts, again, ctx):
+        discard(t)
+    spans = spans.groupBy("sha").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in names])
+    return light, spans, [found, same]
+
+
+# Anchors of very many places ----------------------------------------------------------------------------------------
+
+
+def prefix_sums(ctx: np.ndarray) -> np.ndarray:
+    """Sums over each row's first bytes, mixed, times growing powers."""
+    power = np.full(ctx.shape[1], _BASE)
+    power[:1] = 1
+    sums = np.zeros((len(ctx), ctx.shape[1] + 1), np.uint64)
+    np.cumsum(_TABLE[ctx] * np.multiply.accumulate(power), axis=1, dtype=np.uint64, out=sums[:, 1:])
+    return sums
 
-    def work(rows: pa.Table) -> pa.RecordBatch:
-        col = {c: rows.column(c).to_numpy() for c in ("anchor", "left", "n", "doc_id", "place")}
-        data, valid = _aligned(rows.column("bytes").to_pylist(), col["left"], least)
-        group = np.cumsum(np.concatenate([[0], col["anchor"][1:] != col["anchor"][:-1]]))
-        count, first = previous_factors(group, data, valid, least)
-        hit, runs = _runs(count, first, col["n"], reach, col["doc_id"], col["place"])
-        ctx = rows.column("ctx").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(col["anchor"][hit]), pa.array(ctx[hit]), runs], names=["anchor", "ctx", "runs"])
 
-    few = sized.where(f"d > 1 and d <= {most}").repartition(4 * shuffles(spark), "anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_first(), "place")
-    runs = few.drop("d", "top").mapInArrow(local, _RUNS_DDL).unionByName(alone)
+def _inverses(n: int) -> np.ndarray:
+    inverse = np.full(n, pow(int(_BASE), -1, 2**64), np.uint64)
+    inverse[:1] = 1
+    return np.multiply.accumulate(inverse)
+
+
+def range_names(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Names of bytes ``begin`` to ``end`` of each row; both have one line a row and one column a name."""
+    return mix64((np.take_along_axis(sums, end, 1) - np.take_along_axis(sums, begin, 1)) * _inverses(sums.shape[1])[begin])
+
 
-    if not sizes.where(f"d > {most}").isEmpty():
-        runs = runs.unionByName(_dealt_out(sized.where(f"d > {most}").drop("d", "top"), least))
-    runs = written(runs, "suffix-runs")
-    return light, ctx.drop("bytes", "left").join(runs, ["anchor", "ctx"]).select("sha", "doc_id", "places", "runs")
+def _aligned(part: list[dict], reach: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts as rows with their anchors in one column, and the columns where each begins and ends."""
+    data = np.zeros((len(part), reach + top), np.uint8)
+    begin = np.array([reach - r["left"] for r in part], np.int64)
+    end = begin + np.array([len(r["bytes"]) for r in part], np.int64)
+    for k, (r, b, e) in enumerate(zip(part, begin.tolist(), end.tolist(), strict=True)):
+        data[k, b:e] = np.frombuffer(r["bytes"], np.uint8)
+    return data, begin[:, None], end[:, None]
 
 
-_PIECE_DDL = "anchor long, ctx long, k int, core long, piece long, lo int, hi int, n long, doc_id long, place int"
-_WINDOW_DDL = "anchor long, k int, piece long, begin int, name long, n long, doc_id long, place int"
+_PIECE_DDL = "anchor long, ctx long, k int, core long, piece long, lo int, hi int, n long, doc_id long, first_sha binary, place int"
+_WINDOW = {"anchor": pa.int64(), "k": pa.int32(), "piece": pa.int64(), "begin": pa.int32(), "name": pa.int64(), "n": pa.int64(), "doc_id": pa.int64(), "first_sha": pa.binary(), "place": pa.int32()}
+_WINDOW_DDL = "anchor long, k int, piece long, begin int, name long, n long, doc_id long, first_sha binary, place int"
 
 
-def _dealt_out(many: DataFrame, least: int) -> DataFrame:
-    """Runs of contexts whose anchor has very many different ones: (anchor, ctx, runs).
+def _dealt_out(many: DataFrame, least: int, reach: int, top: int) -> DataFrame:
+    """Runs of contexts whose anchor has very many: (anchor, ctx, runs), runs as distances before the anchor.
 
     The begins are taken in classes of ``WIDTH`` neighbours. All strings of a class hold its core, the bytes that they
     share, and lie in its piece, the bytes that they reach together. A core seen once repeats nothing. A core with one
     piece repeats as a whole, with one first copy. Only other pieces, once each and not once a context, are taken apart
     into strings. So a context costs a row a class and, where a shared passage begins or ends, a row a string.
     """
-    reach = least - GRAM
-    at, top = classes_of(least)
-
-    def aligned(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        left, size = np.array([r["left"] for r in rows]), np.array([len(r["bytes"]) for r in rows])
-        data, _ = _aligned([r["bytes"] for r in rows], left, least)
-        first = (reach - left)[:, None]
-        return data, np.maximum(at, first), np.minimum(top, first + size[:, None] - least)
+    at = np.arange(0, reach + 1, WIDTH)
+    last = np.minimum(at + WIDTH - 1, reach)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 200):
                 part = b.slice(s, 200)
-                data, lo, hi = aligned(part.select(["left", "bytes"]).to_pylist())
+                data, begin, end = _aligned(part.select(["left", "bytes"]).to_pylist(), reach, top)
+                lo, hi = np.maximum(at, begin), np.minimum(last, end - least)
                 i, k = np.nonzero(lo <= hi)
-                sums = prefix_sums(data)
-                core = class_names(sums, np.broadcast_to(top, lo.shape), np.broadcast_to(at + least, lo.shape))[i, k]
-                fit = np.maximum(hi, lo)
-                piece = class_names(sums, np.minimum(lo, reach), np.minimum(fit + least, data.shape[1]))[i, k]
+                sums, wide = prefix_sums(data), data.shape[1]
+                core = range_names(sums, np.broadcast_to(last, lo.shape), np.broadcast_to(np.minimum(at + least, wide), lo.shape))[i, k]
+                piece = range_names(sums, np.minimum(lo, wide), np.clip(hi + least, 0, wide))[i, k]
                 piece = mix64(piece ^ (lo[i, k] * 1000 + hi[i, k]).astype(np.uint64))
                 col = lambda c: part.column(c).take(pa.array(i))  # noqa: B023, E731
-                arrays = [col("anchor"), col("ctx"), k.astype(np.int32), core.view(np.int64), piece.view(np.int64), lo[i, k].astype(np.int32), hi[i, k].astype(np.int32), col("n"), col("doc_id"), col("place")]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in arrays], names=["anchor", "ctx", "k", "core", "piece", "lo", "hi", "n", "doc_id", "place"])
+                arrays = [col("anchor"), col("ctx"), k.astype(np.int32), core.view(np.int64), piece.view(np.int64), lo[i, k].astype(np.int32), hi[i, k].astype(np.int32), col("n"), col("doc_id"), col("first_sha"), col("place")]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in arrays], names=["anchor", "ctx", "k", "core", "piece", "lo", "hi", "n", "doc_id", "first_sha", "place"])
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 200):
                 part = b.slice(s, 200).to_pylist()
-                data, valid = _aligned([r["bytes"] for r in part], np.array([r["left"] for r in part]), least)
-                name = window_names(prefix_sums(data), least).view(np.int64)
+                data, begin, end = _aligned(part, reach, top)
+                every = np.broadcast_to(np.arange(reach + 1), (len(part), reach + 1))
+                name = range_names(prefix_sums(data), every, every + least).view(np.int64)
                 rows = []
-                for r, ok, of in zip(part, valid, name, strict=True):
+                for r, of in zip(part, name, strict=True):
                     for x in r["todo"]:
-                        rows += [(r["anchor"], x["k"], x["piece"], i, int(of[i]), x["n"], x["doc_id"], x["place"]) for i in range(x["lo"], x["hi"] + 1) if ok[i]]
-                kinds = {"anchor": pa.int64(), "k": pa.int32(), "piece": pa.int64(), "begin": pa.int32(), "name": pa.int64(), "n": pa.int64(), "doc_id": pa.int64(), "place": pa.int32()}
-                yield _arrays(kinds, rows)
+                        rows += [(r["anchor"], x["k"], x["piece"], i, int(of[i]), x["n"], x["doc_id"], x["first_sha"], x["place"]) for i in range(x["lo"], x["hi"] + 1)]
+                yield _arrays(_WINDOW, rows)
 
     parts = written(many.mapInArrow(pieces, _PIECE_DDL), "suffix-parts")
     key = ["anchor", "k", "core"]
     cores = parts.groupBy(*key).agg(F.sum("n").alias("m"), (F.min("piece") < F.max("piece")).alias("mixed")).where("m > 1").drop("m")
     # of equal pieces the first copy stands for all; its context is at hand for its bytes
-    who = F.min(F.struct("doc_id", "place", "ctx")).alias("who")
+    who = F.min(F.struct("doc_id", "first_sha", "place", "ctx")).alias("who")
     seen = parts.groupBy(*key, "piece", "lo", "hi").agg(F.sum("n").alias("n"), who).select(*key, "piece", "lo", "hi", "n", "who.*")
     seen = written(seen.join(cores, key), "suffix-pieces")
-    run = [(F.lit(reach) - F.col("hi")).cast("int").alias("low"), (F.lit(reach) - F.col("lo")).cast("int").alias("high"), F.col("doc_id").alias("doc"), "place"]
+    run = [(F.lit(reach) - F.col("hi")).cast("int").alias("low"), (F.lit(reach) - F.col("lo")).cast("int").alias("high"), F.col("doc_id").alias("doc"), "first_sha", "place"]
     whole = seen.where("not mixed").select("anchor", "k", "piece", *run)
-    todo = seen.where("mixed").groupBy("anchor", "ctx").agg(F.collect_list(F.struct("k", "piece", "lo", "hi", "n", "doc_id", "place")).alias("todo"))
+    todo = seen.where("mixed").groupBy("anchor", "ctx").agg(F.collect_list(F.struct("k", "piece", "lo", "hi", "n", "doc_id", "first_sha", "place")).alias("todo"))
     windows = many.select("anchor", "ctx", "left", "bytes").join(todo, ["anchor", "ctx"]).mapInArrow(strings, _WINDOW_DDL)
     windows = written(windows, "suffix-windows")
-    shared = windows.groupBy("anchor", "begin", "name").agg(F.sum("n").alias("m"), F.min(F.struct("doc_id", "place")).alias("who")).where("m > 1").select("anchor", "begin", "name", "who")
+    shared = windows.groupBy("anchor", "begin", "name").agg(F.sum("n").alias("m"), F.min(F.struct("doc_id", "first_sha", "place")).alias("who")).where("m > 1").select("anchor", "begin", "name", "who")
     # two contexts share neighbouring begins, so what lies between two that have one first copy repeats as well
     hits = windows.select("anchor", "k", "piece", "begin", "name").join(shared, ["anchor", "begin", "name"])
     hits = hits.groupBy("anchor", "k", "piece", "who").agg(F.min("begin").alias("lo"), F.max("begin").alias("hi")).select("anchor", "k", "piece", "lo", "hi", "who.*")
     by_piece = whole.unionByName(hits.select("anchor", "k", "piece", *run))
     both = parts.select("anchor", "ctx", "k", "piece").join(by_piece, ["anchor", "k", "piece"])
-    return both.groupBy("anchor", "ctx").agg(F.collect_list(F.struct("low", "high", "doc", "place")).alias("runs"))
+    return both.groupBy("anchor", "ctx").agg(F.collect_list(F.struct("low", "high", "doc", "first_sha", "place")).alias("runs"))
 
 
-def _anchor_names(b: np.ndarray, at: np.ndarray) -> np.ndarray:
-    if not len(at):
-        return np.zeros(0, np.int64)
-    return gram_hashes(b, GRAM)[at].view(np.int64)
+def _narrow(least: int, keep_first: bool):
+    """Spans of the rows of hits: each place of a context with each of its runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places, runs = b.column("places"), b.column("runs")
+            n_runs, n_places = _lengths(runs), _lengths(places)
+            low, high, first_doc, first_sha, first_place = runs.flatten().flatten()
+            low, high, first_doc, first_place = (x.to_numpy(zero_copy_only=False) for x in (low, high, first_doc, first_place))
+            hit = np.repeat(np.arange(b.num_rows), n_places)
+            place = np.repeat(places.flatten().to_numpy(zero_copy_only=False).astype(np.int64), n_runs[hit])
+            many = n_runs[hit]
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat((np.cumsum(n_runs) - n_runs)[hit], many)
+            row = np.repeat(hit, many)
+            begin, end = place - high[at], place - low[at] + least
+            if keep_first:
+                sha, other = np.array(b.column("sha").to_pylist(), "S32"), np.array(first_sha.to_pylist(), "S32")
+                later = (first_doc[at] != b.column("doc_id").to_numpy(zero_copy_only=False)[row]) | (first_place[at] != place) | (other[at] != sha[row])
+                begin, end, row = begin[later], end[later], row[later]
+            yield pa.RecordBatch.from_arrays([b.column("sha"), _span_lists(b.num_rows, *merged(row, begin, end))], names=["sha", "spans"])
+
+    return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -363,24 +488,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
 
 
-def hit_spans(hits: pa.RecordBatch, least: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of the bytes that each hit removes: its row, begin, end."""
-    doc, places, runs = hits.column("doc_id"), hits.column("places"), hits.column("runs")
-    n_runs, n_places = _lengths(runs), _lengths(places)
-    low, high, first_doc, first_place = (x.to_numpy(zero_copy_only=False) for x in runs.flatten().flatten())
-    # each place of a hit with each of its runs
-    hit = np.repeat(np.arange(len(doc)), n_places)
-    place = np.repeat(places.flatten().to_numpy(zero_copy_only=False).astype(np.int64), n_runs[hit])
-    many = n_runs[hit]
-    run = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat((np.cumsum(n_runs) - n_runs)[hit], many)
-    hit = np.repeat(hit, many)
-    begin, end, row = place - high[run], place - low[run] + least, hit
-    if keep_first:
-        later = (first_doc[run] != doc.to_numpy(zero_copy_only=False)[hit]) | (first_place[run] != place)
-        begin, end, row = begin[later], end[later], row[later]
-    return merged(row, begin, end)
-
-
 def merged(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of each row's spans: row, begin, end, in order; touching ones join."""
     far = np.int64(2**40)  # beyond the length of any text
@@ -401,47 +508,57 @@ def _lengths(lists: pa.ListArray) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def cut_repeats(docs: DataFrame, keep_first: bool = False, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """docs without text, and kept (binary), n_bytes, n_removed, n_spans, kept_sha256; docs has doc_id and text.
+def _row_spans(lists: pa.ListArray, n: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    begin, end = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+    row, begin, end = merged(np.repeat(np.arange(n), _lengths(lists)), begin, end)
+    return np.searchsorted(row, np.arange(n + 1)), list(zip(begin.tolist(), end.tolist(), strict=True))
+
+
+OUTPUTS = {"kept": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_repeated": pa.int64()}
+
+
+def cut_repeats(docs: DataFrame, keep_first: bool = False, least: int = LEAST, most: int = MOST, report: int | None = None) -> DataFrame:
+    """docs without text, and kept (binary), n_bytes, n_removed, n_spans, kept_sha256, n_repeated; docs has doc_id and text.
 
     keep_first: the first copy of a repeated string (least doc_id, then place) stays; else all copies go.
+    report: n_repeated counts the bytes in repeated strings of at least so many bytes (at most ``least``, the default).
     """
-    light, hits = repeats(docs, least, most)
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("sha"), _span_lists(b.num_rows, *hit_spans(b, least, keep_first))], names=["sha", "spans"])
+    report = min(report or least, least)
+    lengths = sorted({least, report})
+    light, spans, tables = repeats(docs, lengths, keep_first, most)
+    removing, counting = f"spans{lengths.index(least)}", f"spans{lengths.index(report)}"
 
-    # written, so that its shuffle files are gone before texts are shuffled
-    lists = hits.mapInArrow(narrow, "sha binary, spans array<struct<begin:long,end:long>>").where("size(spans) > 0")
-    lists = written(lists.groupBy("sha").agg(F.flatten(F.collect_list("spans")).alias("_spans")), "suffix-spans")
     # copies of a text repeat it whole
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= least)
+    whole = F.col("copies") > 1
     if keep_first:
         whole = whole & (F.col("doc_id") != F.col("first_doc"))
-    plan = light.withColumn("_whole", whole).join(lists, "sha", "left").where("_whole or _spans is not null")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "_whole", F.when(~F.col("_whole"), F.col("_spans")).alias("_spans")).dropDuplicates(["_id", "_sha"])
+    plan = light.withColumn("_whole", whole & (F.col("n_bytes") >= report)).join(spans, "sha", "left").where(f"_whole or {counting} is not null")
+    lists = [F.when(~(F.col("_whole") & (F.col("n_bytes") >= n)), F.col(c)).alias(a) for n, c, a in ((least, removing, "_spans"), (report, counting, "_counted"))]
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "_whole", *lists).dropDuplicates(["_id", "_sha"])
+    plan = written(plan, "suffix-plan")
+    for t in tables:
+        discard(t)
+    # docs' own columns stay aside, so that none of their names can clash
+    others = [c for c in docs.columns if c != "text" and c not in OUTPUTS]
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"text": text, "_id": F.coalesce("doc_id", F.lit(NO_ID)), "_sha": F.unhex(F.sha2(text, 256))})
+    rows = docs.select(F.struct(*others).alias("_row"), text.alias("_text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.unhex(F.sha2(text, 256)).alias("_sha"))
     rows = rows.join(plan, ["_id", "_sha"], "left").drop("_id", "_sha")
-    kept_columns = [c for c in docs.columns if c != "text"]
-    kinds = {"kept": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            lists = b.column("_spans")
-            begin, end = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
-            row, begin, end = merged(np.repeat(np.arange(b.num_rows), _lengths(lists)), begin, end)
-            cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
-            spans = list(zip(begin.tolist(), end.tolist(), strict=True))
-            for k, (t, all_of_it) in enumerate(zip(b.column("text").cast(pa.binary()), b.column("_whole").to_pylist(), strict=True)):
+            cuts, spans = _row_spans(b.column("_spans"), b.num_rows)
+            counted, counts = _row_spans(b.column("_counted"), b.num_rows)
+            for k, (t, all_of_it) in enumerate(zip(b.column("_text").cast(pa.binary()), b.column("_whole").to_pylist(), strict=True)):
                 raw = t.as_py()
-                gone = [(0, len(raw))] if all_of_it else spans[cuts[k] : cuts[k + 1]]
-                kept = b"".join(raw[a:e] for a, e in zip([0] + [e for _, e in gone], [a for a, _ in gone] + [len(raw)], strict=True))
-                out.append((kept, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
-            new = _arrays(kinds, out)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept_columns], *new.columns], names=[*kept_columns, *kinds])
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return rows.mapInArrow(cut, f"{ddl}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                gone = [(0, len(raw))] if all_of_it and len(raw) >= least else spans[cuts[k] : cuts[k + 1]]
+                kept = b"".join(raw[a:e] for a, e in zip([0] + [e for _, e in gone], [a for a, _ in gone] + [len(raw)], strict=True)) if gone else raw
+                repeated = len(raw) if all_of_it else sum(e - a for a, e in counts[counted[k] : counted[k + 1]])
+                out.append((kept, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), repeated))
+            new = _arrays(OUTPUTS, out)
+            yield pa.RecordBatch.from_arrays([b.column("_row"), *new.columns], names=["_row", *OUTPUTS])
+
+    schema = rows.select("_row").schema
+    for c, kind in zip(OUTPUTS, ["binary", "long", "long", "long", "string", "long"], strict=True):
+        schema = schema.add(c, kind)
+    return rows.mapInArrow(cut, schema).select("_row.*", *OUTPUTS)

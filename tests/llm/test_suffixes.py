@@ -46,7 +46,7 @@ def corpus(seed):
 def test_equals_brute_force(spark, least, most):
     rows = corpus(least + most)
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, sha string")
-    got = suffixes.cut_repeats(df, least=least, most=most).drop("kept", "sha").collect()
+    got = suffixes.cut_repeats(df, least=least, most=most).drop("kept", "sha", "n_repeated").collect()
     assert sorted([tuple(r) for r in got], key=str) == brute(rows, least)
 
 
@@ -77,3 +77,42 @@ def test_keep_first_equals_brute_force(spark, most):
 
 def test_empty(spark):
     assert suffixes.cut_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("most", [2000, 3])
+def test_shorter_repeats_are_counted_in_the_same_pass(spark, most):
+    rows = corpus(9)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffixes.cut_repeats(df, least=120, most=most, report=64).drop("kept").collect()
+    assert sorted([tuple(r)[:5] for r in got], key=str) == brute(rows, 120)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_repeated) for r in got), key=str) == sorted(((d, n, gone) for d, n, gone, _, _ in brute(rows, 64)), key=str)
+
+
+def test_nulls_clashing_names_and_long_texts(spark):
+    r = random.Random(4)
+    p = "".join(r.choice("abcdefgh ") for _ in range(200))
+    long = "".join(r.choice("abcdefgh ") for _ in range(300_000)) + p + "é" * 500
+    rows = [(None, p + "x", 1, "a", 2), (None, None, 1, "b", 2), (3, "y" + p, 1, "c", 2), (3, "y" + p, 1, "c", 2), (4, long, 1, "d", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, sha string, n_bytes int")
+    got = suffixes.cut_repeats(df, least=100).orderBy("sha").collect()
+    assert [(x.doc_id, x.sha, x._id, x.n_bytes, x.n_removed) for x in got] == [
+        (None, "a", 1, 201, 200), (None, "b", 1, 0, 0), (3, "c", 1, 201, 201), (3, "c", 1, 201, 201), (4, "d", 1, len(long.encode()), 200 + 1000)]
+
+
+def test_factors_equal_a_direct_search():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    n, reach, top = 120, 6, 10
+    group = np.sort(r.integers(0, 8, n))
+    before, behind = r.integers(0, 2, (n, reach)).astype(np.uint8), r.integers(0, 2, (n, top)).astype(np.uint8)
+    n_before, n_behind = r.integers(0, reach + 1, n), r.integers(1, top + 1, n)
+    pos = r.permutation(n)
+    same = lambda x, y, m: next((k for k in range(m) if x[k] != y[k]), m)
+    for keep_first in (True, False):
+        got = suffixes.factors(group, before, n_before, behind, n_behind, pos, [5, 9], keep_first)
+        for least, (a, b) in zip([5, 9], got):
+            for i in range(n):
+                hits = [(x, y) for j in range(n) if j != i and group[j] == group[i] and (pos[j] < pos[i] or not keep_first)
+                        for x, y in [(same(before[i], before[j], min(n_before[i], n_before[j])), same(behind[i], behind[j], min(n_behind[i], n_behind[j])))] if x + y >= least]
+                assert (a[i], b[i]) == (max((x for x, _ in hits), default=-1), max((y for _, y in hits), default=-1))
