@@ -107,6 +107,8 @@ def test_factors_equal_a_direct_search():
     group = np.sort(r.integers(0, 8, n))
     before, behind = r.integers(0, 2, (n, reach)).astype(np.uint8), r.integers(0, 2, (n, top)).astype(np.uint8)
     n_before, n_behind = r.integers(0, reach + 1, n), r.integers(1, top + 1, n)
+    before[np.arange(reach) >= n_before[:, None]] = 0
+    behind[np.arange(top) >= n_behind[:, None]] = 0
     pos = r.permutation(n)
     same = lambda x, y, m: next((k for k in range(m) if x[k] != y[k]), m)
     for keep_first in (True, False):
