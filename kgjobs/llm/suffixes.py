@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,11 @@ from .common import discard, mix64, shuffles, small_batches, written
 
 LEAST = 400
 GRAM = 32
-MOST = 2000
+MOST = 10_000
+#: Contexts that a task sorts at once, unless one anchor has more.
+BATCH = 4000
+#: Anchors are taken in so many parts, one after the other.
+PARTS = 4
 #: So many neighbouring begins make a class: all their strings hold one core.
 WIDTH = 16
 NO_ID = -(2**63)
@@ -201,8 +206,8 @@ def factors(group: np.ndarray, before: np.ndarray, n_before: np.ndarray, behind:
     return out
 
 
-_CTX = {"anchor": pa.int64(), "left": pa.int32(), "bytes": pa.binary(), "doc_id": pa.int64(), "sha": pa.binary(), "places": pa.list_(pa.int32()), "hot": pa.bool_()}
-_CTX_DDL = "anchor long, left int, bytes binary, doc_id long, sha binary, places array<int>, hot boolean"
+_CTX = {"anchor": pa.int64(), "left": pa.int32(), "bytes": pa.binary(), "doc_id": pa.int64(), "sha": pa.binary(), "places": pa.list_(pa.int32())}
+_CTX_DDL = "anchor long, left int, bytes binary, doc_id long, sha binary, places array<int>"
 _SPANS = "array<struct<begin:long,end:long>>"
 
 
@@ -297,43 +302,51 @@ def repeats(docs: DataFrame, lengths: list[int], keep_first: bool = False, most:
     todo = at.join(F.broadcast(hot), "anchor", "left_anti").join(cold, "anchor").unionByName(at.join(F.broadcast(hot), "anchor", "left_semi").withColumn("hot", F.lit(True)))
     todo = todo.groupBy("row").agg(F.collect_list(F.struct("anchor", "hot")).alias("again"))
     texts = keyed.join(todo.join(firsts.select("row", "sha", "doc_id", "places"), "row"), ["sha", "doc_id"])
+    texts = written(texts.select("doc_id", "sha", "text", "again", "places"), "suffix-texts")
+    some_hot = not again.where(F.col("n") > most).isEmpty()
+    for t in (firsts, again):
+        discard(t)
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc, sha, t, again, places in zip(b.column("doc_id").to_pylist(), b.column("sha").to_pylist(), b.column("text").cast(pa.binary()), b.column("again"), b.column("places"), strict=True):
-                raw, seen = t.as_py(), {}
-                places = places.values.to_numpy()
-                names = anchor_names(np.frombuffer(raw, np.uint8), places)
-                which, is_hot = (x.to_numpy(zero_copy_only=False) for x in again.values.flatten())
-                order = np.argsort(which)
-                k = np.minimum(np.searchsorted(which[order], names), len(which) - 1)
-                keep = which[order][k] == names
-                for p, anchor, h in zip(places[keep].tolist(), names[keep].tolist(), is_hot[order][k][keep].tolist(), strict=True):
-                    left = min(p, reach)
-                    piece = raw[p - left : p + top]
-                    seen.setdefault((anchor, left, piece, h), []).append(p)
-                rows += [(a, left, piece, doc, sha, places, h) for (a, left, piece, h), places in seen.items()]
-                if len(rows) > 4000:
-                    yield _arrays(_CTX, rows)
-                    rows = []
-            yield _arrays(_CTX, rows)
-
-    ctx = written(texts.mapInArrow(contexts, _CTX_DDL), "suffix-contexts")
+    def contexts(part: int):
+        """Contexts of the hot anchors (part -1), or of that part of the others."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for doc, sha, t, again, places in zip(b.column("doc_id").to_pylist(), b.column("sha").to_pylist(), b.column("text").cast(pa.binary()), b.column("again"), b.column("places"), strict=True):
+                    which, hot = (x.to_numpy(zero_copy_only=False) for x in again.values.flatten())
+                    which = np.sort(which[hot if part < 0 else ~hot & (which % PARTS == part)])
+                    if not len(which):
+                        continue
+                    raw, seen = t.as_py(), {}
+                    places = places.values.to_numpy()
+                    names = anchor_names(np.frombuffer(raw, np.uint8), places)
+                    keep = which[np.minimum(np.searchsorted(which, names), len(which) - 1)] == names
+                    for p, anchor in zip(places[keep].tolist(), names[keep].tolist(), strict=True):
+                        left = min(p, reach)
+                        piece = raw[p - left : p + top]
+                        seen.setdefault((anchor, left, piece), []).append(p)
+                    rows += [(a, left, piece, doc, sha, places) for (a, left, piece), places in seen.items()]
+                    if len(rows) > 4000:
+                        yield _arrays(_CTX, rows)
+                        rows = []
+                yield _arrays(_CTX, rows)
+
+        return texts.mapInArrow(run, _CTX_DDL)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
             held.append(b)
-            if sum(x.num_rows for x in held) <= 2 * most:
+            if sum(x.num_rows for x in held) <= 2 * BATCH:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
             anchor = rows.column("anchor").to_numpy()
             # whole anchors only
             ends = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
             begin = 0
-            while len(anchor) - begin > 2 * most and len(later := ends[ends > begin]):
-                end = int(max(later[later <= begin + most], default=later[0]))
+            while len(anchor) - begin > 2 * BATCH and len(later := ends[ends > begin]):
+                end = int(max(later[later <= begin + BATCH], default=later[0]))
                 yield _work(rows.slice(begin, end - begin), reach, lengths, keep_first)
                 begin = end
             held = rows.slice(begin).to_batches()
@@ -342,23 +355,27 @@ def repeats(docs: DataFrame, lengths: list[int], keep_first: bool = False, most:
 
     names = [f"spans{k}" for k in range(len(lengths))]
     some = " or ".join(f"size({c}) > 0" for c in names)
-    few = ctx.where("not hot").drop("hot").repartition(4 * shuffles(spark), "anchor").sortWithinPartitions("anchor")
-    spans = few.mapInArrow(local, "sha binary, " + ", ".join(f"{c} {_SPANS}" for c in names)).where(some)
-    many = ctx.where("hot")
-    if not many.isEmpty():
-        many = many.withColumn("ctx", F.xxhash64("anchor", "left", "bytes"))
+    spans = []
+    for part in range(PARTS):  # so that only a part of all contexts is on disk at a time
+        few = contexts(part).repartition(2 * shuffles(spark), "anchor").sortWithinPartitions("anchor")
+        spans.append(written(few.mapInArrow(local, "sha binary, " + ", ".join(f"{c} {_SPANS}" for c in names)).where(some), "suffix-runs"))
+    if some_hot:
+        many = written(contexts(-1).withColumn("ctx", F.xxhash64("anchor", "left", "bytes")), "suffix-contexts")
         first = F.min(F.struct("doc_id", "sha", F.array_min("places").alias("place")))
         classes = many.groupBy("anchor", "ctx").agg(first.alias("who"), F.sum(F.size("places")).alias("n"), F.min(F.struct("left", "bytes")).alias("at"))
         classes = written(classes.select("anchor", "ctx", "who.doc_id", F.col("who.sha").alias("first_sha"), "who.place", "n", "at.left", "at.bytes"), "suffix-classes")
         for k, length in enumerate(lengths):
-            runs = _dealt_out(classes, length, reach, top)
+            runs, used = _dealt_out(classes, length, reach, top)
             hits = many.select("anchor", "ctx", "sha", "doc_id", "places").join(runs, ["anchor", "ctx"]).mapInArrow(_narrow(length, keep_first), f"sha binary, spans {_SPANS}").where("size(spans) > 0")
-            spans = spans.unionByName(hits.select("sha", *[(F.col("spans") if c == names[k] else F.array().cast(_SPANS)).alias(c) for c in names]))
-    spans = written(spans, "suffix-runs")
-    for t in (firsts, again, ctx):
-        discard(t)
+            spans.append(written(hits.select("sha", *[(F.col("spans") if c == names[k] else F.array().cast(_SPANS)).alias(c) for c in names]), "suffix-runs"))
+            for t in used:
+                discard(t)
+        discard(many)
+        discard(classes)
+    discard(texts)
+    tables, spans = [found, same, *spans], reduce(DataFrame.unionByName, spans)
     spans = spans.groupBy("sha").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in names])
-    return light, spans, [found, same]
+    return light, spans, tables
 
 
 # Anchors of very many places ----------------------------------------------------------------------------------------
@@ -399,8 +416,8 @@ _WINDOW = {"anchor": pa.int64(), "k": pa.int32(), "piece": pa.int64(), "begin":
 _WINDOW_DDL = "anchor long, k int, piece long, begin int, name long, n long, doc_id long, first_sha binary, place int"
 
 
-def _dealt_out(many: DataFrame, least: int, reach: int, top: int) -> DataFrame:
-    """Runs of contexts whose anchor has very many: (anchor, ctx, runs), runs as distances before the anchor.
+def _dealt_out(many: DataFrame, least: int, reach: int, top: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Runs of contexts whose anchor has very many: (anchor, ctx, runs), runs as distances before the anchor; tables used.
 
     The begins are taken in classes of ``WIDTH`` neighbours. All strings of a class hold its core, the bytes that they
     share, and lie in its piece, the bytes that they reach together. A core seen once repeats nothing. A core with one
@@ -456,7 +473,7 @@ def _dealt_out(many: DataFrame, least: int, reach: int, top: int) -> DataFrame:
     hits = hits.groupBy("anchor", "k", "piece", "who").agg(F.min("begin").alias("lo"), F.max("begin").alias("hi")).select("anchor", "k", "piece", "lo", "hi", "who.*")
     by_piece = whole.unionByName(hits.select("anchor", "k", "piece", *run))
     both = parts.select("anchor", "ctx", "k", "piece").join(by_piece, ["anchor", "k", "piece"])
-    return both.groupBy("anchor", "ctx").agg(F.collect_list(F.struct("low", "high", "doc", "first_sha", "place")).alias("runs"))
+    return both.groupBy("anchor", "ctx").agg(F.collect_list(F.struct("low", "high", "doc", "first_sha", "place")).alias("runs")), [parts, seen, windows]
 
 
 def _narrow(least: int, keep_first: bool):
