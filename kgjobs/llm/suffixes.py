@@ -273,27 +273,34 @@ def repeats(docs: DataFrame, lengths: list[int], keep_first: bool = False, most:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary())
-            places, sizes, own, times = [], [], [], []
+            places, sizes, own, times, twice = [], [], [], [], []
             for t in texts:
                 a = np.frombuffer(t.as_buffer(), np.uint8)
                 at = anchors(a, least)
                 sizes.append(len(a))
                 places.append(at.astype(np.int32))
-                names, n = np.unique(anchor_names(a, at), return_counts=True)
+                names, of, n = np.unique(anchor_names(a, at), return_inverse=True, return_counts=True)
                 own.append(names)
+                twice.append(n > 1)
+                # different contexts of each
+                held, many = t.as_py(), np.flatnonzero(n[of] > 1)
+                seen = {(k, min(p, reach), held[max(0, p - reach) : p + top]) for k, p in zip(of[many].tolist(), at[many].tolist(), strict=True)}
+                n = np.where(n > 1, 0, n)
+                np.add.at(n, np.fromiter((x[0] for x in seen), np.int64, len(seen)), 1)
                 times.append(n.astype(np.int32))
-            arrays = [pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), *arrays], names=["doc_id", "sha", "n_bytes", "places", "own", "times"])
+            arrays = [pa.array(x, pa.list_(k)) for x, k in ((places, pa.int32()), (own, pa.int64()), (times, pa.int32()), (twice, pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), pa.array(sizes, pa.int64()), *arrays], names=["doc_id", "sha", "n_bytes", "places", "own", "times", "twice"])
 
-    found = keyed.mapInArrow(find, "doc_id long, sha binary, n_bytes long, places array<int>, own array<long>, times array<int>")
+    found = keyed.mapInArrow(find, "doc_id long, sha binary, n_bytes long, places array<int>, own array<long>, times array<int>, twice array<boolean>")
     found = written(found.withColumn("row", F.monotonically_increasing_id()), "suffix-anchors")
     same = found.groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row")).alias("first"))
     same = written(same.select("sha", "copies", F.col("first.doc_id").alias("first_doc"), "first.row"), "suffix-rows")
     light = found.select("doc_id", "sha", "n_bytes").join(same.drop("row"), "sha")
     # one row stands for all copies of a text
     firsts = written(found.where("size(own) > 0").join(same.select("row"), "row", "left_semi").drop("n_bytes"), "suffix-firsts")
-    at = firsts.select("row", F.explode(F.arrays_zip("own", "times")).alias("x")).select("row", F.col("x.own").alias("anchor"), F.col("x.times").alias("n"))
-    again = written(at.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where("n > 1"), "suffix-again")
+    at = firsts.select("row", F.explode(F.arrays_zip("own", "times", "twice")).alias("x")).select("row", F.col("x.own").alias("anchor"), F.col("x.times").alias("n"), "x.twice")
+    again = at.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.max("twice").alias("twice")).where("n > 1 or twice")
+    again = written(again.select("anchor", "n", "texts"), "suffix-again")
     total = again.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
     # at most HOT anchors have so many rows; theirs don't go through a shuffle by anchor
     hot = again.where(F.col("texts") > max(most, total // HOT)).select("anchor")
