@@ -9,7 +9,8 @@ The order is never built over the whole corpus in one task. A string of ``least`
 place of the least hash of its 32-byte grams, and equal strings hold it at the same place. Anchors only deal the
 suffixes out:
 
-1. each text gives its anchors (one in about ``least`` / 2 bytes); anchors seen once are dropped;
+1. each text gives its anchors (one in about ``least`` / 2 bytes; of runs of short period only those at the ends);
+   anchors seen once are dropped;
 2. each place of a repeated anchor gives its context: the bytes before it that strings around it can begin at, and the
    bytes after it that they can reach;
 3. a task sorts whole groups of contexts of one anchor. The order of the suffixes that begin at the anchor is that of
@@ -85,6 +86,50 @@ def anchor_names(b: np.ndarray, at: np.ndarray) -> np.ndarray:
     return gram_hashes(b[at[:, None] + np.arange(GRAM)], GRAM)[:, 0].view(np.int64)
 
 
+def settle_runs(b: np.ndarray, at: np.ndarray, names: np.ndarray, lengths: list[int], keep_first: bool) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """Which anchors are needed, and for each length the stretches that repeat themselves ("the the the ...").
+
+    In a run of period p every string but those that begin in its first p bytes stands p bytes earlier as well, so what
+    lies within the run needs no other text. A string that reaches over the run's begin or end holds the first or the
+    last anchor of the run, one that begins in its first p bytes the first or the second. Runs that are just as long as
+    a wanted string, up to a period more, keep all their anchors.
+    """
+    keep, spans = np.ones(len(at), bool), [[] for _ in lengths]
+    if len(at) < 4:
+        return keep, spans
+    gap = np.diff(at)
+    same = (names[1:] == names[:-1]) & (gap <= GRAM)
+    on = same[1:] & same[:-1] & (gap[1:] == gap[:-1])
+    if not on.any():
+        return keep, spans
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
+    for first, last in zip(edge[::2].tolist(), (edge[1::2] + 1).tolist(), strict=True):
+        p, begin, end = int(gap[first]), int(at[first]), int(at[last]) + GRAM
+        # as far as the period goes; each step looks at a few times as many bytes
+        step = GRAM
+        while begin:
+            low = max(0, begin - step)
+            off = np.flatnonzero(b[low:begin] != b[low + p : begin + p])
+            begin = low if not len(off) else low + int(off[-1]) + 1
+            if len(off):
+                break
+            step *= 4
+        step = GRAM
+        while end < len(b):
+            high = min(len(b), end + step)
+            off = np.flatnonzero(b[end:high] != b[end - p : high - p])
+            end = high if not len(off) else end + int(off[0])
+            if len(off):
+                break
+            step *= 4
+        if all(end - begin >= n + p or end - begin < n for n in lengths):
+            keep[first + 2 : last] = False
+            for n, out in zip(lengths, spans, strict=True):
+                if end - begin >= n + p:
+                    out.append((begin + p if keep_first else begin, end))
+    return keep, spans
+
+
 def _sliding(x: np.ndarray, w: int, op: np.ufunc, fill: np.uint64) -> np.ndarray:
     """op over every w neighbours: a prefix scan and a suffix scan within blocks of w."""
     n = len(x) - w + 1
@@ -269,19 +314,26 @@ def repeats(docs: DataFrame, lengths: list[int], keep_first: bool = False, most:
     least, top = min(lengths), max(lengths)
     reach = least - GRAM
     keyed = _keyed(docs)
+    names_of = [f"spans{k}" for k in range(len(lengths))]
+    some = " or ".join(f"size({c}) > 0" for c in names_of)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary())
-            places, sizes, own, times, twice = [], [], [], [], []
+            places, sizes, own, times, twice, runs = [], [], [], [], [], [[] for _ in lengths]
             for t in texts:
                 a = np.frombuffer(t.as_buffer(), np.uint8)
                 at = anchors(a, least)
+                every = anchor_names(a, at)
+                keep, spans = settle_runs(a, at, every, lengths, keep_first)
+                at = at[keep]
                 sizes.append(len(a))
                 places.append(at.astype(np.int32))
-                names, of, n = np.unique(anchor_names(a, at), return_inverse=True, return_counts=True)
+                names, of, n = np.unique(every[keep], return_inverse=True, return_counts=True)
                 own.append(names)
                 twice.append(n > 1)
+                for x, out in zip(spans, runs, strict=True):
+                    out.append([{"begin": i, "end": j} for i, j in x])
                 # different contexts of each
                 held, many = t.as_py(), np.flatnonzero(n[of] > 1)
                 seen = {(k, min(p, reach), held[max(0, p - reach) : p + top]) for k, p in zip(of[many].tolist(), at[many].tolist(), strict=True)}
@@ -289,9 +341,10 @@ def repeats(docs: DataFrame, lengths: list[int], keep_first: bool = False, most:
                 np.add.at(n, np.fromiter((x[0] for x in seen), np.int64, len(seen)), 1)
                 times.append(n.astype(np.int32))
             arrays = [pa.array(x, pa.list_(k)) for x, k in ((places, pa.int32()), (own, pa.int64()), (times, pa.int32()), (twice, pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), pa.array(sizes, pa.int64()), *arrays], names=["doc_id", "sha", "n_bytes", "places", "own", "times", "twice"])
+            arrays += [pa.array(x, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))) for x in runs]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), pa.array(sizes, pa.int64()), *arrays], names=["doc_id", "sha", "n_bytes", "places", "own", "times", "twice", *names_of])
 
-    found = keyed.mapInArrow(find, "doc_id long, sha binary, n_bytes long, places array<int>, own array<long>, times array<int>, twice array<boolean>")
+    found = keyed.mapInArrow(find, "doc_id long, sha binary, n_bytes long, places array<int>, own array<long>, times array<int>, twice array<boolean>, " + ", ".join(f"{c} {_SPANS}" for c in names_of))
     found = written(found.withColumn("row", F.monotonically_increasing_id()), "suffix-anchors")
     same = found.groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row")).alias("first"))
     same = written(same.select("sha", "copies", F.col("first.doc_id").alias("first_doc"), "first.row"), "suffix-rows")
@@ -311,6 +364,7 @@ def repeats(docs: DataFrame, lengths: list[int], keep_first: bool = False, most:
     texts = keyed.join(todo.join(firsts.select("row", "sha", "doc_id", "places"), "row"), ["sha", "doc_id"])
     texts = written(texts.select("doc_id", "sha", "text", "again", "places"), "suffix-texts")
     some_hot = not again.where(F.col("n") > most).isEmpty()
+    runs_within = written(firsts.where(some).select("sha", *names_of), "suffix-runs")
     for t in (firsts, again):
         discard(t)
 
@@ -360,12 +414,10 @@ def repeats(docs: DataFrame, lengths: list[int], keep_first: bool = False, most:
         if held and (rows := pa.Table.from_batches(held)).num_rows:
             yield _work(rows.combine_chunks(), reach, lengths, keep_first)
 
-    names = [f"spans{k}" for k in range(len(lengths))]
-    some = " or ".join(f"size({c}) > 0" for c in names)
-    spans = []
+    spans = [runs_within]
     for part in range(PARTS):  # so that only a part of all contexts is on disk at a time
         few = contexts(part).repartition(2 * shuffles(spark), "anchor").sortWithinPartitions("anchor")
-        spans.append(written(few.mapInArrow(local, "sha binary, " + ", ".join(f"{c} {_SPANS}" for c in names)).where(some), "suffix-runs"))
+        spans.append(written(few.mapInArrow(local, "sha binary, " + ", ".join(f"{c} {_SPANS}" for c in names_of)).where(some), "suffix-runs"))
     if some_hot:
         many = written(contexts(-1).withColumn("ctx", F.xxhash64("anchor", "left", "bytes")), "suffix-contexts")
         first = F.min(F.struct("doc_id", "sha", F.array_min("places").alias("place")))
@@ -374,14 +426,14 @@ def repeats(docs: DataFrame, lengths: list[int], keep_first: bool = False, most:
         for k, length in enumerate(lengths):
             runs, used = _dealt_out(classes, length, reach, top)
             hits = many.select("anchor", "ctx", "sha", "doc_id", "places").join(runs, ["anchor", "ctx"]).mapInArrow(_narrow(length, keep_first), f"sha binary, spans {_SPANS}").where("size(spans) > 0")
-            spans.append(written(hits.select("sha", *[(F.col("spans") if c == names[k] else F.array().cast(_SPANS)).alias(c) for c in names]), "suffix-runs"))
+            spans.append(written(hits.select("sha", *[(F.col("spans") if c == names_of[k] else F.array().cast(_SPANS)).alias(c) for c in names_of]), "suffix-runs"))
             for t in used:
                 discard(t)
         discard(many)
         discard(classes)
     discard(texts)
     tables, spans = [found, same, *spans], reduce(DataFrame.unionByName, spans)
-    spans = spans.groupBy("sha").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in names])
+    spans = spans.groupBy("sha").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in names_of])
     return light, spans, tables
 
 
