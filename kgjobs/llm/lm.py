@@ -12,7 +12,8 @@ context is one class, the corpus enters through the counts of class pairs, so th
 exactly, over all learning documents, and training costs the same at any size.
 
 Spark gathers, over all learning documents: word counts (pre-aggregated in tasks, one shuffle), class sums, and counts
-of class pairs (CLASSES squared at most). Of these, the ``FREQUENT`` most frequent words and the pair counts reach the
+of class pairs (CLASSES squared at most). Texts are tokenised for the word counts and once more into a table of codes,
+from which pairs and scores come. Of the counts, the ``FREQUENT`` most frequent words and the pair counts reach the
 driver. Words beyond those are joined with their counts by a shuffle, so base scores are exact for any vocabulary.
 
 Defined cases: null text is empty, an empty text is the end token alone; a null doc_id is never held out; repeated rows
@@ -23,12 +24,14 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,23 +115,45 @@ def classes_of(codes: np.ndarray, class_of: np.ndarray, own: int) -> np.ndarray:
     return np.where(codes >= 0, class_of[np.maximum(codes, 0)], own - 1 - codes)
 
 
-def pair_counts(docs: DataFrame, sent, own: int) -> DataFrame:
-    """(before, class, n) of neighbouring tokens' classes; the end token stands before the first."""
+def encoded(docs: DataFrame, sent) -> DataFrame:
+    """(doc_id, codes, rare) of docs(doc_id, text): indices of frequent words, -1 - suffix class for others, and those words."""
+    kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, words, class_of = sent.value
-        lex, size = lexicon(key, words), own + SUFFIXES
-        total = np.zeros(size * size, np.int64)
+        key, words = sent.value
+        look = lexicon(key, words)
         for b in batches:
+            codes, rare = [], []
             for t in b.column("text").to_pylist():
                 w = tokens(t)
-                c = classes_of(np.fromiter(map(lex.__getitem__, w), np.int64, len(w)), class_of, own)
-                pair, n = np.unique(np.concatenate([c[-1:], c[:-1]]) * size + c, return_counts=True)
-                total[pair] += n
+                c = np.fromiter(map(look.__getitem__, w), np.int32, len(w))
+                codes.append(c)
+                rare.append([{"word": x, "n": n} for x, n in Counter([w[i] for i in np.flatnonzero(c < 0).tolist()]).items()])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(codes, pa.list_(pa.int32())), pa.array(rare, kind)], names=["doc_id", "codes", "rare"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, codes array<int>, rare array<struct<word:string,n:long>>")
+
+
+def flat_classes(lists: pa.ListArray, class_of: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of a batch's texts one after the other, their classes and the classes before; every text ends with the end token."""
+    codes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    c = classes_of(codes, class_of, own)
+    return codes, c, np.concatenate([c[-1:], c[:-1]])
+
+
+def pair_counts(codes: DataFrame, sent, own: int) -> DataFrame:
+    """(before, class, n) of neighbouring tokens' classes in codes(codes); the end token stands before the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of, size = sent.value, own + SUFFIXES
+        total = np.zeros(size * size, np.int64)
+        for b in batches:
+            _, c, before = flat_classes(b.column("codes"), class_of, own)
+            total += np.bincount(before * size + c, minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(total[at])], names=["before", "class", "n"])
 
-    return docs.select("text").mapInArrow(run, "before int, class int, n long").groupBy("before", "class").agg(F.sum("n").alias("n"))
+    return codes.select("codes").mapInArrow(run, "before int, class int, n long").groupBy("before", "class").agg(F.sum("n").alias("n"))
 
 
 def train(pairs: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int = STEPS) -> np.ndarray:
@@ -163,11 +188,10 @@ def score(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES) ->
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    learning = docs.where(~held_out(F.col("doc_id")))
-    counts = written(word_counts(learning), "lm-counts")
+    counts = written(word_counts(docs.where(~held_out(F.col("doc_id")))), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.col("c").desc(), "word").limit(frequent).collect()  # bounded by ``frequent``
-    words, c_of = [r.word for r in top], np.array([r.c for r in top], np.int64)
+    top = counts.orderBy(F.col("c").desc(), "word").limit(frequent).toArrow()  # bounded by ``frequent``
+    words, c_of = top.column("word").to_pylist(), top.column("c").to_numpy().copy()
     own = min(classes - SUFFIXES, len(words))
     if END in words and words.index(END) >= own:  # the end token always has a class of its own
         k = words.index(END)
@@ -176,43 +200,41 @@ def score(docs: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES) ->
     # bounded by the number of classes
     sums = {r.k: (r.n, r.v) for r in counts.where(~F.col("word").isin(singles) if singles else F.lit(True)).groupBy(suffix_class(F.col("word")).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     class_of = np.array([k if k < own else own + zlib.crc32(w[-2:].encode()) % SUFFIXES for k, w in enumerate(words)], np.int64)
-    key = f"{spark.sparkContext.applicationId}-{zlib.crc32(repr((n, v, words[:50], c_of[:50].tolist())).encode())}-{id(counts)}"
-    lex = spark.sparkContext.broadcast((key, words, class_of))
+    if not len(class_of):
+        class_of = np.zeros(1, np.int64)
+    log_c = np.log10(c_of + 0.1) if len(words) else np.zeros(1)
+    key = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    # texts are turned into codes once; learning and scoring read the codes
+    codes = encoded(docs, spark.sparkContext.broadcast((key, words))).withColumn("row", F.monotonically_increasing_id())
+    codes = written(codes, "lm-codes")
     pairs = np.zeros((own + SUFFIXES, own + SUFFIXES))
-    for r in pair_counts(learning, lex, own).toLocalIterator():
-        pairs[r["before"], r["class"]] = r["n"]
+    counted = pair_counts(codes.where(~held_out(F.col("doc_id"))), spark.sparkContext.broadcast(class_of), own).toArrow()  # bounded by classes squared
+    pairs[counted.column("before").to_numpy(), counted.column("class").to_numpy()] = counted.column("n").to_numpy()
     table = (train(pairs) / math.log(10)).astype(np.float32)
     share = np.array([math.log10(sums.get(k, (0, 0))[0] + 0.1 * (sums.get(k, (0, 0))[1] + 1)) for k in range(SUFFIXES)])
-    model = spark.sparkContext.broadcast((table, np.log10(c_of + 0.1), share))
+    model = spark.sparkContext.broadcast((table, class_of, log_c, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, words, class_of = lex.value
-        table, log_c, share = model.value
-        look = lexicon(key, words)
+        table, class_of, log_c, share = model.value
         for b in batches:
-            rows = []
-            for t in b.column("text").to_pylist():
-                w = tokens(t)
-                codes = np.fromiter(map(look.__getitem__, w), np.int64, len(w))
-                c = classes_of(codes, class_of, own)
-                inside = codes >= 0
-                known = codes[inside]
-                base = float(log_c[known].sum()) if len(known) else 0.0
-                single = codes[(codes >= 0) & (codes < own)]
-                # rare words' log c comes with the join: it is the same in both scores
-                s = float(table[np.concatenate([c[-1:], c[:-1]]), c].sum(dtype=np.float64)) - float(share[c[c >= own] - own].sum()) - float(log_c[single].sum() if len(single) else 0.0) + base
-                rare = Counter(w[i] for i in np.flatnonzero(~inside))
-                rows.append((len(w), len(known), base, s, list(rare.items())))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            rares = pa.array([[{"word": x, "n": k} for x, k in r] for r in cols[4]], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x, t) for x, t in zip(cols[:4], kinds, strict=True)], rares], names=["doc_id", "n_tokens", "n_known", "base", "s", "rare"])
-
-    done = docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, s double, rare array<struct<word:string,n:long>>")
-    done = written(done.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    rare = done.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(counts, "word", "left")
+            if not b.num_rows:
+                continue
+            lists = b.column("codes")
+            code, c, before = flat_classes(lists, class_of, own)
+            sizes = pc.list_value_length(lists).to_numpy()
+            begin = np.cumsum(sizes) - sizes
+            of_class = table[before, c].astype(np.float64)
+            known = np.where(code >= 0, log_c[np.maximum(code, 0)], 0.0)
+            # a word of its own class has nothing to share; rare words' log c comes with the join: it is the same in both scores
+            of_word = np.where(c < own, 0.0, known - share[np.maximum(c - own, 0)])
+            sums = [np.add.reduceat(x, begin) for x in (known, of_class + of_word)]
+            n_known = np.add.reduceat((code >= 0).astype(np.int64), begin)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(sizes.astype(np.int64)), pa.array(n_known), *map(pa.array, sums)], names=["doc_id", "row", "n_tokens", "n_known", "base", "s"])
+
+    done = codes.select("doc_id", "row", "codes").mapInArrow(run, "doc_id long, row long, n_tokens long, n_known long, base double, s double")
+    rare = codes.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(c + F.lit(0.1))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"))
-    out = done.drop("rare").join(rare, "row", "left")
+    out = done.join(rare, "row", "left")
     more, known = F.coalesce("more", F.lit(0.0)), F.coalesce("known", F.lit(0))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") + more - F.col("n_tokens") * math.log10(n + 0.1 * (v + 1))).alias("base_score"), (F.col("s") + more).alias("score"))

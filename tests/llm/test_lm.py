@@ -46,3 +46,30 @@ def test_beats_base_on_held_out_text(spark):
 
 def test_empty(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_score_equals_the_models_own_probabilities(spark):
+    r = random.Random(5)
+    rows = [(k, " ".join(r.choice("abcdefgh") * r.randint(1, 4) for _ in range(r.randint(0, 30)))) for k in range(150)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    c = Counter(x for d, t in rows if not held(d) for x in toks(t))
+    top = sorted(c, key=lambda w: (-c[w], w))
+    own = min(20, len(top))
+    if top.index("") >= own:
+        k = top.index("")
+        top[own - 1], top[k] = top[k], top[own - 1]
+    cls = lambda w: top.index(w) if w in top[:own] else own + zlib.crc32(w[-2:].encode()) % lm.SUFFIXES
+    size = own + lm.SUFFIXES
+    pairs = np.zeros((size, size))
+    for d, t in rows:
+        if not held(d):
+            w = toks(t)
+            for x, y in zip([""] + w, w):
+                pairs[cls(x), cls(y)] += 1
+    table = lm.train(pairs)
+    total = lambda k: (sum(n for w, n in c.items() if cls(w) == k), sum(cls(w) == k for w in c))
+    word = lambda w: 1.0 if cls(w) < own else (c[w] + 0.1) / (total(cls(w))[0] + 0.1 * (total(cls(w))[1] + 1))
+    want = {d: sum(table[cls(x), cls(y)] / math.log(10) + math.log10(word(y)) for x, y in zip([""] + toks(t), toks(t))) for d, t in rows}
+    for frequent in (25, 100_000):
+        got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), frequent, classes=lm.SUFFIXES + 20).collect()
+        assert len(got) == len(rows) and all(abs(g.score - want[g.doc_id]) < 1e-3 for g in got)
