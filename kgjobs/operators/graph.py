@@ -143,3 +143,8 @@ def taint_check(calls: DataFrame, labels: DataFrame, forbidden: int) -> DataFram
     named = calls.select("session", "seq", F.explode(F.array_distinct(F.regexp_extract_all("args", F.lit("(call_[0-9]+)"), F.lit(1)))).alias("call_id"))
     hit = named.join(labels.select("session", "call_id", F.col("seq").alias("at"), "label"), ["session", "call_id"]).where("at < seq")
     return hit.groupBy("session", "seq").agg(F.bit_or("label").alias("label")).where(F.col("label").bitwiseAND(F.lit(forbidden)) != 0)
+
+
+def domain_tree(tree: DataFrame) -> DataFrame:
+    """(parent, children) of tree(parent, child)."""
+    return tree.where("parent <> child").distinct().groupBy("parent").agg(F.array_sort(F.collect_list("child")).alias("children"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,28 +16,42 @@ from ..functions import priority_rank, tokenize
 QUERY_BYTES = 64 << 20
 
 
-def keyword_score(rules: DataFrame, queries: DataFrame) -> DataFrame:
+def keyword_score(rules: DataFrame, queries: DataFrame, active: DataFrame | None = None, expanded: DataFrame | None = None, expanded_weight: float = 0.5) -> DataFrame:
     """(query, id, score): priority weight times ln(1 + matches) over tags(array) of rules and concepts of queries.
 
     A tag counts 1 if all its tokens are in the task and 2 if it is a concept; one of triggers(array, optional) of rules
-    counts 3 if it is a concept, else 1 if all its tokens are in the task. Terms meet in an equi-join on tokens and on
-    concepts, never rule by rule; queries(query, task, concepts).
+    counts 3 if it is a concept, else 1 if all its tokens are in the task. What counts nothing so far counts
+    ``expanded_weight`` times 2 (triggers: 3) if it is one of expanded(query, term). A rule whose domain is one of
+    active(query, name) counts 2 more. Terms meet in an equi-join on tokens and on concepts, never rule by rule;
+    queries(query, task, concepts).
     """
-    tags = rules.select("id", F.posexplode("tags").alias("n", "tag")).withColumn("need", tokenize(F.col("tag"))).where(F.size("need") > 0)
-    asked = queries.select("query", tokenize(F.col("task")).alias("tokens"))
-    tokens = asked.select("query", F.explode("tokens").alias("token"))
-    need = tags.select("id", "n", F.size("need").alias("size"), F.explode("need").alias("token"))
-    whole = need.join(tokens, "token").groupBy("query", "id", "n", "size").count().where("count = size").groupBy("query", "id").agg(F.count("*").alias("m"))
-    concepts = queries.select("query", F.explode("concepts").alias("concept")).select("query", F.lower("concept").alias("tag")).distinct()
-    equal = tags.withColumn("tag", F.lower("tag")).join(concepts, "tag").groupBy("query", "id").agg((2 * F.count("*")).alias("m"))
+    tokens = queries.select("query", F.explode(tokenize(F.col("task"))).alias("token"))
+    concepts = queries.select("query", F.explode("concepts").alias("concept")).select("query", F.lower("concept").alias("term")).distinct()
+
+    def terms(column: str) -> DataFrame:
+        return rules.select("id", F.posexplode(column).alias("n", "tag")).select("id", "n", F.lower("tag").alias("term"), F.array_distinct(tokenize(F.col("tag"))).alias("need"))
+
+    def said(t: DataFrame) -> DataFrame:
+        need = t.select("id", "n", F.size("need").alias("size"), F.explode("need").alias("token"))
+        return need.join(tokens, "token").groupBy("query", "id", "n", "size").count().where("count = size").select("query", "id", "n")
+
+    def beside(t: DataFrame, matched: DataFrame, weight: float) -> list[DataFrame]:
+        if expanded is None:
+            return []
+        more = t.join(expanded.select("query", F.lower("term").alias("term")).distinct(), "term").select("query", "id", "n")
+        return [more.join(matched, ["query", "id", "n"], "left_anti").withColumn("m", F.lit(weight * expanded_weight))]
+
+    tags = terms("tags")
+    whole, equal = said(tags), tags.join(concepts, "term").select("query", "id", "n")
+    found = [whole.withColumn("m", F.lit(1.0)), equal.withColumn("m", F.lit(2.0)), *beside(tags, whole.unionByName(equal).distinct(), 2)]
     if "triggers" in rules.columns:
-        triggers = rules.select("id", F.posexplode("triggers").alias("n", "tag")).withColumn("need", F.array_distinct(tokenize(F.col("tag"))))
-        named = triggers.withColumn("tag", F.lower("tag")).join(concepts, "tag").select("query", "id", "n", F.lit(3).alias("m"))
-        need = triggers.select("id", "n", F.size("need").alias("size"), F.explode("need").alias("token"))
-        said = need.join(tokens.distinct(), "token").groupBy("query", "id", "n", "size").count().where("count = size").select("query", "id", "n", F.lit(1).alias("m"))
-        either = named.unionByName(said).groupBy("query", "id", "n").agg(F.max("m").alias("m"))
-        whole = whole.unionByName(either.groupBy("query", "id").agg(F.sum("m").alias("m")))
-    total = whole.unionByName(equal).groupBy("query", "id").agg(F.sum("m").alias("m"))
+        triggers = terms("triggers")
+        named = triggers.join(concepts, "term").select("query", "id", "n").withColumn("m", F.lit(3.0))
+        either = named.unionByName(said(triggers).withColumn("m", F.lit(1.0))).groupBy("query", "id", "n").agg(F.max("m").alias("m"))
+        found += [either, *beside(triggers, either, 3)]
+    if active is not None:
+        found.append(rules.select("id", F.col("domain").alias("name")).join(active.select("query", "name").distinct(), "name").select("query", "id", F.lit(-1).alias("n"), F.lit(2.0).alias("m")))
+    total = reduce(DataFrame.unionByName, found).groupBy("query", "id").agg(F.sum("m").alias("m"))
     weight = rules.select("id", (priority_rank(F.col("priority")) + 1).alias("weight"))
     return total.join(weight, "id").select("query", "id", (F.col("weight") * F.log1p("m")).alias("score"))
 

@@ -1,5 +1,5 @@
 """Registered jobs over the driver tables; importing this package registers them."""
 
-from . import maintenance, streams
+from . import context, ingest, maintenance, streams
 
-__all__ = ["maintenance", "streams"]
+__all__ = ["context", "ingest", "maintenance", "streams"]
