@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import normalize_memory, recency_factor
+from ..functions import jaccard, memory_id, normalize_memory, recency_factor, tokenize
 from ..sources import scratch
 
 
@@ -148,3 +148,116 @@ def taint_check(calls: DataFrame, labels: DataFrame, forbidden: int) -> DataFram
 def domain_tree(tree: DataFrame) -> DataFrame:
     """(parent, children) of tree(parent, child)."""
     return tree.where("parent <> child").distinct().groupBy("parent").agg(F.array_sort(F.collect_list("child")).alias("children"))
+
+
+def purge(rules: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rules and chunks(parent) without the named rules, which must have been deleted before."""
+    gone = rules.where("deleted_at is not null").join(ids, "id", "left_semi").select("id")
+    return rules.join(gone, "id", "left_anti"), chunks.join(gone.withColumnRenamed("id", "parent"), "parent", "left_anti")
+
+
+def list_deleted(rules: DataFrame) -> DataFrame:
+    """Deleted rules, newest first, with their first line up to 120 characters."""
+    line = F.substring(F.trim(F.regexp_extract("body", r"\A\s*([^\n]*)", 1)), 1, 120)
+    return rules.where("deleted_at is not null").select("id", "deleted_at", line.alias("preview")).orderBy(F.col("deleted_at").desc(), "id")
+
+
+def validate_graph(rules: DataFrame, implies: DataFrame) -> DataFrame:
+    """One row (cyclic, missing): whether implies(src, dst) has a cycle of two or more, and how many implied ids are no rule.
+
+    Nodes that nothing leads to or that lead nowhere are peeled off round by round; a core remains just where there is a
+    cycle. Each round is a written table.
+    """
+    spark, base, n = rules.sparkSession, scratch(rules.sparkSession, "implied"), 0
+    left = implies.where("src <> dst").select("src", "dst").distinct()
+    left.write.parquet(f"{base}/0")
+    size = spark.read.parquet(f"{base}/0").count()
+    while size:
+        left = spark.read.parquet(f"{base}/{n}")
+        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        n += 1
+        kept.write.parquet(f"{base}/{n}")
+        now = spark.read.parquet(f"{base}/{n}").count()
+        if now == size:
+            break
+        size = now
+    missing = implies.select(F.col("dst").alias("id")).join(rules.select("id"), "id", "left_anti").agg(F.count_distinct("id").alias("missing"))
+    return missing.select(F.lit(size > 0).alias("cyclic"), "missing")
+
+
+def similar_pairs(memories: DataFrame, above: float) -> DataFrame:
+    """(owner, a, b), a before b in the order newest, then id: memories whose token sets have a Jaccard likeness over ``above``.
+
+    Tokens are ordered by how rare they are; likeness over ``above`` needs a common one among each side's rarest
+    size - ceil(above size) + 1, so only those meet in a join, and the whole sets confirm.
+    """
+    key = F.struct(F.coalesce(F.datediff(F.lit("9999-12-31").cast("date"), "created"), F.lit(2**31 - 1)).alias("age"), "id")
+    m = memories.select("owner", key.alias("key"), tokenize(F.col("body")).alias("tokens")).where("size(tokens) > 0")
+    each = m.select("owner", "key", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    often = each.groupBy("owner", "token").agg(F.count("*").alias("often"))
+    ranked = each.join(often, ["owner", "token"]).groupBy("owner", "key", "size").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
+    first = ranked.select("owner", "key", "size", F.explode(F.slice("t.token", F.lit(1), (F.col("size") - F.ceil(F.col("size") * above) + 1).cast("int"))).alias("token"))
+    other = first.select("owner", F.col("key").alias("key2"), F.col("size").alias("size2"), "token")
+    near = first.join(other, ["owner", "token"]).where("key < key2").where((F.col("size2") >= F.col("size") * above) & (F.col("size") >= F.col("size2") * above))
+    near = near.select("owner", "key", "key2").distinct()
+    both = near.join(m, ["owner", "key"]).join(m.select("owner", F.col("key").alias("key2"), F.col("tokens").alias("tokens2")), ["owner", "key2"])
+    return both.where(jaccard(F.col("tokens"), F.col("tokens2")) > above).select("owner", F.col("key.id").alias("a"), F.col("key2.id").alias("b"))
+
+
+def dedupe_near(memories: DataFrame, above: float = 0.9) -> DataFrame:
+    """Memories without those too like a newer one that is kept; above 1 nothing goes.
+
+    A memory is kept once all newer ones like it have gone, and goes once one of them is kept. Rounds settle at least
+    the newest open one of every chain; each is a written table of the still open pairs.
+    """
+    if above > 1:
+        return memories
+    spark, base, n = memories.sparkSession, scratch(memories.sparkSession, "near"), 0
+    similar_pairs(memories, above).select("a", "b").write.parquet(f"{base}/0")
+    gone = []
+    while True:
+        pairs = spark.read.parquet(f"{base}/{n}")
+        if pairs.isEmpty():
+            break
+        # what is nobody's later side is kept, so its later sides go
+        kept = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")), "a", "left_anti")
+        drop = pairs.join(kept, "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        n += 1
+        drop.write.parquet(f"{base}/gone-{n}")
+        drop = spark.read.parquet(f"{base}/gone-{n}")
+        gone.append(f"{base}/gone-{n}")
+        rest = pairs.join(drop.withColumnRenamed("id", "a"), "a", "left_anti").join(drop.withColumnRenamed("id", "b"), "b", "left_anti")
+        rest.write.parquet(f"{base}/{n}")
+    return memories.join(spark.read.parquet(*gone), "id", "left_anti") if gone else memories
+
+
+def remember(memories: DataFrame, facts: DataFrame, above: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """Memories(owner, id, body, created) with new facts of the same columns, an id once, and (id, old): what a fact supersedes."""
+    new = facts.join(memories.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    every = memories.select("owner", "id", "body", "created").unionByName(new.select("owner", "id", "body", "created"))
+    pairs = similar_pairs(every, above)
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("old")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("old")))
+    return every, both.join(new.select("id"), "id", "left_semi").join(memories.select(F.col("id").alias("old")), "old", "left_semi").select("id", "old")
+
+
+def forget(memories: DataFrame, asked: DataFrame) -> DataFrame:
+    """Memories(memory_id) without those of asked(owner, content)."""
+    return memories.join(asked.select(memory_id(F.col("owner"), F.col("content")).alias("memory_id")), "memory_id", "left_anti")
+
+
+def consolidate_all(memories: DataFrame, now: Column, half_life_days: float, above: float = 0.9, least: float = 0.05) -> DataFrame:
+    """One row (users, exact, near, faded): how many memories go as copies, as near copies of kept ones, and as faded, over all owners."""
+    unique = dedupe_exact(memories)
+    kept = dedupe_near(unique, above)
+    fresh = prune_faded(kept, now, half_life_days, least)
+    n = lambda d, c: d.agg(F.count("*").alias(c))
+    every = memories.agg(F.count_distinct("owner").alias("users"), F.count("*").alias("n0"))
+    one = every.crossJoin(n(unique, "n1")).crossJoin(n(kept, "n2")).crossJoin(n(fresh, "n3"))  # a row each
+    return one.select("users", (F.col("n0") - F.col("n1")).alias("exact"), (F.col("n1") - F.col("n2")).alias("near"), (F.col("n2") - F.col("n3")).alias("faded"))
+
+
+def coverage_report(found: DataFrame, most: int = 50) -> DataFrame:
+    """(category, n, truncated, rank, item) of found(category, item): exact counts and the first ``most`` items of each category."""
+    sizes = found.groupBy("category").agg(F.count("*").alias("n"))
+    first = found.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy("item"))).where(F.col("rank") <= most)
+    return first.join(sizes, "category").select("category", "n", (F.col("n") > most).alias("truncated"), "rank", "item")

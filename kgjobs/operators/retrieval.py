@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import priority_rank, tokenize
+from ..sources import scratch
 
 #: Bytes of query vectors that one pass sends to the tasks.
 QUERY_BYTES = 64 << 20
@@ -214,3 +215,83 @@ def mmr_rerank(ranked: DataFrame, k: int = 15, weight: float = 0.7) -> DataFrame
     top = ranked.where(F.col("rank") <= k)
     done = top.groupBy("query").applyInPandas(order, f"query {kind['query']}, rank {kind['rank']}, id {kind['id']}")
     return done.unionByName(ranked.where(F.col("rank") > k).select("query", "rank", "id"))
+
+
+def head_of(rule_id: Column) -> Column:
+    """First two segments of git: and upload: ids of three or more."""
+    parts = F.split(rule_id, ":")
+    return F.when(rule_id.rlike("^(git|upload):") & (F.size(parts) >= 3), F.concat_ws(":", F.slice(parts, 1, 2)))
+
+
+def mark_dirty_heads(embedded: DataFrame) -> DataFrame:
+    """Heads of embedded(id), leaves that have new embeddings."""
+    return embedded.select(head_of(F.col("id")).alias("head")).where("head is not null").distinct()
+
+
+def head_coverage(heads: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row (with_vectors, total) of heads(head) against vectors(head)."""
+    have = vectors.select("head", F.lit(True).alias("has")).distinct()
+    return heads.join(have, "head", "left").agg(F.count("has").alias("with_vectors"), F.count("*").alias("total"))
+
+
+def top_heads(vectors: DataFrame, queries: DataFrame, k: int = 3, fetched: int = 24, above: float = 0.4) -> DataFrame:
+    """(query, head, score): the k best heads by their best centroid among the ``fetched`` nearest of vectors(head, ord, embedding)."""
+    chunks = vectors.select(F.col("head").alias("parent"), F.xxhash64("head", "ord").alias("chunk"), "embedding")
+    near = vector_topk(chunks, queries, fetched, above).select("query", F.col("parent").alias("id"), "score")
+    return top_k(near, k).select("query", F.col("id").alias("head"), "score")
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays; 0 for empty ones, unequal sizes or no length."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    size = norm(a) * norm(b)
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (size > 0), dot / size).otherwise(0.0)
+
+
+def vector_fallback(ranked: DataFrame, chunks: DataFrame, queries: DataFrame, most: int = 500, above: float = 0.5) -> DataFrame:
+    """(query, id, score): best cosine over the chunks(parent, embedding) of the first ``most`` of ranked(query, rank, id)."""
+    first = ranked.where(F.col("rank") <= most).select("query", "id")
+    both = first.join(chunks.select(F.col("parent").alias("id"), F.col("embedding").alias("v")), "id").join(queries.select("query", "embedding"), "query")
+    return both.groupBy("query", "id").agg(F.max(cosine(F.col("embedding"), F.col("v"))).alias("score")).where(F.col("score") > above)
+
+
+def build_head_vectors(leaves: DataFrame, rounds: int = 10, per: int = 50, most: int = 8) -> DataFrame:
+    """(head, ord, embedding): k-means centroids of each head's leaves(head, id, embedding), k = n / per, 1 to ``most``, of length 1.
+
+    Starts are the smallest id, then the leaf farthest from all starts so far (smallest id of equals); then up to
+    ``rounds`` rounds of squared distances; empty clusters go. A round joins the heads' few centroids to their leaves
+    and averages by an aggregation that starts in the tasks, so no head meets in one task. Each round is a written table.
+    """
+    spark, base = leaves.sparkSession, scratch(leaves.sparkSession, "heads")
+    leaves = leaves.select("head", "id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    sizes = leaves.groupBy("head").agg(F.least(F.greatest(F.floor(F.count("*") / per), F.lit(1)), F.lit(most)).alias("k"), F.min(F.struct("id", "v")).alias("at"))
+    centers = _held(sizes.select("head", "k", F.array("at.v").alias("c")), f"{base}/start-0")
+    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
+    v = F.col("v")
+    for n in range(1, most):
+        open_ = centers.where("size(c) < k")
+        if open_.isEmpty():
+            break
+        far = leaves.join(open_, "head").select("head", "id", "v", F.array_min(F.transform("c", lambda x: apart(x, v))).alias("d"))
+        pick = far.groupBy("head").agg(F.min(F.struct((-F.col("d")).alias("d"), "id", "v")).alias("at"))
+        more = F.when(F.col("at").isNotNull(), F.array_append("c", F.col("at.v"))).otherwise(F.col("c"))
+        centers = _held(centers.join(pick, "head", "left").select("head", "k", more.alias("c")), f"{base}/start-{n}")
+    clusters = centers.select("head", F.posexplode("c").alias("ord", "c"))
+    for n in range(rounds):
+        held = clusters.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("ord", "c"))).alias("cs"))
+        near = leaves.join(held, "head").select("head", "v", F.array_min(F.transform("cs", lambda x: F.struct(apart(x["c"], v).alias("d"), x["ord"].alias("ord"))))["ord"].alias("ord"))
+        part = near.select("head", "ord", F.posexplode("v").alias("i", "x")).groupBy("head", "ord", "i").agg(F.avg("x").alias("x"))
+        mean = part.groupBy("head", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("c"))
+        new = _held(mean, f"{base}/round-{n}")
+        moved = new.join(clusters.withColumnRenamed("c", "old"), ["head", "ord"], "left").where(F.col("old").isNull() | (apart(F.col("c"), F.col("old")) > 1e-18))
+        clusters, done = new, moved.isEmpty()
+        if done:
+            break
+    length = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))
+    return clusters.withColumn("n", length).select("head", "ord", F.transform("c", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(x)).alias("embedding"))
+
+
+def _held(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
