@@ -72,6 +72,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+def set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """docs(used..., _aside): all of a row goes into one struct, so that none of its names can clash with an operator's own."""
+    return docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_aside"))
+
+
+def brought_back(df: DataFrame, docs: DataFrame, *outputs: str) -> DataFrame:
+    """The columns of docs from _aside and the outputs; a column named like an output gives way to it."""
+    return df.select(*[F.col("_aside").getField(c).alias(c) for c in docs.columns if c not in outputs], *outputs)
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact similarity.
 
 Texts are lower-cased runs of letters, digits and underscores. A window or item is a weighted multiset of its
-``width``-word shingles; a shingle that df of the N items (of a part, see below) have weighs ln(1 + N / max(df, 1)). Similarity is the
-weighted Jaccard index, sum of min / sum of max.
+``width``-word shingles. Of an item's shingles, one that df of all N items have weighs ln(1 + N / df); a shingle that the
+item doesn't have weighs ln(1 + N). Similarity is the weighted Jaccard index, sum of min / sum of max. N and df are
+counted once over the whole benchmark, so a pair's similarity doesn't depend on how items are dealt to parts.
 
 Every window with as many words as an item (a whole document, where that is shorter) that shares a shingle with the
 item gets a 64-bit SimHash; a window that shares none has similarity 0. Fingerprints are compared through ``BLOCKS``
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches
+from .common import mix64, small_batches, written
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -47,10 +48,35 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def shingles(words: list[str], n: int, w: int) -> list[int]:
+    """Names of the w-word shingles of words; of a text of n < w words the one of all its words."""
+    if n < w:
+        return [xxhash.xxh64_intdigest("\x1f".join(words), n)] if words else []
+    return [xxhash.xxh64_intdigest("\x1f".join(words[i : i + w])) for i in range(len(words) - w + 1)]
+
+
+def _signed(name: int) -> int:
+    return name - 2**64 if name >= 2**63 else name
+
+
+def item_shingles(items: DataFrame, width: int) -> DataFrame:
+    """(name) of each item's different shingles, and one null for each item that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[int | None] = []
+            for t in b.column("text").to_pylist():
+                w = tokens(t)
+                out += [*{_signed(s) for s in shingles(w, len(w), width)}, None] if w else []
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["name"])
+
+    return items.select("text").mapInArrow(run, "name long")
+
+
 class Index:
     """Items of one part: shingles, weights, fingerprints, and blocks of those."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int, radius: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], width: int, radius: int, every: int, often: dict[int, int]) -> None:
         self.width, self.radius = width, radius
         self.ids = [i for i, _ in items]
         words = [tokens(t) for _, t in items]
@@ -60,9 +86,8 @@ class Index:
             for x in w:
                 self.vocab.setdefault(x, len(self.vocab))
         self.bags = [Counter(self.shingles(w, len(w))) for w in words]
-        df = Counter(s for b in self.bags for s in b)
-        self.weight = {s: math.log(1 + len(items) / n) for s, n in df.items()}
-        self.other = math.log(1 + len(items))
+        self.weight = {s: math.log(1 + every / often.get(_signed(s), 1)) for b in self.bags for s in b}
+        self.other = math.log(1 + every)
         self.total = np.array([sum(self.weight[s] * n for s, n in b.items()) for b in self.bags])
         self.has: dict[int, list[int]] = defaultdict(list)
         for k, b in enumerate(self.bags):
@@ -77,10 +102,7 @@ class Index:
         self.of_size = {n: np.flatnonzero(self.size == n) for n in set(self.size.tolist())}
 
     def shingles(self, words: list[str], n: int) -> list[int]:
-        w = self.width
-        if n < w:
-            return [xxhash.xxh64_intdigest("\x1f".join(words), n)] if words else []
-        return [xxhash.xxh64_intdigest("\x1f".join(words[i : i + w])) for i in range(len(words) - w + 1)]
+        return shingles(words, n, self.width)
 
     def _known(self, ids: np.ndarray) -> np.ndarray:
         w = self.width
@@ -108,7 +130,7 @@ class Index:
     def similarity(self, bag: Counter, item: int) -> float:
         own = self.bags[item]
         both = sum(self.weight[s] * min(n, bag[s]) for s, n in own.items() if s in bag)
-        total = sum(self.weight.get(s, self.other) * n for s, n in bag.items()) + self.total[item] - both
+        total = sum((self.weight[s] if s in own else self.other) * n for s, n in bag.items()) + self.total[item] - both
         return both / total if total else 0.0
 
     def matches(self, text: str | None, least: float) -> list[tuple[int, int, int, float]]:
@@ -174,12 +196,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, simila
     ddl = "doc_id long, item_id long, first_word int, n_words int, similarity double"
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
     found = []
+    counted = written(item_shingles(items, width).groupBy("name").agg(F.count("*").alias("n")), "leak-shingles")
+    every = (counted.where("name is null").first() or (None, 0))[1]
     for part in range(parts):
-        rows = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()]
+        own = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
+        rows = [(r.item_id, r.text) for r in own.collect()]
+        # at most the part's own shingles
+        often = {r.name: r.n for r in item_shingles(own, width).where("name is not null").distinct().join(counted.where("n > 1"), "name").collect()}
         rows = sorted((r for r in rows if tokens(r[1])), key=lambda r: (r[0] is not None, r[0], r[1]))
         if not rows:
             continue
-        index = spark.sparkContext.broadcast((rows, width, radius))
+        index = spark.sparkContext.broadcast((rows, width, radius, every, often))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             ix = Index(*index.value)

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import shuffles, small_batches, written
+from .common import brought_back, set_aside, shuffles, small_batches, written
 
 CHUNK = 16384
 #: Words whose pieces a worker remembers.
@@ -260,10 +261,11 @@ def states_at_cuts(matrices: list[dict[int, frozenset]], last: frozenset) -> lis
 
 def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, text: str = "text") -> DataFrame:
     """docs with ids array<int>, n_tokens and round_trip (whether decoding the ids gives the text back)."""
-    spark, model = docs.sparkSession, model or default_model()
+    spark, model, every = docs.sparkSession, model or default_model(), docs
     small_batches(spark)
+    docs = set_aside(docs, text)
     size = F.length(F.coalesce(text, F.lit("")))
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, ids array<int>, n_tokens long, round_trip boolean"
+    schema = docs.select(text, "_aside").schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("round_trip", "boolean")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(model)
@@ -276,15 +278,25 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, text:
 
     done = docs.where(size <= chunk).mapInArrow(short, schema)
     long = written(docs.where(size > chunk).withColumn("_row", F.monotonically_increasing_id()), "pieces-long")
-    return done.unionByName(_encode_long(long, model, chunk, text).select(done.columns))
+    return brought_back(done.unionByName(_encode_long(long, model, chunk, text).select(done.columns)), every, "ids", "n_tokens", "round_trip")
 
 
 def _encode_long(long: DataFrame, model: str, chunk: int, text: str) -> DataFrame:
-    s = F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
     side = 32
-    cut = long.select("_row", s.alias("s"), F.explode(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / chunk).cast("int"))).alias("k"))
-    left = F.least(F.col("k") * chunk, F.lit(side))
-    cut = cut.select("_row", "k", F.substring("s", F.col("k") * chunk - left + 1, left + chunk + side).alias("piece"), left.alias("begin"), F.least(left + chunk, left + F.length("s") - F.col("k") * chunk).cast("int").alias("end"))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_row", "k", "piece", "begin", "end"]
+        for b in batches:
+            for row, t in zip(b.column("_row").to_pylist(), b.column(text).to_pylist(), strict=True):
+                s, rows = SPACE + t.replace(" ", SPACE), []
+                for k, at in enumerate(range(0, len(s), chunk)):
+                    left = min(at, side)
+                    rows.append((row, k, s[at - left : at + chunk + side], left, min(left + chunk, left + len(s) - at)))
+                for i in range(0, len(rows), 200):
+                    cols = zip(*rows[i : i + 200], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=names)
+
+    cut = long.select("_row", text).mapInArrow(pieces, "_row long, k int, piece string, begin int, end int")
     cut = written(cut.repartition(4 * shuffles(long.sparkSession), "_row", "k"), "pieces-chunks")
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,5 +346,4 @@ def _encode_long(long: DataFrame, model: str, chunk: int, text: str) -> DataFram
             same = [p.decode(np.array(ids, "<i4")) == t for ids, t in zip(b.column("ids").to_pylist(), b.column(text).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(same)], names=[*b.schema.names, "round_trip"])
 
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in out.schema)}, round_trip boolean"
-    return out.mapInArrow(check, schema)
+    return out.mapInArrow(check, out.select("*").schema.add("round_trip", "boolean"))

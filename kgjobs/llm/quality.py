@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, lower_ascii, small_batches
+from .common import WORDS, brought_back, lower_ascii, set_aside, small_batches
 
 MOST_LABELLED = 20_000
 SLOTS = 1 << 14
@@ -199,10 +199,10 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
         for b in batches:
             texts = b.column("text").to_pylist()
             s = np.full(len(texts), network) if isinstance(network, float) else network.score(np.stack([features(t, vectors) for t in texts]).astype(float)) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column("_aside"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["_aside", "score", "predicted"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, score double, predicted int")
+    rows = set_aside(docs, "text")
+    return brought_back(rows.mapInArrow(run, rows.select("_aside").schema.add("score", "double").add("predicted", "int")), docs, "score", "predicted")
 
 
 def bare_words(text: str | None) -> set[str]:

@@ -46,3 +46,9 @@ def test_null_empty_and_space_mark(spark):
     got = {r.doc_id: (r.n_tokens, r.round_trip) for r in pieces.encode(df).collect()}
     assert got[1] == (0, True) and got[None] == (0, True) and got[3][1] is False
     assert pieces.encode(df.limit(0)).count() == 0
+
+
+def test_clashing_names_and_null_texts(spark):
+    df = spark.createDataFrame([(1, "a b " * 3000, 5, "x"), (2, None, 6, "y"), (None, "a b", 7, "z")], "doc_id long, text string, n_tokens int, _row string")
+    got = sorted(((r.doc_id, r._row, r.n_tokens > 0, r.round_trip) for r in pieces.encode(df, chunk=1000).collect()), key=str)
+    assert got == sorted([(1, "x", True, True), (2, "y", False, True), (None, "z", True, True)], key=str)

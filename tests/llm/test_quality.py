@@ -66,3 +66,10 @@ def test_without_toxic_labels(spark):
     assert quality.accepted(docs, model, quality.learn_toxic(docs, none, model[0])).count() == 2
     every = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality.accepted(docs, model, quality.learn_toxic(docs, every, model[0])).count() == 0
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "mine", 3), (None, None, "mine", 4), (1, "a b", "mine", 3)], "doc_id long, text string, score string, predicted int")
+    model = quality.learn(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    got = quality.score(docs, model).collect()
+    assert len(got) == 3 and all(0 <= r.score <= 1 for r in got)
