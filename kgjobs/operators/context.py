@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import scratch
-from .retrieval import apply_multipliers, expand_graph, keyword_score, merge_active, top_k
+from .retrieval import apply_multipliers, expand_graph, held, keyword_score, merge_active, top_k
 from .rules import apply_budget, suppress_contradictions
 
 # The words that call for each toolbox.
@@ -143,7 +143,9 @@ def compile_context(queries: DataFrame, rules: DataFrame, relations: DataFrame,
     """
     scored = keyword_score(rules, queries)
     scored = apply_multipliers(scored, multipliers) if multipliers is not None else scored
-    ranked = [top_k(scored, top).select("query", "id", "rank")]
+    # what later steps read more than once is written, so that it is worked out once and survives lost executors
+    base = scratch(rules.sparkSession, "context")
+    ranked = [held(top_k(scored, top).select("query", "id", "rank"), f"{base}/seeds")]
     if edges is not None:
         near = expand_graph(ranked[0].select("query", "id"), edges)
         w = Window.partitionBy("query").orderBy("depth", "id")
@@ -151,11 +153,12 @@ def compile_context(queries: DataFrame, rules: DataFrame, relations: DataFrame,
     if world is not None:
         w = Window.partitionBy("query").orderBy("id")
         ranked.append(fetch_world_knowledge(queries, world).withColumn("rank", F.row_number().over(w)).select("query", "id", "rank"))
-    active = merge_active(*ranked)
+    active = held(merge_active(*ranked), f"{base}/active")
     active = active.select("query", (F.col("part") * 1_000_000 + F.col("rank")).cast("long").alias("pos"), "id").join(rules.select("id", "priority"), "id")
     active = suppress_contradictions(active, relations)
     sized = active.join(rules.select("id", (F.length(F.coalesce("body", F.lit(""))) + F.length("id") + F.length("type") + 16).cast("long").alias("size")), "id")
     kept = sized.join(apply_budget(sized.select("query", "pos", "id", "size"), most), ["query", "id"], "left_semi").select("query", "pos", "id")
+    kept = held(kept, f"{base}/kept")
     full = kept.join(rules.select("id", "type", "body"), "id")
     return kept, format_context(full, active_pairs(kept, relations, "CONFLICTS_WITH"), active_pairs(kept, relations, "EXCEPTION_FOR"))
 

@@ -266,7 +266,7 @@ def build_head_vectors(leaves: DataFrame, rounds: int = 10, per: int = 50, most:
     spark, base = leaves.sparkSession, scratch(leaves.sparkSession, "heads")
     leaves = leaves.select("head", "id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     sizes = leaves.groupBy("head").agg(F.least(F.greatest(F.floor(F.count("*") / per), F.lit(1)), F.lit(most)).alias("k"), F.min(F.struct("id", "v")).alias("at"))
-    centers = _held(sizes.select("head", "k", F.array("at.v").alias("c")), f"{base}/start-0")
+    centers = held(sizes.select("head", "k", F.array("at.v").alias("c")), f"{base}/start-0")
     apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
     v = F.col("v")
     for n in range(1, most):
@@ -276,14 +276,14 @@ def build_head_vectors(leaves: DataFrame, rounds: int = 10, per: int = 50, most:
         far = leaves.join(open_, "head").select("head", "id", "v", F.array_min(F.transform("c", lambda x: apart(x, v))).alias("d"))
         pick = far.groupBy("head").agg(F.min(F.struct((-F.col("d")).alias("d"), "id", "v")).alias("at"))
         more = F.when(F.col("at").isNotNull(), F.array_append("c", F.col("at.v"))).otherwise(F.col("c"))
-        centers = _held(centers.join(pick, "head", "left").select("head", "k", more.alias("c")), f"{base}/start-{n}")
+        centers = held(centers.join(pick, "head", "left").select("head", "k", more.alias("c")), f"{base}/start-{n}")
     clusters = centers.select("head", F.posexplode("c").alias("ord", "c"))
     for n in range(rounds):
-        held = clusters.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("ord", "c"))).alias("cs"))
-        near = leaves.join(held, "head").select("head", "v", F.array_min(F.transform("cs", lambda x: F.struct(apart(x["c"], v).alias("d"), x["ord"].alias("ord"))))["ord"].alias("ord"))
+        at = clusters.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("ord", "c"))).alias("cs"))
+        near = leaves.join(at, "head").select("head", "v", F.array_min(F.transform("cs", lambda x: F.struct(apart(x["c"], v).alias("d"), x["ord"].alias("ord"))))["ord"].alias("ord"))
         part = near.select("head", "ord", F.posexplode("v").alias("i", "x")).groupBy("head", "ord", "i").agg(F.avg("x").alias("x"))
         mean = part.groupBy("head", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("c"))
-        new = _held(mean, f"{base}/round-{n}")
+        new = held(mean, f"{base}/round-{n}")
         moved = new.join(clusters.withColumnRenamed("c", "old"), ["head", "ord"], "left").where(F.col("old").isNull() | (apart(F.col("c"), F.col("old")) > 1e-18))
         clusters, done = new, moved.isEmpty()
         if done:
@@ -292,6 +292,7 @@ def build_head_vectors(leaves: DataFrame, rounds: int = 10, per: int = 50, most:
     return clusters.withColumn("n", length).select("head", "ord", F.transform("c", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(x)).alias("embedding"))
 
 
-def _held(df: DataFrame, path: str) -> DataFrame:
+def held(df: DataFrame, path: str) -> DataFrame:
+    """df written to a folder and read back."""
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
