@@ -202,7 +202,7 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("_aside"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["_aside", "score", "predicted"])
 
     rows = set_aside(docs, "text")
-    return brought_back(rows.mapInArrow(run, rows.select("_aside").schema.add("score", "double").add("predicted", "int")), docs, "score", "predicted")
+    return brought_back(rows.mapInArrow(run, rows.select("_aside").schema.add("score", "double").add("predicted", "integer")), docs, "score", "predicted")
 
 
 def bare_words(text: str | None) -> set[str]:

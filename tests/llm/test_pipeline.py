@@ -52,3 +52,23 @@ def test_run_equals_brute_force(spark, tmp_path):
     want = sorted((d, t, "en", f"s{d % 3}", len(t), sp.encode(t), len(sp.encode(t)), True) for d, t in want if d not in leaked)
     got = sorted((x.doc_id, x.text, x.lang, x.source, x.n_chars, list(x.ids), x.n_tokens, x.round_trip) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == want and 50 < len(got) < 90
+
+
+def test_stages_hold_null_ids_and_clashing_names(spark, tmp_path):
+    r = random.Random(3)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    item, a, b = text(30), text(60), text(60)
+    rows = [(None, f"{text(20)} {item} {text(5)}"), (None, a), (1, a), (2, b), (2, f"{text(9)} {item}"), (3, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 7, "k") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, n_bytes int, kept string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = sorted(((x.doc_id, x.text, x.n_bytes, x.kept) for x in corpus_pipeline.decontaminate_stage(spark, docs, str(tmp_path)).collect()), key=str)
+    assert clean == sorted([(None, a, 7, "k"), (1, a, 7, "k"), (2, b, 7, "k"), (3, None, 7, "k"), (4, "", 7, "k"), (4, "", 7, "k")], key=str)
+    near = corpus_pipeline.near_dedup_stage(spark, docs, str(tmp_path))
+    assert near.columns == docs.columns and sorted((x.doc_id or 0, x.text or "") for x in near.collect()) == sorted([(0, rows[0][1]), (1, a), (2, b), (2, rows[4][1]), (3, ""), (4, "")])
+    cut = corpus_pipeline.suffix_dedup_stage(spark, docs, str(tmp_path))
+    assert cut.columns == docs.columns and {(x.n_bytes, x.kept) for x in cut.collect()} == {(7, "k")}
+    assert corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).columns == docs.columns
+    assert "ids" in corpus_pipeline.pieces_stage(spark, docs, str(tmp_path)).columns
+    none = docs.limit(0)
+    assert all(stage(spark, none, str(tmp_path)).count() == 0 for _, stage in corpus_pipeline.STAGES)
