@@ -1,7 +1,8 @@
 """A training corpus from raw documents: five stages, each a Spark job over all that the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents, and other columns that docs has, whatever their names. A
+null doc_id, null, empty or very long texts, repeated rows and empty tables are held as each stage's docstring says.
 """
 
 from __future__ import annotations
@@ -22,25 +23,35 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts and the one of toxicity doesn't reject."""
+    """Documents that the quality classifier accepts and the one of toxicity doesn't reject; empty texts are scored like others."""
     labels = table(spark, sf_dir, "labels")
     model = quality.learn(docs, labels)
     return quality.accepted(docs, model, quality.learn_toxic(docs, labels, model[0]))
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, aside): the whole row in one struct, so that no column's name can clash with an operator's.
+
+    A row without an id gets one from its text, beyond those that tables number their rows with, so that its copies
+    find each other and a copy with an id comes first.
+    """
+    own = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("aside"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies (five words, 0.8)."""
-    kept = neardup.near_components(docs, 5, 80).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One document, that of the smallest doc_id, of each group of near copies (five words, 0.8); rows with an id and text seen before go."""
+    named = _named(docs)
+    kept = neardup.near_components(named.select("doc_id", "text"), 5, 80).where("kept").select("doc_id").distinct()
+    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("aside.*")
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated passages; documents that are such a copy as a whole go."""
-    cut = suffixes.cut_repeats(docs, keep_first=True, least=PASSAGE_BYTES)
+    """Texts without later copies of repeated passages; documents that are such a copy as a whole go. A null text becomes empty."""
+    cut = suffixes.cut_repeats(_named(docs), keep_first=True, least=PASSAGE_BYTES).where("n_removed = 0 or n_removed < n_bytes")
     text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(_whole_characters(F.col("kept")))
-    out = cut.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
+    return cut.select(*[new.get(c, F.col("aside").getField(c)).alias(c) for c in docs.columns])
 
 
 def _whole_characters(raw: Column) -> Column:
@@ -49,9 +60,10 @@ def _whole_characters(raw: Column) -> Column:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    found = leaks.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents without a benchmark item. A row is known by its id and text, so another row of the same id stays if it is clean."""
+    named = _named(docs).withColumn("doc_id", F.xxhash64("doc_id", "text"))
+    found = leaks.find_leaks(named, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return named.join(found, "doc_id", "left_anti").select("aside.*")
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
