@@ -30,20 +30,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, aside): the whole row in one struct, so that no column's name can clash with an operator's.
+    """(doc_id, text, aside): the row but for its text in one struct, so that no column's name can clash with an operator's.
 
     A row without an id gets one from its text, beyond those that tables number their rows with, so that its copies
     find each other and a copy with an id comes first.
     """
     own = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("aside"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("aside"))
+
+
+def _rows(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return named.select(*[F.col("text") if c == "text" else F.col("aside").getField(c).alias(c) for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near copies (five words, 0.8); rows with an id and text seen before go."""
     named = _named(docs)
     kept = neardup.near_components(named.select("doc_id", "text"), 5, 80).where("kept").select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("aside.*")
+    return _rows(named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), docs)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     cut = suffixes.cut_repeats(_named(docs), keep_first=True, least=PASSAGE_BYTES).where("n_removed = 0 or n_removed < n_bytes")
     text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(_whole_characters(F.col("kept")))
     new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
-    return cut.select(*[new.get(c, F.col("aside").getField(c)).alias(c) for c in docs.columns])
+    return cut.select(*[new[c].alias(c) if c in new else F.col("aside").getField(c).alias(c) for c in docs.columns])
 
 
 def _whole_characters(raw: Column) -> Column:
@@ -63,7 +68,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents without a benchmark item. A row is known by its id and text, so another row of the same id stays if it is clean."""
     named = _named(docs).withColumn("doc_id", F.xxhash64("doc_id", "text"))
     found = leaks.find_leaks(named, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return named.join(found, "doc_id", "left_anti").select("aside.*")
+    return _rows(named.join(found, "doc_id", "left_anti"), docs)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
