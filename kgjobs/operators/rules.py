@@ -12,15 +12,20 @@ def in_scope(user: str | None, tenant: str = "default") -> Column:
     return (F.col("owner").isNull() | (F.col("owner") == F.lit(user))) & (F.coalesce("tenant", F.lit("default")) == tenant)
 
 
+def not_deleted(rules: DataFrame) -> DataFrame:
+    """Rules but for soft-deleted ones, where rules have deleted_at."""
+    return rules.where("deleted_at is null") if "deleted_at" in rules.columns else rules
+
+
 def scope_rules(rules: DataFrame, user: str | None, domain: str | None = None, kind: str | None = None, tenant: str = "default") -> DataFrame:
-    out = rules.where(in_scope(user, tenant))
+    out = not_deleted(rules).where(in_scope(user, tenant))
     out = out.where(F.col("domain") == domain) if domain else out
     return out.where(F.col("type") == kind) if kind else out
 
 
 def compilation_scope(rules: DataFrame, user: str | None, now: str, prefixes: DataFrame | None = None) -> DataFrame:
     """Candidates for retrieval: in scope, not expired, and below one of the prefixes if there are any."""
-    out = rules.where(in_scope(user)).where(F.col("valid_until").isNull() | (F.col("valid_until") > F.lit(now).cast("timestamp")))
+    out = not_deleted(rules).where(in_scope(user)).where(F.col("valid_until").isNull() | (F.col("valid_until") > F.lit(now).cast("timestamp")))
     if prefixes is None:
         return out
     bound = F.col("id").rlike("^(git|upload):")
