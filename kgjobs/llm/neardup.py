@@ -9,7 +9,9 @@ first, two such classes share one of their first n - overlap + 1. Values kept by
 with that many of them is done. The rest go to inverted lists.
 
 A list of any length gives no pairs. Its hub is the class whose values are the most common in sum; every class in it
-is a member of the hub's group, so groups are stars and grow with the rows. Within a group
+is a member of the hub's group, so groups are stars and grow with the rows. A group is dealt to parts of ``HUB_ROWS``
+members or more, each with a copy of the hub's row, so no join on the hub puts a large group into one task. Within a
+group
 
 1. members whose union-sketch estimate against the hub allows it are compared with the hub exactly, on full sets;
 2. connected components follow; groups of one component are done;
@@ -39,6 +41,8 @@ K = 64
 BLOCK = 256
 #: Ids of group members (16 bytes each) that are sent to the tasks; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Members in a part of a group; parts of huge groups hold 8 times the root of the group's size.
+HUB_ROWS = 1024
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,8 +143,14 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     left = F.col("spare") - (F.col("held") - F.size("common"))
     lists = lists.where(left > 0).select("id", "weight", F.explode(F.slice("common", 1, F.greatest(left, F.lit(1)))).alias("x")).select("id", "weight", F.col("x.value").alias("value"))
     lists = written(lists, "near-lists")
-    hubs = lists.groupBy("value").agg(F.count("*").alias("n"), F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).where("n > 1").select("value", (-F.col("top.minus")).alias("hub"))
-    members = written(lists.join(hubs, "value").select("hub", "id").distinct(), "near-members")
+    hubs = lists.groupBy("value").agg(F.count("*").alias("n"), F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).where("n > 1").select("value", "n", (-F.col("top.minus")).alias("hub"))
+    hubs = written(hubs, "near-hubs")
+    # a hub leads as many lists as it has values at most; the sum of their lengths bounds its group
+    of_list = F.sum("n")
+    heads = hubs.groupBy("hub").agg(F.ceil(of_list / F.greatest(F.lit(HUB_ROWS), 8 * F.sqrt(of_list))).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
+    copies = lambda rows: rows.join(heads, "hub").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    members = written(lists.select("id", "value").join(hubs.join(heads, "hub"), "value").select("hub", part, "id").distinct(), "near-members")
 
     # whatever is in a group; few enough ids are sent to the tasks, so that neither texts nor sketches are shuffled
     ids = written(members.select("id").unionByName(members.select(F.col("hub").alias("id"))).distinct(), "near-ids")
@@ -148,29 +158,29 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
     # union-sketch estimates against the hub
     sk = reps.select("id", "sketch", "n").join(wanted, "id")
-    pairs = members.where("hub <> id").join(sk, "id").join(sk.select(F.col("id").alias("hub"), F.col("sketch").alias("of_hub"), F.col("n").alias("hub_n")), "hub")
+    pairs = members.where("hub <> id").join(sk, "id").join(copies(sk.select(F.col("id").alias("hub"), F.col("sketch").alias("of_hub"), F.col("n").alias("hub_n"))), ["hub", "part"])
     union = F.slice(F.array_sort(F.array_union("sketch", "of_hub")), 1, k)
     estimate = F.size(F.array_intersect(union, F.array_intersect("sketch", "of_hub"))) / F.size(union)
     near = (F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")) & (estimate >= share)
-    stars = pairs.select("hub", "id", near.alias("near"))
+    stars = pairs.select("hub", "part", "id", near.alias("near"))
 
     texts = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "text")
     grams = texts.mapInArrow(_sets(width), "id long, grams array<long>")
     grams = written(grams, "near-sets")
 
-    tested = stars.where("near").select("hub", "id").join(grams, "id").join(grams.select(F.col("id").alias("hub"), F.col("grams").alias("of_hub")), "hub")
+    tested = stars.where("near").select("hub", "part", "id").join(grams, "id").join(copies(grams.select(F.col("id").alias("hub"), F.col("grams").alias("of_hub"))), ["hub", "part"])
     both = F.size(F.array_intersect("grams", "of_hub"))
     tested = tested.where(F.lit(100) * both >= F.lit(percent) * (F.size("grams") + F.size("of_hub") - both))
     links = written(tested.select(F.col("hub").alias("a"), F.col("id").alias("b")), "near-links")
     labels = component_labels(links)
 
-    named = members.unionByName(members.select("hub", F.col("hub").alias("id"))).distinct().join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = members.unionByName(heads.withColumn("id", F.col("hub")).select("hub", part, "id")).distinct().join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     hub_label = labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
-    named = named.join(hub_label, "hub", "left").withColumn("loose", F.col("label") != F.coalesce("hub_label", "hub"))
-    named = written(named.select("hub", "id", "label", "loose"), "near-groups")
+    named = named.join(copies(hub_label), ["hub", "part"], "left").withColumn("loose", F.col("label") != F.coalesce("hub_label", "hub"))
+    named = written(named.select("hub", "part", "id", "label", "loose"), "near-groups")
     # leftovers against all members, less what step 1 compared: groups of hub and one member have nothing left
     sizes = named.groupBy("hub").agg(F.count_if("loose").alias("n_loose"), F.count("*").alias("n_all")).where("n_loose > 0 and n_all > 2")
-    rest = named.join(sizes, "hub")
+    rest = named.join(copies(sizes), ["hub", "part"])
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
     cell = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), blocks(n)).cast("int")
     loose = rest.where("loose").select("hub", "id", "label", F.lit(True).alias("side"), cell("n_loose", 1).alias("i"), F.explode(F.sequence(F.lit(0), blocks("n_all") - 1)).alias("j"))
