@@ -103,7 +103,8 @@ def beside_next(documents: DataFrame) -> DataFrame:
     n = min(MOST_BUCKETS, 64 * shuffles(spark))
     cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col("doc_id"))) if cuts else F.lit(0)
+    bucket = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.col("doc_id"))) if cuts else F.lit(0)
+    # the lowest id is never beyond a cut, so rows without an id lie in its range, after it
     docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(bucket))
     heads = sorted((r.bucket, r.top) for r in docs.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
     heads = [(b, top) for b, top in heads if top is not None]
@@ -115,7 +116,7 @@ def beside_next(documents: DataFrame) -> DataFrame:
         rows = docs.withColumn("extra", F.lit(False))
     order = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     rows = rows.repartition(4 * shuffles(spark), "bucket")
-    return rows.select("bucket", F.row_number().over(order).alias("pos"), "doc_id", "text", F.coalesce(F.lead("text").over(order), "text").alias("next_text"), "extra")
+    return rows.select("bucket", F.row_number().over(order).alias("pos"), "doc_id", "text", F.coalesce(F.lead("text").over(order), F.first("text").over(order)).alias("next_text"), "extra")
 
 
 def fingerprint_edits(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -138,6 +139,6 @@ def fingerprint_edits(documents: DataFrame, samples: int = SAMPLES) -> DataFrame
     out = signed.select(
         "bucket", "pos", F.nullif(parts[0], F.lit("")).cast("long").alias("doc_id"), parts[1].cast("boolean").alias("extra"), parts[2].cast("long").alias("n_chars"), parts[3].alias("edited_sha256"), of(0).alias("fingerprint"), of(1).alias("edited_fingerprint")
     )
-    after = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("pos"))
-    out = out.withColumn("next_fingerprint", F.coalesce(after, "fingerprint")).where(~F.col("extra"))
+    order = Window.partitionBy("bucket").orderBy("pos")
+    out = out.withColumn("next_fingerprint", F.coalesce(F.lead("fingerprint").over(order), F.first("fingerprint").over(order))).where(~F.col("extra"))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"))
