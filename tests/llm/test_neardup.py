@@ -50,7 +50,9 @@ def test_equals_brute_force(spark, width, percent, block):
     assert sorted(tuple(r) for r in got) == brute(rows, width, percent)
 
 
-def test_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("rows_a_part", [8, neardup.HUB_ROWS])
+def test_large_group_of_near_copies(spark, monkeypatch, rows_a_part):
+    monkeypatch.setattr(neardup, "HUB_ROWS", rows_a_part)  # with 8, every group whose lists sum to over 64 rows is split
     r = random.Random(1)
     base = [str(r.randrange(10**6)) for _ in range(150)]
     rows = []
