@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, brought_back, lower_ascii, set_aside, small_batches
+from .common import WORDS, brought_back, discard, lower_ascii, set_aside, small_batches, written
 
 MOST_LABELLED = 20_000
 SLOTS = 1 << 14
@@ -43,6 +43,8 @@ HIDDEN = 24
 EPOCHS = 40
 THRESHOLD = 0.7
 REMEMBER = 1_000_000
+#: Pairs of neighbours that are summed at once.
+PAIRS = 50_000
 TELLING = 5
 DEVIATIONS = 2.5
 _RUN = re.compile(r"([A-Z]+)|([a-z]+)|([0-9]+)|([^\x00-\x7F]+)|(.)")
@@ -98,22 +100,38 @@ def features(text: str | None, vectors: np.ndarray) -> np.ndarray:
     return np.concatenate([*pooled, [np.linalg.norm(pooled[0]), np.linalg.norm(pooled[1]), len(a) / n, math.log1p(n) / 8]]).astype(np.float32)
 
 
+def _add_pairs(total: np.ndarray, index: np.ndarray, words: list[np.ndarray], others: list[np.ndarray]) -> None:
+    """total[word] += index[other] for all pairs. The terms are small whole numbers, so sums are exact in any order."""
+    at, what = np.concatenate(words), np.concatenate(others)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    total[at[starts]] += np.add.reduceat(index[what[order]], starts, axis=0)
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index, total = index_vectors(), np.zeros((SLOTS, DIM), np.float32)
+    words, others, held = [], [], 0
     for b in batches:
         for t in b.column("text").to_pylist():
-            words, _ = _codes(t)
-            for k in range(0, len(words), 100_000):  # neighbours on either side, in slices
-                w = words[k : k + 100_001]
-                if len(w) > 1:
-                    np.add.at(total, w[:-1], index[w[1:]])
-                    np.add.at(total, w[1:], index[w[:-1]])
+            slots, _ = _codes(t)
+            for k in range(0, len(slots) - 1, PAIRS):  # neighbours on either side, in slices
+                w = slots[k : k + PAIRS + 1]
+                words += [w[:-1], w[1:]]
+                others += [w[1:], w[:-1]]
+                held += 2 * len(w) - 2
+                if held >= PAIRS:
+                    _add_pairs(total, index, words, others)
+                    words, others, held = [], [], 0
+    if held:
+        _add_pairs(total, index, words, others)
     yield pa.RecordBatch.from_pydict({"total": pa.array([total.tobytes()], pa.binary())})
 
 
 def word_vectors(sample: DataFrame) -> np.ndarray:
     index = index_vectors()
-    parts = sample.repartition(6).mapInArrow(_neighbours, "total binary").toLocalIterator()
+    # six tables of SLOTS x DIM numbers (3 MB each), whatever the input
+    parts = sample.repartition(6).mapInArrow(_neighbours, "total binary").collect()
     total = sum((np.frombuffer(r.total, np.float32).reshape(SLOTS, DIM) for r in parts), np.zeros((SLOTS, DIM), np.float32))
     norm = np.linalg.norm(total, axis=1, keepdims=True)
     return index + 2.0 * total / np.maximum(norm, 1e-6) * (norm > 0)
@@ -158,13 +176,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
-    """(doc_id, text, column) of about ``most`` labelled documents outside the held-out fold."""
+    """(doc_id, text, column) of about ``most`` labelled documents outside the held-out fold, written, as it is read more than once."""
+    small_batches(docs.sparkSession)
     known = labels.select("doc_id", column).where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).where(fold(F.col("doc_id"), 4) != 2)
     n = known.count()
     share = min(1.0, most / max(1, n))
     # about ``most`` rows of two numbers each: a bounded broadcast
     chosen = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000))
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", column)
+    return written(docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", column), f"{column}-sample")
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED):
@@ -180,6 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(x, pa.binary())], names=["doc_id", "quality", "x"])
 
     rows = sample.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(run, "doc_id long, quality int, x binary").collect()
+    discard(sample)
     rows.sort(key=lambda r: (r.doc_id, r.quality, bytes(r.x)))
     y = np.array([float(r.quality >= 1) for r in rows])
     if not len(y) or y.min() == y.max():
@@ -221,16 +241,20 @@ def _log_odds(a: np.ndarray, b: np.ndarray, n_toxic: int, n_clean: int) -> np.nd
 
 
 def _spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of a batch have a word, by half and label."""
     for b in batches:
+        counts: dict[str, list[int]] = {}
         for d, t, toxic in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-            words = sorted(bare_words(t))
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "at": pa.array([2 * _half(d) + (toxic >= 1)] * len(words), pa.int32())})
+            for w in bare_words(t):
+                counts.setdefault(w, [0] * 4)[2 * _half(d) + (toxic >= 1)] += 1
+        n = np.array(list(counts.values()), np.int64).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *[pa.array(n[:, k]) for k in range(4)]], names=["word", "n0", "n1", "n2", "n3"])
 
 
 def telling_words(sample: DataFrame) -> list[dict[str, float]]:
     """word -> log odds from half 0 of sample(doc_id, text, toxic), from half 1, and from both."""
-    spoken = sample.mapInArrow(_spoken, "word string, at int")
-    counted = spoken.groupBy("word").agg(*[F.count_if(F.col("at") == k).alias(f"n{k}") for k in range(4)])
+    spoken = sample.mapInArrow(_spoken, "word string, n0 long, n1 long, n2 long, n3 long")
+    counted = spoken.groupBy("word").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
     rows = counted.where((F.col("n1") + F.col("n3") >= TELLING) | (F.col("word") == "")).orderBy("word").collect()
     if not rows:
         return [{}, {}, {}]
@@ -261,6 +285,7 @@ def learn_toxic(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most: i
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(x, pa.binary())], names=["doc_id", "toxic", "x"])
 
     rows = sample.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id long, toxic int, x binary").collect()
+    discard(sample)
     rows.sort(key=lambda r: (r.doc_id, r.toxic, bytes(r.x)))
     y = np.array([float(r.toxic >= 1) for r in rows])
     if not len(y) or y.min() == y.max():
