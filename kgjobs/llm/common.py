@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +74,20 @@ def small_batches(spark: SparkSession, rows: int = 300) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 300, size: int = 8 << 20) -> Iterator[None]:
+    """Bound what one Arrow batch holds for the jobs run inside; the session's own settings come back after them."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def set_aside(docs: DataFrame, *used: str) -> DataFrame:
     """docs(used..., _aside): all of a row goes into one struct, so that none of its names can clash with an operator's own."""
     return docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_aside"))

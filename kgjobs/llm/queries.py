@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, fingerprints, leaks, lm, neardup, pieces, quality, suffixes, warc
+from . import alignment, chat, counts, fingerprints, leaks, lm, neardup, pieces, quality, suffixes, warc
 from .common import table
 
 LF = "chr(10)"
@@ -83,6 +83,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids", "round_trip")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"), link="end")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline, "op1_near_dedup": op1_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_warc": op3_warc, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op6_lm_score": op6_lm_score, "op7_fingerprints": op7_fingerprints, "op8_quality": op8_quality, "op9_chat_format": op9_chat_format, "op10_pieces": op10_pieces}
+    return {"pipeline": pipeline, "op1_near_dedup": op1_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_warc": op3_warc, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op6_lm_score": op6_lm_score, "op7_fingerprints": op7_fingerprints, "op8_quality": op8_quality, "op9_chat_format": op9_chat_format, "op10_pieces": op10_pieces, "op11_alignment": op11_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
