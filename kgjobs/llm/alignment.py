@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, written
+from .common import arrow_batches, joined_by_share, written
 
 #: Pairs that are broadcast, at most: each holds one HOT-th of the (document, pair) rows or more.
 HOT = 200_000
@@ -251,15 +251,9 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
 def with_counts(aligned: DataFrame, hot: int = HOT) -> DataFrame:
     """aligned, less its pairs, with n_best (links whose pair has the most links of its B id) and count_sum (its links' counts)."""
-    counts = pair_counts(aligned)
-    rows = counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first()["n"]
-    is_hot = F.col("n_rows") * F.lit(hot) >= F.lit(rows)
-    facts = counts.select("pair", "total", "best", is_hot.alias("hot"))
     each = aligned.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), "x.times")
-    near = F.broadcast(facts.where("hot").drop("hot"))
-    summed = lambda df: df.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("total")).alias("count_sum"))
-    rare = each.join(near.select("pair"), "pair", "left_anti").join(facts.where("not hot").drop("hot"), "pair")
-    sums = summed(each.join(near, "pair")).unionByName(summed(rare)).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    each = joined_by_share(each, pair_counts(aligned), "pair", hot)
+    sums = each.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("total")).alias("count_sum"))
     out = aligned.drop("pairs", "times").join(sums, "row", "left")
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups_sha256", "n_overlaps")
 

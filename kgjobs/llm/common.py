@@ -113,6 +113,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def joined_by_share(rows: DataFrame, facts: DataFrame, key: str, hot: int) -> DataFrame:
+    """rows joined to facts on key (not null): facts has a row for each key of rows, and in n_rows how many of them hold it.
+
+    Keys with one ``hot``-th of all rows or more are ``hot`` at most, whatever the input's size: their facts are broadcast.
+    So no key of what is shuffled to the other facts has more rows than that share.
+    """
+    total = facts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first()["n"]
+    facts = facts.withColumn("_hot", F.col("n_rows") * F.lit(hot) >= F.lit(total)).drop("n_rows")
+    near, far = F.broadcast(facts.where("_hot").drop("_hot")), facts.where("not _hot").drop("_hot")
+    return rows.join(near, key).unionByName(rows.join(near.select(key), key, "left_anti").join(far, key))
+
+
 def component_labels(edges: DataFrame) -> DataFrame:
     """(id, label) for each end of edges(a, b): label is the smallest id that can be reached.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, counts, fingerprints, leaks, lm, neardup, pieces, quality, suffixes, warc
+from . import alignment, chat, counts, fingerprints, leaks, lm, neardup, pieces, quality, suffixes, thresholds, warc
 from .common import table
 
 LF = "chr(10)"
@@ -76,6 +76,33 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
        sum(length(et) + case when fresh then 9 + length(er) + 11 else 5 end)::bigint as formatted_chars
 from e group by conv_id""",
+    "op12_quality_rules": """
+with d as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as t from documents),
+w as (select r, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws from d),
+pos as (select r, ws, unnest(range(1, len(ws) - 1)) as p from w where len(ws) > 2),
+win as (select r, p, count(*) over (partition by r, ws[p], ws[p + 1], ws[p + 2]) as k from pos),
+rep as (select r, count(distinct p + o)::bigint as n from win, (values (0), (1), (2)) as s(o) where k > 1 group by r),
+lines as (select r, line, row_number() over (partition by r, line) as k from (select r, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+ln as (select r, count(*) as n_lines, count(*) filter (where k > 1) as n_dup_lines from lines group by r),
+m as (select d.r, doc_id, lang, source, len(ws)::bigint as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::bigint as word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_lines, 0)::bigint as n_lines, coalesce(rep.n, 0)::bigint as n_repeat_words
+      from d join w using (r) left join ln using (r) left join rep using (r)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
+v as (select r, lang, source, base_failed, rule, case rule when 'word_length' then 100 * word_chars // greatest(n_words, 1) when 'symbols' then 1000 * n_symbols // greatest(word_chars, 1)
+             when 'repeated_lines' then 1000 * n_dup_lines // greatest(n_lines, 1) else 1000 * n_repeat_words // greatest(n_words, 1) end as x
+      from f, (values ('word_length'), ('symbols'), ('repeated_lines'), ('repeated_words')) as rules(rule)),
+b as (select *, x - x % (1::bigint << greatest(length(bin(x)) - 7, 0)) as bucket from v where not base_failed),
+l as (select lang, source, 0 as level, rule, bucket from b union all select lang, null, 1, rule, bucket from b union all select null, null, 2, rule, bucket from b),
+c as (select *, count(*) over (partition by lang, source, level, rule) as docs, count(*) over (partition by lang, source, level, rule order by bucket) as seen from l),
+q as (select lang, source, level, rule, max(docs) as docs, min(bucket) filter (where 4 * seen >= docs) as q1, min(bucket) filter (where 4 * seen >= 3 * docs) as q3 from c group by 1, 2, 3, 4),
+cut as (select lang, source, level, rule, docs, q1 - 3 * greatest(q3 - q1, s) as low, q3 + 3 * greatest(q3 - q1, s) as high
+        from q join (values ('word_length', 50), ('symbols', 10), ('repeated_lines', 150), ('repeated_words', 150)) as spreads(rule, s) using (rule)),
+own as (select v.r, v.rule, v.x, coalesce(a.low, g.low, e.low) as low, coalesce(a.high, g.high, e.high) as high
+        from v left join cut a on a.level = 0 and a.docs >= 100 and a.rule = v.rule and a.lang is not distinct from v.lang and a.source is not distinct from v.source
+               left join cut g on g.level = 1 and g.docs >= 100 and g.rule = v.rule and g.lang is not distinct from v.lang
+               left join cut e on e.level = 2 and e.rule = v.rule),
+bad as (select r, bool_or(x > high or (rule = 'word_length' and x < low)) as beyond from own group by r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(beyond, false) as kept from f join bad using (r)""",
 }
 
 
@@ -87,6 +114,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(table(spark, sf_dir, "documents"), link="end")
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = thresholds.judged(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,7 +126,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline, "op1_near_dedup": op1_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_warc": op3_warc, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op6_lm_score": op6_lm_score, "op7_fingerprints": op7_fingerprints, "op8_quality": op8_quality, "op9_chat_format": op9_chat_format, "op10_pieces": op10_pieces, "op11_alignment": op11_alignment}
+    return {"pipeline": pipeline, "op1_near_dedup": op1_near_dedup, "op2_decontaminate": op2_decontaminate, "op3_warc": op3_warc, "op4_suffix_dedup": op4_suffix_dedup, "op5_token_counts": op5_token_counts, "op6_lm_score": op6_lm_score, "op7_fingerprints": op7_fingerprints, "op8_quality": op8_quality, "op9_chat_format": op9_chat_format, "op10_pieces": op10_pieces, "op11_alignment": op11_alignment, "op12_quality_rules": op12_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
