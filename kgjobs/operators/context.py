@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import scratch
-from .retrieval import apply_multipliers, expand_graph, held, keyword_score, merge_active, top_k
-from .rules import apply_budget, suppress_contradictions
+from .ranking import expand_terms, fuse_topk, keyword_topk
+from .retrieval import expand_graph, head_of, held, merge_active, mmr_rerank, representative_embedding, top_heads, top_k, vector_topk
+from .rules import apply_budget, not_deleted, suppress_contradictions
 
 # The words that call for each toolbox.
 TOOLBOXES = {
@@ -33,12 +34,17 @@ def _said(queries: DataFrame) -> Column:
     return F.lower(F.concat_ws("\n", F.coalesce("task", F.lit("")), *([F.array_join("concepts", "\n")] if "concepts" in queries.columns else [])))
 
 
-def resolve_toolboxes(queries: DataFrame) -> DataFrame:
-    """(query, toolbox) of queries(query, task, concepts): toolboxes with a word in the task or a concept, all if none has."""
+def toolboxes_of(queries: DataFrame) -> Column:
+    """Toolboxes with a word in the task or a concept, all if none has."""
     said = _said(queries)
     called = F.array_compact(F.array(*[F.when(reduce(Column.__or__, [said.contains(w) for w in words]), F.lit(name)) for name, words in TOOLBOXES.items()]))
     every = F.array(*map(F.lit, TOOLBOXES))
-    return queries.select("query", F.explode(F.array_append(F.when(F.size(called) > 0, called).otherwise(every), F.lit(ALWAYS))).alias("toolbox"))
+    return F.array_append(F.when(F.size(called) > 0, called).otherwise(every), F.lit(ALWAYS))
+
+
+def resolve_toolboxes(queries: DataFrame) -> DataFrame:
+    """(query, toolbox) of queries(query, task, concepts)."""
+    return queries.select("query", F.explode(toolboxes_of(queries)).alias("toolbox"))
 
 
 def containing(texts: DataFrame, needles: DataFrame, least: int = 1) -> DataFrame:
@@ -100,16 +106,25 @@ def active_pairs(active: DataFrame, relations: DataFrame, rel: str) -> DataFrame
 
 
 def find_entities(queries: DataFrame, entities: DataFrame, most: int = 20) -> DataFrame:
-    """(query, norm): the first ``most`` entities(norm) whose name contains a term of queries(query, terms)."""
+    """(query, norm): the first ``most`` entities(norm) whose name contains a term of queries(query, terms).
+
+    Where entities have an owner, only those without one and those of the query's user are found.
+    """
     asked = queries.select("query", F.explode("terms").alias("t")).select("query", F.lower(F.trim("t")).alias("needle")).where("needle <> ''").distinct()
-    hit = containing(entities.select(F.col("norm").alias("key"), F.col("norm").alias("text")), asked).join(asked, "needle").select("query", F.col("key").alias("norm")).distinct()
+    hit = containing(entities.select(F.col("norm").alias("key"), F.col("norm").alias("text")).distinct(), asked).join(asked, "needle").select("query", F.col("key").alias("norm")).distinct()
+    if "owner" in entities.columns:
+        seekers = queries.select("query", "user" if "user" in queries.columns else F.lit(None).cast("string").alias("user"))
+        hit = hit.join(entities.select("norm", "owner").distinct(), "norm").join(seekers, "query").where("owner is null or owner = user").select("query", "norm").distinct()
     w = Window.partitionBy("query").orderBy("norm")
     return hit.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
 
 
 def entity_context(queries: DataFrame, entities: DataFrame, related: DataFrame, most: int = 5, each: int = 5) -> DataFrame:
     """(query, text): up to ``most`` entities(norm, name, type) a query, each with up to ``each`` of related(name, other)."""
-    found = find_entities(queries, entities, most).join(entities.select("norm", "name", "type"), "norm")
+    found = find_entities(queries, entities, most).join(entities.select("norm", "name", "type", *[c for c in ("owner",) if c in entities.columns]), "norm")
+    if "owner" in entities.columns:
+        seekers = queries.select("query", "user" if "user" in queries.columns else F.lit(None).cast("string").alias("user"))
+        found = found.join(seekers, "query").where("owner is null or owner = user").groupBy("query", "norm").agg(F.min(F.struct("name", "type")).alias("x")).select("query", "norm", "x.*")
     w = Window.partitionBy("query", "norm").orderBy("other")
     near = found.select("query", "norm").join(related.select(F.col("name").alias("norm"), F.lower("other").alias("other")).distinct(), "norm").withColumn("r", F.row_number().over(w)).where(F.col("r") <= each)
     near = near.groupBy("query", "norm").agg(F.array_join(F.array_sort(F.collect_list("other")), ", ").alias("near"))
@@ -134,33 +149,107 @@ def format_context(active: DataFrame, conflicts: DataFrame, exceptions: DataFram
     return all_.select("query", F.rtrim(F.regexp_replace(F.concat_ws("", "a", "b", "c"), r"\s+$", "")).alias("text"))
 
 
-def compile_context(queries: DataFrame, rules: DataFrame, relations: DataFrame, edges: DataFrame | None = None, multipliers: DataFrame | None = None, world: DataFrame | None = None, top: int = 15, most: int = 12_000) -> tuple[DataFrame, DataFrame]:
-    """Active rules (query, pos, id) and texts (query, text) for queries(query, task, concepts) over rules in scope.
+def scoped(rules: DataFrame, tenant: str = "default", now: str | None = None, prune: bool = False) -> DataFrame:
+    """rules that some query may see, with the columns that say which: owner, box (a toolbox's domain) and, to prune by heads, head.
 
-    Keyword scores, times multipliers(id, multiplier) if given, give the ``top`` seeds; edges(src, rel, dst, valid_until)
-    add neighbours and world(id, domain, tags) adds knowledge behind them; superseded and weaker conflicting rules go,
-    and what fits the budget stays. Bodies are joined last, to active rules only.
+    Soft-deleted rules, those of other tenants and those no longer valid at ``now`` are left out. Rules of a repository or
+    an upload lie below a head; a head itself has none and is not seen by queries that name heads.
+    """
+    out = not_deleted(rules)
+    out = out.where(F.coalesce("tenant", F.lit("default")) == tenant) if "tenant" in rules.columns else out
+    if now is not None and "valid_until" in rules.columns:
+        out = out.where(F.col("valid_until").isNull() | (F.col("valid_until") > F.lit(now).cast("timestamp")))
+    out = out.withColumn("box", F.when(F.col("domain").startswith("tools."), F.col("domain")))
+    return out.withColumn("head", F.when(F.col("id").rlike("^(git|upload):"), F.coalesce(head_of(F.col("id")), F.lit("")))) if prune else out
+
+
+def compile_context(
+    queries: DataFrame,
+    rules: DataFrame,
+    relations: DataFrame,
+    edges: DataFrame | None = None,
+    multipliers: DataFrame | None = None,
+    world: DataFrame | None = None,
+    top: int = 15,
+    most: int = 12_000,
+    *,
+    chunks: DataFrame | None = None,
+    heads: DataFrame | None = None,
+    domains: DataFrame | None = None,
+    closure: DataFrame | None = None,
+    entities: DataFrame | None = None,
+    related: DataFrame | None = None,
+    expansion: int = 0,
+    expanded_weight: float = 0.5,
+    now: str | None = None,
+    tenant: str = "default",
+    nearest: int = 100,
+    above: float = 0.5,
+    above_head: float = 0.4,
+    diversity: float = 0.7,
+) -> tuple[DataFrame, DataFrame]:
+    """Active rules (query, pos, id) and texts (query, text) for queries(query, task, concepts, user and embedding if they have them).
+
+    In order, each step where its tables are given:
+
+    1. heads(head, ord, embedding): the three nearest of a query prune the repositories and uploads it looks into; a
+       query near none looks into all;
+    2. rules in scope: owner, tenant, validity, toolboxes, heads (``scoped``, ``ranking.visible``);
+    3. domains(name, label) with closure(parent, child) that are active, and ``expansion`` terms that go with the query's;
+    4. keyword scores, times multipliers(id, multiplier);
+    5. chunks(parent, chunk, embedding): the ``nearest`` fuse with the keyword ranks, and the first ``top`` are dealt
+       anew by maximal marginal relevance;
+    6. the ``top`` are seeds: edges(src, rel, dst, valid_until) add neighbours and world(id, domain, tags) adds knowledge
+       behind them; superseded and weaker conflicting rules go, and what fits the budget stays;
+    7. entities(norm, name, type) that the concepts name, with related(name, other), close the text.
+
+    What later steps read more than once is written. Bodies are joined last, to active rules only.
     """
-    scored = keyword_score(rules, queries)
-    scored = apply_multipliers(scored, multipliers) if multipliers is not None else scored
-    # what later steps read more than once is written, so that it is worked out once and survives lost executors
-    base = scratch(rules.sparkSession, "context")
-    ranked = [held(top_k(scored, top).select("query", "id", "rank"), f"{base}/seeds")]
+    spark = rules.sparkSession
+    base = scratch(spark, "context")
+    near = queries.where("embedding is not null") if "embedding" in queries.columns else None
+    asked = queries
+    if heads is not None and near is not None:
+        found = top_heads(heads, near, above=above_head).groupBy("query").agg(F.array_sort(F.collect_set("head")).alias("heads"))
+        asked = asked.join(found, "query", "left")
+    asked = held(asked.withColumn("boxes", toolboxes_of(queries)), f"{base}/queries")
+    seen = scoped(rules, tenant, now, prune=heads is not None)
+    active_domains = activate_domains(asked, domains, closure) if domains is not None else None
+    expanded = held(expand_terms(asked, seen, expansion), f"{base}/expanded") if expansion else None
+    semantic = None
+    if chunks is not None and near is not None:
+        semantic = held(vector_topk(chunks, near, nearest, above).select("query", F.col("parent").alias("id"), "score"), f"{base}/semantic")
+    ranked, levels = keyword_topk(seen, asked, top + (nearest if semantic is not None else 0), active_domains, expanded, expanded_weight, multipliers, semantic)
+    if semantic is None:
+        seeds = top_k(ranked, top).select("query", "id", "rank")
+    else:
+        fused = held(fuse_topk(ranked, levels, semantic, top), f"{base}/fused")
+        first = fused.where("hit").join(representative_embedding(chunks).withColumnRenamed("parent", "id"), "id", "left")
+        seeds = mmr_rerank(first.select("query", "rank", "id", "score", "embedding"), top, diversity).unionByName(fused.where("not hit").select("query", "rank", "id"))
+    users = [c for c in ("user",) if c in queries.columns]
+    order = [held(seeds, f"{base}/seeds")]
     if edges is not None:
-        near = expand_graph(ranked[0].select("query", "id"), edges)
+        nodes = not_deleted(rules)
+        nodes = nodes.where(F.coalesce("tenant", F.lit("default")) == tenant) if "tenant" in rules.columns else nodes
+        nodes = nodes.select("id", *[c for c in ("owner",) if c in rules.columns])
+        near_by = expand_graph(order[0].select("query", "id").join(asked.select("query", *users), "query"), edges, nodes=nodes, now=now)
         w = Window.partitionBy("query").orderBy("depth", "id")
-        ranked.append(near.withColumn("rank", F.row_number().over(w)).select("query", "id", "rank"))
+        order.append(near_by.withColumn("rank", F.row_number().over(w)).select("query", "id", "rank"))
     if world is not None:
         w = Window.partitionBy("query").orderBy("id")
-        ranked.append(fetch_world_knowledge(queries, world).withColumn("rank", F.row_number().over(w)).select("query", "id", "rank"))
-    active = held(merge_active(*ranked), f"{base}/active")
+        order.append(fetch_world_knowledge(asked, world).withColumn("rank", F.row_number().over(w)).select("query", "id", "rank"))
+    active = held(merge_active(*order), f"{base}/active")
     active = active.select("query", (F.col("part") * 1_000_000 + F.col("rank")).cast("long").alias("pos"), "id").join(rules.select("id", "priority"), "id")
     active = suppress_contradictions(active, relations)
     sized = active.join(rules.select("id", (F.length(F.coalesce("body", F.lit(""))) + F.length("id") + F.length("type") + 16).cast("long").alias("size")), "id")
     kept = sized.join(apply_budget(sized.select("query", "pos", "id", "size"), most), ["query", "id"], "left_semi").select("query", "pos", "id")
     kept = held(kept, f"{base}/kept")
     full = kept.join(rules.select("id", "type", "body"), "id")
-    return kept, format_context(full, active_pairs(kept, relations, "CONFLICTS_WITH"), active_pairs(kept, relations, "EXCEPTION_FOR"))
+    texts = format_context(full, active_pairs(kept, relations, "CONFLICTS_WITH"), active_pairs(kept, relations, "EXCEPTION_FOR"))
+    if entities is not None:
+        named = entity_context(asked.select("query", F.col("concepts").alias("terms"), *users), entities, related)
+        texts = texts.join(named.withColumnRenamed("text", "named"), "query", "full").select("query", F.concat_ws("\n\n", "text", "named").alias("text"))
+    return kept, texts
 
 
 def synthetic_corpus(spark, rules: int, cases: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:

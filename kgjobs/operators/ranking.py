@@ -167,3 +167,22 @@ def fuse_topk(ranked: DataFrame, levels: DataFrame, semantic: DataFrame, k: int,
     fused = F.lit(w_keyword) / (rrf + F.col("rk")) + F.coalesce(F.lit(w_semantic) / (rrf + F.col("rs")), F.lit(0.0))
     hit = F.coalesce("hit", F.lit(False))
     return top_k(both.select("query", "id", F.when(hit, fused).otherwise(F.col("score")).alias("score"), hit.alias("hit")), k)
+
+
+def expand_terms(queries: DataFrame, rules: DataFrame, most: int) -> DataFrame:
+    """(query, term): the ``most`` terms that rules with a term of the query name beside it, by number of rules, then by term.
+
+    A rule's terms are its tags and triggers in lower case; a query has those whose tokens are all in its task or among
+    its concepts. Rules with the same terms and scope are met as one, with their number.
+    """
+    asked = queries.select("query", F.array_union(tokenize(F.coalesce("task", F.lit(""))), F.transform("concepts", F.lower)).alias("tokens"))
+    rules = with_columns(rules, RULE_SCOPE)
+    terms = F.array_sort(F.array_distinct(F.transform(F.filter(rule_terms(rules), lambda x: x["kind"] != "d"), lambda x: x["term"])))
+    alike = rules.select("id", *RULE_SCOPE, terms.alias("terms")).where(F.size("terms") > 0).groupBy("terms", *RULE_SCOPE).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    alike = held(alike, scratch(rules.sparkSession, "terms"))
+    each = alike.select("id", "n", *RULE_SCOPE, F.explode("terms").alias("term"))
+    said = said_terms(each, asked)
+    hit = each.join(said, "term").join(with_columns(queries, QUERY_SCOPE).select("query", *QUERY_SCOPE), "query").where(visible()).select("query", "id").distinct()
+    other = hit.join(each.select("id", "n", "term"), "id").join(said, ["query", "term"], "left_anti").groupBy("query", "term").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("query").orderBy(F.col("n").desc(), "term")
+    return other.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("query", "term")

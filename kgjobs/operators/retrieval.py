@@ -9,12 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import priority_rank, tokenize
 from ..sources import scratch
 
 #: Bytes of query vectors that one pass sends to the tasks.
 QUERY_BYTES = 64 << 20
+#: Scores of a block of queries against a batch of chunks that a task holds at a time.
+SCORES = 4 << 20
 
 
 def keyword_score(rules: DataFrame, queries: DataFrame, active: DataFrame | None = None, expanded: DataFrame | None = None, expanded_weight: float = 0.5) -> DataFrame:
@@ -72,29 +75,46 @@ def rrf_fuse(keyword: DataFrame, semantic: DataFrame, k: int = 60, w_keyword: fl
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = 100, above: float = 0.5) -> DataFrame:
     """(query, parent, score): best cosine per parent over each query's k nearest chunks above the threshold.
 
-    chunks(parent, chunk, embedding), queries(query, embedding). Queries go to the tasks in blocks of QUERY_BYTES; of
-    each batch a task keeps the k best by score, then smallest chunk, so k rows a batch and query are shuffled. Scores
-    of equal vectors are equal to the last bit, wherever they lie.
+    chunks(parent, chunk, embedding, owner if they have one), queries(query, embedding, user if owners count): chunks
+    without an owner are everyone's. Queries go to the tasks in blocks of QUERY_BYTES; of each batch a task keeps the k
+    best by score, then smallest chunk, so k rows a batch and query are shuffled. Scores of equal vectors are equal to
+    the last bit, wherever they lie.
     """
     spark = chunks.sparkSession
     wide = queries.select(F.max(F.size("embedding"))).first()[0] or 1
     n = max(1, -(-queries.count() * wide * 8 // QUERY_BYTES))
+    kinds = {"query": queries.schema["query"].dataType, **{c: chunks.schema[c].dataType for c in ("parent", "chunk")}}
+    owned = "owner" in chunks.columns
     out = None
     for part in range(n):
         asked = queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == part).collect()
-        sent = spark.sparkContext.broadcast(([r["query"] for r in asked], _unit(np.array([r.embedding for r in asked], float).reshape(len(asked), -1))))
+        users = [r["user"] if "user" in queries.columns else None for r in asked]
+        sent = spark.sparkContext.broadcast(([r["query"] for r in asked], _unit(np.array([r.embedding for r in asked], float).reshape(len(asked), -1)), users))
 
         def near(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, q = sent.value
+            names, q, users = sent.value
+            to = {c: to_arrow_type(t) for c, t in kinds.items()}
             for b in batches:
                 if not b.num_rows or not len(names):
                     continue
                 x, chunk = _unit(np.array(b.column("embedding").to_pylist(), float)), b.column("chunk").to_numpy(zero_copy_only=False)
-                best = [_best(row, v, x, chunk, k, above) for row, v in zip(q @ x.T, q, strict=True)]
-                i, j = np.repeat(np.arange(len(best)), [len(at) for at, _ in best]), np.concatenate([at for at, _ in best])
-                yield pa.RecordBatch.from_arrays([pa.array([names[n] for n in i], pa.int64()), b.column("parent").take(pa.array(j)), b.column("chunk").take(pa.array(j)), pa.array(np.concatenate([s for _, s in best]))], names=["query", "parent", "chunk", "score"])
-
-        found = chunks.select("parent", "chunk", "embedding").mapInArrow(near, "query long, parent string, chunk long, score double")
+                codes: dict = {}
+                owner = np.array([-1 if o is None else codes.setdefault(o, len(codes)) for o in b.column("owner").to_pylist()]) if owned else None
+                wide = max(1, SCORES // b.num_rows)  # queries at a time: a bounded matrix of scores
+                for lo in range(0, len(names), wide):
+                    rough = q[lo : lo + wide] @ x.T
+                    if owned:
+                        mine = np.array([codes.get(u, -2) if u is not None else -2 for u in users[lo : lo + wide]])
+                        rough[(owner != -1) & (owner != mine[:, None])] = -np.inf
+                    busy = np.flatnonzero(rough.max(axis=1) > above - 1e-9)
+                    if not len(busy):
+                        continue
+                    best = [_best(rough[i], q[lo + i], x, chunk, k, above) for i in busy]
+                    i, j = np.repeat(busy + lo, [len(at) for at, _ in best]), np.concatenate([at for at, _ in best])
+                    yield pa.RecordBatch.from_arrays([pa.array([names[n] for n in i], to["query"]), b.column("parent").take(pa.array(j)).cast(to["parent"]), b.column("chunk").take(pa.array(j)).cast(to["chunk"]), pa.array(np.concatenate([s for _, s in best]))], names=["query", "parent", "chunk", "score"])
+
+        schema = ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", score double"
+        found = chunks.select("parent", "chunk", "embedding", *(["owner"] if owned else [])).mapInArrow(near, schema)
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "chunk")
     best = out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
@@ -129,21 +149,38 @@ def embedding_coverage(chunks: DataFrame, current: str) -> DataFrame:
     return parents.agg(F.count("*").alias("total"), F.count_if("stale").alias("pending"), F.count_if(~F.col("stale")).alias("embedded"))
 
 
-def expand_graph(seeds: DataFrame, edges: DataFrame, depth: int = 2, most: int = 30) -> DataFrame:
-    """seeds(query, id) and at most ``most`` neighbours over open edges in either direction, nearest first, then by id."""
-    both = edges.where("valid_until is null").select("src", "dst")
+def expand_graph(seeds: DataFrame, edges: DataFrame, depth: int = 2, most: int = 30, nodes: DataFrame | None = None, now: str | None = None) -> DataFrame:
+    """seeds(query, id) and at most ``most`` neighbours over open edges in either direction, nearest first, then by id.
+
+    Open edges have no valid_until, or one after ``now``. With nodes(id, owner if owners count) neighbours must be among
+    these and, where they have an owner, it must be the user of seeds(query, id, user). A node's list is cut to what any
+    query can take of it, by owner and id, so a hub's whole star meets no query.
+    """
+    open_ = F.col("valid_until").isNull() if now is None else F.col("valid_until").isNull() | (F.col("valid_until") > F.lit(now).cast("timestamp"))
+    both = edges.where(open_).select("src", "dst")
     both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = seeds.select("query", "id").distinct().withColumn("depth", F.lit(0))
+    owned = nodes is not None and "owner" in nodes.columns
+    if nodes is not None:
+        both = both.join(nodes.select(F.col("id").alias("dst"), *(["owner"] if owned else [])), "dst")
+    user = ["user"] if owned and "user" in seeds.columns else []
+    seen = seeds.select("query", "id", *user).distinct().withColumn("depth", F.lit(0))
+    widest = seen.groupBy("query").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    # of what a query hasn't seen it takes the first ``most``, and it has seen so many at most
+    first = Window.partitionBy("src", *(["owner"] if owned else [])).orderBy("dst")
+    both = both.withColumn("n", F.row_number().over(first)).where(F.col("n") <= widest + most * depth).drop("n")
     front = seen
     for d in range(1, depth + 1):
-        step = front.join(both, front["id"] == both["src"]).select("query", F.col("dst").alias("id")).distinct()
+        step = front.join(both, front["id"] == both["src"])
+        if owned:
+            step = step.where(F.col("owner").isNull() | (F.col("owner") == F.col("user") if user else F.lit(False)))
+        step = step.select("query", F.col("dst").alias("id"), *user).distinct()
         front = step.join(seen, ["query", "id"], "left_anti").withColumn("depth", F.lit(d))
         w = Window.partitionBy("query").orderBy("id")
         front = front.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
         seen = seen.unionByName(front)
     w = Window.partitionBy("query").orderBy("depth", "id")
     extra = seen.where("depth > 0").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
-    return seen.where("depth = 0").unionByName(extra)
+    return seen.where("depth = 0").unionByName(extra).select("query", "id", "depth")
 
 
 def retrieval_metrics(ranked: DataFrame, expected: DataFrame, k: int) -> DataFrame:

@@ -1,5 +1,5 @@
 """Registered jobs over the driver tables; importing this package registers them."""
 
-from . import context, ingest, maintenance, streams, upkeep
+from . import compilation, context, ingest, maintenance, streams, upkeep
 
 __all__ = ["context", "ingest", "maintenance", "streams", "upkeep"]

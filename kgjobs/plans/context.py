@@ -144,7 +144,7 @@ COMPILED = f"""with recursive r as (select *, [tag_lang, tag_source] as tags fro
 
 
 def _compiled(spark, d):
-    r = _tagged(spark, d)
+    r = _tagged(spark, d).drop("owner", "tenant", "valid_until")
     supersedes = r.where("priority <> 'Low'").select(F.col("id").alias("src"), F.lit("SUPERSEDES").alias("rel"), F.col("prior_id").alias("dst"))
     return context.compile_context(_asked(spark, d), r, supersedes)
 
