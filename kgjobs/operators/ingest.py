@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import glob_regex
+from ..sources.records import csv_records, json_records
 
 # What of a repository is read.
 EXTENSIONS = (
@@ -145,28 +146,29 @@ def items_of_records(records: DataFrame, label: str, domain: str | None = None)
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """rows(file, block, at) with n, their place in their file: a block of a file is ranked alone, behind what earlier blocks hold."""
+    """rows(file, block, at) with n, their place over all files: a block of a file is ranked alone, behind what blocks before it hold."""
     inner = rows.withColumn("_r", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
+    # a row a split: few enough for one task to add up
     sizes = rows.groupBy("file", "block").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    return inner.join(sizes.select("file", "block", F.coalesce(before, F.lit(0)).alias("_before")), ["file", "block"]).withColumn("n", F.col("_before") + F.col("_r") - 1)
+    before = F.sum("_n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("file", "block", F.coalesce(before, F.lit(0)).alias("_before"))
+    return inner.join(sizes, ["file", "block"]).withColumn("n", F.col("_before") + F.col("_r") - 1)
 
 
 def import_records(spark: SparkSession, path: str, label: str, domain: str | None = None) -> DataFrame:
-    """Items of .jsonl, .json (an array) or .csv files; lines that are no JSON object are left out, short CSV rows get nulls."""
-    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    """Items of .jsonl, .json (an array) or .csv files, a file or a pattern; what is no JSON object is left out, short CSV rows get nulls.
+
+    A file of any size is read by as many tasks as it has splits; rows without a key are numbered over all files.
+    """
     if path.endswith(".csv"):
-        raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
-        fields = F.map_from_arrays(F.array(*[F.lit(c) for c in raw.columns]), F.array(*[F.col(f"`{c}`") for c in raw.columns]))
-        records = _numbered(raw.select(*place, fields.alias("fields")))
+        found = csv_records(spark, path).select(F.col("place").alias("n"), "fields")
+    elif path.endswith(".json"):
+        found = json_records(spark, path).select(F.col("place").alias("n"), F.from_json("text", "map<string,string>").alias("fields"))
     else:
-        text = spark.read.text(path, wholetext=path.endswith(".json"))
-        kind = "array<map<string,string>>" if path.endswith(".json") else "map<string,string>"
-        parsed = text.select(*place, F.from_json("value", kind).alias("fields"))
-        if path.endswith(".json"):
-            parsed = parsed.select("file", "block", F.posexplode("fields").alias("at", "fields"))
-        records = _numbered(parsed.where("fields is not null and size(fields) > 0"))
-    return items_of_records(records.select("n", "fields"), slug_of(label), domain)
+        place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+        parsed = spark.read.text(path).select(*place, F.from_json("value", "map<string,string>").alias("fields"))
+        found = _numbered(parsed.where("fields is not null and size(fields) > 0")).select("n", "fields")
+    return items_of_records(found, slug_of(label), domain)
 
 
 def slug_of(label: str) -> str:

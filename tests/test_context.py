@@ -117,3 +117,16 @@ def test_verified_hmac(spark):
 
     x = spark.createDataFrame([("message é",), ("",)], "m string").select("m", hmac_sha256(b"key", F.col("m")).alias("h")).collect()
     assert all(r.h == hmac.new(b"key", r.m.encode(), hashlib.sha256).hexdigest() for r in x)
+
+
+def test_every_branch_of_the_whole_compilation_is_fed():
+    """The registered query's tables reach heads, toolboxes, domains, expansion, hits, edges of both depths, world, suppression and the budget."""
+    duckdb = pytest.importorskip("duckdb")
+    from kgjobs.plans import compilation
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark", "events", "part"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.01/{t}.parquet'")
+    names = ("hq", "bh", "act", "grown", "hits", "d1", "d2", "wor", "gone", "kept")
+    n = con.execute(f"{compilation.CONTEXT} select {', '.join(f'(select count(*) from {x}) as {x}' for x in names)}, (select count(*) from rest) - (select count(*) from kept) as over, (select count(*) from kept where pos < 1000000), (select count(*) from kept where pos between 1000000 and 2000000), (select count(*) from kept where pos > 2000000)").fetchone()
+    assert all(x > 0 for x in n), dict(zip(names, n, strict=False))
