@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import glob_regex
 from ..sources.records import csv_records, json_records
+from ..sources.rule_files import RuleFiles
 
 # What of a repository is read.
 EXTENSIONS = (
@@ -195,9 +197,42 @@ def import_text_blocks(blocks: DataFrame) -> DataFrame:
     return items.unionByName(blocks.select(F.col("source").alias("id"), F.col("label").alias("title"), F.lit("").alias("body"), F.lit(None).cast("string").alias("related")))
 
 
+def _plain(value: str) -> str:
+    return value.strip().strip("\"'")
+
+
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip())
+
+
+def _block(lines: list[str], folded: bool) -> str:
+    deep = min((_indent(x) for x in lines if x.strip()), default=0)
+    return (" " if folded else "\n").join(x[deep:] for x in lines).strip("\n")
+
+
+def _snippets(lines: list[str]) -> dict[str, list[str]]:
+    """The lists below pass: and fail:, of inline values and of | or > blocks."""
+    out: dict[str, list[str]] = {"pass": [], "fail": []}
+    name, at = None, 0
+    while at < len(lines):
+        line = lines[at]
+        at += 1
+        if line.strip() in ("pass:", "fail:"):
+            name = line.strip()[:-1]
+        elif name and line.lstrip().startswith("-"):
+            value, deep = line.lstrip()[1:].strip(), _indent(line)
+            if value in ("|", ">"):
+                end = next((k for k in range(at, len(lines)) if lines[k].strip() and _indent(lines[k]) <= deep), len(lines))
+                value, at = _block(lines[at:end], value == ">"), end
+                out[name].append(value)
+            else:
+                out[name].append(_plain(value))
+    return out
+
+
 def parse_rule(text: str) -> dict | None:
-    """Fields of a rule file: front matter with inline lists, ``- item`` lists and | or > blocks; None without id or title."""
-    lines = text.replace("\r\n", "\n").split("\n")
+    """Fields of a rule file: front matter with inline lists, ``- item`` lists, | or > blocks and snippets below pass: and fail:; None without id or title."""
+    lines = text.removeprefix("\ufeff").replace("\r\n", "\n").split("\n")
     if not lines or lines[0].strip() != "---":
         return None
     end = next((k for k in range(1, len(lines)) if lines[k].strip() == "---"), None)
@@ -216,36 +251,63 @@ def parse_rule(text: str) -> dict | None:
             block.append(lines[at])
             at += 1
         if value in ("|", ">"):
-            deep = min((len(x) - len(x.lstrip()) for x in block if x.strip()), default=0)
-            out = ("\n" if value == "|" else " ").join(x[deep:] for x in block).strip("\n")
+            out = _block(block, value == ">")
         elif value.startswith("[") and value.endswith("]"):
-            out = [x.strip().strip("\"'") for x in value[1:-1].split(",") if x.strip()]
+            out = [_plain(x) for x in value[1:-1].split(",") if x.strip()]
+        elif not value and any(x.strip() in ("pass:", "fail:") for x in block):
+            out = _snippets(block)
         elif not value and any(x.strip().startswith("- ") for x in block):
-            out = [x.strip()[2:].strip().strip("\"'") for x in block if x.strip().startswith("- ")]
+            out = [_plain(x.strip()[2:]) for x in block if x.strip().startswith("- ")]
         else:
-            out = value.strip("\"'")
+            out = _plain(value)
         fields[key.strip()] = out
-    if not fields.get("id") or not (fields.get("title") or any(x.startswith("# ") for x in lines[end + 1 :])):
+    if not all(isinstance(fields.get(k), str) and fields[k].strip() for k in ("id", "title")):
         return None
     return fields | {"body": "\n".join(lines[end + 1 :]).strip()}
 
 
-RULE = "path string, id string, type string, domain string, priority string, tags array<string>, concepts array<string>, applies_to array<string>, requires array<string>, script string, body string"
+#: Columns of a rule file: name, key in the front matter, and kind.
+RULE_FIELDS = [
+    ("id", "id", "string"), ("title", "title", "string"), ("type", "type", "string"), ("domain", "domain", "string"), ("priority", "priority", "string"),
+    ("tags", "tags", "array<string>"), ("concepts", "concepts", "array<string>"), ("applies_to", "appliesTo", "array<string>"),
+    ("implies", "implies", "array<string>"), ("requires", "requires", "array<string>"), ("conflicts_with", "conflictsWith", "array<string>"),
+    ("exception_for", "exceptionFor", "array<string>"), ("supersedes", "supersedes", "array<string>"), ("related", "related", "array<string>"),
+    ("author", "author", "string"), ("created", "created", "date"), ("owner", "ownerId", "string"), ("tenant", "tenantId", "string"),
+    ("script", "validatorScript", "string"), ("script_enabled", "validatorEnabled", "boolean"), ("validator_type", "validatorType", "string"), ("validator_prompt", "validatorPrompt", "string"),
+]
+RELATIONS = {"implies": "IMPLIES", "requires": "REQUIRES", "conflicts_with": "CONFLICTS_WITH", "exception_for": "EXCEPTION_FOR", "supersedes": "SUPERSEDES", "related": "RELATED"}
+RULE = "path string, " + ", ".join(f"{name} {kind}" for name, _, kind in RULE_FIELDS) + ", pass array<string>, fail array<string>, body string"
+DEFAULTS = {"type": "Rule", "domain": "general", "tenant": "default"}
+
+
+def _typed(fields: dict, name: str, key: str, kind: str):
+    value = fields.get(key)
+    if kind == "array<string>":
+        return value if isinstance(value, list) else [value] if isinstance(value, str) and value else []
+    if kind == "boolean":
+        return str(value).lower() != "false"
+    value = value if isinstance(value, str) and value.strip() else DEFAULTS.get(name)
+    if kind == "date":
+        try:
+            return datetime.date.fromisoformat(value) if value else None
+        except ValueError:
+            return None
+    return {"low": "Low", "high": "High", "critical": "Critical"}.get((value or "").lower(), "Medium") if name == "priority" else value
 
 
 def parse_rules(files: DataFrame) -> DataFrame:
     """Rules of files(path, text); id is null where a file is rejected."""
-    text = lambda f, k, default=None: f[k] if isinstance(f.get(k), str) else default
-    many = lambda f, k: f[k] if isinstance(f.get(k), list) else [f[k]] if f.get(k) else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "date": pa.date32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+        schema = pa.schema([("path", pa.string()), *((n, kinds[k]) for n, _, k in RULE_FIELDS), ("pass", kinds["array<string>"]), ("fail", kinds["array<string>"]), ("body", pa.string())])
         for b in batches:
             rows = []
             for path, t in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
                 f = parse_rule(t or "") or {}
-                rows.append({"path": path, "id": text(f, "id"), "type": text(f, "type", "Rule"), "domain": text(f, "domain", "general"), "priority": text(f, "priority", "Medium"), "tags": many(f, "tags"), "concepts": many(f, "concepts"), "applies_to": many(f, "appliesTo"), "requires": many(f, "requires"), "script": text(f, "validatorScript"), "body": f.get("body")})
-            kinds = [(c.split()[0], pa.list_(pa.string()) if "array" in c else pa.string()) for c in RULE.split(", ")]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+                shown = f.get("validatorFixtures") if isinstance(f.get("validatorFixtures"), dict) else {}
+                rows.append({"path": path, **{n: _typed(f, n, key, k) for n, key, k in RULE_FIELDS}, "pass": shown.get("pass", []), "fail": shown.get("fail", []), "body": f.get("body")})
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return files.select("path", "text").mapInArrow(run, RULE)
 
@@ -253,31 +315,77 @@ def parse_rules(files: DataFrame) -> DataFrame:
 def read_markdown_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Rules of all .md files below a folder; rejected files have no id."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    return parse_rules(raw.select(F.input_file_name().alias("path"), F.col("value").alias("text")))
+    return parse_rules(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+
 
+def _named(column: str, name: str, mark: str, value: str) -> Column:
+    """An array column's values as structs with a fixed mark."""
+    return F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x: F.struct(F.lit(mark).alias(name), x.alias(value)))
 
-def rule_as_markdown() -> Column:
-    """A rule(id, title, type, domain, priority, tags, body) as front matter and body."""
-    line = lambda k, c: F.concat(F.lit(f"{k}: "), c)
-    return F.concat_ws("\n", F.lit("---"), line("id", F.col("id")), line("title", F.col("title")), line("type", F.col("type")), line("domain", F.col("domain")), line("priority", F.col("priority")), F.concat(F.lit("tags: ["), F.array_join("tags", ", "), F.lit("]")), F.lit("---"), F.lit(""), F.col("body"))
 
+def relations_of(rules: DataFrame) -> DataFrame:
+    """(src, rel, dst), each once, of rules with the relation columns of RULE_FIELDS."""
+    pairs = F.flatten(F.array(*[_named(c, "rel", rel, "dst") for c, rel in RELATIONS.items()]))
+    return rules.select(F.col("id").alias("src"), F.explode(pairs).alias("x")).select("src", "x.rel", "x.dst").distinct()
 
-def write_rules_by_domain(rules: DataFrame, folder: str) -> None:
-    """One folder a domain, with file name and text of each rule; names keep letters, digits, - _ and dots."""
-    name = F.concat(F.regexp_replace("id", r"[^\p{L}\p{Nd}\-_.]", "-"), F.lit(".md"))
-    rules.select("domain", name.alias("file"), rule_as_markdown().alias("text")).write.partitionBy("domain").parquet(folder)
+
+def fixtures_of(rules: DataFrame) -> DataFrame:
+    """(rule, kind, code): the snippets that a rule's check must pass and must not."""
+    each = F.flatten(F.array(*[_named(k, "kind", k, "code") for k in ("pass", "fail")]))
+    return rules.select(F.col("id").alias("rule"), F.explode(each).alias("x")).select("rule", "x.kind", "x.code")
+
+
+def rule_as_markdown(rules: DataFrame) -> Column:
+    """A rule as front matter and body: id, title, type, domain, priority and, where rules have them and they say something, the other fields."""
+    have = lambda c, text, when: F.when(when, text) if c in rules.columns else F.lit(None).cast("string")
+    filled = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
+    key = {name: k for name, k, _ in RULE_FIELDS}
+    line = lambda c: F.concat(F.lit(f"{key[c]}: "), F.col(c).cast("string"))
+    many = lambda c: have(c, F.concat(F.lit(f"{key[c]}: ["), F.array_join(c, ", "), F.lit("]")), F.size(c) > 0)
+    one = lambda c, when=None: have(c, line(c), (filled(c) if c in rules.columns else F.lit(False)) if when is None else when)
+    shown = lambda k: F.when(F.size(k) > 0, F.concat(F.lit(f"  {k}:\n"), F.array_join(F.transform(k, lambda x: F.concat(F.lit("    - |\n"), F.regexp_replace(x, "(?m)^", "      "))), "\n"))) if k in rules.columns else F.lit(None).cast("string")
+    fixtures = F.concat_ws("\n", shown("pass"), shown("fail"))
+    parts = [
+        F.lit("---"), *map(line, ("id", "title", "type", "domain", "priority")), many("tags"), many("concepts"), many("applies_to"), one("author"), one("created"), one("owner"),
+        one("tenant", F.col("tenant") != "default" if "tenant" in rules.columns else None), *map(many, RELATIONS), have("script_enabled", F.lit("validatorEnabled: false"), ~F.col("script_enabled") if "script_enabled" in rules.columns else F.lit(False)),
+        one("validator_type"), one("validator_prompt"), have("script", F.concat(F.lit("validatorScript: |\n"), F.regexp_replace("script", "(?m)^", "  ")), filled("script") if "script" in rules.columns else F.lit(False)),
+        F.when(fixtures != "", F.concat(F.lit("validatorFixtures:\n"), fixtures)), F.lit("---"), F.lit(""), F.concat(F.coalesce("body", F.lit("")), F.lit("\n")),
+    ]
+    return F.concat_ws("\n", *parts)
+
+
+def rule_files(rules: DataFrame) -> DataFrame:
+    """(domain, file, text): names keep letters, digits, - _ and dots; of ids with one name in a domain all but the smallest carry a hash."""
+    safe = lambda c: F.regexp_replace(c, r"[^\p{L}\p{Nd}\-_.]", "-")
+    named = rules.select("id", safe(F.coalesce("domain", F.lit("general"))).alias("domain"), safe(F.col("id")).alias("name"), rule_as_markdown(rules).alias("text"))
+    first = F.row_number().over(Window.partitionBy("domain", "name").orderBy("id")) == 1
+    return named.select("domain", F.concat("name", F.when(first, ".md").otherwise(F.concat(F.lit("-"), F.substring(F.sha2("id", 256), 1, 8), F.lit(".md")))).alias("file"), "text")
+
+
+def write_rules_by_domain(rules: DataFrame, folder: str, overwrite: bool = True) -> None:
+    """A Markdown file for each rule, in a folder for each domain; all of them or, if a task fails for good, none."""
+    rules.sparkSession.dataSource.register(RuleFiles)
+    rule_files(rules).write.format("rule_files").mode("overwrite" if overwrite else "append").save(folder)
 
 
 def export_bundle(rules: DataFrame, folder: str) -> None:
-    """Rules as JSON lines, each with the bundle's version, in as many files as there are partitions."""
-    rules.select(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.struct(*rules.columns).alias("rule"))).alias("value")).write.text(folder)
+    """Bundles {schemaVersion, rules: [...]}: each partition's rules are one whole document, a rule a line; coalesce(1) makes it one."""
+
+    def document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = '{"schemaVersion":1,"rules":['
+        for b in batches:
+            lines = b.column("value").to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([("," if k or not head else "") + x for k, x in enumerate(lines)]) if not head else pa.array([head, *(("," if k else "") + x for k, x in enumerate(lines))])], names=["value"])
+                head = ""
+        yield pa.RecordBatch.from_arrays([pa.array([head + "]}"])], names=["value"])
+
+    rules.select(F.to_json(F.struct(*rules.columns)).alias("value")).mapInArrow(document, "value string").write.text(folder)
 
 
 def import_bundle(spark: SparkSession, folder: str, rule_ddl: str, keep_scripts: bool = False) -> DataFrame:
-    """Rules of an exported bundle or of documents {schemaVersion, rules: [...]}, a line each; scripts are dropped unless allowed."""
-    ddl = f"schemaVersion int, rule struct<{rule_ddl}>, rules array<struct<{rule_ddl}>>"
-    one = spark.read.text(folder).select(F.from_json("value", ddl).alias("b")).where("b.schemaVersion = 1")
-    out = one.select(F.explode(F.concat(F.when(F.col("b.rule").isNotNull(), F.array("b.rule")).otherwise(F.array().cast(f"array<struct<{rule_ddl}>>")), F.coalesce("b.rules", F.array().cast(f"array<struct<{rule_ddl}>>")))).alias("r")).select("r.*")
+    """Rules of documents {schemaVersion, rules: [...]}, of any size and number in a file; scripts are dropped unless allowed."""
+    out = json_records(spark, folder, depth=2).select(F.from_json("text", rule_ddl).alias("r")).select("r.*")
     return out if keep_scripts or "script" not in out.columns else out.withColumn("script", F.lit(None).cast("string"))
 
 

@@ -154,11 +154,45 @@ def import_bundle(spark, d):
     return back.select("id", "type", "domain", F.sha2("body", 256).alias("body_sha256"), "script")
 
 
-@query(f"select domain, regexp_replace(id, '[^a-zA-Z0-9_.-]', '-', 'g') || '.md' as file, sha256('---' || chr(10) || 'id: ' || id || chr(10) || 'title: ' || id || chr(10) || 'type: ' || type || chr(10) || 'domain: ' || domain || chr(10) || 'priority: ' || priority || chr(10) || 'tags: [' || tag_lang || ', ' || domain || ']' || chr(10) || '---' || chr(10) || chr(10) || body) as text_sha256 from {R}")
+def _files(spark, d):
+    """All rules with every field of a rule file."""
+    r = model(spark, d, "rules").withColumn("n", F.split("id", ":")[2].cast("long"))
+    n, none = F.col("n"), F.array().cast("array<string>")
+    return r.select(
+        "id", F.concat(F.lit("T "), "n").alias("title"), "type", "domain", "priority", F.array("tag_lang", "domain").alias("tags"), F.array(F.concat(F.lit("c"), n % 3)).alias("concepts"),
+        F.when(n % 3 == 0, F.array("prior_id")).otherwise(none).alias("supersedes"), F.when(n % 4 == 1, F.array("prior_id", F.lit("x"))).otherwise(none).alias("related"), F.when(n % 2 == 0, "me").alias("author"),
+        F.when(n % 5 == 0, F.lit("2024-02-29").cast("date")).alias("created"), "owner", F.when(n % 7 == 0, "other").otherwise("default").alias("tenant"), F.when(n % 6 == 0, "import re\n\nif True:\n    x = 1").alias("script"), (n % 12 != 0).alias("script_enabled"),
+        F.when(n % 6 == 0, F.array(F.lit("ok()"), F.lit("a:\n  - b\n\nc"))).otherwise(none).alias("pass"), F.when(n % 6 == 0, F.array(F.concat(F.lit("bad("), "n", F.lit(")")))).otherwise(none).alias("fail"), "body",
+    )
+
+
+FILES = f"(select *, split_part(id, ':', 3)::bigint as n from {R})"
+FILE_NAME = "regexp_replace(id, '[^a-zA-Z0-9_.-]', '-', 'g') || '.md'"
+
+
+@query(f"""select domain, {FILE_NAME} as file, sha256('---' || chr(10) || 'id: ' || id || chr(10) || 'title: T ' || n || chr(10) || 'type: ' || type || chr(10) || 'domain: ' || domain || chr(10) || 'priority: ' || priority || chr(10) || 'tags: [' || tag_lang || ', ' || domain || ']' || chr(10) || 'concepts: [c' || (n % 3) || ']' || chr(10)
+ || case when n % 2 = 0 then 'author: me' || chr(10) else '' end || case when n % 5 = 0 then 'created: 2024-02-29' || chr(10) else '' end || coalesce('ownerId: ' || owner || chr(10), '') || case when n % 7 = 0 then 'tenantId: other' || chr(10) else '' end
+ || case when n % 3 = 0 then 'supersedes: [' || prior_id || ']' || chr(10) else '' end || case when n % 4 = 1 then 'related: [' || prior_id || ', x]' || chr(10) else '' end || case when n % 12 = 0 then 'validatorEnabled: false' || chr(10) else '' end
+ || case when n % 6 = 0 then 'validatorScript: |' || chr(10) || '  import re' || chr(10) || '  ' || chr(10) || '  if True:' || chr(10) || '      x = 1' || chr(10) || 'validatorFixtures:' || chr(10) || '  pass:' || chr(10) || '    - |' || chr(10) || '      ok()' || chr(10) || '    - |' || chr(10) || '      a:' || chr(10) || '        - b' || chr(10) || '      ' || chr(10) || '      c' || chr(10)
+  || '  fail:' || chr(10) || '    - |' || chr(10) || '      bad(' || n || ')' || chr(10) else '' end || '---' || chr(10) || chr(10) || body || chr(10)) as text_sha256 from {FILES}""")
 def write_rules_by_domain(spark, d):
+    """All rules written as Markdown files, a folder a domain, and the files read back as they lie there."""
     path = scratch(spark, "by-domain")
-    ingest.write_rules_by_domain(model(spark, d, "rules").select("id", F.col("id").alias("title"), "type", "domain", "priority", F.array("tag_lang", "domain").alias("tags"), "body"), path)
-    return spark.read.parquet(path).select(F.col("domain").cast("string").alias("domain"), "file", F.sha2("text", 256).alias("text_sha256"))
+    ingest.write_rules_by_domain(_files(spark, d), path)
+    back = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.reverse(F.split(F.col("_metadata.file_path"), "/")).alias("at"), "value")
+    return back.select(F.col("at")[1].alias("domain"), F.col("at")[0].alias("file"), F.sha2("value", 256).alias("text_sha256"))
+
+
+@query(f"""select id, 'T ' || n as title, type, domain, priority, tag_lang || ',' || domain as tags, 'c' || (n % 3) as concepts, case when n % 3 = 0 then prior_id else '' end as supersedes, case when n % 4 = 1 then prior_id || ',x' else '' end as related, case when n % 2 = 0 then 'me' end as author,
+ case when n % 5 = 0 then '2024-02-29' end as created, owner, case when n % 7 = 0 then 'other' else 'default' end as tenant, case when n % 6 = 0 then 'import re' || chr(10) || chr(10) || 'if True:' || chr(10) || '    x = 1' end as script, n % 12 <> 0 as script_enabled,
+ case when n % 6 = 0 then 'ok()|a:' || chr(10) || '  - b' || chr(10) || chr(10) || 'c' else '' end as passes, case when n % 6 = 0 then 'bad(' || n || ')' else '' end as fails, sha256(trim(replace(body, chr(13) || chr(10), chr(10)), ' ' || chr(9) || chr(10) || chr(13))) as body_sha256 from {FILES}""")
+def read_rule_files(spark, d):
+    """The same files read as rules: every field of the front matter, nested fixtures included."""
+    path = scratch(spark, "rule-files")
+    ingest.write_rules_by_domain(_files(spark, d), path)
+    back = ingest.read_markdown_rules(spark, path)
+    many = lambda c, by=",": F.array_join(c, by).alias({"pass": "passes", "fail": "fails"}.get(c, c))
+    return back.select("id", "title", "type", "domain", "priority", *map(many, ("tags", "concepts", "supersedes", "related")), "author", F.col("created").cast("string").alias("created"), "owner", "tenant", "script", "script_enabled", many("pass", "|"), many("fail", "|"), F.sha2("body", 256).alias("body_sha256"))
 
 
 AUDIT = "(select user_id as file, row_number() over (partition by user_id order by event_id) as line, event_id, event_type from events)"

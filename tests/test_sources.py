@@ -68,3 +68,84 @@ def test_lines_of_two_files_have_different_ids(spark, tmp_path):
     for f in "ab":
         (tmp_path / f"{f}.jsonl").write_text('{"x": "1"}\n{broken\n7\n{"x": "2"}\n')
     assert sorted(r["id"] for r in ingest.import_records(spark, f"{tmp_path}/*.jsonl", "l").collect()) == [f"upload:l:{k}" for k in range(4)]
+
+
+RULE = "id string, title string, type string, domain string, priority string, tags array<string>, body string"
+
+
+def test_rule_files_are_all_there_or_none(spark, tmp_path):
+    rows = [("git:a:b", "T", "Rule", "d 1", "High", ["x"], "body"), ("git-a:b", "T", "Rule", "d 1", "High", [], None), ("ü", "T", "Rule", None, "Low", [], "")]
+    df = spark.createDataFrame(rows, RULE)
+    out = tmp_path / "out"
+    ingest.write_rules_by_domain(df, str(out))
+    names = sorted(str(p.relative_to(out)) for p in out.rglob("*.md"))
+    assert len(names) == 3 and names[1:] == ["d-1/git-a-b.md", "general/ü.md"] and names[0].startswith("d-1/git-a-b-")
+    assert {r["id"] for r in ingest.read_markdown_rules(spark, str(out)).collect()} == {"git:a:b", "git-a:b", "ü"}
+    ingest.write_rules_by_domain(df.limit(1), str(out))
+    assert len(list(out.rglob("*.md"))) == 1
+    with pytest.raises(Exception):
+        ingest.write_rules_by_domain(df, str(out), overwrite=False)
+    # a task that fails for good leaves the target as it was, and nothing beside it
+    bad = ingest.rule_files(df).selectExpr("domain", "case when file like 'ü%' then '' else file end as file", "text").repartition(3)
+    with pytest.raises(Exception):
+        bad.write.format("rule_files").mode("overwrite").save(str(out))
+    assert len(list(out.rglob("*.md"))) == 1 and [p.name for p in tmp_path.iterdir()] == ["out"]
+    ingest.write_rules_by_domain(df.limit(0), str(out))
+    assert out.is_dir() and not list(out.rglob("*.md"))
+
+
+def test_front_matter_with_fixtures_and_relations():
+    text = """\ufeff---
+id: r
+title: "A title"
+priority: critical
+validatorFixtures:
+  pass:
+    - |
+      try:
+          x()
+      except ValueError:
+
+          log()
+    - 'one line'
+  fail:
+    - >
+      folded
+      text
+implies: [a, 'b']
+related:
+  - c
+  - "d"
+created: 2024-13-01
+validatorEnabled: False
+---
+# Head
+
+text
+"""
+    f = ingest.parse_rule(text)
+    assert f["validatorFixtures"] == {"pass": ["try:\n    x()\nexcept ValueError:\n\n    log()", "one line"], "fail": ["folded text"]}
+    assert (f["implies"], f["related"], f["title"], f["body"]) == (["a", "b"], ["c", "d"], "A title", "# Head\n\ntext")
+    assert ingest._typed(f, "created", "created", "date") is None and ingest._typed(f, "priority", "priority", "string") == "Critical" and ingest._typed(f, "script_enabled", "validatorEnabled", "boolean") is False
+    assert ingest.parse_rule("---\nid: x\n---\n# heading is no title") is None and ingest.parse_rule("---\nid: x\ntitle: y") is None
+
+
+def test_relations_and_fixtures_of_files(spark):
+    df = spark.createDataFrame([("r", "---\nid: r\ntitle: t\nrequires: [a, b]\nconflictsWith: a\nvalidatorFixtures:\n  pass:\n    - ok\n  fail:\n    - bad\n---\n")], "path string, text string")
+    rules = ingest.parse_rules(df)
+    assert sorted(map(tuple, ingest.relations_of(rules).collect())) == [("r", "CONFLICTS_WITH", "a"), ("r", "REQUIRES", "a"), ("r", "REQUIRES", "b")]
+    assert sorted(map(tuple, ingest.fixtures_of(rules).collect())) == [("r", "fail", "bad"), ("r", "pass", "ok")]
+
+
+def test_bundles_of_any_number_of_documents(spark, tmp_path, small_splits):
+    rows = [(f"r{k}", "t", "Rule", "d", "Low", ["}{"], '"}\\' * (k % 50)) for k in range(500)]
+    df = spark.createDataFrame(rows, RULE)
+    for parts in (1, 7):
+        path = f"{tmp_path}/b{parts}"
+        ingest.export_bundle(df.repartition(parts), path)
+        docs = [json.loads(p.read_text()) for p in (tmp_path / f"b{parts}").glob("part-*")]
+        assert sum(len(x["rules"]) for x in docs) == 500 and len(docs) == parts and all(x["schemaVersion"] == 1 for x in docs)
+        back = ingest.import_bundle(spark, path, RULE)
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    ingest.export_bundle(df.limit(0).coalesce(1), f"{tmp_path}/none")
+    assert ingest.import_bundle(spark, f"{tmp_path}/none", RULE).count() == 0
