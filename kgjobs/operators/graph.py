@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import jaccard, memory_id, normalize_memory, recency_factor, tokenize
+from ..functions import hmac_sha256, jaccard, memory_id, normalize_memory, recency_factor, tokenize
 from ..sources import scratch
 
 
@@ -72,13 +72,32 @@ def recall(memories: DataFrame, queries: DataFrame, now: Column, half_life_days:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
-def verify_chain(lines: DataFrame) -> DataFrame:
-    """lines(file, line, seq, prev_hash, stored_hash): SEQ_GAP and CHAIN_BROKEN issues per line; a line without seq is PARSE_ERROR."""
-    w = Window.partitionBy("file").orderBy("line")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = lines.withColumns({"last_seq": F.last("seq", ignorenulls=True).over(before), "last_hash": F.last("stored_hash", ignorenulls=True).over(before)})
-    bad = F.when(F.col("seq").isNull(), "PARSE_ERROR").when(F.col("seq") != F.coalesce("last_seq", F.lit(0)) + 1, "SEQ_GAP").when(~F.col("prev_hash").eqNullSafe(F.coalesce("last_hash", F.lit(""))), "CHAIN_BROKEN")
-    return rows.select("file", "line", bad.alias("issue")).where("issue is not null")
+#: Lines of a file that one task looks at together.
+RANGE = 50_000
+
+
+def verify_chain(lines: DataFrame, key: bytes | None = None, span: int = RANGE) -> DataFrame:
+    """(file, line, issue) of lines(file, line, seq, prev_hash, stored_hash, and with a key entry and mac); lines count from 1 in their file.
+
+    PARSE_ERROR: no seq. HMAC_INVALID: the mac is not the Base64 HMAC-SHA256 of the entry. SEQ_GAP: seq is not that of the
+    last line that could be read, plus the lines since. CHAIN_BROKEN: prev_hash is not that line's stored hash; where there
+    is no such line or hash, nothing is broken. A line may have several. A file's lines are dealt to ranges; each gets
+    what the ranges before it end with, so no task holds a file.
+    """
+    read = F.when(F.col("seq").isNotNull(), F.struct("line", "seq", F.col("stored_hash").alias("hash")))
+    rows = lines.withColumns({"range": F.floor((F.col("line") - 1) / span), "read": read})
+    ends = rows.groupBy("file", "range").agg(F.max("read").alias("end"))
+    # a row a range
+    carried = F.last("end", ignorenulls=True).over(Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(ends.select("file", "range", carried.alias("carried")), ["file", "range"])
+    here = F.last("read", ignorenulls=True).over(Window.partitionBy("file", "range").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.coalesce(here, "carried"))
+    expected = F.coalesce(F.col("before.seq") + F.col("line") - F.col("before.line"), F.col("line"))
+    parsed = F.col("seq").isNotNull()
+    forged = ~F.base64(F.unhex(hmac_sha256(key, F.col("entry")))).eqNullSafe(F.col("mac")) if key is not None else F.lit(False)
+    broken = F.col("before.hash").isNotNull() & ~F.col("prev_hash").eqNullSafe(F.col("before.hash"))
+    found = F.array_compact(F.array(F.when(~parsed, "PARSE_ERROR"), F.when(parsed & forged, "HMAC_INVALID"), F.when(parsed & (F.col("seq") != expected), "SEQ_GAP"), F.when(parsed & broken, "CHAIN_BROKEN")))
+    return rows.select("file", "line", F.explode(found).alias("issue"))
 
 
 def soft_delete(rules: DataFrame, ids: DataFrame, now: Column) -> DataFrame:

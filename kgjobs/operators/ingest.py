@@ -392,6 +392,17 @@ def import_bundle(spark: SparkSession, folder: str, rule_ddl: str, keep_scripts:
 ENTRY = "seq long, ts string, event_type string, user string, description string, metadata map<string,string>, prev_hash string"
 
 
+def audit_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, line, value): the lines but for empty ones of the daily logs audit-*.jsonl below a folder, counted from 1 in each file; a file is read by as many tasks as it has splits."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "audit-*.jsonl").text(folder).where("value <> ''")
+    rows = raw.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    # a split's rows have ids in a row, so its first id gives their places; a row a split
+    splits = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
 def read_audit_log(lines: DataFrame) -> DataFrame:
     """lines(file, line, value): the signed entry and what is inside it; columns are null where a layer is no JSON."""
     signed = lines.select("file", "line", F.from_json("value", "entry string, mac string, entry_hash string").alias("s"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import functions as fn
 from ..adapters import model
-from ..operators import chunking, feedback, graph, retrieval
+from ..operators import chunking, feedback, graph, ingest, retrieval
 from ..queries import DECAYED, NOW, QUERIES, RAW, SQL, STATS, C, E, G, M, R, query, rounded
+from ..sources import scratch
+from ..sources.rule_files import RuleFiles
 
 AT = f"timestamp '{NOW}'"
 
@@ -160,16 +163,30 @@ def benchmark_report(spark, d):
     return m.agg(F.count("*").alias("cases"), *[F.round(F.avg(c), 5).alias(c) for c in ("recall", "precision", "mrr", "ndcg")])
 
 
-@query("""with l as (select user_id as file, row_number() over (partition by user_id order by event_id) as line, event_id, sha256(event_id::varchar) as h from events),
- s as (select *, case when event_id % 70 = 0 then line + 5 else line end as seq, case when event_id % 50 = 0 then 'edited' else coalesce(lag(h) over w, '') end as prev, coalesce(lag(h) over w, '') as want from l window w as (partition by file order by line)),
- i as (select *, coalesce(lag(seq) over (partition by file order by line), 0) + 1 as expected from s)
- select file, line, case when seq <> expected then 'SEQ_GAP' else 'CHAIN_BROKEN' end as issue from i where seq <> expected or prev <> want""")
+KEY = b"a key of the log"
+CHAIN = """with l as (select 'audit-2024-01-' || lpad((user_id % 28 + 1)::varchar, 2, '0') || '.jsonl' as file, row_number() over (partition by user_id % 28 order by event_id) as line, event_id, sha256(event_id::varchar) as h, event_id % 90 <> 3 as parsed from events),
+ s as (select *, case when event_id % 70 = 0 then line + 5 else line end as seq from l),
+ b as (select *, last_value(case when parsed then {'line': line, 'seq': seq, 'h': h} end ignore nulls) over (partition by file order by line rows between unbounded preceding and 1 preceding) as p from s)
+ select file, line, 'PARSE_ERROR' as issue from b where not parsed union all select file, line, 'HMAC_INVALID' from b where parsed and event_id % 60 = 7
+ union all select file, line, 'SEQ_GAP' from b where parsed and seq <> coalesce(p.seq + line - p.line, line) union all select file, line, 'CHAIN_BROKEN' from b where parsed and event_id % 50 = 0 and p.h is not null"""
+
+
+@query(CHAIN)
 def verify_audit_chain(spark, d):
-    w = Window.partitionBy("file").orderBy("event_id")
-    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("file"), "event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("stored_hash"))
-    e = e.withColumns({"line": F.row_number().over(w).cast("long"), "before": F.coalesce(F.lag("stored_hash").over(w), F.lit(""))})
-    seq, prev = F.when(F.col("event_id") % 70 == 0, F.col("line") + 5).otherwise(F.col("line")), F.when(F.col("event_id") % 50 == 0, "edited").otherwise(F.col("before"))
-    return graph.verify_chain(e.select("file", "line", seq.alias("seq"), prev.alias("prev_hash"), "stored_hash"))
+    """The events as signed lines of daily logs, some broken, forged, out of order or cut from the chain; written as files, read and checked."""
+    e = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 28 + 1).alias("day"), "event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("entry_hash"), (F.col("event_id") % 90 != 3).alias("parsed"))
+    w = Window.partitionBy("day").orderBy("event_id")
+    before = F.last(F.when(F.col("parsed"), F.col("entry_hash")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    e = e.withColumns({"line": F.row_number().over(w), "before": F.coalesce(before, F.lit(""))})
+    entry = F.to_json(F.struct((F.col("line") + F.when(F.col("event_id") % 70 == 0, 5).otherwise(0)).alias("seq"), F.when(F.col("event_id") % 50 == 0, "edited").otherwise(F.col("before")).alias("prev_hash")))
+    mac = F.when(F.col("event_id") % 60 == 7, "forged").otherwise(F.base64(F.unhex(fn.hmac_sha256(KEY, F.col("entry")))))
+    lines = e.withColumn("entry", entry).withColumn("mac", mac).withColumn("text", F.when(F.col("parsed"), F.to_json(F.struct("entry", "mac", "entry_hash"))).otherwise("{broken"))
+    days = lines.groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    path = scratch(spark, "audit")
+    spark.dataSource.register(RuleFiles)
+    days.select(F.lit("2024").alias("domain"), F.format_string("audit-2024-01-%02d.jsonl", "day").alias("file"), "text").write.format("rule_files").mode("overwrite").save(path)
+    entries = ingest.read_audit_log(ingest.audit_lines(spark, path))
+    return graph.verify_chain(entries.withColumnRenamed("entry_hash", "stored_hash"), KEY, span=100)
 
 
 @query("""with c as (select event_id as seq, unnest([event_id - 3, event_id - 10, event_id + 1]) as ref from events), l as (select event_id, case event_type when 'error' then 1 when 'signup' then 2 else 4 end as label from events)

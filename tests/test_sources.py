@@ -149,3 +149,48 @@ def test_bundles_of_any_number_of_documents(spark, tmp_path, small_splits):
         assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     ingest.export_bundle(df.limit(0).coalesce(1), f"{tmp_path}/none")
     assert ingest.import_bundle(spark, f"{tmp_path}/none", RULE).count() == 0
+
+
+@pytest.mark.parametrize("span", [1, 7, 10**6])
+def test_audit_chain_equals_a_walk_along_each_file(spark, tmp_path, small_splits, span):
+    import base64
+    import hashlib
+    import hmac
+
+    from kgjobs.operators import graph
+
+    rng, key, want = random.Random(9), b"k" * 32, []
+    (tmp_path / "logs").mkdir()
+    for day in ("2024-01-01", "2024-01-02", "2024-01-03"):
+        lines, prev, seq = [], "", 0
+        for k in range(150):
+            seq += rng.choice([1, 1, 1, 1, 2])
+            entry = json.dumps({"seq": seq, "ts": "t", "metadata": {"a": "ü}" * 20}, "prev_hash": "cut" if rng.random() < 0.05 else prev})
+            h = hashlib.sha256(entry.encode()).hexdigest()
+            mac = base64.b64encode(hmac.digest(key, entry.encode(), "sha256")).decode()
+            signed = {"entry": entry if rng.random() > 0.03 else "{", "mac": mac if rng.random() > 0.05 else "AAAA", "entry_hash": h if rng.random() > 0.03 else None}
+            lines.append("no json" if rng.random() < 0.06 or k < 2 * (day[-1] == "3") else json.dumps(signed))
+            prev = h
+        (tmp_path / "logs" / f"audit-{day}.jsonl").write_text("\n\n".join(lines) + "\n")
+        expected, last = 1, None
+        for n, line in enumerate(lines, 1):
+            try:
+                s = json.loads(line)
+                e = json.loads(s["entry"])
+            except ValueError:
+                want.append((f"audit-{day}.jsonl", n, "PARSE_ERROR"))
+                expected += 1
+                continue
+            if s["mac"] != base64.b64encode(hmac.digest(key, s["entry"].encode(), "sha256")).decode():
+                want.append((f"audit-{day}.jsonl", n, "HMAC_INVALID"))
+            if e["seq"] != expected:
+                want.append((f"audit-{day}.jsonl", n, "SEQ_GAP"))
+            if last is not None and e["prev_hash"] != last:
+                want.append((f"audit-{day}.jsonl", n, "CHAIN_BROKEN"))
+            expected, last = e["seq"] + 1, s["entry_hash"]
+    (tmp_path / "logs" / "other.txt").write_text("x\n")
+    lines = ingest.audit_lines(spark, str(tmp_path / "logs"))
+    assert lines.count() == 450
+    entries = ingest.read_audit_log(lines).withColumnRenamed("entry_hash", "stored_hash")
+    got = sorted(map(tuple, graph.verify_chain(entries, key, span).collect()))
+    assert got == sorted(want) and {x[2] for x in got} == {"PARSE_ERROR", "HMAC_INVALID", "SEQ_GAP", "CHAIN_BROKEN"}
