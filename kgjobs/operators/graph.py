@@ -181,27 +181,101 @@ def list_deleted(rules: DataFrame) -> DataFrame:
     return rules.where("deleted_at is not null").select("id", "deleted_at", line.alias("preview")).orderBy(F.col("deleted_at").desc(), "id")
 
 
+#: Edges or pairs that one task settles by itself.
+SMALL = 100_000
+
+
+def _cyclic(edges: list[tuple]) -> bool:
+    """Whether edges (src, dst) without self loops hold a cycle, by taking away what nothing leads to."""
+    out, into = {}, {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        into[b] = into.get(b, 0) + 1
+    free, n = [a for a in out if a not in into], 0
+    while free:
+        for b in out.get(free.pop(), ()):
+            into[b] -= 1
+            n += 1
+            if not into[b]:
+                free.append(b)
+    return n < len(edges)
+
+
+def has_cycle(edges: DataFrame, small: int = SMALL) -> tuple[bool, int]:
+    """Whether edges(src, dst) hold a cycle of two nodes or more, and the number of tables that were written to tell.
+
+    Each round takes away nodes that nothing leads to or that lead nowhere; where there are none of these, what is left is
+    cyclic. Then nodes with one edge into them join the node it comes from, whole trees of them at once by pointer
+    doubling, in the next round those with one edge out of them; a chain of n nodes takes about log n tables. An edge that
+    comes to lead from a node to itself that way is a cycle. What has shrunk to ``small`` edges one task settles.
+    """
+    spark, base, n = edges.sparkSession, scratch(edges.sparkSession, "cycle"), 0
+
+    def written(df: DataFrame) -> DataFrame:
+        nonlocal n
+        n += 1
+        df.write.parquet(f"{base}/{n}")
+        return spark.read.parquet(f"{base}/{n}")
+
+    left = written(edges.where("src <> dst").select("src", "dst").distinct())
+    size, turned = left.count(), False
+    while size > small:
+        inner = written(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        now = inner.count()
+        if now in (0, size):
+            return now > 0, n
+        # (node, up): nodes with one edge into them; up moves on to what it joined, twice as far each time
+        joined = inner.groupBy("dst").agg(F.count("*").alias("k"), F.first("src").alias("up")).where("k = 1")
+        up = written(joined.select(F.col("dst").alias("node"), "up", F.lit(True).alias("open")))
+        steps, nodes = 1, up.count()
+        while True:
+            ahead = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
+            up = written(up.join(ahead, "up", "left").select("node", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("open")))
+            if up.where("open").isEmpty():
+                break
+            steps *= 2
+            if steps > 2 * nodes:  # so long a way among so few nodes comes back
+                return True, n
+        top = up.select(F.col("node").alias("src"), "up")
+        rest = inner.join(up.select(F.col("node").alias("dst")), "dst", "left_anti").join(top, "src", "left").select(F.coalesce("up", "src").alias("src"), "dst").distinct()
+        # the other way round next time
+        left = written(rest.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        if not left.where("src = dst").isEmpty():
+            return True, n
+        size = left.count()
+    return _cyclic([tuple(r) for r in left.collect()]), n
+
+
 def validate_graph(rules: DataFrame, implies: DataFrame) -> DataFrame:
-    """One row (cyclic, missing): whether implies(src, dst) has a cycle of two or more, and how many implied ids are no rule.
+    """One row (cyclic, missing): whether implies(src, dst) has a cycle of two or more, and how many implied ids are no rule."""
+    cyclic, _ = has_cycle(implies)
+    missing = implies.select(F.col("dst").alias("id")).join(rules.select("id"), "id", "left_anti").agg(F.count_distinct("id").alias("missing"))
+    return missing.select(F.lit(cyclic).alias("cyclic"), "missing")
+
 
-    Nodes that nothing leads to or that lead nowhere are peeled off round by round; a core remains just where there is a
-    cycle. Each round is a written table.
+def components(pairs: DataFrame, name: str = "components") -> DataFrame:
+    """(id, label) for both ends of pairs(a, b): the smallest id that can be reached, a written table.
+
+    A node takes the least label near it; the label it had takes that one as well, and labels are followed to their
+    label's label, so trees of labels merge whole and rounds are about the logarithm of the longest way.
     """
-    spark, base, n = rules.sparkSession, scratch(rules.sparkSession, "implied"), 0
-    left = implies.where("src <> dst").select("src", "dst").distinct()
-    left.write.parquet(f"{base}/0")
-    size = spark.read.parquet(f"{base}/0").count()
-    while size:
-        left = spark.read.parquet(f"{base}/{n}")
-        kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    spark, base, n = pairs.sparkSession, scratch(pairs.sparkSession, name), 0
+    pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().write.parquet(f"{base}/pairs")
+    both = spark.read.parquet(f"{base}/pairs")
+    both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")).write.parquet(f"{base}/0")
+    while True:
+        labels = spark.read.parquet(f"{base}/{n}").select("id", "label")
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("low"))
+        hooked = step.where("low < label").groupBy(F.col("label").alias("id")).agg(F.min("low").alias("hook"))
+        step = step.join(hooked, "id", "left").select("id", "label", F.least("low", "hook").alias("low"))
+        jump = labels.select(F.col("id").alias("low"), F.col("label").alias("jump"))
+        least = F.least("low", F.coalesce("jump", "low"))
         n += 1
-        kept.write.parquet(f"{base}/{n}")
-        now = spark.read.parquet(f"{base}/{n}").count()
-        if now == size:
-            break
-        size = now
-    missing = implies.select(F.col("dst").alias("id")).join(rules.select("id"), "id", "left_anti").agg(F.count_distinct("id").alias("missing"))
-    return missing.select(F.lit(size > 0).alias("cyclic"), "missing")
+        step.join(jump, "low", "left").select("id", least.alias("label"), (least < F.col("label")).alias("moved")).write.parquet(f"{base}/{n}")
+        new = spark.read.parquet(f"{base}/{n}")
+        if new.where("moved").isEmpty():
+            return new.select("id", "label")
 
 
 def similar_pairs(memories: DataFrame, above: float) -> DataFrame:
@@ -210,7 +284,7 @@ def similar_pairs(memories: DataFrame, above: float) -> DataFrame:
     Tokens are ordered by how rare they are; likeness over ``above`` needs a common one among each side's rarest
     size - ceil(above size) + 1, so only those meet in a join, and the whole sets confirm.
     """
-    key = F.struct(F.coalesce(F.datediff(F.lit("9999-12-31").cast("date"), "created"), F.lit(2**31 - 1)).alias("age"), "id")
+    key = F.struct(newness().alias("age"), "id")
     m = memories.select("owner", key.alias("key"), tokenize(F.col("body")).alias("tokens")).where("size(tokens) > 0")
     each = m.select("owner", "key", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     often = each.groupBy("owner", "token").agg(F.count("*").alias("often"))
@@ -223,31 +297,57 @@ def similar_pairs(memories: DataFrame, above: float) -> DataFrame:
     return both.where(jaccard(F.col("tokens"), F.col("tokens2")) > above).select("owner", F.col("key.id").alias("a"), F.col("key2.id").alias("b"))
 
 
-def dedupe_near(memories: DataFrame, above: float = 0.9) -> DataFrame:
-    """Memories without those too like a newer one that is kept; above 1 nothing goes.
+def greedy_losers(pairs: DataFrame, small: int = SMALL) -> DataFrame:
+    """(id) of what goes if of pairs(a, b, at) the later side b goes just where its a stays; at orders all b, and every a comes before its b.
 
-    A memory is kept once all newer ones like it have gone, and goes once one of them is kept. Rounds settle at least
-    the newest open one of every chain; each is a written table of the still open pairs.
+    Pairs are split into connected components. One of up to ``small`` pairs is settled in a task, in order; larger ones
+    lose, round by round, what is later than something that nothing comes before, and fall into smaller ones.
     """
-    if above > 1:
-        return memories
-    spark, base, n = memories.sparkSession, scratch(memories.sparkSession, "near"), 0
-    similar_pairs(memories, above).select("a", "b").write.parquet(f"{base}/0")
+    spark, base, n = pairs.sparkSession, scratch(pairs.sparkSession, "greedy"), 0
+    pairs.select("a", "b", "at").write.parquet(f"{base}/0")
+    kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
     gone = []
+
+    def settle(rows):
+        import pandas as pd
+
+        lost: dict = {}
+        for b, a in rows.sort_values(["at", "b"]).groupby("b", sort=False)["a"]:
+            lost[b] = not all(lost.get(x, False) for x in a)
+        return pd.DataFrame({"id": [b for b, x in lost.items() if x]})
+
     while True:
-        pairs = spark.read.parquet(f"{base}/{n}")
-        if pairs.isEmpty():
+        left = spark.read.parquet(f"{base}/{n}")
+        if left.isEmpty():
             break
-        # what is nobody's later side is kept, so its later sides go
-        kept = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")), "a", "left_anti")
-        drop = pairs.join(kept, "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        label = components(left, "greedy-components")
+        tagged = left.join(label.select(F.col("id").alias("a"), "label"), "a")
+        large = tagged.groupBy("label").count().where(F.col("count") > small).select("label")  # few: each has over ``small`` pairs
         n += 1
-        drop.write.parquet(f"{base}/gone-{n}")
+        tagged.join(F.broadcast(large), "label", "left_anti").groupBy("label").applyInPandas(settle, f"id {kind['b']}").write.parquet(f"{base}/settled-{n}")
+        rest = tagged.join(F.broadcast(large), "label", "left_semi")
+        kept = rest.select("a").distinct().join(rest.select(F.col("b").alias("a")), "a", "left_anti")
+        rest.join(kept, "a", "left_semi").select(F.col("b").alias("id")).distinct().write.parquet(f"{base}/gone-{n}")
         drop = spark.read.parquet(f"{base}/gone-{n}")
-        gone.append(f"{base}/gone-{n}")
-        rest = pairs.join(drop.withColumnRenamed("id", "a"), "a", "left_anti").join(drop.withColumnRenamed("id", "b"), "b", "left_anti")
-        rest.write.parquet(f"{base}/{n}")
-    return memories.join(spark.read.parquet(*gone), "id", "left_anti") if gone else memories
+        gone += [f"{base}/settled-{n}", f"{base}/gone-{n}"]
+        rest.join(drop.withColumnRenamed("id", "a"), "a", "left_anti").join(drop.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b", "at").write.parquet(f"{base}/{n}")
+    return spark.read.parquet(*gone).distinct() if gone else pairs.select(F.col("b").alias("id")).limit(0)
+
+
+def newness() -> Column:
+    """Orders memories from the newest to those without a date."""
+    return F.coalesce(F.datediff(F.lit("9999-12-31").cast("date"), "created"), F.lit(2**31 - 1))
+
+
+def dedupe_near(memories: DataFrame, above: float = 0.9, small: int = SMALL) -> DataFrame:
+    """Memories without those too like a newer one that is kept; above 1 nothing goes.
+
+    A memory is kept once all newer ones like it have gone, and goes once one of them is kept.
+    """
+    if above > 1:
+        return memories
+    pairs = similar_pairs(memories, above).join(memories.select(F.col("id").alias("b"), newness().alias("at")), "b").select("a", "b", "at")
+    return memories.join(greedy_losers(pairs, small), "id", "left_anti")
 
 
 def remember(memories: DataFrame, facts: DataFrame, above: float = 0.6) -> tuple[DataFrame, DataFrame]:

@@ -24,42 +24,58 @@ def list_deleted(spark, d):
     return graph.list_deleted(_deleted(spark, d)[1]).select("id", F.unix_micros("deleted_at").alias("deleted_us"), "preview")
 
 
-@query("select false as cyclic, (select count(distinct o_custkey) from orders where -o_custkey not in (select o_orderkey from orders)) as missing")
+@query("""with e as (select o_orderkey as src, o_orderkey + case when o_orderkey % 97 = 5 then -3 else 1 end as dst from orders where o_orderkey % 4 <> 3 union select o_orderkey, -o_custkey from orders),
+ n as (select src, dst from e where src <> dst)
+ select exists (select 1 from n a join n b on b.src = a.dst join n c on c.src = b.dst join n f on f.src = c.dst where f.dst = a.src or c.dst = a.src) as cyclic, (select count(distinct dst) from e where dst not in (select o_orderkey from orders)) as missing""")
 def validate_graph(spark, d):
+    """Orders imply the next one, in chains of four, and now and then the one three before, which closes a chain to a ring; all imply ids that are no order."""
     o = spark.read.parquet(f"{d}/orders.parquet")
-    return graph.validate_graph(o.select(F.col("o_orderkey").alias("id")), o.select(F.col("o_orderkey").alias("src"), (-F.col("o_custkey")).alias("dst")))
+    k = F.col("o_orderkey")
+    chain = o.where(k % 4 != 3).select(k.alias("src"), (k + F.when(k % 97 == 5, -3).otherwise(1)).alias("dst"))
+    return graph.validate_graph(o.select(k.alias("id")), chain.unionByName(o.select(k.alias("src"), (-F.col("o_custkey")).alias("dst"))))
 
 
-TOKEN_SETS = f"(select owner, id, created, list_distinct(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{Nd}}]+')) as t from {M})"
+#: Whole documents as memories; near copies among them are alike.
+NOTES = "(select lang as owner, doc_id as id, date '2024-01-01' + (doc_id % 9)::int * 20 as created, text as body from documents)"
+SETS = f"t as (select owner, id, created, list_distinct(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{Nd}}]+')) as t from {NOTES})"
+ALIKE = "len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) > 0.8"
+PAIRS = f"p as (select a.id as a, b.id as b from t a join t b on a.owner = b.owner and (a.created > b.created or (a.created = b.created and a.id < b.id)) and len(a.t) >= 0.8 * len(b.t) and len(b.t) >= 0.8 * len(a.t) and {ALIKE})"
+# one after the other, newest first: what is like one kept so far goes
+GREEDY = f"""with recursive {SETS}, {PAIRS}, o as (select id, row_number() over (order by created desc, id) as n from t where id in (select b from p)),
+ g as (select 0::bigint as n, []::bigint[] as gone union all select o.n, case when exists (select 1 from p where p.b = o.id and not list_contains(g.gone, p.a)) then list_append(g.gone, o.id) else g.gone end from g join o on o.n = g.n + 1),
+ lost as (select unnest(gone) as id from (select gone from g order by n desc limit 1))"""
 
 
-def _likeness(spark, d):
-    """Memories whose bodies are cut short, so that some are alike."""
-    m = model(spark, d, "memories")
-    return m.withColumn("body", F.concat_ws(" ", F.slice(F.split("body", " "), 1, 3), F.lit("and the same words again"))).withColumn("owner", F.lit("u"))
+def _notes(spark, d):
+    x = spark.read.parquet(f"{d}/documents.parquet")
+    return x.select(F.col("lang").alias("owner"), F.col("doc_id").alias("id"), F.expr("date_add(date '2024-01-01', cast(doc_id % 9 * 20 as int))").alias("created"), F.col("text").alias("body"))
 
 
-@query("""with t as (select conv_id * 1000 + turn as id, cast(date '2024-01-01' + cast(turn * 20 as int) as date) as created, list_distinct(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:3], ' ') || ' and the same words again'), '[\\p{L}\\p{Nd}]+')) as t from conversations)
- select a.id as a, b.id as b from t a join t b on (a.created > b.created or (a.created = b.created and a.id < b.id)) and len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) > 0.9""")
+@query(f"with {SETS}, {PAIRS} select a, b from p")
 def similar_memories(spark, d):
-    return graph.similar_pairs(_likeness(spark, d), 0.9).select("a", "b")
+    return graph.similar_pairs(_notes(spark, d), 0.8).select("a", "b")
 
 
-@query()
+@query(f"{GREEDY} select id from {NOTES} where id not in (select id from lost)")
 def dedupe_near(spark, d):
-    return graph.dedupe_near(_likeness(spark, d), 0.9).select("id")
+    return graph.dedupe_near(_notes(spark, d), 0.8).select("id")
 
 
-@query()
+UNIQUE = f"(select * from (select *, row_number() over (partition by owner, trim(regexp_replace(lower(body), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) order by created desc, id) as n from {NOTES}) where n = 1)"
+
+
+@query(f"""{GREEDY.replace(NOTES, UNIQUE)}, k as (select * from {UNIQUE} where id not in (select id from lost))
+ select (select count(distinct owner) from {NOTES}) as users, (select count(*) from {NOTES}) - (select count(*) from {UNIQUE}) as exact, (select count(*) from {UNIQUE}) - (select count(*) from k) as near,
+ (select count(*) from k where pow(2.0, -greatest(date_diff('day', created, date '2024-06-01'), 0) / 30.0) <= 0.05) as faded""")
 def consolidate_all(spark, d):
-    return graph.consolidate_all(model(spark, d, "memories"), F.lit("2024-06-01").cast("date"), 30, 0.6)
+    return graph.consolidate_all(_notes(spark, d), F.lit("2024-06-01").cast("date"), 30, 0.8)
 
 
-@query("""with t as (select conv_id * 1000 + turn as id, turn, list_distinct(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:3], ' ') || ' and the same words again'), '[\\p{L}\\p{Nd}]+')) as t from conversations)
- select a.id as id, b.id as old from t a join t b on a.turn >= 4 and b.turn < 4 and len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) > 0.8""")
+@query(f"with {SETS} select a.id as id, b.id as old from t a join t b on a.owner = b.owner and a.id % 2 = 1 and b.id % 2 = 0 and len(a.t) >= 0.8 * len(b.t) and len(b.t) >= 0.8 * len(a.t) and {ALIKE}")
 def remember(spark, d):
-    m = _likeness(spark, d)
-    return graph.remember(m.where("id % 1000 < 4"), m.where("id % 1000 >= 3"), 0.8)[1]
+    """Documents of odd ids are new facts to those of even ones."""
+    m = _notes(spark, d)
+    return graph.remember(m.where("id % 2 = 0"), m.where("id % 2 = 1"), 0.8)[1]
 
 
 @query(f"select id from {M} where owner || chr(0) || trim(body) not in (select owner || chr(0) || trim(body) from {M} where id % 3 = 0)")
