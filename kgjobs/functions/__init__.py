@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,12 +90,30 @@ def glob_regex(glob: str) -> str:
     return out + "$"
 
 
+#: An entity: a name, or a decimal or hexadecimal number, up to its semicolon.
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+
+
+def decode_entities(text: Column) -> Column:
+    """Named entities of HTML 4, apos, and numeric ones as their characters; what is no entity stays as it is."""
+    known = F.create_map(*[F.lit(x) for name, code in {**name2codepoint, "apos": 39}.items() for x in (name, code)])
+
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, f"^{ENTITY}", 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7))
+        code = F.when(name.startswith("#"), number.cast("int")).otherwise(F.element_at(known, name))
+        ok = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when((name != "") & ok, F.concat(char, F.substr(part, F.length(name) + 3))).otherwise(part)
+
+    parts = F.split(text, f"(?={ENTITY})")
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, decoded), "")).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
-    """Text of a page: scripts and styles dropped, tags to blanks, common entities decoded, white space collapsed."""
+    """Text of a page: scripts and styles dropped, tags to blanks, entities decoded, white space of any kind collapsed."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]+>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return F.btrim(F.regexp_replace(bare, r"\s+", " "))
+    return F.btrim(F.regexp_replace(decode_entities(bare), r"(?U)\s+", " "))
 
 
 def dataset_of(rule_id: Column) -> Column:

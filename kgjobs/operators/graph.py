@@ -60,14 +60,39 @@ def prune_faded(memories: DataFrame, now: Column, half_life_days: float, least:
     return memories.where(recency_factor(F.col("created"), now, half_life_days) > least)
 
 
+#: Characters of the pieces by which terms find the bodies that may hold them.
+GRAM = 3
+
+
+def holding(memories: DataFrame, asked: DataFrame) -> DataFrame:
+    """(owner, term, id): memories(owner, id, body) of the owner whose body in lower case holds the term of asked(owner, term).
+
+    A term is looked up by that of its pieces which the fewest of the owner's bodies hold; only asked pieces of bodies are
+    kept, and the body confirms. A term shorter than a piece is looked for in all the owner's bodies.
+    """
+    terms = asked.select("owner", "term").distinct().where("term <> ''")
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substr(c, i, F.lit(GRAM))))
+    low = memories.select("owner", "id", F.lower("body").alias("low"))
+    need = terms.where(F.length("term") >= GRAM).select("owner", "term", F.explode(grams(F.col("term"))).alias("gram"))
+    held = low.where(F.length("low") >= GRAM).select("owner", "id", F.explode(grams(F.col("low"))).alias("gram"))
+    held = held.join(need.select("owner", "gram").distinct(), ["owner", "gram"])
+    often = held.groupBy("owner", "gram").agg(F.count("*").alias("n"))
+    # a piece that no body holds rules the term out
+    rare = need.join(often, ["owner", "gram"], "left").groupBy("owner", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("at")).where("at.n > 0")
+    found = rare.select("owner", "term", F.col("at.gram").alias("gram")).join(held, ["owner", "gram"]).select("owner", "term", "id")
+    sure = found.join(low, ["owner", "id"]).where(F.col("low").contains(F.col("term")))
+    short = terms.where(F.length("term") < GRAM).join(low, "owner").where(F.col("low").contains(F.col("term")))
+    return sure.select("owner", "term", "id").unionByName(short.select("owner", "term", "id"))
+
+
 def recall(memories: DataFrame, queries: DataFrame, now: Column, half_life_days: float = 90, k: int = 10) -> DataFrame:
     """queries(query, owner, terms): memories of the owner by the number of terms in the body times recency, a tenth of it if superseded(boolean, optional)."""
-    asked = queries.select("query", "owner", F.explode("terms").alias("term"))
-    hits = memories.join(asked, "owner").where(F.lower("body").contains(F.col("term")))
+    asked = queries.select("query", "owner", F.explode(F.array_distinct("terms")).alias("term"))
     fresh = recency_factor(F.col("created"), now, half_life_days)
-    old = F.max(F.coalesce("superseded", F.lit(False))) if "superseded" in memories.columns else F.lit(False)
-    scored = hits.groupBy("query", "id", "created").agg(F.count("*").alias("n"), old.alias("old")).withColumn("recency", fresh)
-    scored = scored.withColumn("score", F.col("n") * F.col("recency") * F.when(F.col("old"), 0.1).otherwise(1.0))
+    old = F.coalesce("superseded", F.lit(False)) if "superseded" in memories.columns else F.lit(False)
+    facts = memories.select("owner", "id", fresh.alias("recency"), old.alias("old"))
+    counts = asked.join(holding(memories, asked), ["owner", "term"]).groupBy("query", "owner", "id").agg(F.count("*").alias("n"))
+    scored = counts.join(facts, ["owner", "id"]).withColumn("score", F.round(F.col("n") * F.col("recency") * F.when(F.col("old"), 0.1).otherwise(1.0), 12))
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("recency").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 

@@ -93,13 +93,17 @@ def related_entities(spark, d):
     return graph.related_entities(_relations(spark, d), spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("name")).distinct())
 
 
-@query(f"""with h as (select owner as query, id, created, count(*) as n from {M}, (select unnest(['then', 'and', 'the']) as term) where contains(lower(body), term) group by all),
- s as (select *, pow(2.0, -greatest(date_diff('day', created, date '2024-06-01'), 0) / 90.0) as recency from h),
- k as (select *, row_number() over (partition by query order by n * recency desc, recency desc, id) as rank from s)
- select query, rank, id, round(n * recency, 6) as score from k where rank <= 10""")
+@query(f"""with q as (select conv_id as query, 'u' || (conv_id % 10) as owner, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-zà-ÿ ]', '', 'g'), ' '), lambda x: length(x) > 2))) as term from conversations where turn = 0),
+ h as (select query, m.id, created, count(*) as n from q join {M} m on m.owner = q.owner and contains(lower(body), term) group by all),
+ s as (select *, pow(2.0, -greatest(date_diff('day', created, date '2024-06-01'), 0) / 90.0) as recency from h), t as (select *, n * recency * case when id % 3 = 0 then 0.1 else 1.0 end as score from s),
+ k as (select *, row_number() over (partition by query order by round(score, 12) desc, recency desc, id) as rank from t)
+ select query, rank, id, round(score, 6) as score from k where rank <= 10""")
 def recall(spark, d):
-    m = model(spark, d, "memories")
-    asked = m.select(F.col("owner").alias("query"), "owner", F.array(*map(F.lit, ["then", "and", "the"])).alias("terms")).distinct()
+    """The words of every conversation's first row are looked for in all its owner's memories, a third of them superseded."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").where("turn = 0")
+    words = F.split(F.regexp_replace(F.lower("text"), "[^a-zà-ÿ ]", ""), " ")
+    asked = c.select(F.col("conv_id").alias("query"), F.concat(F.lit("u"), F.col("conv_id") % 10).alias("owner"), F.array_distinct(F.filter(words, lambda x: F.length(x) > 2)).alias("terms"))
+    m = model(spark, d, "memories").withColumn("superseded", F.col("id") % 3 == 0)
     return rounded(graph.recall(m, asked, F.lit("2024-06-01").cast("date")), "score")
 
 

@@ -22,7 +22,8 @@ def feedback_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SQL["feedback_stats"])
 def stream_feedback_stats(spark, d):
-    s = streaming.settle(streaming.feedback_counters(feedback_stream(spark, d)), ["rule_id"])
+    with streaming.keep_state_on_disk(spark):
+        s = streaming.settle(streaming.feedback_counters(feedback_stream(spark, d)), ["rule_id"])
     return s.withColumn("last_us", F.unix_micros("last_feedback_at")).drop("last_feedback_at")
 
 

@@ -24,14 +24,14 @@ def list_deleted(spark, d):
     return graph.list_deleted(_deleted(spark, d)[1]).select("id", F.unix_micros("deleted_at").alias("deleted_us"), "preview")
 
 
-@query("""with e as (select o_orderkey as src, o_orderkey + case when o_orderkey % 97 = 5 then -3 else 1 end as dst from orders where o_orderkey % 4 <> 3 union select o_orderkey, -o_custkey from orders),
+@query("""with e as (select o_orderkey as src, o_orderkey + case when o_orderkey % 97 = 2 then -2 else 1 end as dst from orders where o_orderkey % 4 <> 3 union select o_orderkey, -o_custkey from orders),
  n as (select src, dst from e where src <> dst)
  select exists (select 1 from n a join n b on b.src = a.dst join n c on c.src = b.dst join n f on f.src = c.dst where f.dst = a.src or c.dst = a.src) as cyclic, (select count(distinct dst) from e where dst not in (select o_orderkey from orders)) as missing""")
 def validate_graph(spark, d):
-    """Orders imply the next one, in chains of four, and now and then the one three before, which closes a chain to a ring; all imply ids that are no order."""
+    """Orders imply the next one, in chains of four, and now and then the one two before, which closes a chain to a ring; all imply ids that are no order."""
     o = spark.read.parquet(f"{d}/orders.parquet")
     k = F.col("o_orderkey")
-    chain = o.where(k % 4 != 3).select(k.alias("src"), (k + F.when(k % 97 == 5, -3).otherwise(1)).alias("dst"))
+    chain = o.where(k % 4 != 3).select(k.alias("src"), (k + F.when((k % 97 == 2), -2).otherwise(1)).alias("dst"))
     return graph.validate_graph(o.select(k.alias("id")), chain.unionByName(o.select(k.alias("src"), (-F.col("o_custkey")).alias("dst"))))
 
 

@@ -293,7 +293,8 @@ def detect_style(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", fn.detect_style(F.col("text")).alias("style"))
 
 
-@query()
+@query("""with b as (select page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') as t from pages)
+ select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\\s\\p{Z}\\x{85}\\x{0B}]+', ' ', 'g')) as text from b""")
 def html_to_text(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", fn.html_to_text(F.col("html")).alias("text"))
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -15,9 +16,29 @@ from ..operators.rules import incremental_status
 from ..sources import scratch
 
 
-def feedback_counters(events: DataFrame, delay: str = "40 days") -> DataFrame:
-    """Running counters per rule; an event id counts once within the delay, which bounds the state."""
-    once = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+#: Spark's setting and value for state on disk, with only changes written at a checkpoint.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keep_state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB."""
+    name, value = STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def feedback_counters(events: DataFrame, within: str | None = None) -> DataFrame:
+    """Running counters per rule; an event id counts once, however late it comes or comes again.
+
+    Each id's state is one key, spread by id; it belongs in the RocksDB store (``keep_state_on_disk``), where it takes disk
+    and not memory. ``within`` bounds the state to ids of that time, and with it what counts: later rows are dropped.
+    """
+    once = events.dropDuplicates(["event_id"]) if within is None else events.withWatermark("ts", within).dropDuplicatesWithinWatermark(["event_id"])
     return once.groupBy("rule_id").agg(*counters())
 
 

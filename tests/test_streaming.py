@@ -44,3 +44,14 @@ def test_mmr_fixture(spark):
     ranked = spark.createDataFrame(rows, "query long, rank int, id string, score double, embedding array<double>")
     got = sorted(map(tuple, retrieval.mmr_rerank(ranked).collect()))
     assert got == [(1, 1, "r1"), (1, 2, "r3"), (1, 3, "r2"), (2, 1, "x")]
+
+
+def test_an_event_sixty_days_late_counts_once(spark, tmp_path):
+    rows = [(n, n % 3, n, "user", True, "2024-04-01 00:00:00") for n in range(20)] + [(100, 1, 21, "user", True, "2024-02-01 00:00:00"), (5, 2, 22, "user", True, "2024-04-01 00:00:00")]
+    df = spark.createDataFrame(rows, "event_id long, rule_id long, seq long, kind string, positive boolean, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for k, part in enumerate((df.where("seq < 20"), df.where("seq >= 20"), df.where("seq >= 20"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    read = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    with streaming.keep_state_on_disk(spark):
+        got = {r.rule_id: r.usage_count for r in streaming.settle(streaming.feedback_counters(read), ["rule_id"]).collect()}
+    assert got == {0: 7, 1: 8, 2: 6}
