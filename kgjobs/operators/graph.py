@@ -41,6 +41,15 @@ def invalidate_superseded(rules: DataFrame, supersedes: DataFrame, now: Column)
     return rules.join(by, "id", "left").select("id", F.when(hit, now).otherwise(F.col("valid_until")).alias("valid_until"), F.when(hit, F.col("by")).alias("invalidated_by"))
 
 
+def close_edges(edges: DataFrame, invalidated: DataFrame, now: Column) -> DataFrame:
+    """edges(src, rel, dst, valid_until): open ones at rules of invalidated(id, by) are closed, but for the one by which the rule was superseded."""
+    gone = invalidated.where("invalidated_by is not null") if "invalidated_by" in invalidated.columns else invalidated
+    ids = gone.select("id").distinct()
+    at = edges.join(ids.select(F.col("id").alias("src"), F.lit(True).alias("out")), "src", "left").join(ids.select(F.col("id").alias("dst"), F.lit(True).alias("into")), "dst", "left")
+    hit = F.col("valid_until").isNull() & (F.coalesce("out", F.lit(False)) | (F.coalesce("into", F.lit(False)) & (F.col("rel") != "SUPERSEDES")))
+    return at.select("src", "rel", "dst", F.when(hit, now).otherwise(F.col("valid_until")).alias("valid_until"))
+
+
 def ingest_entities(mentions: DataFrame) -> DataFrame:
     """mentions(doc, seq, name, type, description): one entity per lower-trimmed name, first per document; the longest description."""
     m = mentions.withColumn("norm", F.lower(F.trim("name"))).where("norm <> ''")

@@ -100,6 +100,15 @@ def repo_hierarchy(urls: DataFrame) -> DataFrame:
     return u.select(path.alias("path")).distinct().select(F.explode(levels).alias("x")).select("x.node", "x.parent").distinct()
 
 
+def repo_files(files: DataFrame) -> DataFrame:
+    """(node, parent) of files(url, path): a node for each file below its repository, and those of ``repo_hierarchy`` above it; each once."""
+    u = files.select(repo_parts(F.col("url")).alias("r"), "path").where("r.repo is not null")
+    repo = F.array_join(F.concat(F.array("r.host"), "r.groups", F.array("r.repo")), "/")
+    name = F.regexp_replace(F.replace("path", F.lit("\\"), F.lit("/")), "^/+", "")
+    below = u.select(F.concat(repo, F.lit("/"), name).alias("node"), repo.alias("parent"), name.alias("name")).where("name <> ''").select("node", "parent").distinct()
+    return repo_hierarchy(files.select("url").distinct()).unionByName(below)
+
+
 def map_items_to_rules(items: DataFrame, mappings: list[tuple[str, str, str | None, str | None]]) -> DataFrame:
     """items(id, path, domain) with type, domain and priority: the first of mappings(glob, type, domain, priority) that matches the path."""
     which = F.coalesce(*[F.when(F.replace("path", F.lit("\\"), F.lit("/")).rlike(glob_regex(g)), F.lit(n)) for n, (g, *_) in enumerate(mappings)], F.lit(-1))

@@ -17,7 +17,7 @@ TABLES = f"""with recursive q as (select item_id as query, text || ' src' || (it
   case when item_id % 8 <> 7 then e.embedding end as embedding from benchmark left join embeddings e on vec_id = item_id * 2),
  d as (select *, split_part(id, ':', 3)::bigint as n from {R}),
  r as (select d.* replace (case when n % 17 = 0 then 'tools.code' when n % 17 = 1 then 'tools.browser' else domain end as domain), round(m, 6) as mult, lower(type) as trigger from d left join (select rule_id, {DECAYED} as m from {STATS}) f on f.rule_id = d.n),
- link as (select a.id as src, case a.priority when 'High' then 'EXCEPTION_FOR' when 'Critical' then 'SUPERSEDES' else 'CONFLICTS_WITH' end as rel, b.id as dst, case a.n % 6 when 0 then timestamp '2024-01-01' when 1 then timestamp '2024-12-01' end as until from d a join d b on b.n = a.n + 1),
+ link as (select a.id as src, case a.priority when 'High' then 'EXCEPTION_FOR' when 'Critical' then 'SUPERSEDES' else 'CONFLICTS_WITH' end as rel, b.id as dst, case a.n % 6 when 0 then timestamp '2024-01-01' when 1 then timestamp '2024-12-01' end as until from d a join d b on b.n = a.n + 5),
  v as (select d.id as parent, d.owner, 'git:' || split_part(d.id, ':', 2) as head, vec_id, embedding from embeddings join d on vec_id = n)"""
 
 SCORED = f"""{TABLES},
@@ -105,7 +105,7 @@ def _given(spark, d):
     m = feedback.feedback_stats(model(spark, d, "feedback")).select(F.col("rule_id").alias("n"), feedback.decayed_multiplier(NOW).alias("multiplier"))
     rel = F.when(F.col("priority") == "High", "EXCEPTION_FOR").when(F.col("priority") == "Critical", "SUPERSEDES").otherwise("CONFLICTS_WITH")
     until = F.when(F.col("n") % 6 == 0, "2024-01-01").when(F.col("n") % 6 == 1, "2024-12-01").cast("timestamp")
-    links = r.select(F.col("id").alias("src"), rel.alias("rel"), (F.col("n") + 1).alias("n"), until.alias("valid_until")).join(r.select(F.col("id").alias("dst"), "n"), "n").drop("n")
+    links = r.select(F.col("id").alias("src"), rel.alias("rel"), (F.col("n") + 5).alias("n"), until.alias("valid_until")).join(r.select(F.col("id").alias("dst"), "n"), "n").drop("n")
     vectors = spark.read.parquet(f"{d}/embeddings.parquet").withColumnRenamed("vec_id", "n").join(r.select("n", "id", "owner"), "n")
     names = spark.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("name")).distinct()
     k = F.col("id")

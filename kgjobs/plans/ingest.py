@@ -70,6 +70,15 @@ def repo_hierarchy(spark, d):
     return ingest.repo_hierarchy(spark.read.parquet(f"{d}/pages.parquet").select("url"))
 
 
+@query(f"""with u as (select distinct list_filter(string_split({URL}, '/'), lambda x: x <> '') as s from pages), i as (select list_concat([lower(s[1])], s[2:]) as s, unnest(generate_series(1, len(s))) as i from u),
+ p as (select page_id, list_filter(string_split({URL}, '/'), lambda x: x <> '') as s from pages)
+ select distinct list_aggregate(s[:i], 'string_agg', '/') as node, case when i = 1 then 'root' else list_aggregate(s[:i - 1], 'string_agg', '/') end as parent from i
+ union all select distinct list_aggregate(list_concat([lower(s[1])], s[2:]), 'string_agg', '/') || '/docs/f' || (page_id % 5) || '.md', list_aggregate(list_concat([lower(s[1])], s[2:]), 'string_agg', '/') from p where len(s) > 1""")
+def repo_files(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return ingest.repo_files(p.select("url", F.concat(F.lit("/docs\\f"), F.col("page_id") % 5, F.lit(".md")).alias("path")))
+
+
 MAPPINGS = [("docs/**", "Guideline", None, "High"), ("**/*.py", "Rule", "code", None), ("**/adr/**", "Decision", "adr", "Low")]
 
 

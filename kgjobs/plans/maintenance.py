@@ -72,6 +72,18 @@ def invalidate_superseded(spark, d):
     return done.select("id", F.unix_micros("valid_until").alias("until_us"), "invalidated_by")
 
 
+@query(f"""with r as (select *, split_part(id, ':', 3)::bigint as n from {R}), g as (select a.id, min(b.id) as by_ from r a join r b on b.n = a.n + 1 and b.valid_until is null and a.valid_until is null group by a.id),
+ e as (select b.id as src, case when b.n % 3 = 0 then 'RELATED' else 'SUPERSEDES' end as rel, a.id as dst from r a join r b on b.n = a.n + 1)
+ select src, rel, dst, src in (select id from g) or (dst in (select id from g) and rel <> 'SUPERSEDES') as closed from e""")
+def close_edges(spark, d):
+    """Every rule is superseded by the next one; the edges of rules that this closes."""
+    r = model(spark, d, "rules").withColumns({"n": F.split("id", ":")[2].cast("long"), "valid_until": F.col("valid_until").cast("timestamp")})
+    links = r.select(F.col("id").alias("src"), (F.col("n") - 1).alias("n"), F.when(F.col("n") % 3 == 0, "RELATED").otherwise("SUPERSEDES").alias("rel")).join(r.select(F.col("id").alias("dst"), "n"), "n")
+    done = graph.invalidate_superseded(r, links.select("src", "dst"), now())
+    edges = graph.close_edges(links.select("src", "rel", "dst", F.lit(None).cast("timestamp").alias("valid_until")), done, now())
+    return edges.select("src", "rel", "dst", F.col("valid_until").isNotNull().alias("closed"))
+
+
 RELATIONS = "select lower(p_brand) as src, lower(p_type) as dst, count(*) as weight from lineitem join part on l_partkey = p_partkey group by all"
 
 

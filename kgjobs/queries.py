@@ -98,10 +98,15 @@ def scope_rules(spark, d):
     return rules.scope_rules(model(spark, d, "rules"), "user-3").select("id", "domain", "type")
 
 
-@query(f"select id from {R} where (owner is null or owner = 'user-3') and (valid_until is null or valid_until > timestamp '{NOW}') and (id like 'git:src1:%' or id like 'git:src2:%')")
+TOOLED = "case when split_part(id, ':', 3)::bigint % 9 = 0 then 'tools.code' when split_part(id, ':', 3)::bigint % 9 = 1 then 'tools.files' else domain end"
+
+
+@query(f"select id from {R} where (owner is null or owner = 'user-3') and coalesce(tenant, 'default') = 'default' and (valid_until is null or valid_until > timestamp '{NOW}') and (id like 'git:src1:%' or id like 'git:src2:%') and {TOOLED} <> 'tools.files'")
 def compilation_scope(spark, d):
-    prefixes = model(spark, d, "rules").where("domain in ('src1', 'src2')").select(F.concat(F.lit("git:"), "domain").alias("prefix")).distinct()
-    return rules.compilation_scope(model(spark, d, "rules"), "user-3", NOW, prefixes).select("id")
+    r = model(spark, d, "rules").withColumn("n", F.split("id", ":")[2].cast("long") % 9)
+    r = r.withColumn("domain", F.when(F.col("n") == 0, "tools.code").when(F.col("n") == 1, "tools.files").otherwise(F.col("domain")))
+    prefixes = spark.createDataFrame([("git:src1",), ("git:src2",)], "prefix string")
+    return rules.compilation_scope(r, "user-3", NOW, prefixes, ["tools.code"]).select("id")
 
 
 @query(f"select id from {R} where contains(lower(id), 'then') or contains(lower(body), 'then') or contains(lower(domain), 'then')")
@@ -109,9 +114,9 @@ def search_rules(spark, d):
     return rules.search_rules(model(spark, d, "rules"), "Then").select("id")
 
 
-@query(f"select id from {R} order by id limit 200 offset 50")
+@query(f"select id, (select count(*) from {R}) as total from {R} order by id limit 200 offset 50")
 def page_rules(spark, d):
-    return rules.page_rules(model(spark, d, "rules"), skip=50).select("id")
+    return rules.page_rules(model(spark, d, "rules"), skip=50).select("id", "total")
 
 
 @query(f"select id from {R} where split_part(id, ':', 2) in ('src1', 'src4')")
@@ -136,10 +141,40 @@ def dangling_refs(spark, d):
     return rules.dangling_refs(r, r.select(F.col("id").alias("src"), F.lit("RELATED").alias("rel"), F.col("prior_id").alias("dst")))
 
 
-@query(f"select status, count(*) as n from (select case when priority = 'High' then 'skipped' else 'updated' end as status from {R} where domain = 'src2') group by status")
+BATCH = f"(select id, tag_lang, domain, priority, split_part(id, ':', 3)::bigint % 4 <> 1 as allowed from {R})"
+
+
+@query(f"""select 'a' as op, id, case when tag_lang <> 'en' and allowed then tag_lang || ',' || domain || ',EN' else tag_lang || ',' || domain end as tags, priority, case when tag_lang <> 'en' and allowed then 'updated' else 'skipped' end as status from {BATCH}
+ union all select 'r', id, case when tag_lang = 'de' and allowed then domain else tag_lang || ',' || domain end, priority, case when tag_lang = 'de' and allowed then 'updated' else 'skipped' end from {BATCH}
+ union all select 's', id, tag_lang || ',' || domain, case when allowed then 'High' else priority end, case when priority <> 'High' and allowed then 'updated' else 'skipped' end from {BATCH}""")
 def batch_rule_update(spark, d):
-    r = model(spark, d, "rules")
-    return rules.batch_rule_update(r, r.where("domain = 'src2'").select("id"), "High").groupBy("status").agg(F.count("*").alias("n"))
+    r = model(spark, d, "rules").select("id", F.array("tag_lang", "domain").alias("tags"), "priority")
+    allowed = r.select("id", (F.split("id", ":")[2].cast("long") % 4 != 1).alias("allowed"))
+    done = [rules.batch_rule_update(r, r, op, value, allowed).withColumn("op", F.lit(name)) for name, op, value in (("a", "AddTag", "EN"), ("r", "RemoveTag", "DE"), ("s", "SetPriority", "High"))]
+    return done[0].unionByName(done[1]).unionByName(done[2]).withColumn("tags", F.array_join("tags", ","))
+
+
+TOTALS = f"""select count(*) as total, count(*) filter (owner is null) as global_rules, count(owner) as owned_rules, count(*) filter (split_part(id, ':', 3)::bigint % 6 = 0) as with_validator,
+ count(*) filter (id in (select parent from {C})) as with_chunks, (select count(*) from {R} where coalesce(tenant, 'default') = 'default' and domain <> 'src3') as edges from {R} where coalesce(tenant, 'default') = 'default'"""
+
+
+@query(TOTALS)
+def graph_totals(spark, d):
+    r = model(spark, d, "rules").withColumn("script", F.when(F.split("id", ":")[2].cast("long") % 6 == 0, "x = 1"))
+    edges = r.select(F.col("id").alias("src"), F.when(F.col("domain") == "src3", "HAS_CHUNK").otherwise("RELATED").alias("rel"), F.col("prior_id").alias("dst"))
+    return rules.graph_totals(r, edges, model(spark, d, "chunks"))
+
+
+WORDY = "[^\\p{L}\\p{Mn}\\p{Nd}\\p{Pc}]+"
+STOPS = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
+
+
+@query(f"""select 'custom-tool-get-' || source || '-' || lang || '-' || doc_id as id, 'tool,custom-tool,get-' || source || '-' || lang || '-' || doc_id || ',x,' || lang as tags,
+ list_sort(list_distinct(list_concat(list_filter(['get', source, lang, doc_id::varchar], lambda p: length(p) >= 3), list_filter(regexp_split_to_array(lower(text), '{WORDY}'), lambda w: length(w) >= 4 and w not in ({STOPS})), ['custom-tool']))) as concepts from documents""")
+def tool_keywords(spark, d):
+    x = spark.read.parquet(f"{d}/documents.parquet")
+    tools = x.select(F.concat(F.lit(" Get_"), "source", F.lit(". "), F.upper("lang"), F.lit("--!"), "doc_id").alias("name"), F.col("text").alias("description"), F.array(F.lit(" X "), F.lit(""), "lang", F.lit("Tool")).alias("tags"))
+    return rules.tool_keywords(tools).select("id", F.array_join("tags", ",").alias("tags"), F.array_sort("concepts").alias("concepts"))
 
 
 @query(f"select domain, id from {R} a where not exists (select 1 from {R} b where b.domain = a.domain and b.prior_id = a.id)")
@@ -271,21 +306,35 @@ def retrieval_metrics(spark, d):
     return rounded(retrieval.retrieval_metrics(ranked, r.where("priority = 'High'").select(F.col("query").alias("case"), "id"), 10), "recall", "precision", "mrr", "ndcg")
 
 
-@query()
+BY_USER = STATS.replace("select rule_id,", "select user_id, rule_id,").replace("group by rule_id", "group by user_id, rule_id")
+
+
+@query(f"""with u as (select user_id, rule_id, usage_count as n, {RAW} as own from {BY_USER}), w as (select rule_id, {DECAYED} as world from {STATS})
+ select user_id, rule_id, round(case when n >= 3 then 0.6 * own + 0.4 * coalesce(world, 1.0) else coalesce(world, 1.0) end, 6) as multiplier from u left join w using (rule_id)""")
 def user_multipliers(spark, d):
     return rounded(feedback.user_multipliers(model(spark, d, "feedback"), NOW), "multiplier")
 
 
-@query()
+@query(f"""with both_ as (select distinct src as a, dst as b from {G} where valid_until is null union select dst, src from {G} where valid_until is null), s as (select distinct src as query from {G}),
+ d1 as (select query, b as id, row_number() over (partition by query order by b) as k from s join both_ on a = query where b <> query qualify k <= 30),
+ n2 as (select distinct d1.query, b as id from d1 join both_ on a = d1.id where b <> d1.query and (d1.query, b) not in (select (query, id) from d1)),
+ d2 as (select query, id, row_number() over (partition by query order by id) as k from n2 qualify k <= 30),
+ e as (select query, id, depth, row_number() over (partition by query order by depth, id) as k from (select query, id, 1 as depth from d1 union all select query, id, 2 from d2))
+ select query, query as id, 0 as depth from s union all select query, id, depth from e where k <= 30""")
 def expand_graph(spark, d):
     e = model(spark, d, "edges")
     return retrieval.expand_graph(e.select(F.col("src").alias("query"), F.col("src").alias("id")).distinct(), e)
 
 
-@query()
+@query(f"""with recursive o as (select domain as query, id, length(body) + length(id) + length(type) + 16 as size, priority = 'Critical' and split_part(id, ':', 3)::bigint % 5 = 0 as safe, row_number() over (partition by domain order by id) as n from {R}),
+ b as (select query, 0::bigint as n, 0::bigint as used, null::varchar as id, false as kept from (select distinct query from o)
+  union all select b.query, o.n, b.used + case when safe or b.used + o.size <= 12000 then o.size else 0 end, o.id, safe or b.used + o.size <= 12000 from b join o on o.query = b.query and o.n = b.n + 1)
+ select query, id from b where kept""")
 def apply_budget(spark, d):
-    r = model(spark, d, "rules").select(F.col("domain").alias("query"), F.col("id").alias("pos"), "id", (F.length("body") + F.length("id") + F.length("type") + 16).cast("long").alias("size"))
-    return rules.apply_budget(r)
+    r = model(spark, d, "rules")
+    safe = r.where((F.col("priority") == "Critical") & (F.split("id", ":")[2].cast("long") % 5 == 0)).select(F.col("domain").alias("query"), "id")
+    sized = r.select(F.col("domain").alias("query"), F.col("id").alias("pos"), "id", (F.length("body") + F.length("id") + F.length("type") + 16).cast("long").alias("size"))
+    return rules.apply_budget(sized, protected=safe)
 
 
 @query()

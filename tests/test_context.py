@@ -130,3 +130,15 @@ def test_every_branch_of_the_whole_compilation_is_fed():
     names = ("hq", "bh", "act", "grown", "hits", "d1", "d2", "wor", "gone", "kept")
     n = con.execute(f"{compilation.CONTEXT} select {', '.join(f'(select count(*) from {x}) as {x}' for x in names)}, (select count(*) from rest) - (select count(*) from kept) as over, (select count(*) from kept where pos < 1000000), (select count(*) from kept where pos between 1000000 and 2000000), (select count(*) from kept where pos > 2000000)").fetchone()
     assert all(x > 0 for x in n), dict(zip(names, n, strict=False))
+
+
+def test_protected_rules_stay(spark):
+    from kgjobs.operators import rules
+
+    active = spark.createDataFrame([(1, "a", "High"), (1, "b", "Low"), (1, "c", "Low"), (2, "b", "Low"), (2, "a", "High")], "query long, id string, priority string")
+    rel = spark.createDataFrame([("a", "SUPERSEDES", "c"), ("b", "CONFLICTS_WITH", "a")], "src string, rel string, dst string")
+    safe = spark.createDataFrame([(1, "b"), (2, "x")], "query long, id string")
+    assert sorted((r.query, r.id) for r in rules.suppress_contradictions(active, rel, safe).collect()) == [(1, "a"), (1, "b"), (2, "a")]
+    ranked = spark.createDataFrame([(1, 1, "a", 6), (1, 2, "b", 9), (1, 3, "c", 4), (1, 4, "d", 0), (1, 5, "e", 1)], "query long, pos long, id string, size long")
+    kept = lambda *ids: sorted(r.id for r in rules.apply_budget(ranked, 10, spark.createDataFrame([(1, i) for i in ids], "query long, id string")).collect())
+    assert kept("b") == ["a", "b"] and kept("e") == ["a", "c", "d", "e"] and kept("c") == ["a", "c", "d"]
