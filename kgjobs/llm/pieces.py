@@ -7,16 +7,17 @@ other one minus infinity: the one path of weight 0 is the result, whatever the s
 
 Texts of at most ``chunk`` characters are one chunk. Longer ones are cut every ``chunk`` characters, anywhere. The
 state at a cut is the piece that covers the character before it. Each chunk yields, apart from all others, the max-plus
-matrix from its entry states to its exit states (only entries of weight 0 are kept); matrices are combined
-associatively; then each chunk knows its entry and exit state and is traced back on its own. No task holds more of a
-text than a chunk, except to return the final list of ids.
+matrix from its entry states to its exit states (only entries of weight 0 are kept). Matrices of ``fan`` neighbours are
+multiplied to one, these again, until a text has ``fan`` at most; then states go down the same tree, from a node's entry
+and exit to those of its parts. So each chunk comes to know its entry and exit state and is traced back on its own. A
+text lies whole in a task where it is cut and where its ids are returned, nowhere between.
 
 Within a chunk, no piece spans a place where a space follows a non-space (checked when the vocabulary is loaded), so
 words are segmented once each and looked up after that.
 
 Defined cases: null text is empty; an empty text has no ids; characters without a piece become byte pieces; U+2581,
 which stands for a space in the vocabulary, decodes as a space (``round_trip`` is false then); repeated rows and ids
-stay apart; other columns are kept.
+stay apart; other columns are kept, but for those named ids, n_tokens or round_trip.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .common import brought_back, set_aside, shuffles, small_batches, written
 
 CHUNK = 16384
+#: Matrices that are multiplied in one step.
+FAN = 32
 #: Words whose pieces a worker remembers.
 REMEMBER = 1_000_000
 SPACE = "▁"
@@ -244,22 +247,72 @@ def combine(a: dict[int, frozenset], b: dict[int, frozenset]) -> dict[int, froze
     return {i: frozenset().union(*[b.get(j, frozenset()) for j in js]) for i, js in a.items()}
 
 
-def states_at_cuts(matrices: list[dict[int, frozenset]], last: frozenset) -> list[int]:
-    """The state at each cut: reached from the start by the product before it and leading to the end by the one after it."""
+def product(matrices: list[dict[int, frozenset]]) -> dict[int, frozenset]:
+    """The matrix of neighbouring chunks together."""
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = combine(out, m)
+    return out
+
+
+def states_between(matrices: list[dict[int, frozenset]], first: int, last: frozenset) -> list[int]:
+    """The states at the cuts from ``first`` on: reached from it by the product before a cut and leading to ``last`` by the one after it."""
     back, after = last, []
     for m in reversed(matrices):
         after.append(back)
         back = frozenset(i for i, js in m.items() if js & back)
-    forth, out = {START: frozenset([START])}, [START]
+    out = [first]
     for m, ok in zip(matrices, reversed(after), strict=True):
-        forth = combine(forth, m)
-        (state,) = forth[START] & ok
+        (state,) = m[out[-1]] & ok
         out.append(state)
-        forth = {START: frozenset([state])}
     return out
 
 
-def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, text: str = "text") -> DataFrame:
+def _rows(pairs: list[int]) -> dict[int, frozenset]:
+    m: dict[int, set] = {}
+    for i, j in zip(pairs[::2], pairs[1::2], strict=True):
+        m.setdefault(i, set()).add(j)
+    return {i: frozenset(js) for i, js in m.items()}
+
+
+def _multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        made = [product([_rows(x["pairs"]) for x in parts]) for parts in b.column("parts").to_pylist()]
+        flat = [[v for i, js in m.items() for j in js for v in (i, j)] for m in made]
+        yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("k"), pa.array(flat, pa.list_(pa.int32()))], names=["_row", "k", "pairs"])
+
+
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_row, k, entry, exit) of the parts of nodes with known ends; a null exit is the end of the text, reached by a piece that ends with it."""
+    kinds = [("_row", pa.int64()), ("k", pa.int32()), ("entry", pa.int32()), ("exit", pa.int32())]
+    for b in batches:
+        rows = []
+        for row, parts, entry, out in zip(*[b.column(c).to_pylist() for c in ("_row", "parts", "entry", "exit")], strict=True):
+            made = [_rows(x["pairs"]) for x in parts]
+            last = frozenset(j for js in made[-1].values() for j in js if j % 64 == 0) if out is None else frozenset([out])
+            at = states_between(made, entry, last)
+            rows += [{"_row": row, "k": x["k"], "entry": at[n], "exit": at[n + 1]} for n, x in enumerate(parts)]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+
+
+def tree_states(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """(_row, k, entry, exit) of every chunk of matrices(_row, k, pairs), by products up a tree of ``fan`` and states down it."""
+    node = (F.col("k") / fan).cast("int")
+    parts = F.array_sort(F.collect_list(F.struct("k", "pairs"))).alias("parts")
+    levels = [written(matrices, "pieces-matrices")]
+    while (levels[-1].agg(F.max("k").alias("k")).first()["k"] or 0) >= fan:
+        up = levels[-1].groupBy("_row", node.alias("k")).agg(parts).mapInArrow(_multiplied, "_row long, k int, pairs array<int>")
+        levels.append(written(up, "pieces-products"))
+    states = levels[-1].groupBy("_row").agg(parts).withColumns({"entry": F.lit(START), "exit": F.lit(None).cast("int")})
+    states = states.mapInArrow(_states, "_row long, k int, entry int, exit int")
+    for level in reversed(levels[:-1]):
+        below = level.groupBy("_row", node.alias("node")).agg(parts)
+        below = below.join(states.withColumnRenamed("k", "node"), ["_row", "node"])
+        states = written(below.mapInArrow(_states, "_row long, k int, entry int, exit int"), "pieces-states")
+    return states
+
+
+def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, text: str = "text", fan: int = FAN) -> DataFrame:
     """docs with ids array<int>, n_tokens and round_trip (whether decoding the ids gives the text back)."""
     spark, model, every = docs.sparkSession, model or default_model(), docs
     small_batches(spark)
@@ -278,10 +331,10 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, text:
 
     done = docs.where(size <= chunk).mapInArrow(short, schema)
     long = written(docs.where(size > chunk).withColumn("_row", F.monotonically_increasing_id()), "pieces-long")
-    return brought_back(done.unionByName(_encode_long(long, model, chunk, text).select(done.columns)), every, "ids", "n_tokens", "round_trip")
+    return brought_back(done.unionByName(_encode_long(long, model, chunk, text, fan).select(done.columns)), every, "ids", "n_tokens", "round_trip")
 
 
-def _encode_long(long: DataFrame, model: str, chunk: int, text: str) -> DataFrame:
+def _encode_long(long: DataFrame, model: str, chunk: int, text: str, fan: int) -> DataFrame:
     side = 32
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,25 +360,7 @@ def _encode_long(long: DataFrame, model: str, chunk: int, text: str) -> DataFram
 
     matrices = cut.mapInArrow(transfer, "_row long, k int, pairs array<int>")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            for row, parts in zip(b.column("_row").to_pylist(), b.column("parts").to_pylist(), strict=True):
-                made = []
-                for x in parts:
-                    m: dict[int, set] = {}
-                    for i, j in zip(x["pairs"][::2], x["pairs"][1::2], strict=True):
-                        m.setdefault(i, set()).add(j)
-                    made.append({i: frozenset(js) for i, js in m.items()})
-                # the last piece ends with the text
-                last = frozenset(j for js in made[-1].values() for j in js if j % 64 == 0)
-                at = states_at_cuts(made, last)
-                rows += [(row, k, at[k], at[k + 1]) for k in range(len(made))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32())], names=["_row", "k", "entry", "exit"])
-
-    # a text has 2**31 / chunk chunks at most, each with a few pairs
-    parts = matrices.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("k", "pairs"))).alias("parts"))
-    states = parts.mapInArrow(scan, "_row long, k int, entry int, exit int")
+    states = tree_states(matrices, fan)
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(model)

@@ -27,6 +27,7 @@ import re
 import string
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 def shape(word: str) -> str:
     """Kinds of character runs: A upper, a lower, 0 digits, x other letters, signs as they are (at most 8 runs)."""
-    return "".join("A" * (len(m[1]) > 1) + "A" if m[1] else "a" if m[2] else "0" if m[3] else "x" if m[4] else m[5] for m in _RUN.finditer(word[:64]))[:8]
+    return "".join("A" * (len(m[1]) > 1) + "A" if m[1] else "a" if m[2] else "0" if m[3] else "x" if m[4] else m[5] for m in islice(_RUN.finditer(word), 8))[:8]
 
 
 def index_vectors() -> np.ndarray:
@@ -227,7 +228,7 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
 
 def bare_words(text: str | None) -> set[str]:
     """Words in lower case without signs around them, and the empty one."""
-    return {lower_ascii(w).strip(string.punctuation)[:64] for w in set(WORDS.findall(text or ""))} | {""}
+    return {lower_ascii(w).strip(string.punctuation) for w in set(WORDS.findall(text or ""))} | {""}
 
 
 def _half(doc_id: int) -> int:

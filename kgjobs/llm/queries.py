@@ -47,7 +47,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (quality.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(quality.fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

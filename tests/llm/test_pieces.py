@@ -31,12 +31,12 @@ def test_words_equal_the_library(both):
         assert p.decode(np.array(got, int)) == t
 
 
-@pytest.mark.parametrize("chunk", [40, 64, 333])
-def test_chunks_equal_the_library(spark, both, chunk):
+@pytest.mark.parametrize(("chunk", "fan"), [(40, 2), (40, 32), (64, 3), (333, 2)])
+def test_chunks_equal_the_library(spark, both, chunk, fan):
     _, sp = both
     rows = [(i % 50, t, "k") for i, t in enumerate(texts())]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids_note string")
-    got = sorted((r.doc_id, r.text, list(r.ids), r.n_tokens, r.round_trip) for r in pieces.encode(df, chunk=chunk).collect())
+    got = sorted((r.doc_id, r.text, list(r.ids), r.n_tokens, r.round_trip) for r in pieces.encode(df, chunk=chunk, fan=fan).collect())
     want = sorted((d, t, sp.encode(t), len(sp.encode(t)), True) for d, t, _ in rows)
     assert got == want
 
@@ -52,3 +52,29 @@ def test_clashing_names_and_null_texts(spark):
     df = spark.createDataFrame([(1, "a b " * 3000, 5, "x"), (2, None, 6, "y"), (None, "a b", 7, "z")], "doc_id long, text string, n_tokens int, _row string")
     got = sorted(((r.doc_id, r._row, r.n_tokens > 0, r.round_trip) for r in pieces.encode(df, chunk=1000).collect()), key=str)
     assert got == sorted([(1, "x", True, True), (2, "y", False, True), (None, "z", True, True)], key=str)
+
+
+def test_products_are_associative(both):
+    p, _ = both
+    text = pieces.SPACE + "the inner error of therein " * 40 + "  in\n" * 30
+    text, side = text.replace(" ", pieces.SPACE), 32
+    cuts = [(at, min(at + 50, len(text))) for at in range(0, len(text), 50)]
+    made = []
+    for lo, hi in cuts:
+        left = min(lo, side)
+        made.append(pieces._rows(pieces._matrix(p, text[lo - left : hi + side], left, left + hi - lo)))
+    whole = pieces.product(made)
+    for k in range(1, len(made)):
+        assert pieces.combine(pieces.product(made[:k]), pieces.product(made[k:])) == whole
+
+
+def test_a_text_of_millions_of_characters(spark, both):
+    """At the shipped chunk, over several levels of products, beside copies and short texts."""
+    _, sp = both
+    r = random.Random(8)
+    words = ["".join(r.choices("etaoin shrdlu", k=r.randint(1, 12))) for _ in range(5000)]
+    text = " ".join(r.choices(words, k=250_000)) + "x" * 40_000 + " " * 20_000 + "日本" * 9_000
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, text)], "doc_id long, text string")
+    got = {x.doc_id: (list(x.ids), x.round_trip) for x in pieces.encode(df).collect()}
+    assert len(text) > 33 * pieces.CHUNK
+    assert got[1] == got[3] == (sp.encode(text), True) and got[2][0] == sp.encode("short")
