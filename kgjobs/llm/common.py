@@ -113,38 +113,47 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def joined_by_share(rows: DataFrame, facts: DataFrame, key: str, hot: int) -> DataFrame:
+def joined_by_share(rows: DataFrame, facts: DataFrame, key: str, hot: int, total: int | None = None) -> DataFrame:
     """rows joined to facts on key (not null): facts has a row for each key of rows, and in n_rows how many of them hold it.
 
     Keys with one ``hot``-th of all rows or more are ``hot`` at most, whatever the input's size: their facts are broadcast.
-    So no key of what is shuffled to the other facts has more rows than that share.
+    So no key of what is shuffled to the other facts has more rows than that share. total: the number of rows, if known.
     """
-    total = facts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first()["n"]
+    total = facts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first()["n"] if total is None else total
     facts = facts.withColumn("_hot", F.col("n_rows") * F.lit(hot) >= F.lit(total)).drop("n_rows")
     near, far = F.broadcast(facts.where("_hot").drop("_hot")), facts.where("not _hot").drop("_hot")
     return rows.join(near, key).unionByName(rows.join(near.select(key), key, "left_anti").join(far, key))
 
 
-def component_labels(edges: DataFrame) -> DataFrame:
+#: Nodes of many neighbours, and labels of many nodes, that a round of components broadcasts at most.
+HOT_NODES = 10_000
+
+
+def component_labels(edges: DataFrame, hot: int = HOT_NODES) -> DataFrame:
     """(id, label) for each end of edges(a, b): label is the smallest id that can be reached.
 
     Each round a node's label becomes the least of its own, its neighbours' and those that nodes of its own as label see
     (the smaller label is hooked to the larger one), then labels are followed one step (label of the label). So whole
     trees of labels merge, and rounds are about log n even where ids lie at random along a path. A label only falls, so
     rounds end by themselves, and where no node sees a smaller one all of a component have its smallest id. Every round
-    is a few equi-joins that pre-aggregate; its labels are written to the shared folder. Null ends are dropped.
+    is a few equi-joins that pre-aggregate; a node that a share of all edges leads to, and a label that a share of all
+    nodes has, are broadcast (``joined_by_share``), so neither a star nor a component is one task's key. What a round
+    reads twice is written to the shared folder. Null ends are dropped.
     """
     pairs = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "cc-labels")
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label"), F.count("*").alias("n_rows")), "cc-labels")
+    degrees = labels.select(F.col("id").alias("b"), "n_rows")
+    n_edges, n_nodes, labels = both.count(), labels.count(), labels.select("id", "label")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("low"))
+        seen = labels.withColumnRenamed("id", "b").join(degrees, "b")
+        near = joined_by_share(both, seen, "b", hot, n_edges).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        step = written(labels.join(near, "id").select("id", "label", F.least("label", "near").alias("low")), "cc-near")
         hook = step.where("low < label").groupBy(F.col("label").alias("id")).agg(F.min("low").alias("hook"))
-        step = step.join(hook, "id", "left").select("id", "label", F.least("low", "hook").alias("low"))
-        up = labels.select(F.col("id").alias("low"), F.col("label").alias("jump"))
-        new = step.join(up, "low", "left").select("id", F.least("low", F.coalesce("jump", "low")).alias("label"), (F.least("low", F.coalesce("jump", "low")) < F.col("label")).alias("moved"))
-        new = written(new, "cc-labels")
+        step = written(step.join(hook, "id", "left").select("id", "label", F.least("low", "hook").alias("low")), "cc-hooked")
+        up = step.groupBy("low").agg(F.count("*").alias("n_rows")).join(labels.select(F.col("id").alias("low"), F.col("label").alias("jump")), "low")
+        new = joined_by_share(step, up, "low", hot, n_nodes)
+        new = written(new.select("id", F.least("low", "jump").alias("label"), (F.least("low", "jump") < F.col("label")).alias("moved")), "cc-labels")
         labels = new.select("id", "label")
         if new.where("moved").isEmpty():
             return labels

@@ -95,3 +95,14 @@ def test_components_of_random_graphs(spark):
                 label[a] = label[b] = min(label[a], label[b])
     got = component_labels(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted((x.id, x.label) for x in got) == sorted(label.items())
+
+
+@pytest.mark.parametrize("hot", [10_000, 4])
+def test_components_of_stars_and_paths(spark, hot):
+    """A star of most nodes, paths and rings, with hubs and labels broadcast and not."""
+    rng = random.Random(6)
+    ids = rng.sample(range(10_000), 2000)
+    edges = [(ids[0], x) for x in ids[1:1200]] + [(ids[k], ids[k + 1]) for k in range(1200, 1500)] + [(ids[k], ids[1500 + (k - 1499) % 400]) for k in range(1500, 1900)] + [(5, 5), (None, 3)]
+    got = {r.id: r.label for r in component_labels(spark.createDataFrame(edges, "a long, b long"), hot).collect()}
+    groups = [ids[:1200], ids[1200:1500] + [ids[1500]] + ids[1501:1900]]
+    assert got == {x: min(g) for g in groups for x in g}
