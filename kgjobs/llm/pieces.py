@@ -231,6 +231,16 @@ def _listed(raw: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
 
 
+def _packed(raw: bytes) -> bytes:
+    """Ids of 4 bytes each as their width and ids of 2 bytes where that is enough: less to shuffle."""
+    ids = np.frombuffer(raw, "<i4")
+    return b"\4" + raw if ids.max(initial=0) > 65535 else b"\2" + ids.astype("<u2").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if raw[0] == 2 else "<i4", offset=1).astype("<i4")
+
+
 def _matrix(p: Pieces, s: str, begin: int, end: int) -> list[int]:
     """Pairs of entry and exit states of weight 0, flat; a state is coded by how far its piece reaches to either side of the cut.
 
@@ -368,17 +378,19 @@ def _encode_long(long: DataFrame, model: str, chunk: int, text: str, fan: int) -
             raw = []
             for s, begin, end, i, j in zip(*[b.column(c).to_pylist() for c in ("piece", "begin", "end", "entry", "exit")], strict=True):
                 entry = (0, 0) if i == START else (begin - 1 - i // 64, begin + i % 64)
-                raw.append(p.path(s, entry, (end - 1 - j // 64, end + j % 64)))
-            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("k"), _listed(raw)], names=["_row", "k", "ids"])
+                raw.append(_packed(p.path(s, entry, (end - 1 - j // 64, end + j % 64))))
+            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("k"), pa.array(raw, pa.binary())], names=["_row", "k", "raw"])
 
-    traced = cut.join(states, ["_row", "k"]).mapInArrow(trace, "_row long, k int, ids array<int>")
-    joined = traced.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts")).select("_row", F.flatten("parts.ids").alias("ids"))
-    out = long.join(joined, "_row", "left").drop("_row").withColumn("n_tokens", F.size("ids").cast("long"))
+    traced = cut.join(states, ["_row", "k"]).mapInArrow(trace, "_row long, k int, raw binary")
+    joined = traced.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("k", "raw"))).alias("parts")).select("_row", F.col("parts.raw").alias("_raw"))
+    out = long.join(joined, "_row", "left").select(text, "_aside", "_raw")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(model)
         for b in batches:
-            same = [p.decode(np.array(ids, "<i4")) == t for ids, t in zip(b.column("ids").to_pylist(), b.column(text).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(same)], names=[*b.schema.names, "round_trip"])
+            ids = [np.concatenate([_unpacked(x) for x in parts]) for parts in b.column("_raw").to_pylist()]
+            same = [p.decode(x) == t for x, t in zip(ids, b.column(text).to_pylist(), strict=True)]
+            listed = _listed([x.tobytes() for x in ids])
+            yield pa.RecordBatch.from_arrays([b.column(text), b.column("_aside"), listed, pa.array(list(map(len, ids)), pa.int64()), pa.array(same)], names=[text, "_aside", "ids", "n_tokens", "round_trip"])
 
-    return out.mapInArrow(check, out.select("*").schema.add("round_trip", "boolean"))
+    return out.mapInArrow(check, out.select(text, "_aside").schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("round_trip", "boolean"))
