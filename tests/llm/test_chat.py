@@ -42,3 +42,17 @@ def test_merges_and_escapes(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert chat.chat_digest(chat.format_chats(df)).collect() == []
+
+
+def test_many_turns_cross_blocks(spark):
+    """Offsets run on from block to block, in code points and in bytes."""
+    n = 3 * chat.BLOCK + 7
+    rows = [(k % 2, k // 2, ("user", "assistant")[k // 2 % 3 != 0], f"<s>日{k}🙂" * (k % 4)) for k in range(2 * n)]
+    rows += [(2, k, "assistant", "x") for k in range(chat.BLOCK)]
+    formatted = chat.format_chats(spark.createDataFrame([(*r, "other") for r in rows], SCHEMA)).cache()
+    got = chat.chat_digest(formatted).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == brute(rows)
+    for r in formatted.collect():
+        raw, texts = r.formatted.encode(), [t for c, _, role, t in sorted(rows, key=lambda x: x[:2]) if c == r.conv_id and role == "assistant"]
+        cut = [r.formatted[s.start : s.start + s.length] for s in r.loss_spans]
+        assert cut == [raw[s.byte_start : s.byte_start + s.byte_length].decode() for s in r.loss_spans] == [t.replace("<s>", "<\\s>") for t in texts]
