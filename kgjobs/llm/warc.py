@@ -11,7 +11,8 @@ tasks and no file is held whole. A magic may also stand inside a payload, hence
 2. pointer jumping from offset 0 of each file keeps what is reachable: with J the successor table and R = {0}, each
    round takes R := R + J(R) and J := J(J), so a chain of n records takes log2 n rounds of equi-joins;
 3. fragments that are not reachable are payload of the reachable record before them; such records are put together
-   again from their fragments (a second scan, only if there are any).
+   again from their fragments (a second scan, only if there are any). Only these records and fragments are ordered, each
+   split of a file by itself, with the last record before it carried in; so no archive is one task.
 
 Defined cases: null html or url is empty; an empty table gives empty archives and an empty result; repeated page_ids
 stay; a null page_id is written as an empty id and read back as null (and is never what others refer to); other
@@ -41,8 +42,8 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST) -> None:
     """Write pages(page_id, url, html) to WARC files under path. One shuffle of the payloads, by their digest."""
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html").cast("long")})
-    known = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).where(f"page_id is not null and octet_length(html) >= {least}")
-    firsts = known.groupBy(F.sha2("html", 256).alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    known = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).where(f"octet_length(html) >= {least}")
+    firsts = known.groupBy(F.sha2("html", 256).alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     rows = rows.join(firsts, "digest", "left")
     revisit = F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull())
     uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -127,6 +128,20 @@ def reachable(links: DataFrame) -> DataFrame:
         jump = written(jump.join(nxt, ["file", "succ"]).select("file", "off", F.col("far").alias("succ")), "warc-jump")
 
 
+def _owned(marked: DataFrame) -> DataFrame:
+    """(file, block, rel, off, owner): records in more than one fragment, and their further fragments, with the record's offset.
+
+    A fragment that is no record lies within the last record before it that is not whole. That is found in the
+    fragment's own split, or is the last one of the splits before, of which a file has few.
+    """
+    some = marked.where("head is null or not whole").select("file", "block", "rel", "off", F.when(F.col("head"), F.col("off")).alias("begun"))
+    splits = some.groupBy("file", "block").agg(F.max("begun").alias("last"))
+    earlier = F.max("last").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    so_far = F.max("begun").over(Window.partitionBy("file", "block").orderBy("off"))
+    carried = some.withColumn("begun", so_far).join(splits.select("file", "block", earlier.alias("carried")), ["file", "block"])
+    return carried.select("file", "block", "rel", "off", F.coalesce("begun", "carried").alias("owner"))
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(file, off, type, page_id, refers_to, n_bytes, digest) of each record of the archives, payload digests recomputed for responses."""
     small_batches(spark)
@@ -139,15 +154,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     placed = found.join(bases, ["file", "block"]).withColumn("off", F.col("base") + F.col("rel") - len(MAGIC)).withColumn("next", F.col("off") + F.col("size") + len(MAGIC))
     records = placed.where("record and off >= 0")
     heads = reachable(records.select("file", "off", (F.col("off") + F.col("succ")).alias("succ")))
-    mine = Window.partitionBy("file").orderBy("off")
-    owned = placed.where("off >= 0").join(heads.withColumn("head", F.lit(True)), ["file", "off"], "left")
-    owned = written(owned.withColumn("owner", F.last(F.when(F.col("head"), F.col("off")), ignorenulls=True).over(mine)).drop("succ"), "warc-owned")
+    marked = written(placed.where("off >= 0").join(heads.withColumn("head", F.lit(True)), ["file", "off"], "left").drop("succ"), "warc-marked")
     out = ["file", "off", "type", "page_id", "refers_to", "n_bytes", "digest"]
-    plain = owned.where("head and (whole or type <> 'response')").select(*out)
-    broken = owned.where("head and not whole and type = 'response'")
+    plain = marked.where("head and (whole or type <> 'response')").select(*out)
+    broken = marked.where("head and not whole and type = 'response'")
     if broken.isEmpty():
         return plain
-    need = owned.join(broken.select("file", F.col("off").alias("owner")), ["file", "owner"], "left_semi").select("file", "block", "rel", "off", "owner")
+    need = _owned(marked).join(broken.select("file", F.col("off").alias("owner")), ["file", "owner"], "left_semi").select("file", "block", "rel", "off", "owner")
     raws = lines.mapInArrow(_raws, "file string, block long, rel long, raw binary").join(need, ["file", "block", "rel"])
     # the header of the record is in its first fragment; the rest of its payload follows magic by magic
     whole = raws.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("off", "raw"))).alias("parts"))

@@ -40,6 +40,17 @@ def test_splits_within_a_file(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_payload_over_many_splits(spark):
+    """A payload full of magics that fills several splits, in a file with others: its fragments belong to a record of an earlier split."""
+    rows = [(1, "first"), (2, "WARC/1.1\r\n é " * 2000), (3, "last" * 30), (None, "last" * 30), (4, "WARC/1.1\r\n" * 900 + "z")]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert run(spark, rows) == expected(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_empty_and_null(spark):
     assert run(spark, []) == []
     df = spark.createDataFrame([Row(page_id=1, url=None, html=None)], "page_id long, url string, html string")
