@@ -45,10 +45,11 @@ def _rows(named: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies (five words, 0.8); rows with an id and text seen before go."""
+    """One document, that of the smallest doc_id, of each group of near copies (five words, 0.8); of rows equal in both the first by its other columns stays."""
     named = _named(docs)
     kept = neardup.near_components(named.select("doc_id", "text"), 5, 80).where("kept").select("doc_id").distinct()
-    return _rows(named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), docs)
+    first = F.min_by("aside", F.to_json("aside")).alias("aside")
+    return _rows(named.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(first), docs)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
