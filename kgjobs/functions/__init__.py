@@ -62,14 +62,35 @@ def priority_rank(priority: Column) -> Column:
     return F.when(priority == "Low", 0).when(priority == "High", 2).when(priority == "Critical", 3).otherwise(1)
 
 
-def detect_style(text: Column) -> Column:
-    """prose, markdown, code or table, by the share of lines of each kind."""
-    lines = F.split(text, "\n")
+# Extensions of code and of markup, and how a line of code begins.
+CODE_EXTENSIONS = [
+    ".cs", ".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".go", ".rb", ".rs", ".cpp", ".cc", ".c",
+    ".h", ".hpp", ".php", ".sql", ".sh", ".ps1", ".kt", ".swift", ".scala", ".r", ".m", ".lua",
+]
+MARKUP_EXTENSIONS = [".md", ".markdown", ".mdx"]
+CODE_STARTS = ["import", "from", "def", "class", "function", "public", "private", "const", "var", "let", "func"]
+#: A line that ends or begins like code; a word needs something behind it.
+CODE_LINE = rf"[;{{}}]\s*$|^\s*#include|^\s*({'|'.join(CODE_STARTS)}) \s*\S"
+
+
+def detect_style(text: Column, name: Column | None = None) -> Column:
+    """prose, markdown, code or table: by the extension of the file's name if it says so, else by the lines.
+
+    Lines that begin with | make a table if they are three and half of all that aren't blank; one of them, a line that
+    begins with #, or a fence that closes make markdown. What begins or ends like code makes code where no extension
+    speaks against it. A null text, or one of blanks, is prose, but for a name of code.
+    """
+    ext = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.[^.]*$", 0)) if name is not None else F.lit("")
+    whole = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"\S"))
     count = lambda pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern)))
-    filled = count(r"\S")
-    table, heading, fence = count(r"^\s*\|.*\|\s*$"), count(r"^#{1,6}\s"), count(r"^\s*```")
-    code = count(r"[;{}]\s*$|^\s*(def|class|import|from|public|private|return|if|for|while)\b.*[:;({]\s*$")
-    return F.when((table >= 3) & (table * 2 >= filled), "table").when((heading > 0) | (fence >= 2) | (table > 0), "markdown").when(code >= F.greatest(F.lit(3), filled * 0.4), "code").otherwise("prose")
+    filled, table = F.size(lines), count(r"^\s*\|")
+    marked = (count(r"^\s*#") > 0) | whole.rlike("(?s)```.*```") | (table > 0)
+    code = (ext == "") & (count(CODE_LINE) >= F.greatest(F.lit(3), filled * 0.4))
+    return (
+        F.when(ext.isin(CODE_EXTENSIONS), "code").when(filled == 0, "prose").when((table >= 3) & (table * 2 >= filled), "table")
+        .when(ext.isin(MARKUP_EXTENSIONS) | marked, "markdown").when(code, "code").otherwise("prose")
+    )
 
 
 def glob_regex(glob: str) -> str:

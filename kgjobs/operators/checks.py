@@ -29,6 +29,14 @@ CHECKS = [
     ("security-no-sql-string-concat", r"(?i)`[^\n]*?\b" + _SQL + r"\b[^\n]*?\$\{", "SQL query built by template-literal interpolation — a SQL-injection risk", "warning", True),
     ("security-no-sql-string-concat", r"(?i)[\"'][^\n]*?\b" + _SQL + r"\b[^\n]*?[\"']\s*\.\s*format\s*\(", "SQL query built by .format() — a SQL-injection risk", "warning", True),
 ]
+# What to do instead, by rule.
+SUGGESTIONS = {
+    "coding-no-bare-except": "Catch a specific exception type and handle it (log, re-raise, or recover).",
+    "coding-no-blocking-async": "await the call instead — blocking on async code can deadlock and starves the thread pool.",
+    "coding-no-leftover-debug": "Remove debug output or route it through the project's logging library.",
+    "security-no-eval-exec": "Parse the input explicitly (e.g. ast.literal_eval / JSON.parse) instead of executing it.",
+    "security-no-sql-string-concat": "Use parameterized queries / bound parameters instead of building SQL from strings.",
+}
 APPLIES = {
     "coding-no-bare-except": ["python"],
     "coding-no-blocking-async": ["csharp"],
@@ -65,12 +73,12 @@ def rule_block_pairs(rules: DataFrame, blocks: DataFrame) -> DataFrame:
     return b.join(named.unionByName(every).unionByName(open_), "lang").select("rule", "id", "n").distinct()
 
 
-FOUND = "rule string, id string, n int, message string, severity string, line int"
+FOUND = "rule string, id string, n int, message string, severity string, line int, suggestion string"
 
 
 def check_code_blocks(pairs: DataFrame) -> DataFrame:
-    """(rule, id, n, message, severity, line) for pairs(rule, id, n, code): each finding of the rule's patterns, a block a task step."""
-    kinds = pa.schema([("rule", pa.string()), ("id", pa.string()), ("n", pa.int32()), ("message", pa.string()), ("severity", pa.string()), ("line", pa.int32())])
+    """(rule, id, n, message, severity, line, suggestion) for pairs(rule, id, n, code): each finding of the rule's patterns, a block a task step."""
+    kinds = pa.schema([("rule", pa.string()), ("id", pa.string()), ("n", pa.int32()), ("message", pa.string()), ("severity", pa.string()), ("line", pa.int32()), ("suggestion", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(rule, re.compile(p), message, severity, once) for rule, p, message, severity, once in CHECKS]
@@ -86,7 +94,7 @@ def check_code_blocks(pairs: DataFrame) -> DataFrame:
                         if once and line in seen:
                             continue
                         seen.add(line)
-                        out.append({"rule": rule, "id": key, "n": n, "message": message, "severity": severity, "line": line})
+                        out.append({"rule": rule, "id": key, "n": n, "message": message, "severity": severity, "line": line, "suggestion": SUGGESTIONS[rule]})
             yield pa.RecordBatch.from_pylist(out, kinds)
 
     return pairs.select("rule", F.col("id").cast("string").alias("id"), F.col("n").cast("int").alias("n"), "code").mapInArrow(run, FOUND)
@@ -104,10 +112,35 @@ def reuse_results(work: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFra
 
 def violation_report(found: DataFrame) -> DataFrame:
     """found with rank, its place by severity (error, warning, info, other), then rule, id, n and line."""
-    order = F.when(F.lower("severity") == "error", 0).when(F.lower("severity") == "warning", 1).when(F.lower("severity") == "info", 2).otherwise(3)
+    kind = F.lower(F.trim("severity"))
+    order = F.when(kind == "error", 0).when(kind == "warning", 1).when(kind == "info", 2).otherwise(3)
     return found.withColumn("rank", order).orderBy("rank", "rule", "id", "n", "line")
 
 
+# The report's lines.
+REPORT_HEAD = "⚠️ **Code Review Required — Knowledge Base Violations**"
+REPORT_INTRO = "The following issues were detected in your last response:"
+REPORT_END = "Please revise your response to address these violations — fix errors first."
+
+
+def violation_text(report: DataFrame) -> DataFrame:
+    """(id, errors, warnings, infos, others, text) of report(rank, rule, id, n, severity, line, message, suggestion): what is found in a text, as Markdown.
+
+    Errors come first, then by rule, n, line and message. A finding without a line or suggestion has none in the text; a
+    text's findings meet in one row, as they do in the answer that the report is for.
+    """
+    line = F.when(F.col("line").isNotNull(), F.concat(F.lit(" (line "), F.col("line").cast("string"), F.lit(")"))).otherwise("")
+    advice = F.when(F.trim(F.coalesce("suggestion", F.lit(""))) != "", F.concat(F.lit("- 💡 Suggestion: "), "suggestion", F.lit("\n"))).otherwise("")
+    entry = F.concat(F.lit("**Rule: "), "rule", F.lit("** ["), F.upper("severity"), F.lit("]"), line, F.lit("\n- "), "message", F.lit("\n"), advice, F.lit("\n"))
+    count = lambda k: F.count_if(F.col("rank") == k)
+    all_ = F.array_sort(F.collect_list(F.struct("rank", "rule", "n", F.col("line").alias("at"), "message", entry.alias("entry"))))
+    r = report.groupBy("id").agg(*[count(k).alias(c) for k, c in enumerate(("errors", "warnings", "infos", "others"))], all_.alias("all"))
+    other = F.when(F.col("others") > 0, F.format_string(", %d other", "others")).otherwise("")
+    summary = F.concat(F.format_string("**%d violation(s)** — %d error, %d warning, %d info", F.size("all"), "errors", "warnings", "infos"), other, F.lit("."))
+    text = F.concat(F.lit(f"{REPORT_HEAD}\n\n"), summary, F.lit(f"\n\n{REPORT_INTRO}\n\n"), F.array_join(F.col("all.entry"), ""), F.lit(f"{REPORT_END}\n"))
+    return r.select("id", "errors", "warnings", "infos", "others", text.alias("text"))
+
+
 def verify_fixtures(fixtures: DataFrame) -> DataFrame:
     """(rule, verified) of fixtures(rule, kind, code): snippets of kind pass give no finding, those of kind fail at least one."""
     keyed = fixtures.withColumn("id", F.sha2(F.concat_ws("\0", "kind", "code"), 256)).withColumn("n", F.lit(0)).distinct()

@@ -21,13 +21,14 @@ LINE = re.compile(r"[^\n]*\n|[^\n]+")
 
 
 def chunk_documents(docs: DataFrame, most: int = 1200, overlap: int = 150, style: str | None = None) -> DataFrame:
-    """docs(id, text) to (id, ordinal, style, chunk); lengths in code points, a null text is one empty chunk.
+    """docs(id, text, and where it has one name) to (id, ordinal, style, chunk); lengths in code points, a null text is one empty chunk.
 
+    ``style`` holds for all documents; without it the file's name and the lines say what a document is.
     Rows never leave their partition: one Arrow pass, a document at a time.
     """
     lap = max(0, min(overlap, most // 2 - 1))
     text = F.coalesce("text", F.lit(""))
-    styled = docs.select("id", text.alias("text"), (F.lit(style) if style else detect_style(text)).alias("style"))
+    styled = docs.select("id", text.alias("text"), (F.lit(style) if style else detect_style(text, F.col("name") if "name" in docs.columns else None)).alias("style"))
     kind = docs.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,10 +169,20 @@ def first_per_id(items: DataFrame, key: str, order: str) -> DataFrame:
     return items.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def incremental_status(items: DataFrame, manifest: DataFrame) -> DataFrame:
-    """items(id, hash) against manifest(id, hash): new, changed or unchanged."""
+def incremental_status(items: DataFrame, manifest: DataFrame, force: bool = False) -> DataFrame:
+    """items(id, hash) against manifest(id, hash): new, changed or unchanged; with ``force`` nothing counts as unchanged."""
     m = manifest.withColumnRenamed("hash", "known")
-    return items.join(m, "id", "left").select("id", F.when(F.col("known").isNull(), "new").when(F.col("known") == F.col("hash"), "unchanged").otherwise("changed").alias("status"))
+    same = F.lit(not force) & (F.col("known") == F.col("hash"))
+    return items.join(m, "id", "left").select("id", F.when(F.col("known").isNull(), "new").when(same, "unchanged").otherwise("changed").alias("status"))
+
+
+def next_manifest(items: DataFrame, statuses: DataFrame, failed: DataFrame) -> DataFrame:
+    """(id, hash) to compare the next run with: items(id, hash) of statuses(id, status) less those of failed(id), which are tried again.
+
+    What was unchanged is carried on whatever failed says, as it was not imported; what is no longer among the items goes.
+    """
+    lost = statuses.where("status <> 'unchanged'").join(failed.select("id"), "id", "left_semi").select("id")
+    return items.select("id", "hash").join(lost, "id", "left_anti")
 
 
 # Words that say nothing of a tool.

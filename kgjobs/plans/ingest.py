@@ -98,8 +98,17 @@ def resolve_links(spark, d):
 
 @query("select count(*) filter (event_type in ('click', 'purchase')) as imported, count(*) filter (event_type = 'view') as skipped, count(*) filter (event_type = 'error') as failed, count(*) filter (event_type = 'error') as errors from events")
 def ingest_summary(spark, d):
+    return ingest.ingest_summary(_outcomes(spark, d))
+
+
+def _outcomes(spark, d):
     status = F.when(F.col("event_type").isin("click", "purchase"), "imported").when(F.col("event_type") == "view", "skipped").when(F.col("event_type") == "error", "failed")
-    return ingest.ingest_summary(spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), status.alias("status"), F.when(F.col("event_type") == "error", F.col("props")).alias("error")))
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), status.alias("status"), F.when(F.col("event_type") == "error", F.col("props")).alias("error"))
+
+
+@query("select event_id as id, coalesce(props, '') as message from events where event_type = 'error'")
+def ingest_errors(spark, d):
+    return ingest.ingest_errors(_outcomes(spark, d))
 
 
 def _upsert(spark, d, replace):
@@ -229,20 +238,28 @@ def sanitize_text(spark, d):
     return x.select("doc_id", ingest.validate_text(F.col("checked"), 2000).alias("reason"), F.sha2(clean, 256).alias("clean_sha256"))
 
 
-@query(f"select id, coalesce(domain in ('src1', 'src2'), false) or coalesce(owner = 'user-3', false) as allowed from {R}")
+@query(f"select id, coalesce(domain in ('src1', 'src2'), false) or coalesce(owner = 'user-3', false) as allowed, true as admin from {R}")
 def write_permission(spark, d):
     r = model(spark, d, "rules").select("id", "owner", F.col("domain").alias("dataset"))
     roles = spark.createDataFrame([("user-3", "Editor"), ("user-4", "Owner")], "user string, role string")
     grants = spark.createDataFrame([("src1", "user-3", "Editor"), ("src2", "user-3", "Owner"), ("src3", "user-3", "Viewer"), ("src4", "user-4", "Owner")], "dataset string, user string, role string")
-    return ingest.write_permission(r, roles, grants, "user-3")
+    admin = ingest.write_permission(r, roles, grants, "user-9", admin=True).withColumnRenamed("allowed", "admin")
+    return ingest.write_permission(r, roles, grants, "user-3").join(admin, "id")
 
 
-@query(f"""select id, 2 as n_entities, 1 as n_relations, 'u' || owner as first, 'concept' as second_type from (select id, owner from {M})""")
+@query(f"""with m as (select conv_id * 1000 + turn as id, 'u' || role as o, (conv_id + turn) % 4 as k from conversations)
+ select id, case k when 0 then o || ':person,Topic:concept' when 1 then o || ':concept' else '' end as entities, case k when 0 then 'topic>' || upper(o) || ':a' else '' end as relations from m""")
 def parse_extraction_json(spark, d):
-    m = model(spark, d, "memories")
-    reply = F.concat(F.lit('Here: {"entities": [{"name": " u'), "owner", F.lit('", "type": "person"}, {"name": "Topic"}, {"name": ""}], "relations": [{"source": "topic", "target": "U'), "owner", F.lit('", "keywords": ["a"]}, {"source": "topic", "target": "unknown"}]} done'))
+    """Replies with text around, blank names and unknown ends; with entities alone; with broken JSON; with none."""
+    m = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("u"), "role").alias("o"), ((F.col("conv_id") + F.col("turn")) % 4).alias("k"))
+    full = F.concat(F.lit('Here: {"entities": [{"name": " '), "o", F.lit('", "type": "person"}, {"name": "Topic"}, {"name": ""}], "relations": [{"source": "topic", "target": "'), F.upper("o"), F.lit('", "keywords": ["a"]}, {"source": "topic", "target": "unknown"}]} done'))
+    alone = F.concat(F.lit('{"entities": [{"type": " ", "name": "'), "o", F.lit('"}]}'))
+    broken = F.concat(F.lit('{"entities": [{"name": "'), "o", F.lit('"}] "more": 1}'))
+    reply = F.when(F.col("k") == 0, full).when(F.col("k") == 1, alone).when(F.col("k") == 2, broken).otherwise(F.col("o"))
     x = ingest.parse_extraction(m.select("id", reply.alias("text")))
-    return x.select("id", F.size("entities").alias("n_entities"), F.size("relations").alias("n_relations"), F.col("entities")[0]["name"].alias("first"), F.col("entities")[1]["type"].alias("second_type"))
+    entities = F.array_join(F.transform("entities", lambda e: F.concat(e["name"], F.lit(":"), e["type"])), ",")
+    relations = F.array_join(F.transform("relations", lambda r: F.concat(r["source"], F.lit(">"), r["target"], F.lit(":"), F.array_join(r["keywords"], "+"))), ",")
+    return x.select("id", entities.alias("entities"), relations.alias("relations"))
 
 
 @query("select p_partkey as src, p_partkey + 1 as dst from part where p_partkey + 1 in (select p_partkey from part) and p_partkey % 4 <> 0")

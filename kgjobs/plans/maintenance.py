@@ -216,10 +216,18 @@ def taint_check(spark, d):
     return graph.taint_check(calls, labels, 3).select("seq", "label")
 
 
-@query()
+# one pick a round: relevance against the likeness to what has been picked
+@query("""with recursive r as (select label as query, vec_id as id, embedding::double[] as e, embedding[1]::double as score, row_number() over (partition by label order by embedding[1]::double desc, vec_id) as rank from embeddings),
+ c as (select *, coalesce((score - min(score) over w) / nullif(max(score) over w - min(score) over w, 0), 1.0) as rel from r where rank <= 15 window w as (partition by query)),
+ s as (select a.query, a.id as a, b.id as b, list_cosine_similarity(a.e, b.e) as sim from c a join c b on a.query = b.query),
+ g as (select distinct query, 0::bigint as n, []::bigint[] as got from c union all
+  select query, n + 1, list_append(got, arg_max(id, score)) from (select g.query, g.n, g.got, c.id, 0.7 * any_value(c.rel) - 0.3 * coalesce(max(s.sim) filter (list_contains(g.got, s.b)), 0.0) as score from g join c on c.query = g.query join s on s.query = g.query and s.a = c.id where not list_contains(g.got, c.id) group by g.query, g.n, g.got, c.id) group by query, n, got)
+ select query, n as rank, got[-1] as id from g where n > 0 union all select query, rank, id from r where rank > 15""")
 def mmr_rerank(spark, d):
+    """Each label's vectors by their first value; the first 15 are reordered, all others keep their places."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("query"), F.col("vec_id").alias("id"), F.element_at("embedding", 1).cast("double").alias("score"), "embedding")
-    return retrieval.mmr_rerank(retrieval.top_k(e, 50))
+    ranked = e.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id")))
+    return retrieval.mmr_rerank(ranked)
 
 
 @query(f"select src, min(dst) as first, max(dst) as last, count(*) as n from {G} where valid_until is null group by src")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..adapters import model
@@ -115,28 +116,27 @@ def build_head_vectors(spark, d):
     return v.select("head", "ord", F.round(F.col("embedding")[0], 4).alias("x"))
 
 
-@query("""with v as (select 'git:h' || label as head, vec_id as ord, embedding::double[] as e from embeddings where vec_id % 3 = 0), q as (select vec_id as query, embedding::double[] as e from embeddings where vec_id % 20 = 0),
+@query("""with v as (select 'git:h' || label as head, vec_id as ord, embedding::double[] as e from embeddings), q as (select vec_id as query, embedding::double[] as e from embeddings where vec_id % 20 = 0),
  s as (select query, head, ord, list_cosine_similarity(v.e, q.e) as score from v, q), n as (select *, row_number() over (partition by query order by score desc, ord) as n from s where score > 0.4),
  h as (select query, head, max(score) as score from n where n <= 24 group by all) select query, head, round(score, 6) as score from (select *, row_number() over (partition by query order by score desc, head) as r from h) where r <= 3""")
 def top_heads(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    v = _leaves(spark, d).where("id % 3 = 0").withColumnRenamed("id", "ord")
+    v = _leaves(spark, d).withColumnRenamed("id", "ord")
     return rounded(retrieval.top_heads(v, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")), "score")
 
 
-@query(f"""with q as (select vec_id as query, embedding::double[] as e from embeddings where vec_id % 20 = 0), k as (select parent, row_number() over (order by parent) as rank from (select distinct parent from {C})),
- s as (select query, c.parent as id, max(list_cosine_similarity(c.embedding::double[], q.e)) as score from {C} c join k using (parent), q where rank <= 200 group by all) select query, id, round(score, 6) as score from s where score > 0.3""")
+@query(f"""with q as (select vec_id as query, 'src' || label as home, embedding::double[] as e from embeddings where vec_id % 20 = 0), k as (select parent, split_part(parent, ':', 2) as home, row_number() over (partition by split_part(parent, ':', 2) order by parent) as rank from (select distinct parent from {C})),
+ s as (select query, c.parent as id, max(list_cosine_similarity(c.embedding::double[], q.e)) as score from {C} c join k using (parent) join q using (home) where rank <= 40 group by all) select query, id, round(score, 6) as score from s where score > 0.3""")
 def vector_fallback(spark, d):
-    from pyspark.sql import Window
-
+    """A query's ranking is that of its own source, of which the first 40 are compared."""
     c, e = model(spark, d, "chunks"), spark.read.parquet(f"{d}/embeddings.parquet")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
-    ids = c.select(F.col("parent").alias("id")).distinct().withColumn("one", F.lit(1))
-    ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("one").orderBy("id"))).where("rank <= 200").join(q.select("query", F.lit(1).alias("one")), "one")
-    return rounded(retrieval.vector_fallback(ranked, c, q, 200, 0.3), "score")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.concat(F.lit("src"), "label").alias("home"), "embedding")
+    ids = c.select(F.col("parent").alias("id")).distinct().withColumn("home", F.split("id", ":")[1])
+    ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("home").orderBy("id"))).join(q.select("query", "home"), "home")
+    return rounded(retrieval.vector_fallback(ranked, c, q, 40, 0.3), "score")
 
 
-CODE = "concat('text', chr(10), '```', case doc_id % 5 when 0 then 'py' when 1 then 'C#' when 2 then 'ts' when 3 then '' else 'rust' end, chr(10), 'x = ', lang, '; debugger', chr(10), 'except:', chr(10), '  y.Result', chr(10), '```', chr(10), 'more ```JS', chr(10), 'console.log(', source, ')', chr(10), '```')"
+CODE = """concat('text', chr(10), '```', case doc_id % 5 when 0 then 'py' when 1 then 'C#' when 2 then 'ts' when 3 then '' else 'rust' end, chr(10), 'x = eval(', lang, '); debugger', chr(10), 'except:', chr(10), '  y.Result', chr(10), '```', chr(10), 'more ```JS', chr(10), 'console.log("SELECT " + ', source, ')', chr(10), '```')"""
 
 
 def _blocks(spark, d):
@@ -144,8 +144,8 @@ def _blocks(spark, d):
     return checks.extract_code_blocks(docs)
 
 
-@query("""select doc_id as id, 0 as n, case doc_id % 5 when 0 then 'py' when 2 then 'ts' when 3 then '' else 'rust' end as lang, 'x = ' || lang || '; debugger' || chr(10) || 'except:' || chr(10) || '  y.Result' || chr(10) as code from documents where doc_id % 5 <> 1
- union all select doc_id, 1, 'js', 'console.log(' || source || ')' || chr(10) from documents where doc_id % 5 <> 1 union all select doc_id, 0, '', 'more ' from documents where doc_id % 5 = 1""")
+@query("""select doc_id as id, 0 as n, case doc_id % 5 when 0 then 'py' when 2 then 'ts' when 3 then '' else 'rust' end as lang, 'x = eval(' || lang || '); debugger' || chr(10) || 'except:' || chr(10) || '  y.Result' || chr(10) as code from documents where doc_id % 5 <> 1
+ union all select doc_id, 1, 'js', 'console.log("SELECT " + ' || source || ')' || chr(10) from documents where doc_id % 5 <> 1 union all select doc_id, 0, '', 'more ' from documents where doc_id % 5 = 1""")
 def extract_code_blocks(spark, d):
     return _blocks(spark, d)
 
@@ -170,23 +170,33 @@ def _found(spark, d):
     return checks.check_code_blocks(checks.rule_block_pairs(_rules(spark), blocks).join(blocks, ["id", "n"]))
 
 
-FOUND_SQL = PAIRED + """, f as (select rule, id, n, 2 as line, 'warning' as severity from p where id % 5 <> 1 and rule = 'coding-no-bare-except' and lang <> 'javascript' union all select rule, id, n, 3, 'warning' from p where id % 5 <> 1 and rule = 'coding-no-blocking-async' and lang in ('', 'csharp')
- union all select rule, id, n, 1, 'warning' from p where id % 5 <> 1 and rule = 'coding-no-leftover-debug')"""
+# each rule has findings: where, how bad and what is said of them
+FOUND_SQL = PAIRED + """, s(rule, line, severity, message) as (values
+ ('coding-no-bare-except', 2, 'warning', 'Bare except catches everything, incl. SystemExit/KeyboardInterrupt'), ('coding-no-blocking-async', 3, 'warning', 'Blocking .Result on a Task'),
+ ('coding-no-leftover-debug', 1, 'warning', ''), ('security-no-eval-exec', 1, 'error', 'eval() executes arbitrary code — a code-injection / RCE risk'),
+ ('security-no-sql-string-concat', 1, 'warning', 'SQL query built by string concatenation — a SQL-injection risk')),
+ f as (select rule, id::varchar as id, n, line, severity, case when message <> '' then message when n = 1 then 'Leftover console.log/debug/info — use a real logger or remove it' else 'Leftover debugger statement — remove before committing' end as message
+  from p join s using (rule) where id % 5 <> 1 and case when rule = 'security-no-sql-string-concat' then n = 1 when rule = 'coding-no-leftover-debug' then true else n = 0 end)"""
+ADVICE = ", a(rule, suggestion) as (values " + ", ".join("('{}', '{}')".format(r, x.replace("'", "''")) for r, x in checks.SUGGESTIONS.items()) + ")"
 
 
-@query(FOUND_SQL + " select rule, id::varchar as id, n, line, severity from f")
+@query(FOUND_SQL + ADVICE + " select rule, id, n, line, severity, message, suggestion from f join a using (rule)")
 def check_code_blocks(spark, d):
-    return _found(spark, d).select("rule", "id", "n", "line", "severity")
+    return _found(spark, d)
 
 
-@query(FOUND_SQL + " select 1 as rank, rule, count(*) as n from f group by rule")
+@query(FOUND_SQL + ADVICE + """, e as (select id, severity, case severity when 'error' then 0 else 1 end as rank, rule, n, line, message, '**Rule: ' || rule || '** [' || upper(severity) || '] (line ' || line || ')' || chr(10) || '- ' || message || chr(10) || '- 💡 Suggestion: ' || suggestion || chr(10) || chr(10) as entry from f join a using (rule)),
+ z as (select id, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, 0 as infos, 0 as others, string_agg(entry, '' order by rank, rule, n, line, message) as entries from e group by id)
+ select id, errors, warnings, infos, others, '⚠️ **Code Review Required — Knowledge Base Violations**' || chr(10) || chr(10) || '**' || (errors + warnings) || ' violation(s)** — ' || errors || ' error, ' || warnings || ' warning, 0 info.' || chr(10) || chr(10)
+  || 'The following issues were detected in your last response:' || chr(10) || chr(10) || entries || 'Please revise your response to address these violations — fix errors first.' || chr(10) as text from z""")
 def violation_report(spark, d):
-    return checks.violation_report(_found(spark, d)).groupBy("rank", "rule").agg(F.count("*").alias("n"))
+    return checks.violation_text(checks.violation_report(_found(spark, d)))
 
 
-@query(PAIRED + " select rule, count(*) filter (id % 2 = 0) as reused, count(*) filter (id % 2 = 1) as left_over from p group by rule")
+@query(PAIRED + " select rule, id, n, upper(sha256(rule || chr(0) || id || chr(0) || n || chr(0) || 'v1')) as key, case when id % 2 = 0 then id % 4 = 0 end as passed from p")
 def reuse_results(spark, d):
+    """Texts of even ids have a verdict, by rule, block and version; the others are left to check."""
     blocks = _blocks(spark, d)
     work = checks.rule_block_pairs(_rules(spark), blocks).withColumn("key", checks.result_key(F.col("rule"), F.col("id").cast("string"), F.col("n").cast("string"), F.lit("v1")))
-    reused, todo = checks.reuse_results(work, work.where("id % 2 = 0").select("key", F.lit(True).alias("passed")))
-    return reused.groupBy("rule").agg(F.count("*").alias("reused")).join(todo.groupBy("rule").agg(F.count("*").alias("left_over")), "rule")
+    reused, todo = checks.reuse_results(work, work.where("id % 2 = 0").select("key", (F.col("id") % 4 == 0).alias("passed")))
+    return reused.unionByName(todo.withColumn("passed", F.lit(None).cast("boolean"))).select("rule", "id", "n", "key", "passed")

@@ -189,11 +189,17 @@ def dedupe_items(spark, d):
     return rules.first_per_id(model(spark, d, "rules").select("domain", "id"), "domain", F.col("id").desc())
 
 
-@query(f"select case when doc_id % 10 = 0 then 'new' when doc_id % 10 = 1 then 'changed' else 'unchanged' end as status, count(*) as n from documents group by 1")
+@query("""with x as (select doc_id as id, sha256(text) as hash, case when doc_id % 10 = 0 then 'new' when doc_id % 10 = 1 then 'changed' else 'unchanged' end as status from documents)
+ select id, status, case when status = 'new' then 'new' else 'changed' end as forced, case when status = 'unchanged' or id % 3 <> 0 then hash end as recorded from x""")
 def incremental_sync(spark, d):
+    """A tenth of the documents is new, a tenth has changed; of these, each third fails and is not recorded."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("hash"))
     manifest = docs.where("id % 10 <> 0").withColumn("hash", F.when(F.col("id") % 10 == 1, "old").otherwise(F.col("hash")))
-    return rules.incremental_status(docs, manifest).groupBy("status").agg(F.count("*").alias("n"))
+    manifest = manifest.unionByName(docs.select((-1 - F.col("id")).alias("id"), "hash"))  # items that are no longer there
+    status = rules.incremental_status(docs, manifest)
+    forced = rules.incremental_status(docs, manifest, force=True).withColumnRenamed("status", "forced")
+    recorded = rules.next_manifest(docs, status, docs.where("id % 3 = 0").select("id")).withColumnRenamed("hash", "recorded")
+    return status.join(forced, "id").join(recorded, "id", "full")
 
 
 @query("select doc_id, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+'))) as n_tokens from documents")
@@ -337,9 +343,17 @@ def apply_budget(spark, d):
     return rules.apply_budget(sized, protected=safe)
 
 
-@query()
+STYLED_TEXT = """case doc_id % 7 when 0 then concat('  # h', chr(10), text) when 1 then concat('| a |', chr(10), ' | b', chr(10), '|', chr(10), lang) when 2 then concat('let a = 1', chr(10), 'def f(', chr(10), 'x }', chr(10), chr(10), source) when 3 then concat('a ```', text, '``` b') else text end"""
+STYLED_NAME = "case doc_id % 5 when 0 then 'a.b/C.PY' when 1 then 'x.mdx' when 2 then 'notes.txt' when 3 then 'no extension' end"
+
+
+@query(f"""with x as (select doc_id, {STYLED_TEXT} as text, {STYLED_NAME} as name from documents), l as (select doc_id, text, case when contains(name, '.') then lower(regexp_extract(name, '\\.[^.]*$')) end as ext, list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '\\S')) as f from x),
+ c as (select *, len(list_filter(f, lambda s: starts_with(ltrim(s), '|'))) as t, len(list_filter(f, lambda s: starts_with(ltrim(s), '#'))) as h, len(list_filter(f, lambda s: regexp_matches(s, '[;{{}}]\\s*$|^\\s*(import|from|def|class|function|public|private|const|var|let|func) \\s*\\S'))) as k from l)
+ select doc_id, case when ext = '.py' then 'code' when len(f) = 0 then 'prose' when t >= 3 and t >= len(f) * 0.5 then 'table' when ext = '.mdx' or h > 0 or t > 0 or regexp_matches(text, '(?s)```.*```') then 'markdown' when ext is null and k >= greatest(3, len(f) * 0.4) then 'code' else 'prose' end as style from c""")
 def detect_style(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", fn.detect_style(F.col("text")).alias("style"))
+    """Documents as they are, or with headings, tables, code or fences, with and without names of files."""
+    x = spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", f"{STYLED_TEXT} as text", f"{STYLED_NAME} as name")
+    return x.select("doc_id", fn.detect_style(F.col("text"), F.col("name")).alias("style"))
 
 
 @query("""with b as (select page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') as t from pages)

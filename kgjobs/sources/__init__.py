@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir; where that is unset, as in tests, below a temporary one set for the session."""
+    """A new folder name below spark.checkpoint.dir; where that is unset, a local session, as in tests, gets a temporary one and any other an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-kgjobs-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{name}-{uuid.uuid4().hex}"

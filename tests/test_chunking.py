@@ -28,6 +28,23 @@ def test_nulls_and_columns(spark):
     assert "".join(r.chunk for r in sorted((r for r in rows if r.id is None), key=lambda r: r.ordinal)) == "a b " * 10
 
 
+def test_styles(spark):
+    cases = [
+        ("plain words", None, "prose"), (None, None, "prose"), (" \n\n", "x.md", "prose"), ("", "x.PY", "code"), ("words", "a/b.Md", "markdown"), ("words", "dir.d/name", "prose"),
+        ("| a |\n|b\n  |c\nd\ne\nf", None, "table"), ("|a\n|b\n|c\nd\ne\nf\ng", None, "markdown"), ("|a\nb", "x.txt", "markdown"), ("  # h\nx", None, "markdown"), ("x ``` y ``` z", None, "markdown"), ("one ``` alone", None, "prose"),
+        ("let a = 1\nx;\n}", None, "code"), ("let a = 1\nx;\n}", "x.txt", "prose"), ("let \nimport\nx;\n}", None, "prose"), ("x;\ny;\nz;\n" + "a\n" * 5, None, "prose"), ("x;\ny;\nz;\n" + "a\n" * 4, None, "code"),
+    ]
+    rows = spark.createDataFrame([(k, t, n) for k, (t, n, _) in enumerate(cases)], "id int, text string, name string")
+    from pyspark.sql import functions as F
+
+    from kgjobs.functions import detect_style
+
+    got = dict(rows.select("id", detect_style(F.col("text"), F.col("name"))).collect())
+    assert [got[k] for k in range(len(cases))] == [want for _, _, want in cases]
+    by_name = chunking.chunk_documents(rows.where("id = 12"), 5, 0)
+    assert {r.style for r in by_name.collect()} == {"code"}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
 def test_lossless_without_overlap(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id as id", "text")

@@ -74,6 +74,17 @@ def test_checks_and_fixtures(spark):
     assert {r.rule: r.verified for r in checks.verify_fixtures(spark.createDataFrame(f, "rule string, kind string, code string")).collect()} == {"security-no-eval-exec": True, "coding-no-blocking-async": False}
 
 
+def test_violation_text(spark):
+    rows = [("info", "r2", "b", 0, 3, "i", None), ("ERROR ", "r1", "b", 0, None, "e", " "), ("odd", "r3", "b", 0, 1, "o", "do x"), ("warning", "r4", "c", 0, 2, "w", "do y")]
+    found = spark.createDataFrame(rows, "severity string, rule string, id string, n int, line int, message string, suggestion string")
+    got = {r.id: r for r in checks.violation_text(checks.violation_report(found)).collect()}
+    b = got["b"]
+    assert (b.errors, b.warnings, b.infos, b.others) == (1, 0, 1, 1) and "**3 violation(s)** — 1 error, 0 warning, 1 info, 1 other." in b.text
+    assert b.text.index("**Rule: r1** [ERROR ]\n- e\n\n") < b.text.index("**Rule: r2** [INFO] (line 3)\n- i\n\n") < b.text.index("**Rule: r3** [ODD] (line 1)\n- o\n- 💡 Suggestion: do x\n\n")
+    assert "**1 violation(s)** — 0 error, 1 warning, 0 info." in got["c"].text and got["c"].text.endswith("fix errors first.\n")
+    assert checks.violation_text(checks.violation_report(found.limit(0))).count() == 0
+
+
 def test_near_memories_go_greedily(spark):
     r = random.Random(1)
     words = [f"w{k}" for k in range(12)]
