@@ -47,24 +47,34 @@ def resolve_toolboxes(queries: DataFrame) -> DataFrame:
     return queries.select("query", F.explode(toolboxes_of(queries)).alias("toolbox"))
 
 
+#: Characters of the pieces by which needles find the texts that may contain them.
+GRAM = 3
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """The distinct substrings of ``size`` characters, none of a shorter text."""
+    all_ = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(all_))
+
+
 def containing(texts: DataFrame, needles: DataFrame, least: int = 1) -> DataFrame:
-    """(key, needle) where needles(needle) of at least ``least`` characters occur in texts(key, text), by an equi-join.
+    """(key, needle) where needles(needle) of at least ``least`` characters occur in texts(key, text); a key may have several texts.
 
-    Texts give their substrings of the lengths that needles have; those lengths (at most as many as the longest needle
-    has characters) are all that reaches the driver.
+    A needle is looked up by that of its pieces which the fewest keys have, and the text confirms; a text gives a row a
+    character at most, however long the needles are, and only pieces that are asked for are kept. Needles shorter than a
+    piece are met as they are. Null texts contain nothing.
     """
     needles = needles.where(F.length("needle") >= least).select("needle").distinct()
-    sizes = sorted(r[0] for r in needles.select(F.length("needle")).distinct().collect())
-    if not sizes:
-        return texts.select("key").crossJoin(needles).limit(0)
-    n = F.length("text")
-
-    def grams_of(k: int) -> Column:
-        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr("text", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-    parts = [grams_of(k) for k in sizes]
-    grams = texts.select("key", F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("needle"))
-    return grams.join(needles, "needle").select("key", "needle").distinct()
+    held = lambda size: texts.select("key", F.explode(_pieces(F.col("text"), size)).alias("piece"))
+    need = needles.select("needle", F.explode(_pieces(F.col("needle"), GRAM)).alias("piece"))
+    asked = held(GRAM).join(need.select("piece").distinct(), "piece", "left_semi").distinct()
+    often = asked.groupBy("piece").agg(F.count("*").alias("n"))
+    # a piece that no text has rules the needle out
+    rare = need.join(often, "piece", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("at")).where("at.n > 0")
+    maybe = rare.select("needle", F.col("at.piece").alias("piece")).join(asked, "piece").select("key", "needle")
+    found = [maybe.join(texts.select("key", "text"), "key").where(F.contains("text", "needle")).select("key", "needle")]
+    found += [held(k).withColumnRenamed("piece", "needle").join(needles.where(F.length("needle") == k), "needle").select("key", "needle") for k in range(max(1, least), GRAM)]
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def activate_domains(queries: DataFrame, domains: DataFrame, closure: DataFrame) -> DataFrame:

@@ -74,6 +74,18 @@ def test_checks_and_fixtures(spark):
     assert {r.rule: r.verified for r in checks.verify_fixtures(spark.createDataFrame(f, "rule string, kind string, code string")).collect()} == {"security-no-eval-exec": True, "coding-no-blocking-async": False}
 
 
+def test_containing_equals_a_plain_search(spark):
+    r = random.Random(3)
+    texts = [(k % 40, "".join(r.choice("abé😀 ") for _ in range(r.randint(0, 30)))) for k in range(80)] + [(99, None), (None, "abab")]
+    needles = ["".join(r.choice("abé😀 ") for _ in range(r.randint(1, 6))) for _ in range(120)] + ["", "nowhere", texts[0][1], texts[0][1]]
+    x, n = spark.createDataFrame(texts, "key int, text string"), spark.createDataFrame([(v,) for v in needles], "needle string")
+    for least in (1, 2, 4):
+        want = {(k, v) for k, t in texts for v in needles if k is not None and t is not None and len(v) >= least and v in t}
+        rows = [tuple(row) for row in context.containing(x.where("key is not null"), n, least).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    assert context.containing(x.limit(0), n).count() == 0 and context.containing(x, n.limit(0)).count() == 0
+
+
 def test_violation_text(spark):
     rows = [("info", "r2", "b", 0, 3, "i", None), ("ERROR ", "r1", "b", 0, None, "e", " "), ("odd", "r3", "b", 0, 1, "o", "do x"), ("warning", "r4", "c", 0, 2, "w", "do y")]
     found = spark.createDataFrame(rows, "severity string, rule string, id string, n int, line int, message string, suggestion string")
