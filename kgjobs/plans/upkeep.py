@@ -186,7 +186,7 @@ def check_code_blocks(spark, d):
 
 
 @query(FOUND_SQL + ADVICE + """, e as (select id, severity, case severity when 'error' then 0 else 1 end as rank, rule, n, line, message, '**Rule: ' || rule || '** [' || upper(severity) || '] (line ' || line || ')' || chr(10) || '- ' || message || chr(10) || '- 💡 Suggestion: ' || suggestion || chr(10) || chr(10) as entry from f join a using (rule)),
- z as (select id, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, 0 as infos, 0 as others, string_agg(entry, '' order by rank, rule, n, line, message) as entries from e group by id)
+ z as (select id, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, 0::bigint as infos, 0::bigint as others, string_agg(entry, '' order by rank, rule, n, line, message) as entries from e group by id)
  select id, errors, warnings, infos, others, '⚠️ **Code Review Required — Knowledge Base Violations**' || chr(10) || chr(10) || '**' || (errors + warnings) || ' violation(s)** — ' || errors || ' error, ' || warnings || ' warning, 0 info.' || chr(10) || chr(10)
   || 'The following issues were detected in your last response:' || chr(10) || chr(10) || entries || 'Please revise your response to address these violations — fix errors first.' || chr(10) as text from z""")
 def violation_report(spark, d):
