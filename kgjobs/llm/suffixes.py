@@ -92,8 +92,11 @@ def settle_runs(b: np.ndarray, at: np.ndarray, names: np.ndarray, lengths: list[
     In a run of period p every string but those that begin in its first p bytes stands p bytes earlier as well, so what
     lies within the run needs no other text. A string that reaches over the run's begin or end holds the first or the
     last anchor of the run, one that begins in its first p bytes the first or the second. Runs that are just as long as
-    a wanted string, up to a period more, keep all their anchors.
+    a wanted string, up to a period more, keep all their anchors. Contexts hold only what the shortest length can have
+    before an anchor, so for longer strings that reach over the end further anchors are kept, told from the end: each
+    such string then has one as near to its begin.
     """
+    least, top = min(lengths), max(lengths)
     keep, spans = np.ones(len(at), bool), [[] for _ in lengths]
     if len(at) < 4:
         return keep, spans
@@ -124,6 +127,9 @@ def settle_runs(b: np.ndarray, at: np.ndarray, names: np.ndarray, lengths: list[
             step *= 4
         if all(end - begin >= n + p or end - begin < n for n in lengths):
             keep[first + 2 : last] = False
+            if top > least:
+                back = np.arange(last, first, -max(1, (least - GRAM + 1) // p))
+                keep[back[at[back] >= end - top]] = True
             for n, out in zip(lengths, spans, strict=True):
                 if end - begin >= n + p:
                     out.append((begin + p if keep_first else begin, end))

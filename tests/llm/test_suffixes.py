@@ -90,6 +90,19 @@ def test_shorter_repeats_are_counted_in_the_same_pass(spark, most):
     assert sorted(((r.doc_id, r.n_bytes, r.n_repeated) for r in got), key=str) == sorted(((d, n, gone) for d, n, gone, _, _ in brute(rows, 64)), key=str)
 
 
+def test_strings_over_the_end_of_a_run_with_a_shorter_report(spark):
+    """A long string that begins deep in a run and ends behind it is found though contexts are cut for the shorter length."""
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    rows = []
+    for period in ("q", "of ", "the same words again ", "x" * 30 + "é", text(32)):
+        for size in (260, 399, 700):
+            run, behind = (period * 700)[:size], text(150)
+            rows += [(len(rows), text(50) + run + behind + text(40)), (len(rows) + 1, text(30) + run[size // 3 :] + behind), (len(rows) + 2, text(9) + run[7:] + behind[:140] + text(70))]
+    got = suffixes.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), least=400, report=200).drop("kept", "n_repeated").collect()
+    assert sorted([tuple(x) for x in got], key=str) == brute(rows, 400)
+
+
 def test_nulls_clashing_names_and_long_texts(spark):
     r = random.Random(4)
     p = "".join(r.choice("abcdefgh ") for _ in range(200))
