@@ -72,8 +72,8 @@ def rrf_fuse(keyword: DataFrame, semantic: DataFrame, k: int = 60, w_keyword: fl
     return both.select("query", "id", (w_keyword / (k + F.col("rk")) + F.coalesce(w_semantic / (k + F.col("rs")), F.lit(0.0))).alias("score"))
 
 
-def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = 100, above: float = 0.5) -> DataFrame:
-    """(query, parent, score): best cosine per parent over each query's k nearest chunks above the threshold.
+def vector_topk(chunks: DataFrame, queries: DataFrame, k: int | None = 100, above: float = 0.5) -> DataFrame:
+    """(query, parent, score): best cosine per parent over each query's k nearest chunks (None: all) above the threshold.
 
     chunks(parent, chunk, embedding, owner if they have one), queries(query, embedding, user if owners count): chunks
     without an owner are everyone's. Queries go to the tasks in blocks of QUERY_BYTES; of each batch a task keeps the k
@@ -117,16 +117,16 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = 100, above: floa
         found = chunks.select("parent", "chunk", "embedding", *(["owner"] if owned else [])).mapInArrow(near, schema)
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "chunk")
-    best = out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    best = out if k is None else out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
     return best.groupBy("query", "parent").agg(F.max("score").alias("score"))
 
 
-def _best(rough: np.ndarray, v: np.ndarray, x: np.ndarray, chunk: np.ndarray, k: int, above: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of v's k best rows of x above the threshold, by score, then chunk.
+def _best(rough: np.ndarray, v: np.ndarray, x: np.ndarray, chunk: np.ndarray, k: int | None, above: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of v's k best rows (None: all) of x above the threshold, by score, then chunk.
 
     A matrix product's last bits depend on a row's place, so it only tells which rows may count; these are summed alike.
     """
-    least = above if len(rough) <= k else max(above, np.partition(rough, len(rough) - k)[len(rough) - k])
+    least = above if k is None or len(rough) <= k else max(above, np.partition(rough, len(rough) - k)[len(rough) - k])
     at = np.flatnonzero(rough > least - 1e-9)
     score = (x[at] * v).sum(axis=1)
     order = np.lexsort((chunk[at], -score))[:k]
@@ -286,8 +286,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (size > 0), dot / size).otherwise(0.0)
 
 
-def vector_fallback(ranked: DataFrame, chunks: DataFrame, queries: DataFrame, most: int = 500, above: float = 0.5) -> DataFrame:
-    """(query, id, score): best cosine over the chunks(parent, embedding) of the first ``most`` of ranked(query, rank, id)."""
+def vector_fallback(ranked: DataFrame | None, chunks: DataFrame, queries: DataFrame, most: int = 500, above: float = 0.5) -> DataFrame:
+    """(query, id, score): best cosine over the chunks(parent, embedding) of the first ``most`` of ranked(query, rank, id).
+
+    ranked None: every parent is a candidate of every query, by blocks of matrix products; ``above`` is 0 at least then.
+    """
+    if ranked is None:
+        size, parts = F.size("embedding"), []
+        for n in [r["n"] for r in queries.select(size.alias("n")).where("n > 0").distinct().collect()]:
+            alike = chunks.where(size == n).select("parent", F.lit(0).alias("chunk"), "embedding")
+            parts.append(vector_topk(alike, queries.where(size == n).select("query", "embedding"), None, above))
+        kinds = f"query {queries.schema['query'].dataType.simpleString()}, parent {chunks.schema['parent'].dataType.simpleString()}, score double"
+        both = reduce(DataFrame.unionByName, parts, chunks.sparkSession.createDataFrame([], kinds))
+        return both.groupBy("query", F.col("parent").alias("id")).agg(F.max("score").alias("score"))
     first = ranked.where(F.col("rank") <= most).select("query", "id")
     both = first.join(chunks.select(F.col("parent").alias("id"), F.col("embedding").alias("v")), "id").join(queries.select("query", "embedding"), "query")
     return both.groupBy("query", "id").agg(F.max(cosine(F.col("embedding"), F.col("v"))).alias("score")).where(F.col("score") > above)
