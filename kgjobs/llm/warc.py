@@ -30,21 +30,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, written
+from .common import shared_dir, shuffles_removed, small_batches, written
 
 MAGIC = "WARC/1.1\r\n"
 LEAST = 100
+#: Payloads are written in so many parts, one after the other.
+PARTS = 4
 _HEADER = re.compile(rb"((?:[A-Za-z-]+: [^\r\n]*\r\n)+)\r\n")
 _FIELD = re.compile(rb"([A-Za-z-]+): ([^\r\n]*)\r\n")
 
 
 def write_warc(pages: DataFrame, path: str, least: int = LEAST) -> None:
-    """Write pages(page_id, url, html) to WARC files under path. One shuffle of the payloads, by their digest."""
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html").cast("long")})
-    known = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).where(f"octet_length(html) >= {least}")
-    firsts = known.groupBy(F.sha2("html", 256).alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    rows = rows.join(firsts, "digest", "left")
+    """Write pages(page_id, url, html) to WARC files under path. One shuffle of the payloads, by their digest.
+
+    The payloads go in ``PARTS`` parts by their hash, so that only a part of them lies in shuffle files beside the archives.
+    """
+    html = F.coalesce("html", F.lit(""))
+    pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.pmod(F.xxhash64(html), F.lit(PARTS)).alias("part"))
+    rows = pages.withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html").cast("long")})
+    known = pages.where(f"octet_length(html) >= {least}")
+    firsts = known.groupBy("part", F.sha2("html", 256).alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("part", "digest", "first")
+    firsts = written(firsts, "warc-firsts")
     revisit = F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull())
     uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     head = F.concat(
@@ -56,7 +62,11 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST) -> None:
         F.lit("\r\nWARC-Payload-Length: "), F.col("size").cast("string"),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.when(revisit, "0").otherwise(F.col("size").cast("string")), F.lit("\r\n\r\n"),
     )
-    rows.select(F.concat(head, F.when(revisit, "").otherwise(F.col("html"))).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    record = F.concat(head, F.when(revisit, "").otherwise(F.col("html"))).alias("value")
+    with shuffles_removed(pages.sparkSession):
+        for part in range(PARTS):
+            some = rows.where(F.col("part") == part).join(firsts.where(F.col("part") == part).drop("part"), "digest", "left")
+            some.select(record).write.mode("append" if part else "errorifexists").option("lineSep", "\r\n\r\n").text(path)
 
 
 def _page(uri: bytes | None) -> int | None:

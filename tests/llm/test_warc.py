@@ -55,3 +55,22 @@ def test_empty_and_null(spark):
     assert run(spark, []) == []
     df = spark.createDataFrame([Row(page_id=1, url=None, html=None)], "page_id long, url string, html string")
     assert [tuple(r) for r in warc.archive_and_read(spark, df).select("page_id", "n_bytes", "type").collect()] == [(1, 0, "response")]
+
+
+def test_payloads_leave_no_shuffle_files(spark, tmp_path):
+    """What lies on disk after writing are the archives, not the shuffled payloads as well."""
+    import os
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    tops = [f.getPath() for f in env.blockManager().diskBlockManager().localDirs()]
+    held = lambda: sum(os.path.getsize(os.path.join(d, x)) for t in tops for d, _, names in os.walk(t) for x in names if x.startswith("shuffle_"))
+    rows = [(k, "u", "".join(hashlib.sha512(f"{k % 1500} {i}".encode()).hexdigest() for i in range(20))) for k in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    before, off = held(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        warc.write_warc(pages, str(tmp_path / "archives"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", off)
+    assert held() - before < 1_000_000
+    assert spark.read.option("lineSep", warc.MAGIC).text(str(tmp_path / "archives")).where("value like 'WARC-Type%'").count() == 2000
