@@ -43,7 +43,8 @@ SPARSE = 4
 HIDDEN = 24
 EPOCHS = 40
 THRESHOLD = 0.7
-REMEMBER = 1_000_000
+#: Words that a worker remembers, some 20 MB: workers live on, and what they hold adds to what later jobs need.
+REMEMBER = 100_000
 #: Pairs of neighbours that are summed at once.
 PAIRS = 50_000
 TELLING = 5

@@ -73,3 +73,16 @@ def test_clashing_names(spark):
     model = quality.learn(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
     got = quality.score(docs, model).collect()
     assert len(got) == 3 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_a_worker_remembers_few_words_and_reads_all_alike():
+    """What a worker remembers stays small whatever it reads, and a word forgotten gets its slots again."""
+    import numpy as np
+
+    text = " ".join(f"w{k:x}" for k in range(250_000))
+    first = quality._codes(text + " The end. w1 w2")
+    assert len(quality._slots) <= 100_000
+    for _ in range(2):
+        again = quality._codes(text + " The end. w1 w2")
+        assert all(np.array_equal(a, b) for a, b in zip(first, again, strict=True))
+    assert len(quality._slots) <= 100_000
