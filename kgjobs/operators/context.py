@@ -104,7 +104,10 @@ def fetch_world_knowledge(queries: DataFrame, world: DataFrame, most: int = 10)
     """(query, id): the first ``most`` of world(id, domain, tags) whose domain or a tag contains a concept of the query."""
     asked = queries.select("query", F.explode("concepts").alias("c")).select("query", F.lower("c").alias("needle")).where("needle <> ''").distinct()
     texts = world.select(F.col("id").alias("key"), F.explode(F.array_append("tags", F.col("domain"))).alias("text")).where("text is not null").select("key", F.lower("text").alias("text"))
-    hit = containing(texts, asked).join(asked, "needle").select("query", F.col("key").alias("id")).distinct()
+    # a query takes the first ``most`` of all its concepts' rows, so of each concept no more than its first ones
+    each = Window.partitionBy("needle").orderBy("key")
+    first = containing(texts, asked).withColumn("r", F.row_number().over(each)).where(F.col("r") <= most)
+    hit = first.join(asked, "needle").select("query", F.col("key").alias("id")).distinct()
     w = Window.partitionBy("query").orderBy("id")
     return hit.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
 
