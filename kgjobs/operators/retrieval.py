@@ -149,38 +149,61 @@ def embedding_coverage(chunks: DataFrame, current: str) -> DataFrame:
     return parents.agg(F.count("*").alias("total"), F.count_if("stale").alias("pending"), F.count_if(~F.col("stale")).alias("embedded"))
 
 
+#: Of a list of neighbours, how many are looked at first, then where these don't settle a query.
+LOOKS = (4, 16)
+
+
 def expand_graph(seeds: DataFrame, edges: DataFrame, depth: int = 2, most: int = 30, nodes: DataFrame | None = None, now: str | None = None) -> DataFrame:
     """seeds(query, id) and at most ``most`` neighbours over open edges in either direction, nearest first, then by id.
 
     Open edges have no valid_until, or one after ``now``. With nodes(id, owner if owners count) neighbours must be among
     these and, where they have an owner, it must be the user of seeds(query, id, user). A node's list is cut to what any
-    query can take of it, by owner and id, so a hub's whole star meets no query.
+    query can take of it, by owner and id, so a hub's whole star meets no query. A query looks for what it still lacks
+    alone. Lists are in order, so once their beginnings hold that much up to the least of their ends, the rest of them
+    can't count; only queries for which that isn't so look further into their lists.
     """
+    spark, base = seeds.sparkSession, scratch(seeds.sparkSession, "expand")
     open_ = F.col("valid_until").isNull() if now is None else F.col("valid_until").isNull() | (F.col("valid_until") > F.lit(now).cast("timestamp"))
     both = edges.where(open_).select("src", "dst")
-    both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src is not null and dst is not null")
     owned = nodes is not None and "owner" in nodes.columns
+    owner = ["owner"] if owned else []
     if nodes is not None:
-        both = both.join(nodes.select(F.col("id").alias("dst"), *(["owner"] if owned else [])), "dst")
+        both = both.join(nodes.select(F.col("id").alias("dst"), *owner), "dst")
     user = ["user"] if owned and "user" in seeds.columns else []
-    seen = seeds.select("query", "id", *user).distinct().withColumn("depth", F.lit(0))
+    seen = seeds.select("query", "id", *user).distinct()
     widest = seen.groupBy("query").count().agg(F.max("count").alias("n")).first()["n"] or 0
     # of what a query hasn't seen it takes the first ``most``, and it has seen so many at most
-    first = Window.partitionBy("src", *(["owner"] if owned else [])).orderBy("dst")
-    both = both.withColumn("n", F.row_number().over(first)).where(F.col("n") <= widest + most * depth).drop("n")
-    front = seen
+    cap = widest + most * depth
+    first = F.dense_rank().over(Window.partitionBy("src", *owner).orderBy("dst"))
+    both = both.withColumn("n", first).where(F.col("n") <= cap)
+    lists = held(both.groupBy("src", *owner).agg(F.sort_array(F.collect_set("dst")).alias("near")), f"{base}/lists")
+    state = seen.groupBy("query").agg(F.collect_set("id").alias("seen"), *[F.first(c).alias(c) for c in user])
+    state = held(state.withColumns({"front": F.col("seen"), "need": F.lit(most)}), f"{base}/state-0")
+    out = seen.select("query", "id", F.lit(0).alias("depth"))
     for d in range(1, depth + 1):
-        step = front.join(both, front["id"] == both["src"])
-        if owned:
-            step = step.where(F.col("owner").isNull() | (F.col("owner") == F.col("user") if user else F.lit(False)))
-        step = step.select("query", F.col("dst").alias("id"), *user).distinct()
-        front = step.join(seen, ["query", "id"], "left_anti").withColumn("depth", F.lit(d))
-        w = Window.partitionBy("query").orderBy("id")
-        front = front.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
-        seen = seen.unionByName(front)
-    w = Window.partitionBy("query").orderBy("depth", "id")
-    extra = seen.where("depth > 0").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
-    return seen.where("depth = 0").unionByName(extra).select("query", "id", "depth")
+        todo, ended = state.where("need > 0 and size(front) > 0"), []
+        for look in [*(n for n in LOOKS if d > 1 and n < cap), cap]:
+            heads = lists.select(F.col("src").alias("id"), *owner, F.slice("near", 1, look).alias("head"), F.when((F.size("near") > look) & F.lit(look < cap), F.get("near", F.lit(look - 1))).alias("last"))
+            met = todo.select("query", F.explode("front").alias("id"), *user).join(heads, "id")
+            if owned:
+                met = met.where(F.col("owner").isNull() | (F.col("owner") == F.col("user") if user else F.lit(False)))
+            met = met.groupBy("query").agg(F.flatten(F.collect_list("head")).alias("got"), F.min("last").alias("last"))
+            got = F.sort_array(F.array_except("got", "seen"))
+            new = todo.join(met, "query").withColumn("got", F.when(F.col("last").isNull(), got).otherwise(F.filter(got, lambda x: x <= F.col("last"))))
+            new = new.select("query", F.slice("got", F.lit(1), F.col("need")).alias("new"), (F.col("last").isNull() | (F.size("got") >= F.col("need"))).alias("enough"))
+            new = held(new, f"{base}/new-{d}-{look}")
+            ended.append(new.where("enough").select("query", "new"))
+            rest = new.where("not enough").select("query")
+            if look == cap or rest.isEmpty():
+                break
+            todo = todo.join(rest, "query", "left_semi")
+        found = reduce(DataFrame.unionByName, ended)
+        out = out.unionByName(found.select("query", F.explode("new").alias("id"), F.lit(d).alias("depth")))
+        if d < depth:
+            after = state.join(found, "query").select("query", F.concat("seen", "new").alias("seen"), *user, F.col("new").alias("front"), (F.col("need") - F.size("new")).alias("need"))
+            state = held(after, f"{base}/state-{d}")
+    return out
 
 
 def retrieval_metrics(ranked: DataFrame, expected: DataFrame, k: int) -> DataFrame:

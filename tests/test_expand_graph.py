@@ -34,3 +34,25 @@ def test_expand_graph_takes_every_source(spark, tmp_path):
     want = nearest(seeds, opened, 2, 30)
     got = sorted((x.query, x.id, x.depth) for x in queries.QUERIES["expand_graph"](spark, str(tmp_path)).collect())
     assert got == want and len(seeds) > 50 and max(sum(q == x[0] for x in want) for q, _ in seeds) == 31
+
+
+def test_lists_are_looked_into_as_far_as_queries_need(spark):
+    from pyspark.sql import functions as F
+
+    from kgjobs.operators import retrieval
+
+    from .test_growth import most_rows
+
+    r = random.Random(4)
+    # leaves of ten hubs of up to 300 leaves each: two steps away there are far more than any query takes
+    edges = sorted({(1000 + leaf, r.choice(range(10))) for leaf in range(900) for _ in range(3)})
+    edges += [(5000, 5001), (5001, 5002), (5002, 5000), (6000, 6000)]
+    df = spark.createDataFrame(edges, "src long, dst long").withColumn("valid_until", F.lit(None).cast("date"))
+    seeds = df.select(F.col("src").alias("query"), F.col("src").alias("id")).distinct()
+    got = retrieval.expand_graph(seeds, df, most=8)
+    want = nearest(sorted({(a, a) for a, _ in edges}), edges, 2, 8)
+    assert sorted((x.query, x.id, x.depth) for x in got.collect()) == want
+    assert most_rows(got) < 10_000  # all that hubs lead to were 41,832 rows in one plan before; now lists are written and looked into
+    two = spark.createDataFrame([("q", 1000), ("q", 1001), ("p", 5000)], "query string, id long")
+    flat = {(x.query, x.id): x.depth for x in retrieval.expand_graph(two, df, depth=3, most=40).collect()}
+    assert sum(q == "q" for q, _ in flat) == 42 and {k: v for k, v in flat.items() if k[0] == "p"} == {("p", 5000): 0, ("p", 5001): 1, ("p", 5002): 1}
