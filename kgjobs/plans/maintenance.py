@@ -197,10 +197,11 @@ def verify_audit_chain(spark, d):
     entry = F.to_json(F.struct((F.col("line") + F.when(F.col("event_id") % 70 == 0, 5).otherwise(0)).alias("seq"), F.when(F.col("event_id") % 50 == 0, "edited").otherwise(F.col("before")).alias("prev_hash")))
     mac = F.when(F.col("event_id") % 60 == 7, "forged").otherwise(F.base64(F.unhex(fn.hmac_sha256(KEY, F.col("entry")))))
     lines = e.withColumn("entry", entry).withColumn("mac", mac).withColumn("text", F.when(F.col("parsed"), F.to_json(F.struct("entry", "mac", "entry_hash"))).otherwise("{broken"))
-    days = lines.groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
     path = scratch(spark, "audit")
     spark.dataSource.register(RuleFiles)
-    days.select(F.lit("2024").alias("domain"), F.format_string("audit-2024-01-%02d.jsonl", "day").alias("file"), "text").write.format("rule_files").mode("overwrite").save(path)
+    # the window has dealt the lines by days, so a day is in one task and is written line by line
+    days = lines.sortWithinPartitions("day", "line").select(F.lit("2024").alias("domain"), F.format_string("audit-2024-01-%02d.jsonl", "day").alias("file"), "text")
+    days.write.format("rule_files").option("between", "\n\n").mode("overwrite").save(path)
     entries = ingest.read_audit_log(ingest.audit_lines(spark, path))
     return graph.verify_chain(entries.withColumnRenamed("entry_hash", "stored_hash"), KEY, span=100)
 

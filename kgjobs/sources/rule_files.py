@@ -3,6 +3,9 @@
     spark.dataSource.register(RuleFiles)
     df.write.format("rule_files").mode("overwrite").save(path)      # df(domain, file, text)
 
+With option("between", "\\n") rows of one file that follow each other in a task are parts of it, in their order, with that
+text between them, so a file of any length is written row by row; all its rows must be in one task and in a row.
+
 Tasks write below a folder of the job beside the target; the commit renames it to the target, an abort removes it. So
 readers never see half an export, and what a failed or repeated task wrote is gone or the same. The file system is that of
 the path's URI; it must be able to rename a folder.
@@ -10,6 +13,7 @@ the path's URI; it must be able to rename a folder.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,12 +39,12 @@ class RuleFiles(DataSource):
         missing = [c for c in COLUMNS if c not in schema.names]
         if missing:
             raise ValueError(f"rule_files lacks {', '.join(missing)}")
-        return RuleWriter(self.options["path"], overwrite)
+        return RuleWriter(self.options["path"], overwrite, self.options.get("between"))
 
 
 class RuleWriter(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path.rstrip("/"), overwrite
+    def __init__(self, path: str, overwrite: bool, between: str | None = None):
+        self.path, self.overwrite, self.between = path.rstrip("/"), overwrite, between
         self.staging = f"{self.path}.{uuid.uuid4().hex}"
 
     def _at(self, uri: str):
@@ -50,17 +54,29 @@ class RuleWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         store, base = self._at(self.staging)
-        made, n = set(), 0
-        for row in iterator:
-            domain, file, text = (row[c] for c in COLUMNS)
-            if not domain or not file or "/" in domain or domain in (".", ".."):
-                raise ValueError(f"no file can be named after domain {domain!r} and file {file!r}")
-            if domain not in made:
-                store.create_dir(f"{base}/{domain}", recursive=True)
-                made.add(domain)
-            with store.open_output_stream(f"{base}/{domain}/{file}") as out:
+        made, closed, current, out, n = set(), set(), None, None, 0
+        try:
+            for row in iterator:
+                domain, file, text = (row[c] for c in COLUMNS)
+                if self.between is not None and (domain, file) == current:
+                    out.write((self.between + (text or "")).encode())
+                    continue
+                if not domain or not file or "/" in domain or domain in (".", ".."):
+                    raise ValueError(f"no file can be named after domain {domain!r} and file {file!r}")
+                if domain not in made:
+                    store.create_dir(f"{base}/{domain}", recursive=True)
+                    made.add(domain)
+                if out is not None:
+                    out.close()
+                if self.between is not None:
+                    closed.add(current)
+                    if (domain, file) in closed:
+                        raise ValueError(f"the rows of {file!r} are not in a row")
+                out, current, n = store.open_output_stream(f"{base}/{domain}/{file}"), (domain, file), n + 1
                 out.write((text or "").encode())
-            n += 1
+        finally:
+            if out is not None:
+                out.close()
         return Written(n)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -80,5 +96,7 @@ class RuleWriter(DataSourceWriter):
         from pyarrow import fs
 
         store, base = self._at(self.staging)
-        if store.get_file_info(base).type != fs.FileType.NotFound:
-            store.delete_dir(base)
+        for _ in range(10):  # tasks that still ran when another failed may make the folder anew
+            if store.get_file_info(base).type != fs.FileType.NotFound:
+                store.delete_dir(base)
+            time.sleep(0.2)

@@ -194,3 +194,17 @@ def test_audit_chain_equals_a_walk_along_each_file(spark, tmp_path, small_splits
     entries = ingest.read_audit_log(lines).withColumnRenamed("entry_hash", "stored_hash")
     got = sorted(map(tuple, graph.verify_chain(entries, key, span).collect()))
     assert got == sorted(want) and {x[2] for x in got} == {"PARSE_ERROR", "HMAC_INVALID", "SEQ_GAP", "CHAIN_BROKEN"}
+
+
+def test_a_file_is_written_row_by_row(spark, tmp_path):
+    from kgjobs.sources.rule_files import RuleFiles
+
+    spark.dataSource.register(RuleFiles)
+    rows = spark.range(3000).selectExpr("'d' as domain", "concat('f', id % 5) as file", "id", "repeat(cast(id as string), 50) as text").repartition(3, "file").sortWithinPartitions("file", "id")
+    rows.select("domain", "file", "text").write.format("rule_files").option("between", "\n\n").mode("overwrite").save(f"{tmp_path}/out")
+    for k in range(5):  # the last row alone was left before
+        assert (tmp_path / "out" / "d" / f"f{k}").read_text() == "\n\n".join(str(i) * 50 for i in range(k, 3000, 5))
+    torn = spark.createDataFrame([("d", "a", "1"), ("d", "b", "2"), ("d", "a", "3")], "domain string, file string, text string").coalesce(1)
+    with pytest.raises(Exception, match="not in a row"):
+        torn.write.format("rule_files").option("between", "").mode("overwrite").save(f"{tmp_path}/torn")
+    assert not list(tmp_path.glob("torn*"))
