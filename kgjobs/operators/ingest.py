@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import glob_regex
 from ..sources.records import csv_records, json_records
-from ..sources.rule_files import RuleFiles
+from ..sources.rule_files import RuleFiles, file_texts
 
 # What of a repository is read.
 EXTENSIONS = (
@@ -328,8 +328,7 @@ def parse_rules(files: DataFrame) -> DataFrame:
 
 def read_markdown_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Rules of all .md files below a folder; rejected files have no id."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    return parse_rules(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    return parse_rules(file_texts(spark, folder, ".md"))
 
 
 def _named(column: str, name: str, mark: str, value: str) -> Column:

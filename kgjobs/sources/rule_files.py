@@ -13,16 +13,24 @@ the path's URI; it must be able to rename a folder.
 
 from __future__ import annotations
 
+import itertools
+import os
 import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Row
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from . import scratch
+
 COLUMNS = ("domain", "file", "text")
+#: Bytes of texts that a task holds, and files that it reads.
+TEXTS, FILES = 16 << 20, 20_000
 
 
 @dataclass
@@ -100,3 +108,68 @@ class RuleWriter(DataSourceWriter):
             if store.get_file_info(base).type != fs.FileType.NotFound:
                 store.delete_dir(base)
             time.sleep(0.2)
+
+
+def _entries(store, folder: str) -> Iterator[tuple[str, bool]]:
+    """(path, whether it is a folder) of what lies in a folder, but for what Spark's readers take for hidden."""
+    from pyarrow import fs
+
+    shown = lambda name: not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(folder) as found:  # one after the other, however many there are
+            yield from ((x.path, x.is_dir()) for x in found if shown(x.name))
+    else:
+        yield from ((x.path, x.type == fs.FileType.Directory) for x in store.get_file_info(fs.FileSelector(folder)) if shown(x.base_name))
+
+
+def file_texts(spark: SparkSession, folder: str, ending: str = "") -> DataFrame:
+    """(path, text) of all files below a folder whose names end so, each a row; as with Spark's reader an empty file is none.
+
+    Folders are listed by tasks, a level at a time, and their names lie in written tables, so the driver holds none. Where
+    only Spark can open the store, or it is no folder but a pattern, Spark's reader is used, which lists on the driver.
+    """
+    from pyarrow import fs
+
+    try:
+        store, top = fs.FileSystem.from_uri(folder)
+        known = store.get_file_info(top).type == fs.FileType.Directory
+    except (pa.ArrowInvalid, OSError, NotImplementedError):
+        known = False
+    if not known:
+        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ending}").text(folder, wholetext=True)
+        return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    before = folder[: -len(top)] if folder.endswith(top) and "://" in folder else "file://"
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = fs.FileSystem.from_uri(folder)[0]
+        for b in batches:
+            for at in b.column("path").to_pylist():
+                found = _entries(store, at)
+                while part := list(itertools.islice(found, 50_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), pa.array([x[1] for x in part], pa.bool_())], names=["path", "folder"])
+
+    base, level, n, todo = scratch(spark, "listed"), 0, 1, spark.createDataFrame([(top,)], "path string")
+    while n:
+        todo.repartition(min(n, 1000)).mapInArrow(listed, "path string, folder boolean").write.parquet(f"{base}/{level}")
+        todo = spark.read.parquet(f"{base}/{level}").where("folder").select("path")
+        n, level = todo.count(), level + 1
+    files = spark.read.parquet(*[f"{base}/{k}" for k in range(level)]).where(~F.col("folder") & F.col("path").endswith(ending)).select("path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = fs.FileSystem.from_uri(folder)[0]
+        for b in batches:
+            names, texts, held = [], [], 0
+            for at in b.column("path").to_pylist():
+                with store.open_input_stream(at) as f:
+                    text = f.read().decode(errors="replace")
+                if text:
+                    names.append(before + at)
+                    texts.append(text)
+                held += len(text)
+                if held >= TEXTS:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["path", "text"])
+                    names, texts, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["path", "text"])
+
+    parts = max(spark.sparkContext.defaultParallelism, -(-files.count() // FILES))
+    return files.repartition(parts).mapInArrow(read, "path string, text string")

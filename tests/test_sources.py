@@ -208,3 +208,22 @@ def test_a_file_is_written_row_by_row(spark, tmp_path):
     with pytest.raises(Exception, match="not in a row"):
         torn.write.format("rule_files").option("between", "").mode("overwrite").save(f"{tmp_path}/torn")
     assert not list(tmp_path.glob("torn*"))
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    from kgjobs.sources.rule_files import file_texts
+
+    want = {}
+    for k in range(60):
+        p = tmp_path / "top" / "/".join("abü"[: k % 4]) / f"{'_' * (k % 7 == 0)}{k}.{'md' if k % 5 else 'txt'}"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"\xef\xbb\xbf" * (k % 2) + f"text {k}\r\nü".encode() * (k % 3))
+        if k % 7 and k % 5 and p.stat().st_size:
+            want[f"file://{p}"] = p.read_bytes().decode()
+    (tmp_path / "top" / ".hidden").mkdir()
+    (tmp_path / "top" / ".hidden" / "x.md").write_text("x")
+    for folder in (f"{tmp_path}/top", f"file://{tmp_path}/top"):
+        got = file_texts(spark, folder, ".md")
+        assert {x.path: x.text for x in got.collect()} == want
+        assert "FileScan text" not in got._jdf.queryExecution().executedPlan().toString()  # whose index the driver holds
+    assert file_texts(spark, f"{tmp_path}/t*p/a", ".md").count() == sum("/a/" in x for x in want)  # a pattern is left to Spark
