@@ -8,6 +8,7 @@ from ..adapters import model
 from ..operators import ingest
 from ..queries import M, R, query
 from ..sources import scratch
+from ..sources.rule_files import file_texts
 
 PATH = "concat(case doc_id % 5 when 0 then 'docs' when 1 then 'src/adr' when 2 then 'node_modules/x' when 3 then '.gitlab/ci' else 'README.d' end, '/', source, '/', case when doc_id % 9 = 0 then 'README' else concat('f', cast(doc_id as string)) end, case doc_id % 7 when 0 then '.md' when 1 then '.py' when 2 then '.min.js' when 3 then '.bin' when 4 then '' when 5 then '.MAP' else '.yaml' end)"
 MARKDOWN = "concat('---', chr(10), 'id: r', cast(doc_id as string), chr(10), 'title: \"T ', lang, '\"', chr(10), case when doc_id % 3 = 0 then concat('tags: [', lang, ', ', source, ']', chr(10)) else '' end, '---', chr(10), '# Head ', source, chr(10), 'see [a](../x/f', cast(doc_id - 1 as string), '.md#top) and [b](http://h/y.md) and [c](../../../../up.md)', chr(10), text)"
@@ -197,8 +198,8 @@ def write_rules_by_domain(spark, d):
     """All rules written as Markdown files, a folder a domain, and the files read back as they lie there."""
     path = scratch(spark, "by-domain")
     ingest.write_rules_by_domain(_files(spark, d), path)
-    back = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.reverse(F.split(F.col("_metadata.file_path"), "/")).alias("at"), "value")
-    return back.select(F.col("at")[1].alias("domain"), F.col("at")[0].alias("file"), F.sha2("value", 256).alias("text_sha256"))
+    back = file_texts(spark, path).select(F.reverse(F.split("path", "/")).alias("at"), "text")
+    return back.select(F.col("at")[1].alias("domain"), F.col("at")[0].alias("file"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(f"""select id, 'T ' || n as title, type, domain, priority, tag_lang || ',' || domain as tags, 'c' || (n % 3) as concepts, case when n % 3 = 0 then prior_id else '' end as supersedes, case when n % 4 = 1 then prior_id || ',x' else '' end as related, case when n % 2 = 0 then 'me' end as author,

@@ -3,6 +3,7 @@
 import csv
 import io
 import json
+import os
 import random
 
 import pytest
@@ -227,3 +228,13 @@ def test_folders_are_listed_by_tasks(spark, tmp_path):
         assert {x.path: x.text for x in got.collect()} == want
         assert "FileScan text" not in got._jdf.queryExecution().executedPlan().toString()  # whose index the driver holds
     assert file_texts(spark, f"{tmp_path}/t*p/a", ".md").count() == sum("/a/" in x for x in want)  # a pattern is left to Spark
+
+
+def test_written_files_are_read_back_by_tasks(spark):
+    from kgjobs import plans, queries  # noqa: F401
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no driver tables")
+    plan = queries.QUERIES["write_rules_by_domain"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FileScan text" not in plan  # the driver listed all files before
