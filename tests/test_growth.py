@@ -32,4 +32,4 @@ def test_world_knowledge_joins_a_concepts_first_rows(spark):
     df = context.fetch_world_knowledge(q, world)
     want = {(k, f"w{i:04d}") for k in range(300) for i in [i for i in range(2000) if f"src{k % 3}" in f"src{i % 30}"][:10]}
     assert {(x.query, x.id) for x in df.collect()} == want
-    assert most_rows(df) <= 20_000  # 300 queries met 133,600 rows before
+    assert most_rows(df) <= 20_000  # one join made 153,100 rows before
